@@ -45,3 +45,10 @@ def shuffle_width(spark: SparkSession) -> int:
 
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what an Arrow batch holds by bytes as well as by rows, unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(key) is None:
+        spark.conf.set(key, str(16 << 20))
