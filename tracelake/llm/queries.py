@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import chat_format, quality_rules, secret_scan, url_filter
+from tracelake.llm import chat_format, decontaminate, quality_rules, secret_scan, url_filter
 from tracelake.tables import table
 
 #: The rules of op1: host, path, verdict.
@@ -120,7 +120,40 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return done.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+_OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+                  list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+           FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+             list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+      FROM benchmark),
+bw AS (SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win
+       FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+ks AS (SELECT DISTINCT k FROM bw),
+dw AS (SELECT rid, k, i, array_to_string(w[i:i + k - 1], ' ') AS win
+       FROM (SELECT rid, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k)),
+hit AS (SELECT rid, dw.k, i, item FROM dw JOIN bw USING (k, win)),
+cov AS (SELECT rid, count(DISTINCT i + o) AS n_hit FROM (SELECT DISTINCT rid, i, unnest(range(0, k)) AS o FROM hit) GROUP BY rid),
+its AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)
+"""
+
+
 QUERIES = {"op1_url_filters": op1_url_filters, "op2_secret_scans": op2_secret_scans,
     "op3_quality_rules": op3_quality_rules,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op9_chat_formatting": op9_chat_formatting}
-ORACLE_SQL = {"op1_url_filters": _OP1_SQL, "op2_secret_scans": _OP2_SQL, "op9_chat_formatting": _OP9_SQL}
+ORACLE_SQL = {"op1_url_filters": _OP1_SQL, "op2_secret_scans": _OP2_SQL, "op10_benchmark_decontamination": _OP10_SQL, "op9_chat_formatting": _OP9_SQL}
