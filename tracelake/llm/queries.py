@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import chat_format, decontaminate, packing, quality_rules, secret_scan, url_filter
+from tracelake.llm import chat_format, decontaminate, minhash_dedup, packing, quality_rules, secret_scan, url_filter
 from tracelake.tables import table
 
 #: The rules of op1: host, path, verdict.
@@ -158,9 +158,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {"op1_url_filters": op1_url_filters, "op2_secret_scans": op2_secret_scans,
     "op3_quality_rules": op3_quality_rules,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_packing": op8_packing,
     "op9_chat_formatting": op9_chat_formatting}
 ORACLE_SQL = {"op1_url_filters": _OP1_SQL, "op2_secret_scans": _OP2_SQL, "op10_benchmark_decontamination": _OP10_SQL, "op9_chat_formatting": _OP9_SQL}
