@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import chat_format, decontaminate, minhash_dedup, packing, quality_rules, secret_scan, url_filter
+from tracelake.llm import chat_format, decontaminate, minhash_dedup, packing, quality_rules, secret_scan, substring_dedup, url_filter
 from tracelake.tables import table
 
 #: The rules of op1: host, path, verdict.
@@ -162,10 +162,28 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_OP4_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT rid, doc_id, i, array_to_string(w[i:i + 49], ' ') AS s FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+least_doc AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT rid, i + o AS p FROM (SELECT win.rid, win.i, unnest(range(0, 50)) AS o FROM win JOIN least_doc USING (s) WHERE win.doc_id > m)),
+off AS (SELECT rid, list(p) AS ps FROM gone GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(ps, x[2])), lambda x: x[1]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN off USING (rid)
+"""
+
+
 QUERIES = {"op1_url_filters": op1_url_filters, "op2_secret_scans": op2_secret_scans,
     "op3_quality_rules": op3_quality_rules,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op4_substring_dedup": op4_substring_dedup,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_packing": op8_packing,
     "op9_chat_formatting": op9_chat_formatting}
-ORACLE_SQL = {"op1_url_filters": _OP1_SQL, "op2_secret_scans": _OP2_SQL, "op10_benchmark_decontamination": _OP10_SQL, "op9_chat_formatting": _OP9_SQL}
+ORACLE_SQL = {"op1_url_filters": _OP1_SQL, "op2_secret_scans": _OP2_SQL, "op4_substring_dedup": _OP4_SQL, "op10_benchmark_decontamination": _OP10_SQL, "op9_chat_formatting": _OP9_SQL}
