@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import chat_format, decontaminate, minhash_dedup, packing, quality_rules, secret_scan, substring_dedup, url_filter
+from tracelake.llm import chat_format, decontaminate, minhash_dedup, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, url_filter
 from tracelake.tables import table
 
 #: The rules of op1: host, path, verdict.
@@ -179,10 +179,20 @@ FROM d LEFT JOIN off USING (rid)
 """
 
 
+#: Scores from here on count as label 1.
+QUALITY_CUT = 0.7
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return done.withColumn("predicted", (F.col("score") >= QUALITY_CUT).cast("int"))
+
+
 QUERIES = {"op1_url_filters": op1_url_filters, "op2_secret_scans": op2_secret_scans,
     "op3_quality_rules": op3_quality_rules,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_packing": op8_packing,
     "op9_chat_formatting": op9_chat_formatting}
