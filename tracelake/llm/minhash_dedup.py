@@ -6,8 +6,8 @@ chance of 5e-6. Every proposed link is confirmed on the full sets.
 
 No pairs within a bucket are listed at first: each member is compared to the bucket's least member. Confirmed links give
 components. Only in buckets that then still hold several components can further links matter; there, members of different
-components are compared block by block on their signatures, and pairs that reach ESTIMATE (four and a half standard errors
-below the threshold) are confirmed on the full sets as well. So no link between components is passed over for want of a
+components are compared block by block on their signatures, then on sketches of their sets (the whole set up to SKETCH
+shingles), and pairs that pass (ESTIMATE, SKETCH_ESTIMATE) are confirmed on the full sets as well. So no link between components is passed over for want of a
 comparison, while large groups of near copies, which the first step joins, stay linear.
 
 Plan: the first scan keeps ids, set sizes, set digests and signatures, no text. Bucket minima are combined before the shuffle
@@ -38,7 +38,9 @@ SHINGLE = 5
 HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
 THRESHOLD = 75
+#: Four and a half standard errors below the threshold, for HASHES minima and for SKETCH least codes.
 ESTIMATE = 0.58
+SKETCH, SKETCH_ESTIMATE = 1024, 0.689
 BLOCK = 256
 _rng = np.random.Generator(np.random.PCG64(20240301))
 _A = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * U(2) + U(1)
@@ -87,10 +89,11 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[bytes] = []
+        out: list[np.ndarray] = []
         for chunk in chunks(batch.column("text"), lower=True):
-            out += [shingles(chunk.of(k)).tobytes() for k in range(chunk.hi - chunk.lo)]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], names=["id", "set"])
+            out += [shingles(chunk.of(k)) for k in range(chunk.hi - chunk.lo)]
+        short = [(x[: SKETCH + 1] >> U(32)).astype("<u4").tobytes() for x in out]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in out], pa.binary()), pa.array(short, pa.binary())], names=["id", "set", "sketch"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,24 +116,45 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "set_u", "set_v").mapInArrow(_confirmed, "u long, v long")
 
 
+def _near(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets may be similar enough: their least SKETCH codes (halved to 32 bits) tell, for shorter sets all codes."""
+    full = len(x) <= SKETCH and len(y) <= SKETCH
+    both = np.concatenate([x[:SKETCH], y[:SKETCH]])
+    both.sort(kind="stable")
+    twice = both[1:] == both[:-1]
+    if full:
+        common = int(twice.sum())
+        return 100 * common >= THRESHOLD * (len(both) - common)
+    # the union's least SKETCH codes: a place counts once, and a code found twice holds two of them
+    new = np.concatenate([[True], ~twice])
+    upto = int(np.searchsorted(np.cumsum(new), SKETCH, "right"))
+    return int((~new[:upto]).sum()) >= SKETCH_ESTIMATE * SKETCH
+
+
 def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of members of a block pair that lie in different components and whose signatures agree enough."""
+    """Pairs of members of two blocks (or of one) that lie in different components and may be similar enough. A pair counts in
+    the first band that it shares alone."""
     out = []
-    left = pdf[pdf["side"] == 0]
-    right = pdf[pdf["side"] == 1]
+    left, right = pdf[pdf["side"] != 1], pdf[pdf["side"] != 0]
     if len(left) and len(right):
         signature = lambda d: np.frombuffer(b"".join(d["signature"]), "<u4").reshape(len(d), HASHES)
         s, t = signature(left), signature(right)
         ids, others = left["id"].to_numpy(), right["id"].to_numpy()
         at, other_at = left["component"].to_numpy(), right["component"].to_numpy()
+        own, other = (d["sketch"].map(lambda x: np.frombuffer(x, "<u4")).tolist() for d in (left, right))
+        one, place = bool((pdf["side"] == 2).all()), int(pdf["place"].iloc[0])
         for i in range(len(left)):
-            near = np.flatnonzero((other_at != at[i]) & ((t == s[i]).sum(axis=1) >= ESTIMATE * HASHES))
-            out += [(min(ids[i], o), max(ids[i], o)) for o in others[near]]
-    return pd.DataFrame(sorted(set(out)), columns=["u", "v"], dtype="int64")
+            j = np.flatnonzero(other_at != at[i])
+            if one:
+                j = j[j > i]
+            same = t[j] == s[i]
+            j = j[(same.sum(axis=1) >= ESTIMATE * HASHES) & (same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == place)]
+            out += [(min(ids[i], others[x]), max(ids[i], others[x])) for x in j if _near(own[i], other[x])]
+    return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
 
 def _residual(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Candidate pairs across components. buckets: band, id. nodes: id, component, signature."""
+    """Candidate pairs across components. buckets: band, place, id. nodes: id, component, signature, sketch."""
     labelled = buckets.join(nodes.select("id", "component"), "id")
     mixed_up = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     # A block is a share of a bucket by id hash; every block meets every block of its bucket, in a group of its own
@@ -138,10 +162,10 @@ def _residual(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
     rows = labelled.join(mixed_up, "band").withColumn("block", F.pmod(F.xxhash64("id", "band"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     meets = F.transform(every, lambda x: F.struct(F.least(x, F.col("block")).alias("x"), F.greatest(x, F.col("block")).alias("y")))
-    rows = rows.select("band", "id", "component", "block", F.explode(meets).alias("at"))
-    sides = F.when(F.col("at.x") == F.col("at.y"), F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("block") != F.col("at.x")).cast("int")))
-    rows = rows.select("band", "id", "component", F.col("at.x").alias("x"), F.col("at.y").alias("y"), F.explode(sides).alias("side"))
-    rows = rows.join(nodes.select("id", "signature"), "id")
+    rows = rows.select("band", "place", "id", "component", "block", F.explode(meets).alias("at"))
+    side = F.when(F.col("at.x") == F.col("at.y"), F.lit(2)).otherwise((F.col("block") != F.col("at.x")).cast("int"))
+    rows = rows.select("band", "place", "id", "component", F.col("at.x").alias("x"), F.col("at.y").alias("y"), side.alias("side"))
+    rows = rows.join(nodes.select("id", "signature", "sketch"), "id")
     return rows.groupBy("band", "x", "y").applyInPandas(_across, "u long, v long").distinct()
 
 
@@ -157,17 +181,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     heads = filled.join(classes.withColumnRenamed("class", "id"), ["n", "d1", "d2", "id"], "left_semi").dropDuplicates(["n", "d1", "d2", "id"])
     heads = heads.select("id", "signature", "bands")
-    rows = heads.select("id", F.explode("bands").alias("band"))
+    rows = heads.select("id", F.posexplode("bands").alias("place", "band"))
     full = rows.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     buckets = cut(rows.join(full.select("band", "least"), "band"))
     used = buckets.select("id").distinct()
-    sets = cut(texts.join(used, "id", "left_semi").mapInArrow(_sets, "id long, set binary"))
+    sets = cut(texts.join(used, "id", "left_semi").mapInArrow(_sets, "id long, set binary, sketch binary"))
     star = buckets.where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v")).distinct()
     links = cut(_confirm(star, sets))
     first = components(links)
-    nodes = heads.join(used, "id", "left_semi").select("id", "signature").join(first.withColumnRenamed("node", "id"), "id", "left")
+    nodes = heads.select("id", "signature").join(sets.select("id", "sketch"), "id").join(first.withColumnRenamed("node", "id"), "id", "left")
     nodes = cut(nodes.withColumn("component", F.coalesce("component", "id")))
-    more = cut(_confirm(_residual(buckets.select("band", "id"), nodes), sets))
+    more = cut(_confirm(_residual(buckets.select("band", "place", "id"), nodes), sets))
     found = components(links.unionByName(more).unionByName(same_set))
     done = signed.select("id", "n").join(found.withColumnRenamed("node", "id"), "id", "left")
     done = done.withColumn("component", F.coalesce("component", "id"))
