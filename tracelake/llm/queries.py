@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import chat_format, decontaminate, minhash_dedup, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, url_filter
+from tracelake.llm import chat_format, decontaminate, lm_scoring, minhash_dedup, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, url_filter
 from tracelake.tables import table
 
 #: The rules of op1: host, path, verdict.
@@ -188,10 +188,15 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumn("predicted", (F.col("score") >= QUALITY_CUT).cast("int"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {"op1_url_filters": op1_url_filters, "op2_secret_scans": op2_secret_scans,
     "op3_quality_rules": op3_quality_rules,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_packing": op8_packing,

@@ -53,6 +53,8 @@ class Chunk:
     starts: np.ndarray  # byte offsets in data
     ends: np.ndarray
     data: np.ndarray  # bytes of the documents, lower-cased if asked for
+    raw: np.ndarray  # the same bytes as they are
+    at: np.ndarray  # byte offsets of the documents in data
 
     def of(self, k: int) -> np.ndarray:
         return self.words[self.first[k] : self.first[k + 1]]
@@ -60,7 +62,9 @@ class Chunk:
 
 def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and bytes of a string column; nulls are empty."""
-    column = column.cast(pa.large_string()).fill_null("")
+    if column.null_count:
+        column = column.fill_null("")
+    column = column.cast(pa.large_string())
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     return at, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
@@ -73,13 +77,13 @@ def chunks(column: pa.Array, lower: bool = False) -> Iterator[Chunk]:
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + CHUNK, "right")) - 1)
         raw = data[at[lo] : at[hi]]
-        yield _chunk(lo, hi, _LOWER[raw] if lower else raw, at[lo : hi + 1] - at[lo])
+        yield _chunk(lo, hi, _LOWER[raw] if lower else raw, at[lo : hi + 1] - at[lo], raw)
         lo = hi
 
 
-def _chunk(lo: int, hi: int, raw: np.ndarray, at: np.ndarray) -> Chunk:
-    n = len(raw)
-    inside = ~_SPACE[raw]
+def _chunk(lo: int, hi: int, data: np.ndarray, at: np.ndarray, raw: np.ndarray) -> Chunk:
+    n = len(data)
+    inside = ~_SPACE[data]
     begins, stops = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     stops[:-1] &= ~inside[1:]
@@ -94,10 +98,10 @@ def _chunk(lo: int, hi: int, raw: np.ndarray, at: np.ndarray) -> Chunk:
         a, b = int(starts[i]), int(ends[j - 1])
         up, down = powers(b - a)
         total = np.zeros(b - a + 1, U)
-        np.cumsum(_OF_BYTE[raw[a:b]] * up[: b - a], out=total[1:])
+        np.cumsum(_OF_BYTE[data[a:b]] * up[: b - a], out=total[1:])
         words[i:j] = mixed((total[ends[i:j] - a] - total[starts[i:j] - a]) * down[starts[i:j] - a])
         i = j
-    return Chunk(lo, hi, words, np.searchsorted(starts, at), starts, ends, raw)
+    return Chunk(lo, hi, words, np.searchsorted(starts, at), starts, ends, data, raw, at)
 
 
 def grams(words: np.ndarray, k: int) -> np.ndarray:
