@@ -75,7 +75,7 @@ def _runs(words: Column, n: Column, item: Column, m: Column, d: Column) -> Colum
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row for each input row: id, n_words, n_hit, n_items (long), items (their ids as strings, sorted) and spans (array of
-    struct<start, end> in words)."""
+    struct<start, end> in words) and text_hash (xxhash64 of the text)."""
     classes = items.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("")).alias("item"), words_of(F.col(item_text_col)).alias("item_words"))
     classes = classes.where(F.size("item_words") > 0).groupBy("item_words").agg(F.collect_set("item").alias("ids"))
     classes = cut(classes.withColumn("class", F.monotonically_increasing_id()))
@@ -105,13 +105,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     hits = hits.select(F.col("id").alias("hit_id"), F.col("hash").alias("hit_hash"), "hits")
 
     j = texts.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("hash") == F.col("hit_hash")), "left")
-    j = j.select("id", words_of(F.col("text")).alias("words"), "hits").withColumn("n", F.size("words"))
+    j = j.select("id", "hash", words_of(F.col("text")).alias("words"), "hits").withColumn("n", F.size("words"))
     runs = F.transform("hits", lambda h: F.struct(_runs(F.col("words"), F.col("n"), h["item_words"], F.size(h["item_words"]), h["d"]).alias("runs"), h["ids"].alias("ids")))
-    j = j.select("id", "n", F.filter(runs, lambda r: F.size(r["runs"]) > 0).alias("found"))
+    j = j.select("id", "hash", "n", F.filter(runs, lambda r: F.size(r["runs"]) > 0).alias("found"))
     spans = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda r: r["runs"]))))
     ids = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda r: r["ids"]))))
     no_spans, no_ids = F.array().cast("array<struct<start:int,end:int>>"), F.array().cast("array<string>")
-    j = j.select("id", "n", F.coalesce(spans, no_spans).alias("spans"), F.coalesce(ids, no_ids).alias("items"))
+    j = j.select("id", "hash", "n", F.coalesce(spans, no_spans).alias("spans"), F.coalesce(ids, no_ids).alias("items"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1)))))
     return j.select(
         F.col("id").alias(id_col),
@@ -120,4 +120,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         F.size("items").cast("long").alias("n_items"),
         "items",
         "spans",
+        F.col("hash").alias("text_hash"),
     )
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no window of an item."""
+    leaks = find_leaks(docs, items, id_col, text_col, item_id_col, item_text_col).where("n_hit > 0")
+    leaks = leaks.select(F.col(id_col).alias("leak_id"), F.col("text_hash").alias("leak_hash")).distinct()
+    same = docs[id_col].eqNullSafe(leaks["leak_id"]) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == leaks["leak_hash"])
+    return docs.join(leaks, same, "left_anti")

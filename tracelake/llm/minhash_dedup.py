@@ -201,3 +201,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("component").alias("component_id"),
         F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"),
     )
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns: one row of each component, and all rows without an id."""
+    stays = near_duplicates(docs, id_col, text_col).where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("stays_id")).distinct()
+    named = docs.join(stays, docs[id_col] == stays["stays_id"], "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.where(F.col(id_col).isNull()))

@@ -231,3 +231,18 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     done = texts.mapInArrow(lambda it: _scored(it, *shared.value), "id long, score double")
     return done.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score")
+
+
+def keep(docs: DataFrame, labels: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is ``least`` or more. One scan, no join."""
+    small_batches(docs.sparkSession)
+    table, net = train(docs, labels, id_col, text_col, label_col)
+    shared = docs.sparkSession.sparkContext.broadcast((table, net))
+    at = docs.columns.index(text_col)
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [shared.value[1].score(_pooled(c, shared.value[0])) for c in chunks(batch.column(at).cast(pa.string()))]
+            yield batch.filter(pa.array(np.concatenate(scores) >= least)) if scores else batch
+
+    return docs.mapInArrow(filtered, docs.schema)

@@ -60,7 +60,7 @@ def _matches(text: Column, k: int) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
     """A row for each input row: id, n_assign, n_access, n_hex, n_opaque, n_copied (long) and spans, an array of
-    struct<start, end, kind, copied> by start and kind."""
+    struct<start, end, kind, copied> by start and kind, and text_hash (xxhash64 of the text)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = cut(
         docs.select(
@@ -68,6 +68,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
             F.col(id_col).alias("id"),
             F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"),
             F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("repo"),
+            F.xxhash64(text).alias("hash"),
             F.concat(*[_matches(text, k) for k in range(len(KINDS))]).alias("matches"),
         )
     )
@@ -98,9 +99,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     numbers = [f"n_{k[0]}" for k in KINDS] + ["n_copied"]
     none = F.array().cast("array<struct<start:bigint,end:bigint,kind:string,copied:boolean>>")
     return (
-        found.select("row", "id")
+        found.select("row", "id", F.col("hash").alias("text_hash"))
         .join(per_row, "row", "left")
-        .select(F.col("id").alias(id_col), *[F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in numbers], F.coalesce(spans, none).alias("spans"))
+        .select(F.col("id").alias(id_col), *[F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in numbers], F.coalesce(spans, none).alias("spans"), "text_hash")
     )
 
 
@@ -111,3 +112,27 @@ def listed(spans: Column) -> Column:
 
 def base_only(spans: Column) -> Column:
     return F.filter(spans, lambda s: s["kind"].isin([k[0] for k in KINDS[:BASE]]))
+
+
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with each span, or run of overlapping spans, replaced by its first kind in brackets."""
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        before = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+        return (
+            F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(before, F.concat(F.lit("["), s["kind"], F.lit("]")))).alias("out")))
+            .otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+        )
+
+    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
+    return F.aggregate(spans, zero, step, rest)
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, where each span of scan() is masked in the text."""
+    spans = scan(docs, id_col, text_col, owner_col, repo_col, max_owners).where(F.size("spans") > 0)
+    spans = spans.select(F.col(id_col).alias("span_id"), F.col("text_hash").alias("span_hash"), F.col("spans").alias("span_list")).dropDuplicates(["span_id", "span_hash"])
+    same = docs[id_col].eqNullSafe(spans["span_id"]) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == spans["span_hash"])
+    masked = F.when(spans["span_list"].isNotNull(), _masked(docs[text_col], spans["span_list"])).otherwise(docs[text_col])
+    return docs.join(spans, same, "left").select(*[masked.alias(c) if c == text_col else docs[c] for c in docs.columns])
