@@ -39,6 +39,8 @@ BLOCK = WINDOW // 2
 BUCKETS_PER_PARTITION = 4
 #: The bitmap has 2^23 bits: 1 MB at any size of the corpus. Where it fills up, more texts are fetched, none fewer.
 BITMAP_BITS = 1 << 23
+#: Windows that a task gathers before it deals them out.
+HELD_WINDOWS = 500_000
 _CODE = U((1 << 40) - 1)
 
 
@@ -77,9 +79,9 @@ def _by_bucket(buckets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, in
 
 def _probes(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Step 1, map side: bucket, codes of rolling windows (once a document), their documents, codes of blocks."""
+    codes, docs, blocks, held = [], [], [], 0
     for batch in batches:
         ids = batch.column("id").to_numpy(zero_copy_only=False)
-        codes, docs, blocks = [], [], []
         for chunk in chunks(batch.column("text")):
             for k in range(chunk.hi - chunk.lo):
                 own = rolling(chunk.of(k), BLOCK)
@@ -89,28 +91,37 @@ def _probes(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
                 own = np.unique(own)
                 codes.append(own)
                 docs.append(np.full(len(own), ids[chunk.lo + k]))
-        if not codes:
-            continue
-        code, doc, block = np.concatenate(codes), np.concatenate(docs), np.unique(np.concatenate(blocks))
-        order, runs = _by_bucket(_bucket(code, buckets))
-        code, doc = code[order], doc[order]
-        block_order, block_runs = _by_bucket(_bucket(block, buckets))
-        block = block[block_order]
-        of = {b: (x, y) for b, x, y in block_runs}
-        rows = [(b, _packed(code[x:y]), _squeezed(doc[x:y]), _packed(block[slice(*of.get(b, (0, 0)))])) for b, x, y in runs]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "codes", "docs", "blocks"])
+                held += len(own)
+            if held > HELD_WINDOWS:
+                yield _dealt(codes, docs, blocks, buckets)
+                codes, docs, blocks, held = [], [], [], 0
+    if held:
+        yield _dealt(codes, docs, blocks, buckets)
+
+
+def _dealt(codes: list[np.ndarray], docs: list[np.ndarray], blocks: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Windows and blocks as a packed row for each bucket."""
+    code, doc, block = np.concatenate(codes), np.concatenate(docs), np.unique(np.concatenate(blocks))
+    order, runs = _by_bucket(_bucket(code, buckets))
+    code, doc = code[order], doc[order]
+    block_order, block_runs = _by_bucket(_bucket(block, buckets))
+    block = block[block_order]
+    of = {b: (x, y) for b, x, y in block_runs}
+    rows = [(b, _packed(code[x:y]), _squeezed(doc[x:y]), _packed(block[slice(*of.get(b, (0, 0)))])) for b, x, y in runs]
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "codes", "docs", "blocks"])
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[int, list[tuple]]]:
     """Rows of each bucket, of batches sorted by bucket."""
     bucket, rows = None, []
     for batch in batches:
-        for b, *row in zip(*(batch.column(n).to_pylist() for n in ["bucket", *names]), strict=True):
+        for b, *row in zip(batch.column("bucket").to_pylist(), *(batch.column(n) for n in names), strict=True):
             if b != bucket and rows:
                 yield bucket, rows
                 rows = []
             bucket = b
-            rows.append(tuple(row))
+            rows.append(tuple(x.as_py() for x in row))
     if rows:
         yield bucket, rows
 
@@ -209,7 +220,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (whole.slice(lo, 500) for whole in batches for lo in range(0, len(whole), 500)):
         n_words, n_removed, kept, spans = [], [], [], []
         for text, starts in zip(batch.column("text"), batch.column("starts"), strict=True):
             words = (text.as_py() or "").encode().split()
