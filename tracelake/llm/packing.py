@@ -36,8 +36,9 @@ from tracelake.llm.common import small_batches
 TIERS = (512, 1024, 2048, 4096)
 POOL_TOKENS = 256 * 1024
 STEP_TOKENS = 64 * 4096
-#: Words whose ids a Python worker keeps; at the bound it starts anew.
-CACHED_WORDS = 300_000
+#: Words whose ids a Python worker keeps, of those met in several groups of texts and of those met in one so far; each kind is
+#: dropped at its bound.
+CACHED_WORDS = 600_000
 _SCHEMA = "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step long"
 _encoders: dict[str, Encoder] = {}
 
@@ -51,17 +52,58 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = end_id.to_bytes(4, "little")
-        self.cache: dict[bytes, bytes] = {}
+        self.often: dict[bytes, bytes] = {}
+        self.once: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.marks_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.marks_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.stops = {ord(c): np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ".,"}
+
+    def _learned(self, new: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of new words. Words of letters alone, or of letters and a last full stop or comma, are encoded as one text: each run
+        of letters then ends with the one id that marks an end, which is where the ids are parted again."""
+        plain, ends, other = {}, [], []
+        for w in new:
+            text = w.decode()
+            if text.isalpha():
+                plain[w] = text
+            elif text[-1] in ".," and text[:-1].isalpha():
+                ends.append(w)
+                if w[:-1] not in self.often:
+                    plain[w[:-1]] = text[:-1]
+            else:
+                other.append(w)
+        some = list(plain)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain.values())], add_special_tokens=False)[0].ids, "<u4")
+        last = np.flatnonzero(self.marks_end[ids]) + 1 if len(ids) else np.zeros(0, np.int64)
+        out = {}
+        if len(last) == len(some):
+            raw = ids.tobytes()
+            at = [0, *(4 * last).tolist()]
+            out = {w: raw[x:y] for w, x, y in zip(some, at, at[1:], strict=False)}
+        else:  # a run of letters that the tokenizer parts
+            other += some
+        for w, e in zip(other, self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False), strict=True):
+            out[w] = np.array(e.ids, "<u4").tobytes()
+        for w in ends:
+            out[w] = (self.often.get(w[:-1]) or out[w[:-1]]) + self.stops[w[-1]]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [text.encode().split() for text in texts]
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        new = list({w for words in split for w in words if w not in self.cache})
-        for some in (new[i : i + 20_000] for i in range(0, len(new), 20_000)):
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.cache.__getitem__, words)) + self.end for words in split]
+        get = self.often.get
+        found = [list(map(get, words)) for words in split]
+        new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
+        rare = {w: self.once.pop(w) for w in new & self.once.keys()}
+        fresh = self._learned(new - rare.keys()) if len(new) > len(rare) else {}
+        if len(self.often) + len(rare) > CACHED_WORDS:
+            self.often = {}
+        self.often |= rare
+        if len(self.once) + len(fresh) > CACHED_WORDS:
+            self.once = {}
+        self.once |= fresh
+        rare |= fresh
+        return [b"".join([rare[w] if x is None else x for w, x in zip(words, ids, strict=True)] if None in ids else ids) + self.end for words, ids in zip(split, found, strict=True)]
 
 
 def _encoder(path: str, end_id: int) -> Encoder:
@@ -161,9 +203,9 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, tiers: tupl
 
     for batch in batches:
         ids, texts = batch.column("id"), batch.column("text")
-        for lo in range(0, len(texts), 256):
-            some = [x or "" for x in texts.slice(lo, 256).to_pylist()]
-            for ident, coded in zip(ids.slice(lo, 256).to_pylist(), encoder.encode(some), strict=True):
+        for lo in range(0, len(texts), 512):
+            some = [x or "" for x in texts.slice(lo, 512).to_pylist()]
+            for ident, coded in zip(ids.slice(lo, 512).to_pylist(), encoder.encode(some), strict=True):
                 n = len(coded) // 4
                 docs[number] = (ident, n, n)
                 start = 0

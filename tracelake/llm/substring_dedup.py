@@ -206,17 +206,36 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3: id, text hash and starts of repeated windows, by piece and bucket."""
+    """Step 3: id, text hash and starts of repeated windows: a row for each document of a piece. A piece's rows come together,
+    by bucket: its windows, then their bits if any is set."""
+
+    def emit(doc: list[np.ndarray], text: list[np.ndarray], start: list[np.ndarray]) -> pa.RecordBatch:
+        d, t, s = np.concatenate(doc), np.concatenate(text), np.concatenate(start)
+        order = np.lexsort((s, t, d))
+        d, t, s = d[order], t[order], s[order].astype("<i4")
+        cuts = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])]))
+        out = [(int(d[a]), int(t[a]), s[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(d)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["id", "hash", "starts"])
+
+    piece, windows, doc, text, start = None, None, [], [], []
     for batch in batches:
-        out = []
-        for docs, texts, starts, bits in zip(*(batch.column(n).to_pylist() for n in ("docs", "texts", "starts", "bits")), strict=True):
-            doc, text, start = _spread(docs), _spread(texts), _spread(starts)
-            hit = np.unpackbits(np.frombuffer(bits, np.uint8))[: len(doc)].astype(bool)
-            doc, text, start = doc[hit], text[hit], start[hit]
-            cuts = np.flatnonzero((np.diff(doc, prepend=doc[0] - 1) != 0) | (np.diff(text, prepend=text[0]) != 0))
-            out += [(int(doc[a]), int(text[a]), start[a:b].astype("<i4").tobytes()) for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True)]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["id", "hash", "starts"])
+        columns = [batch.column(n) for n in ("piece", "docs", "texts", "starts", "bits")]
+        for i in range(len(batch)):
+            now, docs, texts, starts, bits = (c[i].as_py() for c in columns)
+            if now != piece:
+                if doc:
+                    yield emit(doc, text, start)
+                piece, doc, text, start = now, [], [], []
+            if bits is None:
+                windows = (docs, texts, starts)
+                continue
+            who, which, at = map(_spread, windows)
+            hit = np.unpackbits(np.frombuffer(bits, np.uint8))[: len(who)].astype(bool)
+            doc.append(who[hit])
+            text.append(which[hit])
+            start.append(at[hit])
+    if doc:
+        yield emit(doc, text, start)
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +301,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = "piece long, bucket int, codes binary, docs binary, starts binary, texts binary"
     pieces = cut(some.join(keys, "id").select("id", "hash", "text", "keys").mapInArrow(lambda it: _extended(it, buckets), schema))
     bits = pieces.select("bucket", "piece", "codes", "docs").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats, "piece long, bucket int, bits binary")
-    found = pieces.drop("codes").join(bits, ["piece", "bucket"]).select("docs", "texts", "starts", "bits").mapInArrow(_found, "id long, hash long, starts binary")
+    both = pieces.select("piece", "bucket", "docs", "texts", "starts").unionByName(bits, allowMissingColumns=True)
+    both = both.repartition(parts, "piece").sortWithinPartitions("piece", "bucket", F.col("bits").isNotNull())
+    found = both.mapInArrow(_found, "id long, hash long, starts binary")
     found = found.groupBy("id", "hash").agg(F.collect_list("starts").alias("starts"))
     schema = "id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>"
     return texts.join(found, ["id", "hash"], "left").select("id", "text", "starts").mapInArrow(_cleaned, schema).withColumnRenamed("id", id_col)

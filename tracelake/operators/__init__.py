@@ -1 +1 @@
-"""See README.md."""
+"""Operators over any tables: columns are named by the caller, sessions are partition keys, order is explicit."""
