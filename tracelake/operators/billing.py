@@ -28,3 +28,15 @@ def merge_windows(transcript: DataFrame, billed: DataFrame, keys: Sequence[str])
     every = transcript.withColumn("_s", F.lit("transcript")).unionByName(billed.withColumn("_s", F.lit("billed")))
     g = every.groupBy(*keys, "window_start", "window_end").agg(F.array_join(F.sort_array(F.collect_set("_s"), asc=False), "+").alias("source"))
     return g
+
+
+def bill(rows: DataFrame, keys: Sequence[str], estimates: Sequence[str], name: str = "row_name", volume: str = "volume") -> DataFrame:
+    """``rows`` with share (of the estimates' sum, for estimates only) and place: estimates by volume, then the others by name.
+
+    Estimates and billed numbers never meet in one ratio.
+    """
+    est = F.col(name).isin(*estimates)
+    w = Window.partitionBy(*keys)
+    part = F.when(est, F.round(F.col(volume) / F.nullif(F.sum(F.when(est, F.col(volume))).over(w), F.lit(0)), 6))
+    order = w.orderBy(est.desc(), F.when(est, -F.col(volume)).otherwise(0), name)
+    return rows.withColumns({"share": part, "place": F.row_number().over(order).cast("long")})

@@ -36,10 +36,11 @@ def positional_spans(records: DataFrame, keys: Sequence[str], seq: str = "seq",
     return used.where(F.col(kind) == "assistant").drop("_pos", "_starts")
 
 
-def spans(records: DataFrame, keys: Sequence[str], seq: str = "seq", kind: str = "kind", positive: str = "positive") -> DataFrame:
-    """keys, span_no, first_seq, last_seq, n_records."""
+def spans(records: DataFrame, keys: Sequence[str], seq: str = "seq", kind: str = "kind", positive: str = "positive", anchor: str | None = None) -> DataFrame:
+    """keys, span_no, first_seq, last_seq, n_records; with ``anchor`` also that column of the span's last record."""
     grouped = positional_spans(records, keys, seq, kind, positive).where("in_span").groupBy(*keys, "grp")
-    out = grouped.agg(F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"), F.count("*").alias("n_records"))
+    more = [F.max_by(anchor, seq).alias("anchor")] if anchor else []
+    out = grouped.agg(F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"), F.count("*").alias("n_records"), *more)
     return out.withColumn("span_no", F.row_number().over(_ordered(keys, ["first_seq"])).cast("long")).drop("grp")
 
 

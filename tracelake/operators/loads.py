@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,35 @@ def load_rollup(ledger: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Counts of each kind."""
     n = lambda k: F.count_if(F.col("load_kind") == k).alias(f"n_{k}")
     return ledger.groupBy(*keys).agg(F.count("*").alias("n_loads"), n("load"), n("reload"), n("unavailable"))
+
+
+def observation_audit(rows: DataFrame, keys: Sequence[str], kind: str, digest: str, tokens: str, channel: str, order: str) -> DataFrame:
+    """keys, listings, listing_tokens, repeat_tokens (listings of a version that was listed before), versions, stubs, bodies,
+    executions, channels (distinct, sorted) and version_drift (bodies of more than one version)."""
+    nth = F.row_number().over(Window.partitionBy(*keys, kind, digest).orderBy(order))
+    r = rows.withColumn("_again", nth > 1)
+    of = lambda k: F.col(kind) == k
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col(tokens))), F.lit(0))
+    versions = lambda k: F.count_distinct(F.when(of(k), F.col(digest)))
+    return r.groupBy(*keys).agg(
+        F.count_if(of("listing")).alias("listings"),
+        total(of("listing")).alias("listing_tokens"),
+        total(of("listing") & F.col("_again")).alias("repeat_tokens"),
+        versions("listing").alias("versions"),
+        F.count_if(of("stub")).alias("stubs"),
+        F.count_if(of("body")).alias("bodies"),
+        F.count_if(of("execution")).alias("executions"),
+        F.array_sort(F.collect_set(channel)).alias("channels"),
+        (versions("body") > 1).alias("version_drift"),
+    )
+
+
+def process_style(touched: Column, loaded: Column) -> Column:
+    """How a session worked: along workflow files and loads (pipeline), with neither (direct), or mixed."""
+    return F.when(touched & loaded, "pipeline").when(~touched & ~loaded, "direct").otherwise("mixed")
+
+
+def fleet(signatures: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sessions, average turns, tokens and interventions that carry a signal, for each group or, without keys, overall."""
+    g = signatures.groupBy(*keys).agg(F.count("*").alias("sessions"), F.sum("turns").alias("_turns"), F.sum("total").alias("total"), F.sum("signal").alias("signal"))
+    return g.select(*keys, "sessions", F.round(F.col("_turns") / F.nullif(F.col("sessions"), F.lit(0)), 1).alias("avg_turns"), "total", "signal")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from tracelake.plans import sessions
+
 FLAGSHIP = "liveness_buckets"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+_ALL = [sessions.R]
+QUERIES: dict = {n: f for r in _ALL for n, f in r.queries.items()}
+ORACLE_SQL: dict = {n: s for r in _ALL for n, s in r.sql.items()}
