@@ -63,3 +63,21 @@ def diff_edges(declared: DataFrame, edges: DataFrame, least: int = 2) -> DataFra
     same = d.join(edges.select("a", "b"), ["a", "b"]).withColumn("verdict", F.lit("consistent"))
     new = edges.where(F.col("weight") >= least).select("a", "b").join(d, ["a", "b"], "left_anti").withColumn("verdict", F.lit("implicit"))
     return over.unionByName(same).unionByName(new)
+
+
+def gaps(listed: DataFrame, loaded: DataFrame, executed: DataFrame, name: str) -> DataFrame:
+    """name, status of everything met: used, loaded_unused, missed (executed and listed, never loaded), listed_unloaded, unlisted."""
+    mark = lambda d, m: d.select(name).distinct().withColumn("_m", F.lit(m))
+    g = mark(listed, "l").unionByName(mark(loaded, "o")).unionByName(mark(executed, "x")).groupBy(name).agg(F.collect_set("_m").alias("_in"))
+    has = lambda m: F.array_contains("_in", m)
+    status = (
+        F.when(has("o") & has("x"), "used").when(has("o"), "loaded_unused").when(has("x") & has("l"), "missed").when(has("l"), "listed_unloaded").otherwise("unlisted")
+    )
+    return g.select(name, status.alias("status"))
+
+
+def expected(names: DataFrame, loads: DataFrame, reads: DataFrame, name: str) -> DataFrame:
+    """``names`` with status: loaded, file-read or missing."""
+    mark = lambda d, c: d.select(name).distinct().withColumn(c, F.lit(True))
+    j = names.join(mark(loads, "_l"), name, "left").join(mark(reads, "_r"), name, "left")
+    return j.withColumn("status", F.when(F.col("_l"), "loaded").when(F.col("_r"), "file-read").otherwise("missing")).drop("_l", "_r")

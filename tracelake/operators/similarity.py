@@ -1,4 +1,9 @@
-"""Near-duplicate bodies and descriptions by shared shingles: an inverted index joined to itself, never all pairs."""
+"""Near-duplicate bodies and descriptions by shared shingles: an inverted index of rare shingles, then exact counts.
+
+Equal sets are one class, represented by its least id; pairs are between representatives, so copies never multiply. A set
+offers only its rarest shingles to the index, as many as a pair at the threshold must share at least one of; a shingle that a
+third of all sets hold is thus offered only by sets that hold little else.
+"""
 
 from __future__ import annotations
 
@@ -26,24 +31,44 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[ \t\n\r\f\x0B]+", -1), lambda s: s != "")
 
 
-def shared_pairs(sets: DataFrame, node: str = "id", shingles: str = "shingles") -> DataFrame:
-    """a < b, shared, n_a, n_b of all pairs that share a shingle. Shingles that a single node holds make no pair
-    and are dropped before the join."""
-    each = sets.select(F.col(node).alias("_n"), F.size(shingles).alias("_size"), F.explode(shingles).alias("_s"))
-    often = each.groupBy("_s").agg(F.count("*").alias("_c")).where("_c > 1").select("_s")
-    kept = each.join(often, "_s")
-    both = kept.alias("x").join(kept.alias("y"), (F.col("x._s") == F.col("y._s")) & (F.col("x._n") < F.col("y._n")))
-    g = both.groupBy(F.col("x._n").alias("a"), F.col("y._n").alias("b"))
-    return g.agg(F.count("*").alias("shared"), F.first("x._size").cast("long").alias("n_a"), F.first("y._size").cast("long").alias("n_b"))
-
+def classes(sets: DataFrame, node: str = "id", shingles: str = "shingles") -> DataFrame:
+    """node, class_id: the least node with the same set; nodes without shingles have none and are left out."""
+    keyed = sets.where(F.size(shingles) > 0).select(F.col(node).alias("node"), F.sha2(F.array_join(F.array_sort(shingles), ","), 256).alias("_key"))
+    least = keyed.groupBy("_key").agg(F.min("node").alias("class_id"))
+    return keyed.join(least, "_key").select("node", "class_id")
 
-def body_pairs(pairs: DataFrame, least: float = CONTAINMENT) -> DataFrame:
-    """Pairs by containment: shared over the smaller set."""
-    score = F.col("shared") / F.least("n_a", "n_b")
-    return pairs.withColumn("score", F.round(score, 6)).where(score >= least)
 
+def similar_pairs(sets: DataFrame, least: float, by: str, node: str = "id", shingles: str = "shingles") -> DataFrame:
+    """a < b, shared, n_a, n_b, score of all pairs of classes with a score of ``least`` or more.
 
-def description_pairs(pairs: DataFrame, least: float = JACCARD) -> DataFrame:
-    """Pairs by the Jaccard index."""
-    score = F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
-    return pairs.withColumn("score", F.round(score, 6)).where(score >= least)
+    by: containment (shared over the smaller set) or jaccard (shared over the union).
+    """
+    members = classes(sets, node, shingles)
+    chosen = members.select(F.col("class_id").alias(node)).distinct()
+    one = sets.join(chosen, node, "left_semi").groupBy(F.col(node).alias("_n")).agg(F.first(shingles).alias("_set"))
+    each = one.select("_n", F.size("_set").cast("long").alias("_size"), F.explode("_set").alias("_s"))
+    often = each.groupBy("_s").agg(F.count("*").alias("_df")).where("_df > 1")  # what one set alone holds makes no pair
+    ranked = each.join(often, "_s").groupBy("_n", "_size").agg(F.array_sort(F.collect_list(F.struct("_df", "_s"))).alias("_by"))
+    # of the rarest shingles, those that are in no other set come first: they use up places of the offer
+    offer = F.col("_size") - F.ceil(F.col("_size") * least - 1e-9) + 1 - (F.col("_size") - F.size("_by"))
+    offered = ranked.where(offer > 0).select("_n", "_size", F.explode(F.slice("_by", F.lit(1), offer.cast("int"))["_s"]).alias("_s"))
+    x = offered.select(F.col("_n").alias("_p"), F.col("_size").alias("_np"), "_s")
+    smaller = (F.col("_np") < F.col("_nq")) | ((F.col("_np") == F.col("_nq")) & (F.col("_p") < F.col("_q")))
+    y = (each if by == "containment" else offered).select(F.col("_n").alias("_q"), F.col("_size").alias("_nq"), "_s")
+    found = x.join(y, "_s").where(smaller)
+    if by == "jaccard":
+        found = found.where(F.col("_np") >= F.col("_nq") * least - 1e-9)
+    found = found.select("_p", "_q", "_np", "_nq").distinct()
+    left = one.select(F.col("_n").alias("_p"), F.col("_set").alias("_sp"))
+    right = one.select(F.col("_n").alias("_q"), F.col("_set").alias("_sq"))
+    both = found.join(left, "_p").join(right, "_q").withColumn("shared", F.size(F.array_intersect("_sp", "_sq")).cast("long"))
+    whole = F.col("_np") if by == "containment" else F.col("_np") + F.col("_nq") - F.col("shared")
+    first = F.col("_p") < F.col("_q")
+    return both.where(F.col("shared") / whole >= least).select(
+        F.least("_p", "_q").alias("a"),
+        F.greatest("_p", "_q").alias("b"),
+        "shared",
+        F.when(first, F.col("_np")).otherwise(F.col("_nq")).alias("n_a"),
+        F.when(first, F.col("_nq")).otherwise(F.col("_np")).alias("n_b"),
+        F.round(F.col("shared") / whole, 6).alias("score"),
+    )
