@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracelake.functions.text import let
+
 # Fixed values ---------------------------------------------------------------------------------------------------------------
 #: Wrappers that tools put around a text, in the order in which they are looked for.
 COMMAND_NAME = r"<command-name>(?U)\s*(/[^<]*?)\s*</command-name>"
@@ -63,16 +67,29 @@ def _strip(text: Column) -> Column:
 
 def strip_carriers(text: Column) -> Column:
     """struct(lead, carriers, command): what the person wrote. Without wrappers, lead is the text as it is."""
-    named = text.rlike(COMMAND_NAME)
-    lead = F.when(named, F.regexp_extract(text, COMMAND_ARGS, 1)).otherwise(text)
-    found = [F.when(named, "command")]
+
+    def named(t: Column) -> Column:
+        has = t.rlike(COMMAND_NAME)
+        command = F.when(has, F.regexp_extract(t, COMMAND_NAME, 1))
+        lead = F.when(has, F.regexp_extract(t, COMMAND_ARGS, 1)).otherwise(t)
+        return F.struct(lead.alias("lead"), F.array_compact(F.array(F.when(has, "command"))).alias("carriers"), command.alias("command"))
+
+    def without(name: str, pattern: str) -> Callable[[Column], Column]:
+        def of(s: Column) -> Column:
+            carriers = F.concat(s["carriers"], F.array_compact(F.array(F.when(s["lead"].rlike(pattern), name))))
+            return F.struct(F.regexp_replace(s["lead"], pattern, " ").alias("lead"), carriers.alias("carriers"), s["command"].alias("command"))
+
+        return of
+
+    out = let(text, named)
     for name, pattern in CARRIERS:
-        found.append(F.when(lead.rlike(pattern), name))
-        lead = F.regexp_replace(lead, pattern, " ")
-    carriers = F.array_compact(F.array(*found))
-    lead = F.when(F.size(carriers) > 0, _strip(F.regexp_replace(lead, r"(?U)\s+", " "))).otherwise(lead)
-    command = F.when(named, F.regexp_extract(text, COMMAND_NAME, 1))
-    return F.struct(lead.alias("lead"), carriers.alias("carriers"), command.alias("command"))
+        out = let(out, without(name, pattern))
+
+    def tidy(s: Column) -> Column:
+        lead = F.when(F.size(s["carriers"]) > 0, _strip(F.regexp_replace(s["lead"], r"(?U)\s+", " "))).otherwise(s["lead"])
+        return F.struct(lead.alias("lead"), s["carriers"].alias("carriers"), s["command"].alias("command"))
+
+    return let(out, tidy)
 
 
 def _first_marker(text: Column, markers: list[str]) -> Column:
@@ -83,17 +100,22 @@ def _first_match(text: Column, patterns: list[str]) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in patterns])
 
 
-def _rules(text: Column) -> list[tuple[str, str, Column]]:
-    """Rule, label, evidence (null if it doesn't fit), most telling first."""
-    bare = _strip(text)
-    # only the ends lose punctuation: what is left is still a part of the text
+def _forms(text: Column) -> Column:
+    """struct(text, bare, form, tail): without space at the ends; in lower case without punctuation at the ends; without space
+    at the end."""
     edge = "[" + EDGES.replace(".", r"\.").replace("?", r"\?") + "]+"
     form = F.lower(F.regexp_replace(_strip(F.regexp_replace(text, r"(?U)\s+", " ")), rf"\A{edge}|{edge}\z", ""))
+    return F.struct(text.alias("text"), _strip(text).alias("bare"), form.alias("form"), F.regexp_replace(text, r"(?U)\s+\z", "").alias("tail"))
+
+
+def _rules(x: Column) -> list[tuple[str, str, Column]]:
+    """Rule, label, evidence (null if it doesn't fit), most telling first. x: _forms()."""
+    text, bare, form, tail = (x[f] for f in ("text", "bare", "form", "tail"))
     short = F.length(bare) <= FORM_CHARS
     out = [(rule, label, _first_marker(text, markers)) for rule, label, markers in MARKERS]
     lone = (bare != "") & (F.regexp_replace(bare, r"\A[？?]+|[？?]+\z", "") == "")
     asked = F.rlike(F.regexp_replace(F.regexp_replace(text, URL, " "), r"(?U)\s+\z", ""), F.lit(r"[？?]\z"))
-    clause = F.nullif(_strip(F.regexp_extract(F.regexp_replace(text, r"(?U)\s+\z", ""), QUESTION, 0)), F.lit(""))
+    clause = F.nullif(_strip(F.regexp_extract(tail, QUESTION, 0)), F.lit(""))
     agreed = form.rlike(r"\A[a-z0-9]\z") | form.isin(GO_AHEAD) | form.isin(GO_AHEAD_PHRASES)
     return [
         *out,
@@ -107,17 +129,30 @@ def _rules(text: Column) -> list[tuple[str, str, Column]]:
     ]
 
 
+def _verdict(label: str, rule: str, evidence: Column) -> Column:
+    return F.struct(F.lit(label).alias("label"), F.lit(rule).alias("rule"), evidence.alias("evidence"))
+
+
 def _cascade(text: Column) -> Column:
-    verdict = lambda rule, label, ev: F.when(ev.isNotNull(), F.struct(F.lit(label).alias("label"), F.lit(rule).alias("rule"), ev.alias("evidence")))
-    return F.coalesce(*[verdict(*r) for r in _rules(text)])
+    """The first rule that fits, null if none does."""
+
+    def first(x: Column) -> Column:
+        each = [F.when(ev.isNotNull(), _verdict(label, rule, ev)) for rule, label, ev in _rules(x)]
+        return F.try_element_at(F.array_compact(F.array(*each)), F.lit(1))
+
+    return let(_forms(text), first)
 
 
 def classify(text: Column) -> Column:
     """struct(label, rule, evidence, carriers). If the wrappers held everything, the rules read the whole text; a bare slash
     command is a chore; what no rule fits is unclassified. Null text: null."""
-    s = strip_carriers(text)
-    blank = _strip(s["lead"]) == ""
-    command = F.when(s["command"].isNotNull() & blank, F.struct(F.lit("chore").alias("label"), F.lit("bare_slash_command").alias("rule"), s["command"].alias("evidence")))
-    none = F.struct(F.lit("unclassified").alias("label"), F.lit("unclassified").alias("rule"), F.lit("").alias("evidence"))
-    found = F.coalesce(_cascade(s["lead"]), F.when(blank, _cascade(text)), command, none)
-    return F.when(text.isNotNull(), F.struct(found["label"].alias("label"), found["rule"].alias("rule"), found["evidence"].alias("evidence"), s["carriers"].alias("carriers")))
+
+    def judge(s: Column) -> Column:
+        blank = _strip(s["lead"]) == ""
+        # with nothing left, the whole text is read instead: a blank lead itself fits no rule
+        read = F.when(blank, text).otherwise(s["lead"])
+        command = F.when(s["command"].isNotNull() & blank, _verdict("chore", "bare_slash_command", s["command"]))
+        found = F.coalesce(_cascade(read), command, _verdict("unclassified", "unclassified", F.lit("")))
+        return let(found, lambda f: F.struct(f["label"].alias("label"), f["rule"].alias("rule"), f["evidence"].alias("evidence"), s["carriers"].alias("carriers")))
+
+    return F.when(text.isNotNull(), let(strip_carriers(text), judge))

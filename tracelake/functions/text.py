@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with ``value`` computed once, however often f names it; projections that are merged would repeat it."""
+    return F.transform(F.array(value), f)[0]
+
+
 #: Letters that count as a token each, beside four other characters to a token.
 CJK = "[\\u4e00-\\u9fff\\u3040-\\u30ff\\uac00-\\ud7af]"
 OVERSIZE_LINES, LARGE_LINES = 500, 200

@@ -10,15 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.functions.text import let
+
 #: Fixed values of the catalog audit: lines and words in a shingle, least containment and least Jaccard index.
 LINES, WORDS, CONTAINMENT, JACCARD = 3, 3, 0.6, 0.8
 
 
 def windows(parts: Column, k: int, glue: str) -> Column:
     """Distinct digests of all k consecutive parts; fewer parts: each part by itself."""
-    n = F.size(parts)
-    wide = F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.sha1(F.array_join(F.slice(parts, i, k), glue)))
-    return F.array_distinct(F.when(n >= k, wide).otherwise(F.transform(parts, lambda p: F.sha1(p))))
+
+    def of(p: Column) -> Column:
+        wide = F.transform(F.sequence(F.lit(1), F.size(p) - (k - 1)), lambda i: F.sha1(F.array_join(F.slice(p, i, k), glue)))
+        return F.when(F.size(p) >= k, wide).otherwise(F.transform(p, lambda x: F.sha1(x)))
+
+    return F.array_distinct(let(parts, of))
 
 
 def body_lines(text: Column) -> Column:
