@@ -28,13 +28,14 @@ def link_children(parents: DataFrame, children: DataFrame, key: str, order: str)
     return first.join(keyed, key), parents.join(keyed.select(key).distinct(), key, "left_anti"), children.join(first.select(key), key, "left_anti")
 
 
-def merge_by_suffix(ids: DataFrame, name: str = "id", listed: str = "listed") -> DataFrame:
+def merge_by_suffix(ids: DataFrame, name: str = "id", listed: str = "listed", within: Sequence[str] = ()) -> DataFrame:
     """raw_id and id: a bare id (without ``:``) that has no listing of its own takes the id ``space:bare`` if that is the only
-    one of its suffix. An equi-join on the suffix."""
-    spaced = ids.where(F.col(name).contains(":")).select(F.col(name).alias("_full"), F.substring_index(F.col(name), ":", -1).alias("_suffix")).distinct()
-    only = spaced.groupBy("_suffix").agg(F.min("_full").alias("_full"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
-    j = ids.join(only, (F.col(name) == F.col("_suffix")) & ~F.col(name).contains(":") & ~F.col(listed), "left")
-    return j.select(F.col(name).alias("raw_id"), F.coalesce("_full", name).alias("id"))
+    one of its suffix. An equi-join on the suffix, within groups if asked for."""
+    spaced = ids.where(F.col(name).contains(":")).select(*within, F.col(name).alias("_full"), F.substring_index(F.col(name), ":", -1).alias("_suffix")).distinct()
+    only = spaced.groupBy(*within, "_suffix").agg(F.min("_full").alias("_full"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
+    bare = ids.withColumn("_suffix", F.when(~F.col(name).contains(":") & ~F.col(listed), F.col(name)))
+    j = bare.join(only, [*within, "_suffix"], "left")
+    return j.select(*within, F.col(name).alias("raw_id"), F.coalesce("_full", name).alias("id"))
 
 
 def match_declared(declared: DataFrame, observed: DataFrame, name: str = "id") -> DataFrame:
