@@ -5,7 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tracelake.model import analyses
 from tracelake.model import session as model
+from tracelake.sources import discovery, sidechannels
 from tracelake.sources import transcripts as tr
 
 
@@ -56,12 +58,12 @@ def rich(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("rich")
     write(d / "s1.jsonl", RICH)
     write(d / "s1" / "subagents" / "kid.jsonl", [said("user", "find x", 1, parentToolUseId="t9"), answer([{"type": "text", "text": "x"}], 2, 50, **anchor(9))])
-    return tr.load(spark, [str(d / "s1.jsonl"), str(d / "s1/subagents/kid.jsonl")]).cache()
+    return tr.load(spark, [str(d / "s1.jsonl"), str(d / "s1/subagents/kid.jsonl")]).checkpoint()
 
 
 @pytest.fixture(scope="module")
 def audit(rich):
-    return model.audit(rich, keep=lambda d: d.cache())
+    return model.audit(rich, keep=lambda d: d.checkpoint())
 
 
 def rows(df, *cols):
@@ -169,3 +171,55 @@ def test_format_detection(spark, tmp_path):
     got = {r.source.rsplit("/", 1)[1]: r.format for r in tr.detect_format(tr.read_lines(spark, str(tmp_path))).collect()}
     assert got == {"a.jsonl": "degraded", "b.jsonl": "degraded", "c.jsonl": None}
     assert tr.read_lines(spark, str(tmp_path / "c.jsonl")).where(F.col("v").isNull()).count() == 1
+
+
+def test_analyses(spark, rich, audit):
+    skills = {r.skill_id: r for r in analyses.skill_audit(audit).collect()}
+    assert (skills["ns:alpha"].listings, skills["ns:alpha"].stubs, skills["ns:alpha"].bodies, skills["ns:alpha"].executions) == (1, 1, 1, 1)
+    calls = {r.call_id: r for r in analyses.context_organization(audit).collect()}
+    assert calls["main:1"].new_tokens > 0 and calls["main:1"].reinjected_tokens == 0
+    assert calls["main:2"].reinjected_tokens == calls["main:1"].new_tokens and calls["main:3"].reinjected_tokens == 0
+    made = rows(analyses.outputs(audit), "call_id", "kind")
+    assert ("main:1", "assistant_text") in made and ("main:3", "tool_call") in made and len(made) == 5
+    assert {r.item_id for r in analyses.short_lived(audit).collect()} == {"main:4:0", "main:4:1", "main:5:0", "main:6:0"}
+    back = {r.tool_id: r for r in analyses.subagent_returns(audit).collect()}
+    assert back["t3"].process_tokens == 2 and back["t3"].return_tokens is None
+    p = analyses.process_signature(audit).first()
+    assert (p.style, p.loads, p.signal, p.turns) == ("mixed", 2, 1, 1)
+    assert analyses.usage(audit).first().input_other == 1250
+    facts = analyses.runtime_facts(rich)
+    assert facts.first().context_window == 1000
+    assert analyses.window_shares(audit, facts).first().anchor == 0.3
+    assert analyses.repeats(audit).count() == 0 and analyses.exact_resends(audit).count() == 0 and analyses.hash_runs(rich).count() == 0
+    assert analyses.repeated_items(audit).count() == 0
+    rules = spark.createDataFrame([("plan", "go|find"), ("no", "zzz")], "phase string, pattern string")
+    assert rows(analyses.phase_refs(rules, spark.createDataFrame([(1, "let us go"), (2, "x")], "id long, text string")), "phase", "id", "match") == [("plan", 1, "go")]
+
+
+def test_sidecars_and_discovery(spark, tmp_path):
+    d = tmp_path / "ws"
+    write(d / "s1.jsonl", [answer([{"type": "tool_use", "id": "t7", "name": "Task", "input": {}}], 1, 5)])
+    for kid in ("a", "b", "c"):
+        write(d / "s1" / "subagents" / f"{kid}.jsonl", [said("user", "go", 1)])
+    (d / "s1" / "subagents" / "a.meta.json").write_text(json.dumps({"toolUseId": "t7", "agentType": "x"}))
+    (d / "s1" / "subagents" / "b.meta.json").write_text("[")
+    events = tr.load(spark, [str(d / "s1.jsonl"), str(d / "s1/subagents/*.jsonl")]).checkpoint()
+    side = tr.sidecars(spark, str(d / "s1/subagents/*.meta.json"))
+    assert rows(tr.sidecar_defects(events, side), "agent", "reason") == [("subagent:b", "meta_json_malformed"), ("subagent:c", "meta_json_missing")]
+    assert rows(model.audit(events, lambda d: d.checkpoint(), side).dispatches, "tool_id", "agent", "link") == [("t7", "subagent:a", "linked")]
+    found = discovery.discover(spark, [str(tmp_path)])
+    assert rows(found, "session", "workspace") == [("s1", "ws")]
+    assert discovery.search(found, "WS").count() == 1 and discovery.search(found, "none").count() == 0
+    assert discovery.search(found, done=found.select("session")).first().cached and discovery.latest(found).first().session == "s1"
+
+
+def test_child_events(spark):
+    from pyspark.sql import functions as f
+
+    key = b"0123456789abcdef"
+    enc = lambda t: f.base64(f.expr("substring(aes_encrypt('%s', X'%s', 'CBC', 'PKCS', X'%s'), 17)" % (t.replace('"', '\\"'), key.hex(), key.hex())))
+    base = spark.range(1).select(enc('{"contents": [{"type": "text", "text": "hi"}]}').alias("content"), f.lit("assistant").alias("role"), f.lit('{"prompt_tokens": 9, "completion_tokens": 2, "cached_tokens": 4}').alias("token_info"), f.lit(1).alias("id"))
+    bad = spark.range(1).select(f.lit("???").alias("content"), f.lit("assistant").alias("role"), f.lit('{"prompt_tokens": 1, "completion_tokens": 1}').alias("token_info"), f.lit(2).alias("id"))
+    m = base.unionByName(bad).select("*", f.lit("c").alias("session_id"), f.lit("p").alias("parent_session_id"), f.lit("t").alias("parent_tool_call_id"), f.lit("q").alias("request_id"), f.lit(1767225600000).alias("gmt_create"))
+    got = sidechannels.child_events(m, f.lit(key), f.lit(key)).orderBy("seq", "part").collect()
+    assert [(r.seq, r.type, r.text, r.usage and r.usage.input_other) for r in got] == [(1, "ContentPart", "hi", None), (1, "UsageRecord", None, 5), (2, "RecordDropped", None, None), (2, "UsageRecord", None, 1)]

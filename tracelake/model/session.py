@@ -238,8 +238,12 @@ def interventions_of(items: DataFrame) -> DataFrame:
     return said.select("session", "item_id", "seq", people.classify(F.col("text")).alias("c"), F.sha1(people.strip_carriers(F.col("text"))["lead"]).alias("lead_sha1")).select("session", "item_id", "seq", "c.*", "lead_sha1")
 
 
-def dispatches_of(items: DataFrame, agents: DataFrame) -> DataFrame:
-    """Calls that sent a subagent, with the agent they meet; agents that no call sent."""
+def dispatches_of(items: DataFrame, agents: DataFrame, sidecars: DataFrame | None = None) -> DataFrame:
+    """Calls that sent a subagent, with the agent they meet; agents that no call sent. What records say of the call comes first,
+    then what a sidecar says."""
+    if sidecars is not None:
+        said = sidecars.where("status = 'ok'").groupBy(*SA).agg(F.min("tool_id").alias("_said"))
+        agents = agents.join(said, SA, "left").withColumn("parent_tool_id", F.coalesce("parent_tool_id", "_said")).drop("_said")
     calls = items.where("kind = 'tool_call'").select("session", "tool_id", F.struct("seq", "part_index").alias("place"), "item_id", "name")
     children = agents.where("agent <> 'main' and parent_tool_id is not null").select("session", F.col("parent_tool_id").alias("tool_id"), "agent")
     first = calls.where("tool_id is not null").groupBy("session", "tool_id").agg(F.min_by(F.struct("item_id", "name"), "place").alias("c"))
@@ -248,9 +252,9 @@ def dispatches_of(items: DataFrame, agents: DataFrame) -> DataFrame:
     return j.where((F.lower("name") == "agent") | F.col("agent").isNotNull()).withColumn("link", tier)
 
 
-def audit(events: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda d: d) -> Audit:
+def audit(events: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda d: d, sidecars: DataFrame | None = None) -> Audit:
     """All of it. Lazy, but for the roots of sidechains, which are found in rounds. ``keep`` gets what several tables are built
-    from, and may persist or checkpoint it."""
+    from; let it checkpoint or write a table, so that neither work nor plans repeat."""
     records = keep(records_of(events))
     agents = tiers_of(records)
     boundaries = records.where("boundary").select(*SA, "seq")
@@ -259,5 +263,5 @@ def audit(events: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda d:
     observations = keep(observations_of(items, calls))
     entries = observations.where("kind in ('stub', 'body')").withColumn("place", F.struct("seq", "part_index"))
     ledger = loads.load_ledger(entries, SA, "skill_id", seq="place")
-    return Audit(records, agents, items, calls, compactions_of(records, items), observations, ledger, dispatches_of(items, agents), interventions_of(items),
+    return Audit(records, agents, items, calls, compactions_of(records, items), observations, ledger, dispatches_of(items, agents, sidecars), interventions_of(items),
                  events.where("type = 'RecordDropped'").groupBy("session", "reason").agg(F.count("*").alias("n")))

@@ -93,3 +93,25 @@ def hint(orphans: DataFrame, sessions: DataFrame, claimed: DataFrame) -> DataFra
     """n: orphaned dispatches that the child chats could resolve."""
     known = sessions.select(F.col("parent_tool_call_id").alias("tool_id")).join(claimed.select("tool_id"), "tool_id", "left_anti")
     return orphans.select("tool_id").distinct().join(known, "tool_id", "left_semi").agg(F.count("*").alias("n"))
+
+
+def child_events(messages: DataFrame, key: Column, iv: Column) -> DataFrame:
+    """Events of child chats from child_chats(): the transcripts' columns that a message can fill. Usage is kept even where the
+    text can't be decrypted; such a message gives a RecordDropped beside it."""
+    v = F.try_parse_json(decrypted(F.col("content"), key, iv))
+    parts = F.filter(F.try_variant_get(v, "$.contents", "array<variant>"), lambda p: F.try_variant_get(p, "$.type", "string") == "text")
+    text = F.array_join(F.transform(parts, lambda p: F.try_variant_get(p, "$.text", "string")), "\n")
+    n = lambda k: F.expr(f"try_cast(get_json_object(token_info, '$.{k}') as bigint)")
+    cached = F.coalesce(n("cached_tokens"), F.lit(0))
+    usage = F.when(n("prompt_tokens").isNotNull() & n("completion_tokens").isNotNull(),
+                   F.struct(F.greatest(F.lit(0), n("prompt_tokens") - cached).alias("input_other"), n("completion_tokens").alias("output"), cached.alias("cache_read")))
+    none = F.lit(None).cast("struct<input_other:bigint,output:bigint,cache_read:bigint>")
+    event = lambda kind, t, u: F.struct(kind.alias("type"), t.alias("text"), u.alias("usage"))
+    kind = F.when(v.isNull(), "RecordDropped").when(F.col("role") == "user", "TurnBegin").when(F.col("role") == "assistant", "ContentPart").otherwise("ToolResult")
+    both = F.array_compact(F.array(event(kind, F.when(v.isNotNull(), text), none), F.when((F.col("role") == "assistant") & usage.isNotNull(), event(F.lit("UsageRecord"), F.lit(None).cast("string"), usage.cast("struct<input_other:bigint,output:bigint,cache_read:bigint>")))))
+    from pyspark.sql import Window
+
+    seq = F.row_number().over(Window.partitionBy("session_id").orderBy("gmt_create", "id")).cast("long")
+    rows = messages.withColumns({"seq": seq, "ts": seconds(F.col("gmt_create"))})
+    return rows.select(F.col("parent_session_id").alias("session"), F.concat(F.lit("subagent:child:"), "session_id").alias("origin"), "seq", "ts", F.col("parent_tool_call_id").alias("parent_tool_id"),
+                       "request_id", F.posexplode(both).alias("part", "e")).select("*", "e.*").drop("e")

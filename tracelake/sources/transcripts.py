@@ -313,3 +313,20 @@ def with_sessions(events: DataFrame) -> DataFrame:
     name = F.regexp_extract(src, agent, 2)
     origin = F.when(src.rlike(child), F.concat(F.lit("subagent:"), F.regexp_extract(src, child, 2))).when(src.rlike(agent) & (name != "main"), F.concat(F.lit("subagent:"), name)).otherwise("main")
     return events.withColumns({"session": session, "origin": origin})
+
+
+def sidecars(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """session, agent, tool_id, agent_type, description, status (ok or malformed) of ``<child>.meta.json`` files."""
+    raw = spark.read.text(paths, wholetext=True).select("value", F.regexp_replace(F.col("_metadata.file_path"), r"\.meta\.json$", ".jsonl").alias("source"))
+    v = F.try_parse_json("value")
+    ok = F.schema_of_variant(v).startswith("OBJECT")
+    named = with_sessions(raw.withColumn("v", F.when(ok, v)))
+    return named.select("session", F.col("origin").alias("agent"), _string(F.col("v"), "$.toolUseId").alias("tool_id"), _string(F.col("v"), "$.agentType").alias("agent_type"),
+                        _string(F.col("v"), "$.description").alias("description"), F.when(F.col("v").isNotNull(), "ok").otherwise("malformed").alias("status"))
+
+
+def sidecar_defects(events: DataFrame, found: DataFrame) -> DataFrame:
+    """session, agent, reason of subagent files whose sidecar is missing or malformed: counted, never guessed."""
+    kids = events.where("origin <> 'main'").select("session", F.col("origin").alias("agent")).distinct()
+    j = kids.join(found.select("session", "agent", "status"), ["session", "agent"], "left").where("status is null or status <> 'ok'")
+    return j.select("session", "agent", F.when(F.col("status").isNull(), "meta_json_missing").otherwise("meta_json_malformed").alias("reason"))
