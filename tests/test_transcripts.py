@@ -223,3 +223,36 @@ def test_child_events(spark):
     m = base.unionByName(bad).select("*", f.lit("c").alias("session_id"), f.lit("p").alias("parent_session_id"), f.lit("t").alias("parent_tool_call_id"), f.lit("q").alias("request_id"), f.lit(1767225600000).alias("gmt_create"))
     got = sidechannels.child_events(m, f.lit(key), f.lit(key)).orderBy("seq", "part").collect()
     assert [(r.seq, r.type, r.text, r.usage and r.usage.input_other) for r in got] == [(1, "ContentPart", "hi", None), (1, "UsageRecord", None, 5), (2, "RecordDropped", None, None), (2, "UsageRecord", None, 1)]
+
+
+def test_coverage(audit):
+    from tracelake.model import coverage
+
+    row = {r.session: r for r in coverage.sessions(audit).collect()}["s1"]
+    assert (row.requests_with_anchor, row.tier1, row.tier3, row.ungroupable) == ("4/4", 2, 1, 1)
+    assert (row.human_stamped, row.human_dropped, row.leads, row.residue) == (1, 0, 1, 0.0)
+    assert ("anchor", 4, 0, 0) in rows(coverage.fields(audit), "field", "fact", "est", "missing")
+    assert coverage.unknown_channels(audit).count() == 0
+
+
+def test_timeline(spark, tmp_path):
+    from tracelake.model import timeline
+
+    def wire(kind, ts, **payload):
+        return {"timestamp": ts, "message": {"type": kind, "payload": payload}}
+
+    call = lambda i, ts, name, **a: wire("ToolCall", ts, id=i, function={"name": name, "arguments": json.dumps(a)})
+    turn = lambda ts: wire("TurnBegin", ts, user_input=[{"type": "text", "text": "go"}])
+    lines = [wire("CompactionEnd", 0.5), turn(1), wire("StatusUpdate", 2, context_tokens=10), call("a", 3, "Skill", skill="x"), wire("ToolResult", 4, tool_call_id="a", return_value={"output": "old", "is_error": True}),
+             wire("ToolResult", 4.5, tool_call_id="a", return_value={"output": "new"}), turn(5), wire("StatusUpdate", 6, context_tokens=30), wire("CompactionBegin", 7), wire("CompactionEnd", 8), wire("CompactionEnd", 9), wire("CompactionBegin", 9.5),
+             call("b", 10, "skill", skill="y"), call("c", 10, "Read", file_path="/z/skill.md"), turn(11)]
+    write(tmp_path / "s5" / "wire.jsonl", lines)
+    write(tmp_path / "s6" / "wire.jsonl", [turn(1)])
+    e = timeline.in_order(tr.load(spark, [str(tmp_path / "s5/wire.jsonl"), str(tmp_path / "s6/wire.jsonl")])).checkpoint()
+    assert rows(timeline.compactions(e), "i", "begin_ts", "end_ts") == [(0, 7.0, 9.0), (1, 9.5, None)]
+    assert rows(timeline.skill_loads(e), "skill", "is_error", "content", "context_tokens", "evicted_ts") == [("x", False, "new", 30, 7.0), ("y", True, "", None, None)]
+    assert rows(timeline.file_reads(e), "path") == [("/z/skill.md",)]
+    assert rows(timeline.turns(e), "turn_no", "context", "added", "crossed", "comparable") == [(1, 10, 0, False, True), (2, 10, 20, True, False), (3, 30, None, False, False)]
+    assert rows(timeline.verdicts(e), "session", "verdict") == [("s5", "insufficient data (1 turns)"), ("s6", "unavailable (no context telemetry)")]
+    lines_of = [r.line for r in timeline.feed(e.where("session = 's5'"), 3).orderBy("n").collect()]
+    assert lines_of == ['call skill({"skill": "y"})', 'call Read({"file_path": "/z/skill.md"})', "user: go"]
