@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the session's checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -19,13 +19,13 @@ def _cut(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component: the least node reachable. Labels are lowered along edges, then along labels, until nothing changes."""
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = _cut(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
-    label = _cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("component")).withColumnRenamed("u", "node"))
+    both = cut(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
+    label = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("component")).withColumnRenamed("u", "node"))
     while True:
         near = both.join(label, F.col("v") == F.col("node")).groupBy("u").agg(F.min("component").alias("c"))
         step = label.join(near, F.col("node") == F.col("u")).select("node", F.least("component", "c").alias("component"), F.col("component").alias("was"))
         up = label.select(F.col("node").alias("n2"), F.col("component").alias("c2"))
-        step = _cut(step.join(up, F.col("component") == F.col("n2"), "left").select("node", F.least("component", F.coalesce("c2", "component")).alias("component"), "was"))
+        step = cut(step.join(up, F.col("component") == F.col("n2"), "left").select("node", F.least("component", F.coalesce("c2", "component")).alias("component"), "was"))
         if step.where("component <> was").isEmpty():
             return step.select("node", "component")
         label = step.select("node", "component")
@@ -39,7 +39,7 @@ def closure(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "ds
     last = found
     for d in range(1, depth + 1):
         step = last.join(e, F.col("node") == F.col("_s")).select("root", F.col("_d").alias("node")).distinct()
-        last = _cut(step.join(found, ["root", "node"], "left_anti").withColumn("depth", F.lit(d).cast("long")))
+        last = cut(step.join(found, ["root", "node"], "left_anti").withColumn("depth", F.lit(d).cast("long")))
         if last.isEmpty():
             break
         found = found.unionByName(last)
@@ -49,10 +49,10 @@ def closure(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "ds
 def parents_to_roots(parent: DataFrame, node: str = "node", up: str = "parent") -> DataFrame:
     """node, root, depth over a forest given by parent links (null at roots). Links are doubled each round, so a chain of length n
     takes log n rounds; nodes on cycles never meet a root and are left out."""
-    p = _cut(parent.select(F.col(node).alias("node"), F.coalesce(F.col(up), F.col(node)).alias("at"), F.when(F.col(up).isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    p = cut(parent.select(F.col(node).alias("node"), F.coalesce(F.col(up), F.col(node)).alias("at"), F.when(F.col(up).isNull(), 0).otherwise(1).cast("long").alias("depth")))
     for _ in range(40):
         hop = p.select(F.col("node").alias("_n"), F.col("at").alias("_at"), F.col("depth").alias("_d"))
-        q = _cut(p.join(hop, F.col("at") == F.col("_n")).select("node", F.col("_at").alias("next"), (F.col("depth") + F.col("_d")).alias("depth"), "at"))
+        q = cut(p.join(hop, F.col("at") == F.col("_n")).select("node", F.col("_at").alias("next"), (F.col("depth") + F.col("_d")).alias("depth"), "at"))
         moved = not q.where(F.col("next") != F.col("at")).isEmpty()
         p = q.select("node", F.col("next").alias("at"), "depth")
         if not moved:

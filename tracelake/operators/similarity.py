@@ -11,17 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.text import let
+from tracelake.operators.graph import cut
 
 #: Fixed values of the catalog audit: lines and words in a shingle, least containment and least Jaccard index.
 LINES, WORDS, CONTAINMENT, JACCARD = 3, 3, 0.6, 0.8
 
 
 def windows(parts: Column, k: int, glue: str) -> Column:
-    """Distinct digests of all k consecutive parts; fewer parts: each part by itself."""
+    """Distinct 64-bit codes of all k consecutive parts; fewer parts: each part by itself."""
 
     def of(p: Column) -> Column:
-        wide = F.transform(F.sequence(F.lit(1), F.size(p) - (k - 1)), lambda i: F.sha1(F.array_join(F.slice(p, i, k), glue)))
-        return F.when(F.size(p) >= k, wide).otherwise(F.transform(p, lambda x: F.sha1(x)))
+        wide = F.transform(F.sequence(F.lit(1), F.size(p) - (k - 1)), lambda i: F.xxhash64(F.array_join(F.slice(p, i, k), glue)))
+        return F.when(F.size(p) >= k, wide).otherwise(F.transform(p, lambda x: F.xxhash64(x)))
 
     return F.array_distinct(let(parts, of))
 
@@ -38,7 +39,7 @@ def words(text: Column) -> Column:
 
 def classes(sets: DataFrame, node: str = "id", shingles: str = "shingles") -> DataFrame:
     """node, class_id: the least node with the same set; nodes without shingles have none and are left out."""
-    keyed = sets.where(F.size(shingles) > 0).select(F.col(node).alias("node"), F.sha2(F.array_join(F.array_sort(shingles), ","), 256).alias("_key"))
+    keyed = sets.where(F.size(shingles) > 0).select(F.col(node).alias("node"), F.sha2(F.array_join(F.array_sort(F.col(shingles).cast("array<string>")), ","), 256).alias("_key"))
     least = keyed.groupBy("_key").agg(F.min("node").alias("class_id"))
     return keyed.join(least, "_key").select("node", "class_id")
 
@@ -48,9 +49,8 @@ def similar_pairs(sets: DataFrame, least: float, by: str, node: str = "id", shin
 
     by: containment (shared over the smaller set) or jaccard (shared over the union).
     """
-    members = classes(sets, node, shingles)
-    chosen = members.select(F.col("class_id").alias(node)).distinct()
-    one = sets.join(chosen, node, "left_semi").groupBy(F.col(node).alias("_n")).agg(F.first(shingles).alias("_set"))
+    chosen = classes(sets, node, shingles).select(F.col("class_id").alias(node)).distinct()
+    one = cut(sets.join(chosen, node, "left_semi").groupBy(F.col(node).alias("_n")).agg(F.first(shingles).alias("_set")))
     each = one.select("_n", F.size("_set").cast("long").alias("_size"), F.explode("_set").alias("_s"))
     often = each.groupBy("_s").agg(F.count("*").alias("_df")).where("_df > 1")  # what one set alone holds makes no pair
     ranked = each.join(often, "_s").groupBy("_n", "_size").agg(F.array_sort(F.collect_list(F.struct("_df", "_s"))).alias("_by"))
