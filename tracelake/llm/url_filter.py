@@ -5,9 +5,8 @@ with the rule's path. Hosts are turned into canonical keys (``m.example.org`` be
 host and all its subdomains fill one interval of the key order. Both sides are dealt into key ranges, sorted there, and
 swept once; the sweep holds a stack of the rule hosts whose intervals are open.
 
-Dealing: range bounds come from a bounded bottom-k sample of (key, path, salt) of the urls. They decide only where the cuts
-lie. As path and a salt follow the key, one host, or one url, that holds a third of all rows still spreads over many
-ranges. A rule goes to each range that its interval meets: the copies number at most the rules plus the ranges times the
+Dealing: range bounds come from a bounded sample of (key, path, salt) of the urls. They decide only where the cuts lie. As
+path and a salt follow the key, one host, or one url, that holds a third of all rows still spreads over many ranges. A rule goes to each range that its interval meets: the copies number at most the rules plus the ranges times the
 nesting depth.
 
 Defined cases. Null url or no ``://``: host and path are empty, only the default verdict. Equal fits: the longest
@@ -49,10 +48,13 @@ def reversed_key(host: Column) -> Column:
 
 
 def _bounds(urls: DataFrame, parts: int) -> list[tuple[str, str, int]]:
-    """parts - 1 cuts of (key, path, salt) from a bottom-k sample: bounded, and the same at each run."""
-    sample = urls.orderBy("salt", "id").select("key", "path", "salt").limit(BOUND_SAMPLE).collect()
+    """parts - 1 cuts of (key, path, salt) from a bounded sample, the same at each run: of each of BOUND_SAMPLE classes of salts the
+    row with the least one. Salts are numbers, so tasks send a hash table of them at most, and urls travel for chosen ones alone."""
+    chosen = urls.groupBy(F.col("salt").bitwiseAND(F.lit(BOUND_SAMPLE - 1)).alias("class")).agg(F.min("salt").alias("salt")).select("salt")
+    sample = urls.select("key", "path", "salt").join(F.broadcast(chosen), "salt", "left_semi").distinct().select("key", "path", "salt").collect()
     # the salt picked the sample, so its low values say nothing of its spread: it is spread anew by rank
     step = 2**32 // max(1, len(sample))
+    sample.sort(key=lambda r: (r["salt"], r["key"], r["path"]))
     rows = sorted((r["key"], r["path"], i * step) for i, r in enumerate(sample))
     return sorted({rows[len(rows) * i // parts] for i in range(1, parts)}) if rows else []
 
