@@ -219,6 +219,52 @@ def test_context_tree_weights_match_the_definition():
     assert np.allclose(ct.log_estimate(counts)[:, 0], [kt(int(x), int(y)) for x, y in zip(a, b, strict=True)], atol=1e-6)
 
 
+def test_tree_scores_match_brute_force(spark):
+    """Every context counts, however rare: scores of the whole weighted tree, by recursion over plain dictionaries."""
+    import math
+    from functools import lru_cache
+
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice("abcd eé") for _ in range(rng.randrange(0, 60))), "en", "s", 1) for i in range(40)] + [(99, None, "en", "s", 1)]
+    raw = lambda x: b"\xff" * 5 + (x or "").encode() + b"\xff"
+    seen: Counter = Counter()
+    for i, x, *_ in rows:
+        if not held(i, 10, 0):
+            b = raw(x)
+            for p in range(5, len(b)):
+                for d in range(6):
+                    for bit in range(8):
+                        seen[b[p - d : p], bit, b[p] >> (8 - bit), b[p] >> (7 - bit) & 1] += 1
+    contexts = {c for c, *_ in seen}
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - 2 * math.lgamma(0.5)
+
+    @lru_cache(None)
+    def weighted(c, *node):
+        own = kt(seen[(c, *node, 0)], seen[(c, *node, 1)])
+        if len(c) == 5:
+            return own, 1.0
+        below = sum(weighted(k, *node)[0] for k in (bytes([x]) + c for x in range(256)) if k in contexts)
+        top = max(own, below)
+        out = top + math.log(math.exp(own - top) + math.exp(below - top)) - math.log(2)
+        return out, math.exp(own - math.log(2) - out)
+
+    def one(full, d, *node):
+        c = full[5 - d :]
+        a, b = seen[(c, *node, 0)], seen[(c, *node, 1)]
+        share = weighted(c, *node)[1]
+        return share * (b + 0.5) / (a + b + 1) + ((1 - share) * one(full, d + 1, *node) if d < 5 else 0)
+
+    def cost(b, p):
+        ones = [(one(b[p - 5 : p], 0, bit, b[p] >> (8 - bit)), b[p] >> (7 - bit) & 1) for bit in range(8)]
+        return sum(math.log10(x if y else 1 - x) for x, y in ones)
+
+    got = {r.doc_id: r.score for r in lm_scoring.score(documents(spark, rows)).collect()}
+    assert any(held(i, 10, 0) for i in got)
+    for i, x, *_ in rows:
+        b = raw(x)
+        assert abs(got[i] - sum(cost(b, p) for p in range(5, len(b)))) < 1e-3
+
+
 # 6 ------------------------------------------------------------------------------------------------------------------------
 def quality_rows(n=700):
     rng = random.Random(7)

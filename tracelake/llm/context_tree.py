@@ -1,25 +1,23 @@
-"""Context-tree weighting over bytes: the tree's counts, its mixture weights, and the table that scores texts.
+"""Context-tree weighting over bytes: the tree's counts, its mixture weights, and the costs of bytes in their contexts.
 
 A context is up to DEPTH bytes, the nearest first. Each byte is eight binary decisions, so a context has 255 binary nodes
 with counts (a, b) and the Krichevsky-Trofimov estimate. The weighted probability of a node is one half of its own estimate
 plus one half of the product of its children's, from the deepest contexts up to the empty one; fitted on the training texts,
 its parts give the share of each depth in a prediction. A text's probability is the product over its bytes and an end mark.
 
-Size: contexts seen less than ``threshold`` times are not told apart; those below one parent share one leaf. The threshold is
-a fixed share of the corpus (SHARE), raised if more than NODES contexts pass, so the table that is sent out holds at most
-2 * NODES rows of 256 16-bit numbers, whatever the corpus.
+Size: every context of the training texts is told apart, however rare; none shares a leaf. gram_costs() keeps only nodes on
+the paths of bytes that occur, so its work and memory follow the distinct grams. Model is a dense table for small texts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
 U = np.uint64
 DEPTH = 5
-SHARE = 2.0**-17
-NODES = 1 << 16
 END = 0xFF  # no byte of UTF-8
 #: Steps of a table entry: minus log10 of a probability in units of 1 / SCALE.
 SCALE = 2048
@@ -81,6 +79,11 @@ def splits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def log_estimate(counts: np.ndarray) -> np.ndarray:
     """ln of the Krichevsky-Trofimov probability of all decisions at each node."""
     a, b = splits(counts)
+    return kt(a, b)
+
+
+def kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """ln of the estimate's probability of a zeros and b ones."""
     return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1) - 2 * _LGAMMA_HALF
 
 
@@ -131,19 +134,16 @@ def context_totals(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np
     return code[first], np.add.reduceat(counts, first) if len(first) else counts[:0], np.repeat(np.arange(len(first)), np.diff([*first, len(code)]))
 
 
-def levels(keys: np.ndarray, counts: np.ndarray, threshold: float, top: int) -> list[Level]:
+def levels(keys: np.ndarray, counts: np.ndarray, top: int) -> list[Level]:
     """The levels top to DEPTH over sorted gram keys that hold whole contexts of depth top, weighed bottom-up."""
     out: list[Level] = []
     byte = (keys & U(255)).astype(np.int64)
     for depth in range(top, DEPTH + 1):
-        code, total, of = context_totals(keys, counts, depth)
-        keep = total >= threshold
-        number = np.cumsum(keep) - 1
-        mine = keep[of]
-        dense = np.zeros((int(keep.sum()), 256))
-        np.add.at(dense, (number[of[mine]], byte[mine]), counts[mine])
-        parent = np.searchsorted(out[-1].code, code[keep] >> U(8)) if out else np.zeros(int(keep.sum()), np.int64)
-        out.append(Level(code[keep], dense, parent))
+        code, _, of = context_totals(keys, counts, depth)
+        dense = np.zeros((len(code), 256))
+        np.add.at(dense, (of, byte), counts)
+        parent = np.searchsorted(out[-1].code, code >> U(8)) if out else np.zeros(len(code), np.int64)
+        out.append(Level(code, dense, parent))
     for depth in range(len(out) - 1, -1, -1):
         this = out[depth]
         under, below = np.zeros_like(this.counts), np.zeros((len(this.code), 255))
@@ -172,6 +172,75 @@ def leaf_ones(found: list[Level]) -> list[np.ndarray]:
     return out
 
 
+def decisions(keys: np.ndarray, counts: np.ndarray, top: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each of the eight decisions of a byte, over sorted distinct gram keys (counts may be 0): the node of each gram at
+    DEPTH, each such node's first gram and its probability of a one mixed up to depth top; and of the nodes of depth top the
+    first key (context, byte) and the ln weighted probability. Keys hold whole contexts of depth top."""
+    grams, ups = [(keys, counts.astype(np.float64))], []
+    for _ in range(top, DEPTH):
+        k, c = grams[-1]
+        shorter, up = np.unique((k >> U(16) << U(8)) | (k & U(255)), return_inverse=True)
+        grams.append((shorter, np.bincount(up, weights=c, minlength=len(shorter))))
+        ups.append(up)
+    for bit in range(8):
+        for j, (k, c) in enumerate(grams):
+            new = np.concatenate([[True], (k[1:] >> U(8 - bit)) != (k[:-1] >> U(8 - bit))])
+            node, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            b = np.bincount(node, weights=c * ((k >> U(7 - bit)) & U(1)))
+            n = np.bincount(node, weights=c)
+            own, one = np.where(n > 0, kt(n - b, b), 0.0), (b + 0.5) / (n + 1)
+            if j == 0:
+                deepest, begin, weighted, mixed, at = node, first, own, one, np.arange(len(first))
+            else:
+                up = node[ups[j - 1][below_first]]
+                weighted, share = mixture(own, np.bincount(up, weights=weighted, minlength=len(first)))
+                at = up[at]
+                mixed = share[at] * one[at] + (1 - share[at]) * mixed
+            below_first = first
+        yield deepest, begin, mixed, grams[-1][0][first], weighted
+
+
+def mixture(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ln weighted probability and the own estimate's share, where all that is below is told apart."""
+    weighted = np.logaddexp(own, below) - np.log(2)
+    return weighted, np.exp(np.minimum(own - np.log(2) - weighted, 0))
+
+
+def node_number(keys: np.ndarray, bit: int) -> np.ndarray:
+    """Which of the 255 binary nodes a key's byte passes at that decision."""
+    return ((1 << bit) - 1 + ((keys & U(255)) >> U(8 - bit)).astype(np.int64)).astype(np.int64)
+
+
+def top_sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each context of one byte: counts of bytes, and sums of its children's ln weighted probabilities by node."""
+    own, below = np.zeros((256, 256)), np.zeros((256, 255))
+    np.add.at(own, ((keys >> U(40)).astype(np.int64), (keys & U(255)).astype(np.int64)), counts)
+    for bit, (_, _, _, top, weighted) in enumerate(decisions(keys, counts, 2)):
+        np.add.at(below, ((top >> U(16)).astype(np.int64), node_number(top, bit)), weighted)
+    return own, below
+
+
+def upper(own1: np.ndarray, below1: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Shares and next probabilities of the contexts of one byte and of the empty one, from top_sums over all grams."""
+    weighted1, share1 = mixture(log_estimate(own1), below1)
+    own0 = own1.sum(axis=0, keepdims=True)
+    _, share0 = mixture(log_estimate(own0), weighted1.sum(axis=0, keepdims=True))
+    return share1, next_one(own1), share0, next_one(own0)
+
+
+def gram_costs(keys: np.ndarray, counts: np.ndarray, above: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Minus log10 of the probability of each gram's byte after its context, in the whole weighted tree."""
+    share1, next1, share0, next0 = above
+    out = np.zeros(len(keys))
+    for bit, (node, begin, one, _, _) in enumerate(decisions(keys, counts, 2)):
+        x, near = node_number(keys[begin], bit), (keys[begin] >> U(40)).astype(np.int64)
+        one = share1[near, x] * next1[near, x] + (1 - share1[near, x]) * one
+        one = share0[0, x] * next0[0, x] + (1 - share0[0, x]) * one
+        is_one = (keys >> U(7 - bit)) & U(1) == 1
+        out -= np.log10(np.where(is_one, one[node], 1 - one[node]))
+    return out
+
+
 @dataclass
 class Model:
     """child[node, byte]: the next node; nodes from len(child) on are leaves. costs[leaf - len(child)]: a row of the table."""

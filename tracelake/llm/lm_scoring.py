@@ -1,11 +1,11 @@
 """LM scoring by context-tree weighting over bytes, beside an add-one-tenth word model.
 
-Plan: 1. A scan counts DEPTH-byte contexts with the next byte over the training texts: per task, sorted 48-bit codes with
-counts, dealt by the two nearest bytes, so that whole subtrees meet in one place; sums go to a table in the shared folder.
-2. Subtrees are weighed there; what the two top levels need (256 rows) and the contexts kept (bounded by context_tree.NODES,
-chosen by a histogram of counts) come to the driver, are put together and sent out. 3. A second scan scores each whole text,
-and deals its words' codes in packed pieces and key buckets; there training counts are summed, each document's part is added
-up, and parts are put together by piece. No text is shuffled.
+Plan: 1. One scan cuts each task's texts into pieces, kept in a table in the shared folder: a piece's texts, packed; its words'
+codes in key buckets; its distinct grams (DEPTH bytes and the next) as sorted 48-bit codes with training counts, 0 for grams of
+held-out rows alone, dealt by the two nearest bytes, so that whole subtrees meet in one place. 2. By bucket, gram counts are
+summed to a table in the shared folder. What the two top levels need (256 rows) comes to the driver and is sent out; all else
+of the tree stays dealt. 3. By bucket, the costs of all grams are worked out from the whole tree and answered to each piece
+that asks; words are looked up the same way. 4. By piece, texts, costs and word sums meet. Texts are shuffled once, packed.
 
 Rows stand for themselves: results are told apart by piece and place, not by id. Words are 64-bit codes.
 
@@ -28,12 +28,11 @@ from tracelake.llm import context_tree as ct
 from tracelake.llm.common import cut, shuffle_width, small_batches
 from tracelake.llm.wordcodes import U, chunks
 
-#: Tokens gathered before a piece is dealt out.
-PIECE = 400_000
+#: Bytes of text gathered before a piece is dealt out.
+PIECE = 8 << 20
 BUCKETS_PER_PARTITION = 2
-_STEPS = 4  # bins of the histogram of context counts to a doubling
 _GRAMS = "bucket int, keys binary, counts binary"
-_PARTS = "piece long, docs array<struct<id:long,held:boolean,n:long,size:long,score:double>>, places binary, sums binary, known binary, n long, v long"
+_PARTS = "piece long, places binary, sums binary, known binary, n long, v long"
 
 
 def _squeeze(x: np.ndarray) -> bytes:
@@ -57,30 +56,8 @@ def _unkeyed(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(_loose(keys, "<u8").astype(U)), _loose(counts, "<u8").astype(np.int64)
 
 
-def _counted(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Grams of the task's texts with counts, a row for each bucket."""
-    keys, counts, held = [], [], 0
-    for batch in batches:
-        for chunk in chunks(batch.column("text")):
-            data, begin = ct.stream(chunk.raw, chunk.at)
-            places = ct.symbols(data, begin, np.diff(chunk.at))
-            for a in range(0, len(places), 1 << 20):
-                key, count = np.unique(ct.gram_codes(data, places[a : a + (1 << 20)]), return_counts=True)
-                keys.append(key)
-                counts.append(count)
-                held += len(key)
-            if held > 4_000_000:
-                key, count = ct.merged(keys, counts)
-                keys, counts, held = [key], [count], len(key)
-    if not keys:
-        return
-    key, count = ct.merged(keys, counts)
-    bucket = ((key >> U(32)) * U(2654435761) >> U(7)) % U(buckets)
-    order = np.argsort(bucket.astype(np.uint32), kind="stable")
-    key, count, bucket = key[order], count[order], bucket[order]
-    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    rows = [_keyed(int(bucket[a]), key[a:b], count[a:b]) for a, b in zip(first, [*first[1:], len(key)], strict=True)]
-    yield _rows(rows, [pa.int32(), pa.binary(), pa.binary()], "bucket keys counts")
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (((keys >> U(32)) * U(2654435761) >> U(7)) % U(buckets)).astype(np.int64)
 
 
 def _by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
@@ -99,112 +76,99 @@ def _by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket's grams, summed; the histogram of its contexts' counts goes along."""
+    """A bucket's grams, summed."""
     for bucket, rows in _by_key(batches, "bucket"):
         both = [_unkeyed(r["keys"], r["counts"]) for r in rows]
         keys, counts = ct.merged([b[0] for b in both], [b[1] for b in both])
-        totals = np.concatenate([ct.context_totals(keys, counts, d)[1] for d in range(2, ct.DEPTH + 1)])
-        bins = np.bincount(np.floor(np.log2(totals) * _STEPS).astype(np.int64), minlength=1)
-        row = (*_keyed(bucket, keys, counts), int(counts.sum()), bins.tolist())
-        yield _rows([row], [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64())], "bucket keys counts total bins")
-
+        yield _rows([_keyed(bucket, keys, counts)], [pa.int32(), pa.binary(), pa.binary()], "bucket keys counts")
 
-def _threshold(grams: DataFrame) -> float:
-    """The least count of a context that is told apart."""
-    total = grams.agg(F.sum("total")).first()[0] or 0
-    bins = grams.select(F.posexplode("bins").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).orderBy(F.desc("bin")).collect()
-    least, kept = total * ct.SHARE, 0
-    for r in bins:  # at most 64 * _STEPS
-        kept += r["n"]
-        if kept > ct.NODES:
-            return max(least, 2.0 ** ((r["bin"] + 1) / _STEPS))
-    return max(least, 1.0)
 
+_FLAT = 256 + 255  # counts, sums of ln weighted probabilities
 
-_FLAT = 256 + 256 + 255  # counts, counts of contexts that share a leaf, sums of ln weighted probabilities
 
-
-def _tops(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What each context of one byte gets from its subtrees in a bucket."""
     for batch in batches:
         for i in range(len(batch)):
             keys, counts = _unkeyed(batch.column("keys")[i].as_py(), batch.column("counts")[i].as_py())
-            level = ct.levels(keys, counts, threshold, 2)[0]
-            nearest = (keys >> U(40)).astype(np.int64)
-            flat = np.zeros((256, _FLAT))
-            np.add.at(flat, (nearest, (keys & U(255)).astype(np.int64)), counts)
-            flat[:, 256:512] = flat[:, :256]
-            at = (level.code >> U(8)).astype(np.int64)
-            np.subtract.at(flat[:, 256:512], at, level.counts)
-            np.add.at(flat[:, 512:], at, level.weighted)
-            rows = [(int(c), flat[c].astype("<f8").tobytes(), int((at == c).sum())) for c in np.unique(nearest)]
-            yield _rows(rows, [pa.int32(), pa.binary(), pa.int32()], "nearest flat kept")
+            flat = np.concatenate(ct.top_sums(keys, counts), axis=1)
+            rows = [(int(c), flat[c].astype("<f8").tobytes()) for c in np.unique(keys >> U(40)).astype(np.int64)]
+            yield _rows(rows, [pa.int32(), pa.binary()], "nearest flat")
 
 
 def _top_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for nearest, rows in _by_key(batches, "nearest"):
         flat = sum(np.frombuffer(r["flat"], "<f8") for r in sorted(rows, key=lambda r: r["flat"]))
-        yield _rows([(nearest, flat.tobytes(), sum(r["kept"] for r in rows))], [pa.int32(), pa.binary(), pa.int32()], "nearest flat kept")
+        yield _rows([(nearest, flat.tobytes())], [pa.int32(), pa.binary()], "nearest flat")
+
 
+def _upper(grams: DataFrame) -> tuple[np.ndarray, ...]:
+    """The two top levels of the tree."""
+    parts = shuffle_width(grams.sparkSession)
+    tops = grams.select("keys", "counts").mapInArrow(_tops, "nearest int, flat binary")
+    tops = tops.repartition(parts, "nearest").sortWithinPartitions("nearest").mapInArrow(_top_sums, "nearest int, flat binary")
+    flat = np.zeros((256, _FLAT))
+    for r in tops.collect():  # at most 256
+        flat[r["nearest"]] = np.frombuffer(r["flat"], "<f8")
+    return ct.upper(flat[:, :256], flat[:, 256:])
 
-def _leaves(batches: Iterator[pa.RecordBatch], threshold: float, upper: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-    """Contexts that are told apart, of depths 2 and more: depth, code, whether it has children, and its leaf's costs."""
-    share1, next1, share0, next0 = upper
+
+def _answered(batches: Iterator[pa.RecordBatch], upper: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+    """By bucket, its grams first (piece -1), then what pieces ask for: costs of their grams."""
+    known, cost = np.zeros(0, U), np.zeros(0)
     for batch in batches:
+        rows = []
         for i in range(len(batch)):
-            keys, counts = _unkeyed(batch.column("keys")[i].as_py(), batch.column("counts")[i].as_py())
-            found = ct.levels(keys, counts, threshold, 2)
-            for k, (level, one) in enumerate(zip(found, ct.leaf_ones(found), strict=True)):
-                if len(level.code):
-                    c = (level.code >> U(8 * (k + 1))).astype(np.int64)
-                    one = share1[c] * next1[c] + (1 - share1[c]) * one
-                    cost = ct.byte_costs(share0 * next0 + (1 - share0) * one)
-                    rows = [(k + 2, int(x), bool(s), y.tobytes()) for x, s, y in zip(level.code, level.split, cost, strict=True)]
-                    yield _rows(rows, [pa.int32(), pa.int64(), pa.bool_(), pa.binary()], "depth code split costs")
+            bucket, piece, keys, counts = (batch.column(c)[i].as_py() for c in ("bucket", "piece", "keys", "counts"))
+            if piece < 0:
+                known, counts = _unkeyed(keys, counts)
+                cost = ct.gram_costs(known, counts, upper)
+            else:
+                asked = np.cumsum(_loose(keys, "<u8").astype(U))
+                rows.append((piece, bucket, _squeeze(cost[np.searchsorted(known, asked)].astype("<f4"))))
+        if rows:
+            yield _rows(rows, [pa.int64(), pa.int32(), pa.binary()], "piece bucket costs")
 
 
 def fit(texts: DataFrame) -> ct.Model:
-    """The model of the column ``text``, of at most 2 * NODES + 514 rows."""
-    spark = texts.sparkSession
-    parts = shuffle_width(spark)
-    buckets = parts * BUCKETS_PER_PARTITION
-    counted = texts.select("text").mapInArrow(lambda it: _counted(it, buckets), _GRAMS)
-    grams = cut(counted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_summed, _GRAMS + ", total long, bins array<long>"))
-    threshold = _threshold(grams)
-    tops = grams.select("keys", "counts").mapInArrow(lambda it: _tops(it, threshold), "nearest int, flat binary, kept int")
-    tops = tops.repartition(parts, "nearest").sortWithinPartitions("nearest").mapInArrow(_top_sums, "nearest int, flat binary, kept int")
-    flat, kept = np.zeros((256, _FLAT)), np.zeros(256, np.int64)
-    for r in tops.collect():  # at most 256
-        flat[r["nearest"]] = np.frombuffer(r["flat"], "<f8")
-        kept[r["nearest"]] = r["kept"]
-    own1, split1 = flat[:, :256], kept > 0
-    weighted1, share1 = ct.weigh(own1, flat[:, 256:512], flat[:, 512:], split1)
-    own0 = own1.sum(axis=0, keepdims=True)
-    _, share0 = ct.weigh(own0, np.zeros((1, 256)), weighted1.sum(axis=0, keepdims=True), np.ones(1, bool))
-    next1, next0 = ct.next_one(own1), ct.next_one(own0)
-    upper = (share1, next1, share0, next0)
-    one1 = np.where(split1[:, None], ct.next_one(flat[:, 256:512]), next1)
-    mix0 = lambda x: share0 * next0 + (1 - share0) * x
-    cost1 = ct.byte_costs(mix0(share1 * next1 + (1 - share1) * one1))
-    root = ct.byte_costs(next0)
-    rows = grams.select("keys", "counts").mapInArrow(lambda it: _leaves(it, threshold, upper), "depth int, code long, split boolean, costs binary").collect()
-    codes, split, costs = [np.arange(256, dtype=U)], [split1], [cost1]
-    for depth in range(2, ct.DEPTH + 1):
-        mine = sorted((r["code"], r["split"], r["costs"]) for r in rows if r["depth"] == depth)
-        codes.append(np.array([m[0] for m in mine], U))
-        split.append(np.array([m[1] for m in mine], bool))
-        costs.append(np.frombuffer(b"".join(m[2] for m in mine), np.uint16).reshape(-1, 256))
-    return ct.assemble(codes, split, costs, root)
-
-
-_kinds = pa.list_(pa.struct([("id", pa.int64()), ("held", pa.bool_()), ("n", pa.int64()), ("size", pa.int64()), ("score", pa.float64())]))
-_PIECES = "bucket int, piece long, words binary, counts binary, word_of binary, doc_of binary, times binary, docs array<struct<id:long,held:boolean,n:long,size:long,score:double>>"
-
-
-def _dealt(batches: Iterator[pa.RecordBatch], model: ct.Model, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Pieces of documents: scores, and a row for each bucket with its words, training counts and (word, document, times)."""
+    """The whole tree of the column ``text`` as one dense table on the driver, for small texts; score() doesn't use it."""
+    keys, counts = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    for r in texts.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).toLocalIterator():
+        raw = np.frombuffer(r["text"].encode(), np.uint8)
+        at = np.array([0, len(raw)])
+        data, begin = ct.stream(raw, at)
+        keys.append(ct.gram_codes(data, ct.symbols(data, begin, np.diff(at))))
+        counts.append(np.ones(len(keys[-1]), np.int64))
+    found = ct.levels(*ct.merged(keys, counts), 0)
+    costs = [ct.byte_costs(one) for one in ct.leaf_ones(found)]
+    root = costs[0] if len(costs[0]) else ct.byte_costs(np.full((1, 255), 0.5))
+    return ct.assemble([x.code for x in found[1:]], [x.split for x in found[1:]], costs[1:], root)
+
+
+_DOCS = "array<struct<id:long,held:boolean,n:long,size:long>>"
+_kinds = pa.list_(pa.struct([("id", pa.int64()), ("held", pa.bool_()), ("n", pa.int64()), ("size", pa.int64())]))
+_PIECES = f"bucket int, piece long, words binary, word_counts binary, word_of binary, doc_of binary, times binary, keys binary, counts binary, docs {_DOCS}, packed binary"
+
+
+def _grams(raw: np.ndarray, at: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of documents and how often they occur in those that train."""
+    data, begin = ct.stream(raw, at)
+    n = np.diff(at)
+    places, flag = ct.symbols(data, begin, n), np.repeat(train.astype(U), n + 1)
+    keys, counts = [], []
+    for a in range(0, len(places), 1 << 20):
+        code = ct.gram_codes(data, places[a : a + (1 << 20)]) << U(1) | flag[a : a + (1 << 20)]
+        both, count = np.unique(code, return_counts=True)
+        keys.append(both >> U(1))
+        counts.append(count * (both & U(1)).astype(np.int64))
+    return ct.merged(keys, counts)
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of documents: a row with the texts, and a row for each bucket with its words, their training counts and (word,
+    document, times), and its grams and their training counts."""
     piece = TaskContext.get().partitionId() << 40
-    words, docs_of, docs = [], [], []
+    words, docs_of, docs, keys, counts, raw = [], [], [], [], [], []
     held = 0
 
     def deal() -> pa.RecordBatch:
@@ -218,27 +182,38 @@ def _dealt(batches: Iterator[pa.RecordBatch], model: ct.Model, buckets: int) ->
         bucket = ((unique >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
         pair_edges = np.searchsorted(word_of, edges)
-        rows = []
+        gram, gram_count = ct.merged(keys, counts)
+        gram_bucket = _bucket(gram, buckets)
+        order = np.argsort(gram_bucket, kind="stable")
+        gram, gram_count = gram[order], gram_count[order]
+        gram_edges = np.searchsorted(gram_bucket[order], np.arange(buckets + 1))
+        rows = [(-1, piece, *[None] * 7, docs, _squeeze(np.concatenate(raw)))]
         for b in range(buckets):
             x, y = edges[b], edges[b + 1]
-            if x < y or b == 0:
-                p, q = pair_edges[b], pair_edges[b + 1]
-                rows.append((b, piece, unique[x:y].tobytes(), _squeeze(count[x:y]), _squeeze((word_of[p:q] - x).astype("<u4")), _squeeze(doc_of[p:q].astype("<u4")), _squeeze(times[p:q].astype("<u4")), docs if b == 0 else None))
-        return _rows(rows, [pa.int32(), pa.int64(), *[pa.binary()] * 5, _kinds], "bucket piece words counts word_of doc_of times docs")
+            p, q = pair_edges[b], pair_edges[b + 1]
+            g, h = gram_edges[b], gram_edges[b + 1]
+            if x < y or g < h:
+                mine = (unique[x:y].tobytes(), _squeeze(count[x:y]), _squeeze((word_of[p:q] - x).astype("<u4")), _squeeze(doc_of[p:q].astype("<u4")), _squeeze(times[p:q].astype("<u4")))
+                rows.append((b, piece, *(mine if x < y else [None] * 5), *(_keyed(b, gram[g:h], gram_count[g:h])[1:] if g < h else [None] * 2), None, None))
+        return _rows(rows, [pa.int32(), pa.int64(), *[pa.binary()] * 7, _kinds, pa.binary()], "bucket piece words word_counts word_of doc_of times keys counts docs packed")
 
     for batch in batches:
         ids, out = batch.column("id").to_pylist(), batch.column("held").to_pylist()
         for chunk in chunks(batch.column("text"), lower=True):
-            score, n = model.score(chunk.raw, chunk.at), np.diff(chunk.first)
+            n, size = np.diff(chunk.first), np.diff(chunk.at)
             words.append(chunk.words)
             docs_of.append(np.repeat(np.arange(len(n)), n) + len(docs))
-            size = np.diff(chunk.at)
-            docs += [{"id": ids[chunk.lo + k], "held": out[chunk.lo + k], "n": int(n[k]) + 1, "size": int(size[k]), "score": float(score[k])} for k in range(len(n))]
-            held += len(chunk.words) + len(n)
+            docs += [{"id": ids[chunk.lo + k], "held": out[chunk.lo + k], "n": int(n[k]) + 1, "size": int(size[k])} for k in range(len(n))]
+            key, count = _grams(chunk.raw, chunk.at, ~np.array(out[chunk.lo : chunk.hi], bool))
+            keys.append(key)
+            counts.append(count)
+            raw.append(chunk.raw)
+            held += len(chunk.raw) + len(n)
             if held > PIECE:
                 yield deal()
                 piece += 1
-                words, docs_of, docs, held = [], [], [], 0
+                words, docs_of, docs, keys, counts, raw = [], [], [], [], [], []
+                held = 0
     if docs:
         yield deal()
 
@@ -247,7 +222,7 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """By bucket: training counts of its words, then each piece's sums by document; n and v are the bucket's tokens and words."""
     for _, rows in _by_key(batches, "bucket"):
         words = [np.frombuffer(r["words"], "<u8") for r in rows]
-        counts = [_loose(r["counts"], "<u4") for r in rows]
+        counts = [_loose(r["word_counts"], "<u4") for r in rows]
         unique, at = np.unique(np.concatenate(words), return_inverse=True)
         total = np.bincount(at, weights=np.concatenate(counts), minlength=len(unique)) if len(unique) else np.zeros(0)
         cost, known = np.log10(total + 0.1), total > 0
@@ -258,22 +233,40 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums, seen = np.bincount(doc, weights=times * cost[mine]), np.bincount(doc, weights=times * known[mine])
             places = np.unique(doc)
             first = not out
-            out.append((r["piece"], r["docs"], _squeeze(places.astype("<u4")), _squeeze(sums[places]), _squeeze(seen[places].astype("<u4")), int(total.sum()) if first else 0, int(known.sum()) if first else 0))
+            out.append((r["piece"], _squeeze(places.astype("<u4")), _squeeze(sums[places]), _squeeze(seen[places].astype("<u4")), int(total.sum()) if first else 0, int(known.sum()) if first else 0))
             lo += len(w)
-        yield _rows(out, [pa.int64(), _kinds, *[pa.binary()] * 3, pa.int64(), pa.int64()], "piece docs places sums known n v")
-
-
-def _put_together(batches: Iterator[pa.RecordBatch], trained: int, n: int, v: int) -> Iterator[pa.RecordBatch]:
+        yield _rows(out, [pa.int64(), *[pa.binary()] * 3, pa.int64(), pa.int64()], "piece places sums known n v")
+
+
+def _text_costs(raw: np.ndarray, size: np.ndarray, costs: list[np.ndarray], buckets: int) -> np.ndarray:
+    """Sums of the costs of each document's symbols; costs are those of the piece's distinct grams, by bucket and code."""
+    data, begin = ct.stream(raw, np.concatenate([[0], np.cumsum(size)]))
+    places, doc = ct.symbols(data, begin, size), np.repeat(np.arange(len(size)), size + 1)
+    found = [np.unique(ct.gram_codes(data, places[a : a + (1 << 20)]), return_inverse=True) for a in range(0, len(places), 1 << 20)]
+    found = [(key, at.astype(np.int32)) for key, at in found]
+    keys = np.unique(np.concatenate([key for key, _ in found]))
+    cost = np.zeros(len(keys))
+    cost[np.argsort(_bucket(keys, buckets), kind="stable")] = np.concatenate(costs)
+    out = np.zeros(len(size))
+    for k, (key, at) in enumerate(found):
+        mine = doc[k << 20 : (k + 1) << 20]
+        out[mine[0] : mine[-1] + 1] += np.bincount(mine - mine[0], weights=cost[np.searchsorted(keys, key)][at])
+    return out
+
+
+def _put_together(batches: Iterator[pa.RecordBatch], trained: int, n: int, v: int, buckets: int) -> Iterator[pa.RecordBatch]:
     for _, rows in _by_key(batches, "piece"):
-        docs = next(r["docs"] for r in rows if r["docs"] is not None)
+        docs, packed = next((r["docs"], r["packed"]) for r in rows if r["docs"] is not None)
+        costs = [_loose(r["costs"], "<f4") for r in sorted((r for r in rows if r["costs"] is not None), key=lambda r: r["bucket"])]
+        score = -_text_costs(_loose(packed, "u1"), np.array([d["size"] for d in docs]), costs, buckets)
         sums, known = np.full(len(docs), np.log10(trained + 0.1)), np.full(len(docs), int(trained > 0), np.int64)
-        for r in sorted(rows, key=lambda r: r["sums"]):  # the same order at each run, so the same rounding
+        for r in sorted((r for r in rows if r["sums"] is not None), key=lambda r: r["sums"]):  # the same order at each run, so the same rounding
             places = _loose(r["places"], "<u4")
             sums[places] += _loose(r["sums"], "<f8")
             known[places] += _loose(r["known"], "<u4")
         tokens = np.array([d["n"] for d in docs])
         base = sums - tokens * np.log10(n + 0.1 * (v + 1))
-        out = [(d["id"], d["held"], d["n"], int(k), n, float(b), d["score"], d["size"]) for d, k, b in zip(docs, known, base, strict=True)]
+        out = [(d["id"], d["held"], d["n"], int(k), n, float(b), float(s), d["size"]) for d, k, b, s in zip(docs, known, base, score, strict=True)]
         yield _rows(out, [pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64(), pa.int64()], "id held_out n_tokens n_known train_tokens base_score score n_bytes")
 
 
@@ -289,14 +282,21 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     parts = shuffle_width(spark)
     buckets = parts * BUCKETS_PER_PARTITION
     texts = docs.select(F.col(id_col).cast("long").alias("id"), held_out(F.col(id_col)).alias("held"), F.col(text_col).cast("string").alias("text"))
-    model = spark.sparkContext.broadcast(fit(texts.where(~F.col("held"))))
-    dealt = texts.mapInArrow(lambda it: _dealt(it, model.value, buckets), _PIECES)
+    pieces = cut(texts.mapInArrow(lambda it: _dealt(it, buckets), _PIECES))
+    asked = pieces.where("keys is not null")
+    grams = cut(asked.select("bucket", "keys", "counts").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_summed, _GRAMS))
+    upper = _upper(grams)
+    both = grams.select("bucket", F.lit(-1).cast("long").alias("piece"), "keys", "counts").unionByName(asked.select("bucket", "piece", "keys", F.lit(None).cast("binary").alias("counts")))
+    answers = both.repartition(parts, "bucket").sortWithinPartitions("bucket", "piece").mapInArrow(lambda it: _answered(it, upper), "piece long, bucket int, costs binary")
+    dealt = pieces.where("words is not null").select("bucket", "piece", "words", "word_counts", "word_of", "doc_of", "times")
     found = cut(dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_looked_up, _PARTS))
-    trained = F.sum(F.coalesce(F.size(F.filter("docs", lambda d: ~d["held"])), F.lit(0)))
-    sums = found.agg(F.sum("n"), F.sum("v"), trained).first()
-    words, kinds, rows = (int(x or 0) for x in sums)
+    whole = pieces.where("docs is not null").select("piece", "docs", "packed")
+    sums = found.agg(F.sum("n"), F.sum("v")).first()
+    trained = whole.agg(F.sum(F.size(F.filter("docs", lambda d: ~d["held"])))).first()
+    words, kinds, rows = (int(x or 0) for x in (*sums, *trained))
     n, v = words + rows, kinds + (rows > 0)
-    done = found.drop("n", "v").repartition(parts, "piece").sortWithinPartitions("piece")
+    met = whole.unionByName(answers, allowMissingColumns=True).unionByName(found.drop("n", "v"), allowMissingColumns=True)
+    done = met.repartition(parts, "piece").sortWithinPartitions("piece")
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
-    out = done.mapInArrow(lambda it: _put_together(it, rows, n, v), schema)
+    out = done.mapInArrow(lambda it: _put_together(it, rows, n, v, buckets), schema)
     return out.withColumn("bits_per_byte", -F.col("score") / F.log10(F.lit(2.0)) / (F.col("n_bytes") + 1)).withColumnRenamed("id", id_col)
