@@ -287,6 +287,34 @@ def test_classifier_on_held_out_rows(spark, nothing):
     assert quality_classifier.score(nothing, labels).count() == 0
 
 
+def test_every_word_has_a_vector_of_its_own(spark):
+    """Features from context vectors of whole words, by plain sums; 40,000 words can't share 16,384 vectors here."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tracelake.llm.wordcodes import chunks
+
+    rng = random.Random(9)
+    names = [f"w{i}" for i in range(40_000)]
+    rows = [(i, " ".join(rng.choices(names, k=300) + ["the"] * 5), "en", "s", 1) for i in range(150)] + [(999, None, "en", "s", 1)]
+    code = lambda w: next(iter(chunks(pa.array([w])))).words
+    index = {w: quality_classifier.index_vectors(code(w), 1)[0].astype(int) for w in {w for _, x, *_ in rows for w in (x or "").split()}}
+    vector = {w: np.zeros(quality_classifier.DIM) for w in index}
+    for _, x, *_ in rows:
+        w = (x or "").split()
+        for i in range(len(w)):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(w):
+                    vector[w[i]] += index[w[j]]
+    unit = {w: v / max(np.linalg.norm(v), 1e-12) for w, v in vector.items()}
+    got = {r.id: np.frombuffer(r.x, "<f4") for r in quality_classifier.features(documents(spark, rows)).collect()}
+    assert set(got) == {r[0] for r in rows} and not got[999].any()
+    for i, x, *_ in rows[:-1]:
+        w = x.split()
+        assert np.allclose(got[i][: quality_classifier.DIM], np.mean([unit[t] for t in w], axis=0), atol=1e-4)
+        assert abs(got[i][2 * quality_classifier.DIM] - sum(unit[a] @ unit[b] for a, b in zip(w, w[1:])) / len(w)) < 1e-4
+
+
 def test_classifier_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert table(quality_classifier.score(docs, none).select("score").distinct(), "score") == [(0.5,)]

@@ -1,17 +1,17 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a two-layer numpy network with temperature.
 
-Random indexing: each word bucket has a fixed sparse ternary index vector. A bucket's context vector is the sum of the index
-vectors of its neighbours (two on each side) over the whole corpus; as a sum, it is put together from parts in any order.
-Words share BUCKETS buckets, so the table of context vectors is DIM * BUCKETS numbers (4 MB) at any size of the corpus; that
-bound lets it be sent to all tasks. Endings of words (last three bytes) have index vectors of their own.
+Random indexing: each word has a sparse ternary index vector, drawn from its 64-bit code. Its context vector is the sum of the
+index vectors of its neighbours (two on each side) over the whole corpus; as an integer sum, it is put together from parts in any
+order. Every word has a vector of its own, at any size of the corpus. Endings of words (last three bytes) have index vectors too.
 
 A document is pooled into the means of its words' context vectors and ending vectors, and the mean likeness of words next
 to each other and two apart. The network sees these alone, never labels, language, source or ids. It is fitted on a bounded
 sample of labelled rows, at most SAMPLE (one per hash class of the id), of which one in five only sets the temperature.
 
-Plan: a scan of whole texts adds up context vectors per task and bucket (map-side), then by bucket; the table (4 MB) goes to
-the driver. A scan of the sample's documents (ids broadcast, at most SAMPLE) gives its features, at most 9 MB. The network is
-fitted there in numpy and sent out; one scan scores all rows.
+Plan: a scan cuts rows into pieces, packed whole, kept in a table in the shared folder, with the sums of each distinct word of
+a piece in key buckets. By bucket, sums are added up and answered to each piece that holds the word; by piece, rows and vectors
+meet and give features, in another table. The sample's features (ids broadcast, at most SAMPLE) go to the driver, at most 9 MB;
+the network is fitted there in numpy and sent out to score all rows. Nothing else of the corpus reaches the driver.
 
 Defined cases. Null or empty text: zero features, scored as any other. Repeated rows: scored each. A document with several
 labels: the lowest. Null ids or labels: never in the sample. No usable label, or one class only: the score is the share of
@@ -25,106 +25,182 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import cut, shuffle_width, small_batches
+from tracelake.llm.lm_scoring import _by_key, _loose, _rows, _squeeze
 from tracelake.llm.wordcodes import Chunk, U, chunks, mixed
 
-DIM, BUCKETS, SPAN = 64, 1 << 14, 2
+DIM = 64
 NONZERO = 6
+#: Bytes of text gathered before a piece is dealt out.
+PIECE = 8 << 20
+BUCKETS_PER_PARTITION = 2
 SAMPLE = 1 << 14
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 3e-3, 1e-4
 FEATURES = 2 * DIM + 3
 
 
-def index_vectors(seed: int) -> np.ndarray:
-    """BUCKETS sparse ternary vectors."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    out = np.zeros((BUCKETS, DIM), np.int8)
-    at = np.argsort(rng.random((BUCKETS, DIM)), axis=1)[:, :NONZERO]
-    np.put_along_axis(out, at, rng.choice(np.array([-1, 1], np.int8), (BUCKETS, NONZERO)), axis=1)
+def index_vectors(codes: np.ndarray, seed: int) -> np.ndarray:
+    """A sparse ternary vector for each 64-bit code: NONZERO places, all different, and their signs."""
+    out = np.zeros((len(codes), DIM), np.int8)
+    h = mixed(codes + U(seed) * U(0x9E3779B97F4A7C15))
+    row, step = np.arange(len(codes)), (h >> U(8)) | U(1)  # an odd step meets each place once
+    for k in range(NONZERO):
+        out[row, ((h + U(k) * step) & U(DIM - 1)).astype(np.int64)] = ((h >> U(40 + k)) & U(1)).astype(np.int8) * 2 - 1
     return out
 
 
-_tables: dict[int, np.ndarray] = {}
-
-
-def _index(seed: int) -> np.ndarray:
-    if seed not in _tables:
-        _tables[seed] = index_vectors(seed)
-    return _tables[seed]
-
-
-def _buckets(words: np.ndarray) -> np.ndarray:
-    return (words >> U(50)).astype(np.int64)
-
-
 def _endings(chunk: Chunk) -> np.ndarray:
-    """Buckets of the last three bytes of each word."""
+    """Codes of the last three bytes of each word."""
     code = np.zeros(len(chunk.ends), U)
     size = chunk.ends - chunk.starts
     for k in range(1, 4):
         byte = chunk.data[np.maximum(chunk.ends - k, 0)].astype(U)
         code = code * U(257) + np.where(size >= k, byte + U(1), U(0))
-    return _buckets(mixed(code + U(1)))
+    return mixed(code + U(1))
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Integers as planes of bytes, the lowest first, without the planes that are all zero."""
+    z = ((x << 1) ^ (x >> 63)).astype("<i8")  # signs in the lowest bit
+    planes = max(1, (int(z.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([planes]) + _squeeze(np.ascontiguousarray(z.view("u1").reshape(-1, 8)[:, :planes].T))[8:]
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of neighbours' index vectors by bucket, over all of a task's documents."""
-    total = np.zeros((BUCKETS, DIM), np.float32)
-    index = _index(1)
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    """n rows of DIM integers."""
+    planes, size = raw[0], n * DIM
+    each = _loose((size * planes).to_bytes(8, "little") + raw[1:], "u1").reshape(planes, size)
+    z = np.zeros(size, np.int64)
+    for k in range(planes):
+        z |= each[k].astype(np.int64) << (8 * k)
+    return ((z >> 1) ^ -(z & 1)).reshape(n, DIM)
+
+
+def _sums(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of documents and the sums of their neighbours' index vectors."""
+    unique, b = np.unique(words, return_inverse=True)
+    index, total = index_vectors(unique, 1), np.zeros((len(unique), DIM), np.int32)
+    for lo in range(0, len(b), 50_000):
+        hi = min(len(b), lo + 50_000)
+        near = np.zeros((hi - lo, DIM), np.int8)
+        for o in (-2, -1, 1, 2):
+            x, y = max(lo, -o), min(hi, len(b) - max(o, 0))
+            if x < y:
+                same = doc[x:y] == doc[x + o : y + o]
+                near[x - lo : y - lo] += index[b[x + o : y + o]] * same[:, None]
+        order = np.argsort(b[lo:hi], kind="stable")
+        at = b[lo:hi][order]
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        total[at[first]] += np.add.reduceat(near[order], first, axis=0, dtype=np.int32)
+    return unique, total
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], text: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of rows: a row with all of them, and a row for each bucket with its words and their sums."""
+    piece = TaskContext.get().partitionId() << 40
+    words, docs_of, kept, n, held = [], [], [], 0, 0
+
+    def deal() -> pa.RecordBatch:
+        unique, total = _sums(np.concatenate(words), np.concatenate(docs_of))
+        edges = np.searchsorted(((unique >> U(32)) * U(buckets) >> U(32)).astype(np.int64), np.arange(buckets + 1))
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, kept[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for batch in kept:
+                out.write_batch(batch)
+        rows = [(-1, piece, None, None, sink.getvalue().to_pybytes())]
+        rows += [(b, piece, unique[x:y].tobytes(), _packed(total[x:y].astype(np.int64).ravel()), None) for b, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if x < y]
+        return _rows(rows, [pa.int32(), pa.int64(), *[pa.binary()] * 3], "bucket piece words sums packed")
+
     for batch in batches:
-        for chunk in chunks(batch.column("text")):
-            if not len(chunk.words):
-                continue
-            b = _buckets(chunk.words)
-            doc = np.repeat(np.arange(chunk.hi - chunk.lo), np.diff(chunk.first))
-            for lo in range(0, len(b), 50_000):
-                hi = min(len(b), lo + 50_000)
-                near = np.zeros((hi - lo, DIM), np.int8)
-                for o in (-2, -1, 1, 2):
-                    x, y = max(lo, -o), min(hi, len(b) - max(o, 0))
-                    if x < y:
-                        same = doc[x:y] == doc[x + o : y + o]
-                        near[x - lo : y - lo] += index[b[x + o : y + o]] * same[:, None]
-                order = np.argsort(b[lo:hi].astype(np.uint16), kind="stable")
-                at = b[lo:hi][order]
-                first = np.flatnonzero(np.diff(at, prepend=-1))
-                total[at[first]] += np.add.reduceat(near[order], first, axis=0, dtype=np.float32)
-    used = np.flatnonzero(np.abs(total).sum(axis=1))
-    if len(used):
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([x.tobytes() for x in total[used]], pa.binary())], names=["bucket", "vector"])
-
-
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
+        for chunk in chunks(batch.column(text).cast(pa.string())):
+            size = np.diff(chunk.first)
+            words.append(chunk.words)
+            docs_of.append(np.repeat(np.arange(len(size)), size) + n)
+            kept.append(batch.slice(chunk.lo, chunk.hi - chunk.lo))
+            n += len(size)
+            held += len(chunk.raw) + len(size)
+            if held > PIECE:
+                yield deal()
+                piece += 1
+                words, docs_of, kept, n, held = [], [], [], 0, 0
+    if n:
+        yield deal()
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By bucket: sums over all pieces, answered to each piece for its words."""
+    for bucket, rows in _by_key(batches, "bucket"):
+        words = [np.frombuffer(r["words"], "<u8") for r in rows]
+        unique = np.unique(np.concatenate(words))
+        total = np.zeros((len(unique), DIM), np.int64)
+        for r, w in zip(rows, words, strict=True):
+            total[np.searchsorted(unique, w)] += _unpacked(r["sums"], len(w))
+        for r, w in zip(rows, words, strict=True):
+            mine = (r["piece"], bucket, len(w), _packed(total[np.searchsorted(unique, w)].ravel()))
+            yield _rows([mine], [pa.int64(), pa.int32(), pa.int32(), pa.binary()], "piece bucket n sums")
+
+
+def _featured(batches: Iterator[pa.RecordBatch], text: int, ident: int) -> Iterator[pa.RecordBatch]:
+    """By piece: ids, features and the rows themselves."""
+    for _, rows in _by_key(batches, "piece"):
+        packed = next(r["packed"] for r in rows if r["packed"] is not None)
+        kept = pa.ipc.open_stream(packed).read_all().combine_chunks().to_batches()
+        found = [c for batch in kept for c in chunks(batch.column(text).cast(pa.string()))]
+        unique = np.unique(np.concatenate([c.words for c in found])) if found else np.zeros(0, U)
+        table, lo = np.zeros((len(unique), DIM), np.float32), 0
+        for r in sorted((r for r in rows if r["sums"] is not None), key=lambda r: r["bucket"]):  # ranges of codes, in order
+            own = _unpacked(r["sums"], r["n"]).astype(np.float64)
+            table[lo : lo + r["n"]] = own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
+            lo += r["n"]
+        x = np.concatenate([_pooled(c, unique, table) for c in found])
+        ids = [i for batch in kept for i in batch.column(ident).cast(pa.int64()).to_pylist()]
+        yield _rows([(ids, _squeeze(x.astype("<f4").ravel()), packed)], [pa.list_(pa.int64()), pa.binary(), pa.binary()], "ids x packed")
+
+
+def featured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """ids, x and packed, a row for each piece: the rows of ``docs`` and their features, from vectors of the whole corpus."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    parts = shuffle_width(spark)
+    buckets = parts * BUCKETS_PER_PARTITION
+    text, ident = docs.columns.index(text_col), docs.columns.index(id_col)
+    pieces = cut(docs.mapInArrow(lambda it: _dealt(it, text, buckets), "bucket int, piece long, words binary, sums binary, packed binary"))
+    dealt = pieces.where("words is not null").drop("packed").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    answers = dealt.mapInArrow(_summed, "piece long, bucket int, n int, sums binary")
+    met = pieces.where("packed is not null").select("piece", "packed").unionByName(answers, allowMissingColumns=True)
+    done = met.repartition(parts, "piece").sortWithinPartitions("piece")
+    return cut(done.mapInArrow(lambda it: _featured(it, text, ident), "ids array<long>, x binary, packed binary"))
+
+
+def _matrix(raw: bytes) -> np.ndarray:
+    return _loose(raw, "<f4").reshape(-1, FEATURES)
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for b, v in zip(batch.column("bucket").to_pylist(), batch.column("vector").to_pylist(), strict=True):
-            x = np.frombuffer(v, np.float32).astype(np.float64)
-            total[b] = total[b] + x if b in total else x
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["bucket", "vector"])
+        for ids, x in zip(batch.column("ids").to_pylist(), batch.column("x").to_pylist(), strict=True):
+            rows = [y.tobytes() for y in _matrix(x)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], names=["id", "x"])
 
 
-def word_vectors(texts: DataFrame) -> np.ndarray:
-    """The table of context vectors, of length 1 each: BUCKETS rows at most reach the driver."""
-    parts = texts.mapInArrow(_contexts, "bucket int, vector binary")
-    rows = parts.repartition(shuffle_width(texts.sparkSession), "bucket").mapInArrow(_added, "bucket int, vector binary").collect()
-    out = np.zeros((BUCKETS, DIM))
-    for r in rows:
-        out[r["bucket"]] = np.frombuffer(r["vector"], np.float64)
-    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and x, the features as 4-byte numbers, of each row."""
+    return featured(docs.select(id_col, text_col), id_col, text_col).select("ids", "x").mapInArrow(_each, "id long, x binary")
 
 
-def _pooled(chunk: Chunk, table: np.ndarray) -> np.ndarray:
+def _pooled(chunk: Chunk, unique: np.ndarray, table: np.ndarray) -> np.ndarray:
     """A row of FEATURES for each document of the chunk."""
     n = np.diff(chunk.first)
     out = np.zeros((chunk.hi - chunk.lo, FEATURES), np.float32)
     if not len(chunk.words):
         return out
-    b, e = _buckets(chunk.words), _endings(chunk)
-    ending = _index(2)
+    b = np.searchsorted(unique, chunk.words)
+    ends, e = np.unique(_endings(chunk), return_inverse=True)
+    ending = index_vectors(ends, 2)
     doc = np.repeat(np.arange(len(n)), n)
     for lo in range(0, len(b), 50_000):
         hi = min(len(b), lo + 50_000)
@@ -190,59 +266,48 @@ def fit(x: np.ndarray, y: np.ndarray) -> Network:
     return net
 
 
-def _features(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [x.astype("<f4").tobytes() for c in chunks(batch.column("text")) for x in _pooled(c, table)]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("quality"), pa.array(rows, pa.binary())], names=["id", "quality", "x"])
-
-
-def _scored(batches: Iterator[pa.RecordBatch], table: np.ndarray, net: Network) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        scores = [net.score(_pooled(c, table)) for c in chunks(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=["id", "score"])
-
-
 def held_out(ident: Column) -> Column:
     return F.coalesce(F.crc32(ident.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, Network]:
-    """The word table (from all texts) and the network (from at most SAMPLE labelled rows that aren't held out)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    table = word_vectors(texts.select("text"))
+def train(done: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> Network:
+    """The network, from the features of at most SAMPLE labelled rows that aren't held out."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("quality")).dropna().where(~held_out(F.col("id")))
     code = F.xxhash64("id")
     sample = known.groupBy("id").agg(F.min("quality").alias("quality"))
     sample = sample.groupBy(code.bitwiseAND(F.lit(SAMPLE - 1)).alias("class")).agg(F.min(F.struct(code.alias("code"), "id", "quality")).alias("one"))
     sample = cut(sample.select("one.id", "one.quality"))
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-    rows = texts.join(F.broadcast(sample), "id").mapInArrow(lambda it: _features(it, shared.value), "id long, quality int, x binary").dropDuplicates(["id"]).collect()
+    each = done.select("ids", "x").mapInArrow(_each, "id long, x binary")
+    rows = each.join(F.broadcast(sample), "id").groupBy("id", "quality").agg(F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: r["id"])
     x = np.frombuffer(b"".join(r["x"] for r in rows), "<f4").reshape(len(rows), FEATURES).astype(np.float64)
-    return table, fit(x, np.array([r["quality"] > 0 for r in rows], np.float64))
+    return fit(x, np.array([r["quality"] > 0 for r in rows], np.float64))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """A row for each input row: id, held_out and score, the calibrated probability of label 1."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    table, net = train(docs, labels, id_col, text_col, label_col)
-    shared = spark.sparkContext.broadcast((table, net))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    done = texts.mapInArrow(lambda it: _scored(it, *shared.value), "id long, score double")
-    return done.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score")
+    done = featured(texts, "id", "text")
+    shared = docs.sparkSession.sparkContext.broadcast(train(done, labels, id_col, label_col))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, x in zip(batch.column("ids").to_pylist(), batch.column("x").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(shared.value.score(_matrix(x)), pa.float64())], names=["id", "score"])
+
+    out = done.select("ids", "x").mapInArrow(scored, "id long, score double")
+    return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score")
 
 
 def keep(docs: DataFrame, labels: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score is ``least`` or more. One scan, no join."""
-    small_batches(docs.sparkSession)
-    table, net = train(docs, labels, id_col, text_col, label_col)
-    shared = docs.sparkSession.sparkContext.broadcast((table, net))
-    at = docs.columns.index(text_col)
+    """The rows of ``docs``, with all their columns, whose score is ``least`` or more."""
+    done = featured(docs, id_col, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(train(done, labels, id_col, label_col))
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [shared.value[1].score(_pooled(c, shared.value[0])) for c in chunks(batch.column(at).cast(pa.string()))]
-            yield batch.filter(pa.array(np.concatenate(scores) >= least)) if scores else batch
+            for x, packed in zip(batch.column("x").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                rows = pa.ipc.open_stream(packed).read_all()
+                yield from rows.filter(pa.array(shared.value.score(_matrix(x)) >= least)).combine_chunks().to_batches()
 
-    return docs.mapInArrow(filtered, docs.schema)
+    return done.select("x", "packed").mapInArrow(filtered, docs.schema)
