@@ -4,6 +4,7 @@ import base64
 import json
 import sqlite3
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracelake.model import catalog as audit
@@ -76,6 +77,15 @@ def test_side_channels(spark, tmp_path):
     assert [r.p for r in out.collect()] == ["hello", None, None, None]
 
 
+def test_damaged_side_channels_fail(spark, tmp_path):
+    (tmp_path / "bad.db").write_bytes(b"no database" * 100)
+    sqlite3.connect(tmp_path / "empty.db").close()
+    read = lambda name: sidechannels.read_table(spark, [str(tmp_path / name)], "chat_message", "session_id string").collect()
+    assert read("empty.db") == [] and read("none.db") == []
+    with pytest.raises(Exception, match="not a database"):
+        read("bad.db")
+
+
 def test_child_chats(spark):
     sessions = spark.createDataFrame([("c1", "p", "t1", "agent_sub_x"), ("c2", "p", "t2", "agent_sub"), ("c3", "p", "", "agent_sub"), ("c4", "p", "t4", "main")], "session_id string, parent_session_id string, parent_tool_call_id string, session_type string")
     messages = spark.createDataFrame([(c,) for c in ("c1", "c2", "c3", "c4")], "session_id string")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import sqlite3
 from collections.abc import Iterator
+from contextlib import closing
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,14 +21,15 @@ class _Reader(DataSourceReader):
         return [InputPartition(p) for p in self.paths]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        """Rows of one file, read-only. A file without the table has none: it is told apart by counts, not by a failed job."""
+        """Rows of one file, read-only. No file, or one without the table, has none; any other error fails the task."""
+        if not os.path.exists(partition.value):
+            return
         quoted = ", ".join('"' + n.replace('"', '""') + '"' for n in self.names if n != "db")
-        try:
-            con = sqlite3.connect(f"file:{partition.value}?mode=ro", uri=True)
+        with closing(sqlite3.connect(f"file:{partition.value}?mode=ro", uri=True)) as con:
+            if not con.execute("SELECT 1 FROM sqlite_master WHERE lower(name) = lower(?)", (self.table,)).fetchone():
+                return
             for row in con.execute(f'SELECT {quoted} FROM "{self.table}"'):  # noqa: S608
                 yield (partition.value, *row)
-        except sqlite3.Error:
-            return
 
 
 class SqliteTables(DataSource):
