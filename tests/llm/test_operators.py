@@ -298,7 +298,7 @@ def test_every_word_has_a_vector_of_its_own(spark):
     names = [f"w{i}" for i in range(40_000)]
     rows = [(i, " ".join(rng.choices(names, k=300) + ["the"] * 5), "en", "s", 1) for i in range(150)] + [(999, None, "en", "s", 1)]
     code = lambda w: next(iter(chunks(pa.array([w])))).words
-    index = {w: quality_classifier.index_vectors(code(w), 1)[0].astype(int) for w in {w for _, x, *_ in rows for w in (x or "").split()}}
+    index = {w: quality_classifier.index_vectors(code(w))[0].astype(int) for w in {w for _, x, *_ in rows for w in (x or "").split()}}
     vector = {w: np.zeros(quality_classifier.DIM) for w in index}
     for _, x, *_ in rows:
         w = (x or "").split()
@@ -306,13 +306,59 @@ def test_every_word_has_a_vector_of_its_own(spark):
             for j in (i - 2, i - 1, i + 1, i + 2):
                 if 0 <= j < len(w):
                     vector[w[i]] += index[w[j]]
-    unit = {w: v / max(np.linalg.norm(v), 1e-12) for w, v in vector.items()}
-    got = {r.id: np.frombuffer(r.x, "<f4") for r in quality_classifier.features(documents(spark, rows)).collect()}
+    sign = {w: np.where(np.abs(v) >= max(np.sqrt(np.mean(v * v)) / 2, 1e-9), np.sign(v), 0) for w, v in vector.items()}
+    got = {r.id: np.frombuffer(r.x, "<f2") for r in quality_classifier.features(documents(spark, rows).repartition(4)).collect()}
     assert set(got) == {r[0] for r in rows} and not got[999].any()
     for i, x, *_ in rows[:-1]:
         w = x.split()
-        assert np.allclose(got[i][: quality_classifier.DIM], np.mean([unit[t] for t in w], axis=0), atol=1e-4)
-        assert abs(got[i][2 * quality_classifier.DIM] - sum(unit[a] @ unit[b] for a, b in zip(w, w[1:])) / len(w)) < 1e-4
+        assert np.allclose(got[i][: quality_classifier.DIM], np.mean([sign[t] for t in w], axis=0), atol=1e-3)
+        plain = [np.log1p(len(w)) / 10, len(set(w)) / len(w), 0, sum(c.isdigit() for c in x) / len(x), 0]
+        assert np.allclose(got[i][quality_classifier.DIM :], plain, atol=1e-3)
+
+
+def test_network_and_its_temperature():
+    """Scores against a plain loop over the network's own weights; the temperature is the one of least loss on rows kept apart."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, quality_classifier.FEATURES))
+    y = (x[:, 0] + 0.3 * rng.normal(size=400) > 0).astype(float)
+    net = quality_classifier.fit(x, y)
+    w1, b1, w2, b2 = net.weights
+    for row, s in zip(x[:20], net.score(x[:20]), strict=True):
+        z = [(v - m) / d for v, m, d in zip(row, net.mean, net.scale, strict=True)]
+        hidden = [max(0.0, sum(a * w for a, w in zip(z, w1[:, j], strict=True)) + b1[j]) for j in range(len(b1))]
+        logit = sum(h * w for h, w in zip(hidden, w2, strict=True)) + b2[0]
+        assert abs(s - 1 / (1 + math.exp(-max(-30, min(30, logit / net.temperature))))) < 1e-9
+    assert ((net.score(x) > 0.5) == (y > 0)).mean() > 0.9 and 0.25 <= net.temperature <= 8
+
+
+def test_packed_sums_come_back():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(-1, 2, (300, quality_classifier.DIM))
+    x[5:9] *= 100
+    x[7] *= 1 << 40
+    x = x.astype(np.int64)
+    assert (quality_classifier._unpacked(quality_classifier._packed(x)) == x).all()
+    assert quality_classifier._unpacked(quality_classifier._packed(x[:0])).shape == (0, quality_classifier.DIM)
+
+
+def test_classifier_with_shared_ids_and_clashing_labels(spark):
+    """One id with two texts and labels given twice: the same scores in any order of rows; clashing columns aren't read."""
+    good, bad = quality_rows(60)
+    rows = good + bad + [(good[0][0], bad[0][1], "en", "s", 1), good[1], (None, None, None, None, None)]
+    labels = spark.createDataFrame([(r[0], 1) for r in good] + [(r[0], 0) for r in bad] + [(good[0][0], 0), (good[1][0], 1)], "doc_id long, quality int")
+    labels = labels.withColumns({c: F.lit("x") for c in ("id", "x", "score", "class", "one", "code", "text")})
+    first = table(quality_classifier.score(documents(spark, rows), labels), "doc_id", "score")
+    again = table(quality_classifier.score(documents(spark, rows[::-1]).repartition(3), labels.repartition(2)), "doc_id", "score")
+    assert len(first) == len(rows) and [i for i, _ in first] == [i for i, _ in again]
+    assert all(abs(a - b) < 1e-9 for (_, a), (_, b) in zip(first, again, strict=True))
+    kept = quality_classifier.keep(documents(spark, rows), labels, 0.7)
+    assert kept.columns == documents(spark, []).columns and kept.count() == sum(s >= 0.7 for _, s in first)
 
 
 def test_classifier_without_labels(spark, docs):

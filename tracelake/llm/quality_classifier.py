@@ -2,20 +2,24 @@
 
 Random indexing: each word has a sparse ternary index vector, drawn from its 64-bit code. Its context vector is the sum of the
 index vectors of its neighbours (two on each side) over the whole corpus; as an integer sum, it is put together from parts in any
-order. Every word has a vector of its own, at any size of the corpus. Endings of words (last three bytes) have index vectors too.
+order. Every word has a vector of its own, at any size of the corpus. A word's vector is the sign of each entry of that sum whose
+size is at least half the root mean square, so it takes two bits an entry.
 
-A document is pooled into the means of its words' context vectors and ending vectors, and the mean likeness of words next
-to each other and two apart. The network sees these alone, never labels, language, source or ids. It is fitted on a bounded
+A document is pooled into the mean of its words' vectors, beside its length, its share of distinct words and of capitals, digits
+and other signs among its bytes. The network sees these alone, never labels, language, source or ids. It is fitted on a bounded
 sample of labelled rows, at most SAMPLE (one per hash class of the id), of which one in five only sets the temperature.
 
-Plan: a scan cuts rows into pieces, packed whole, kept in a table in the shared folder, with the sums of each distinct word of
-a piece in key buckets. By bucket, sums are added up and answered to each piece that holds the word; by piece, rows and vectors
-meet and give features, in another table. The sample's features (ids broadcast, at most SAMPLE) go to the driver, at most 9 MB;
-the network is fitted there in numpy and sent out to score all rows. Nothing else of the corpus reaches the driver.
+Plan: a scan cuts rows into pieces. Of each piece, two kinds of rows leave for key buckets in one shuffle: the sums of its
+distinct words, dealt by word, and its bag of words (which words each row holds, how often), which only passes through. By
+bucket, sums are added up over all pieces and answered to each piece that holds the word; by piece, bags and vectors meet and
+give features, a table in the shared folder. No text is shuffled. The sample's features (ids broadcast, at most SAMPLE) go to the
+driver, at most 5 MB; the network is fitted there in numpy and sent out to score all rows. Nothing else of the corpus reaches the
+driver.
 
-Defined cases. Null or empty text: zero features, scored as any other. Repeated rows: scored each. A document with several
+Defined cases. Null or empty text: zero features, scored as any other. Repeated rows: scored each. Rows that share an id but not
+the text: scored each by its text; if the id is in the sample, the least features in byte order count. A document with several
 labels: the lowest. Null ids or labels: never in the sample. No usable label, or one class only: the score is the share of
-label 1 in the sample, or 0.5. No rows: no result rows. Other columns aren't read.
+label 1 in the sample, or 0.5. No rows: no result rows. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -30,192 +34,266 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import cut, shuffle_width, small_batches
-from tracelake.llm.lm_scoring import _by_key, _loose, _rows, _squeeze
+from tracelake.llm.lm_scoring import _loose, _rows, _squeeze
 from tracelake.llm.wordcodes import Chunk, U, chunks, mixed
 
 DIM = 64
-NONZERO = 6
+NONZERO = 2
 #: Bytes of text gathered before a piece is dealt out.
-PIECE = 8 << 20
+PIECE = 32 << 20
 BUCKETS_PER_PARTITION = 2
 SAMPLE = 1 << 14
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 3e-3, 1e-4
-FEATURES = 2 * DIM + 3
+#: Beside the pooled vector: length, share of distinct words, shares of capitals, digits and other signs.
+PLAIN = 5
+FEATURES = DIM + PLAIN
+#: Tokens whose neighbours are looked up together.
+_STEP = 100_000
 
 
-def index_vectors(codes: np.ndarray, seed: int) -> np.ndarray:
+def index_vectors(codes: np.ndarray) -> np.ndarray:
     """A sparse ternary vector for each 64-bit code: NONZERO places, all different, and their signs."""
     out = np.zeros((len(codes), DIM), np.int8)
-    h = mixed(codes + U(seed) * U(0x9E3779B97F4A7C15))
+    h = mixed(codes + U(0x9E3779B97F4A7C15))
     row, step = np.arange(len(codes)), (h >> U(8)) | U(1)  # an odd step meets each place once
     for k in range(NONZERO):
         out[row, ((h + U(k) * step) & U(DIM - 1)).astype(np.int64)] = ((h >> U(40 + k)) & U(1)).astype(np.int8) * 2 - 1
     return out
 
 
-def _endings(chunk: Chunk) -> np.ndarray:
-    """Codes of the last three bytes of each word."""
-    code = np.zeros(len(chunk.ends), U)
-    size = chunk.ends - chunk.starts
-    for k in range(1, 4):
-        byte = chunk.data[np.maximum(chunk.ends - k, 0)].astype(U)
-        code = code * U(257) + np.where(size >= k, byte + U(1), U(0))
-    return mixed(code + U(1))
+def _packed(x: np.ndarray) -> bytes:
+    """Rows of DIM integers: 2, 8 or 64 bits an entry as each row needs, compressed."""
+    z = ((x << 1) ^ (x >> 63)).astype("<u8")  # signs in the lowest bit
+    most = z.max(axis=1, initial=0)
+    kind = np.where(most < 4, 0, np.where(most < 256, 1, 2)).astype("u1")
+    small, middle, large = (z[kind == k] for k in range(3))
+    parts = small.astype("u1").reshape(-1, DIM // 4, 4)
+    few = parts[:, :, 0] | parts[:, :, 1] << 2 | parts[:, :, 2] << 4 | parts[:, :, 3] << 6
+    return b"".join(len(p).to_bytes(8, "little") + p for p in (_squeeze(kind), _squeeze(few.ravel()), _squeeze(middle.astype("u1").ravel()), _squeeze(large.ravel())))
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    parts, at = [], 0
+    for _ in range(4):
+        n = int.from_bytes(raw[at : at + 8], "little")
+        parts.append(raw[at + 8 : at + 8 + n])
+        at += 8 + n
+    kind, few = _loose(parts[0], "u1"), _loose(parts[1], "u1").reshape(-1, DIM // 4)
+    z = np.zeros((len(kind), DIM), np.int64)
+    z[kind == 0] = np.stack([few >> (2 * k) & 3 for k in range(4)], axis=2).reshape(-1, DIM)
+    z[kind == 1] = _loose(parts[2], "u1").reshape(-1, DIM)
+    z[kind == 2] = _loose(parts[3], "<u8").astype(np.int64).reshape(-1, DIM)
+    return (z >> 1) ^ -(z & 1)
+
+
+def _planed(x: np.ndarray) -> bytes:
+    """Whole numbers below 2^32 as planes of bytes, the lowest first, without the planes that are all zero."""
+    planes = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([planes]) + _squeeze(np.ascontiguousarray(x.astype("<u4").view("u1").reshape(-1, 4)[:, :planes].T).ravel())
+
+
+def _unplaned(raw: bytes) -> np.ndarray:
+    each = _loose(raw[1:], "u1").reshape(raw[0], -1)
+    out = np.zeros(each.shape[1], np.int64)
+    for k, plane in enumerate(each):
+        out |= plane.astype(np.int64) << (8 * k)
+    return out
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """Integers as planes of bytes, the lowest first, without the planes that are all zero."""
-    z = ((x << 1) ^ (x >> 63)).astype("<i8")  # signs in the lowest bit
-    planes = max(1, (int(z.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([planes]) + _squeeze(np.ascontiguousarray(z.view("u1").reshape(-1, 8)[:, :planes].T))[8:]
-
-
-def _unpacked(raw: bytes, n: int) -> np.ndarray:
-    """n rows of DIM integers."""
-    planes, size = raw[0], n * DIM
-    each = _loose((size * planes).to_bytes(8, "little") + raw[1:], "u1").reshape(planes, size)
-    z = np.zeros(size, np.int64)
-    for k in range(planes):
-        z |= each[k].astype(np.int64) << (8 * k)
-    return ((z >> 1) ^ -(z & 1)).reshape(n, DIM)
-
-
-def _sums(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct words of documents and the sums of their neighbours' index vectors."""
-    unique, b = np.unique(words, return_inverse=True)
-    index, total = index_vectors(unique, 1), np.zeros((len(unique), DIM), np.int32)
-    for lo in range(0, len(b), 50_000):
-        hi = min(len(b), lo + 50_000)
-        near = np.zeros((hi - lo, DIM), np.int8)
-        for o in (-2, -1, 1, 2):
-            x, y = max(lo, -o), min(hi, len(b) - max(o, 0))
-            if x < y:
-                same = doc[x:y] == doc[x + o : y + o]
-                near[x - lo : y - lo] += index[b[x + o : y + o]] * same[:, None]
-        order = np.argsort(b[lo:hi], kind="stable")
-        at = b[lo:hi][order]
-        first = np.flatnonzero(np.diff(at, prepend=-1))
-        total[at[first]] += np.add.reduceat(near[order], first, axis=0, dtype=np.int32)
-    return unique, total
-
-
-def _dealt(batches: Iterator[pa.RecordBatch], text: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Pieces of rows: a row with all of them, and a row for each bucket with its words and their sums."""
-    piece = TaskContext.get().partitionId() << 40
-    words, docs_of, kept, n, held = [], [], [], 0, 0
+def word_sums(at: np.ndarray, doc: np.ndarray, index: np.ndarray, edges: np.ndarray) -> Iterator[bytes]:
+    """For each range of words between edges, packed sums of the index vectors of the words' neighbours in the same document.
+    at: the word of each token, a row of index."""
+    order = np.argsort(at, kind="stable").astype(np.int32)
+    begin = np.searchsorted(at, np.arange(len(index) + 1), sorter=order)
+    for x, y in zip(edges[:-1], edges[1:], strict=True):
+        total = np.zeros((y - x, DIM), np.int64)
+        for lo in range(begin[x], begin[y], _STEP):
+            some = order[lo : min(begin[y], lo + _STEP)].astype(np.int64)
+            near = np.zeros((len(some), DIM), np.int8)
+            for o in (-2, -1, 1, 2):
+                other = np.clip(some + o, 0, len(at) - 1)
+                near += index[at[other]] * ((doc[other] == doc[some]) & (other == some + o))[:, None]
+            first = np.flatnonzero(np.diff(at[some], prepend=-1))
+            total[at[some[first]] - x] += np.add.reduceat(near, first, axis=0, dtype=np.int64)
+        yield _packed(total)
+
+
+def _plain(chunk: Chunk) -> np.ndarray:
+    """PLAIN numbers of each document; the share of distinct words is left open."""
+    kind = np.zeros(256, np.int64)
+    kind[65:91], kind[48:58] = 1, 2
+    kind[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 3
+    out = np.zeros((chunk.hi - chunk.lo, PLAIN))
+    size = np.maximum(np.diff(chunk.at), 1)
+    of = kind[chunk.raw]
+    for k in (1, 2, 3):
+        out[:, 1 + k] = np.diff(np.concatenate([[0], np.cumsum(of == k)])[chunk.at]) / size
+    return out
 
-    def deal() -> pa.RecordBatch:
-        unique, total = _sums(np.concatenate(words), np.concatenate(docs_of))
+
+_DEALT = "key int, piece long, words binary, sums binary, docs array<struct<id:long,hash:long,n:int,kinds:int>>, plain binary, bag binary, times binary"
+_DOCS = pa.list_(pa.struct([("id", pa.int64()), ("hash", pa.int64()), ("n", pa.int32()), ("kinds", pa.int32())]))
+_DEALT_KINDS = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), _DOCS, *[pa.binary()] * 3]
+_DEALT_NAMES = "key piece words sums docs plain bag times"
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of rows: a row with their bags, and rows for each bucket with its words and their sums."""
+    piece = TaskContext.get().partitionId() << 40
+    words, sizes, ids, hashes, plain, held = [], [], [], [], [], 0
+
+    def deal() -> Iterator[pa.RecordBatch]:
+        n = np.concatenate(sizes)
+        doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        unique, at = np.unique(np.concatenate(words), return_inverse=True)
+        at = at.astype(np.int32)
+        pair, times = np.unique(doc.astype(np.int64) * max(1, len(unique)) + at, return_counts=True)
+        whose, which = pair // max(1, len(unique)), pair % max(1, len(unique))
+        kinds = np.bincount(whose, minlength=len(n))
+        step = np.diff(which, prepend=0)
+        step[np.flatnonzero(np.diff(whose, prepend=-1))] = which[np.flatnonzero(np.diff(whose, prepend=-1))]
+        numbers = np.concatenate(plain)
+        numbers[:, 1] = kinds / np.maximum(n, 1)
+        docs = [{"id": i, "hash": h, "n": a, "kinds": b} for i, h, a, b in zip(ids, hashes, n.tolist(), kinds.tolist(), strict=True)]
+        mine = (int(mixed(np.array([piece], U))[0] % U(buckets)), piece, None, None, docs, _squeeze(numbers.astype("<f4").ravel()), _planed(step), _planed(times))
+        yield _rows([mine], _DEALT_KINDS, _DEALT_NAMES)
+        # codes are sorted, so a bucket of their highest bits is a range of them
         edges = np.searchsorted(((unique >> U(32)) * U(buckets) >> U(32)).astype(np.int64), np.arange(buckets + 1))
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, kept[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            for batch in kept:
-                out.write_batch(batch)
-        rows = [(-1, piece, None, None, sink.getvalue().to_pybytes())]
-        rows += [(b, piece, unique[x:y].tobytes(), _packed(total[x:y].astype(np.int64).ravel()), None) for b, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if x < y]
-        return _rows(rows, [pa.int32(), pa.int64(), *[pa.binary()] * 3], "bucket piece words sums packed")
+        rows = []
+        for b, sums in enumerate(word_sums(at, doc, index_vectors(unique), edges)):
+            if edges[b] < edges[b + 1]:
+                codes = np.diff(unique[edges[b] : edges[b + 1]], prepend=U(0))
+                rows.append((b, piece, _planed64(codes), sums, *[None] * 4))
+        if rows:
+            yield _rows(rows, _DEALT_KINDS, _DEALT_NAMES)
 
     for batch in batches:
-        for chunk in chunks(batch.column(text).cast(pa.string())):
-            size = np.diff(chunk.first)
+        who, code = batch.column("id").to_pylist(), batch.column("hash").to_pylist()
+        for chunk in chunks(batch.column("text")):
             words.append(chunk.words)
-            docs_of.append(np.repeat(np.arange(len(size)), size) + n)
-            kept.append(batch.slice(chunk.lo, chunk.hi - chunk.lo))
-            n += len(size)
-            held += len(chunk.raw) + len(size)
+            sizes.append(np.diff(chunk.first))
+            ids += who[chunk.lo : chunk.hi]
+            hashes += code[chunk.lo : chunk.hi]
+            plain.append(_plain(chunk))
+            held += len(chunk.raw) + 64 * (chunk.hi - chunk.lo)
             if held > PIECE:
-                yield deal()
+                yield from deal()
                 piece += 1
-                words, docs_of, kept, n, held = [], [], [], 0, 0
-    if n:
-        yield deal()
+                words, sizes, ids, hashes, plain, held = [], [], [], [], [], 0
+    if ids:
+        yield from deal()
+
+
+def _planed64(x: np.ndarray) -> bytes:
+    """Differences of 64-bit codes, as planes of bytes."""
+    return _squeeze(np.ascontiguousarray(x.astype("<u8").view("u1").reshape(-1, 8).T).ravel())
+
+
+def _codes(raw: bytes) -> np.ndarray:
+    planes = _loose(raw, "u1").reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel().astype(U))
+
+
+_MET = "piece long, bucket int, vectors binary, docs array<struct<id:long,hash:long,n:int,kinds:int>>, plain binary, bag binary, times binary"
+_MET_KINDS = [pa.int64(), pa.int32(), pa.binary(), _DOCS, *[pa.binary()] * 3]
+_MET_NAMES = "piece bucket vectors docs plain bag times"
+
+
+def signs(total: np.ndarray) -> np.ndarray:
+    """Vectors of -1, 0 and 1: signs of entries of at least half the root mean square."""
+    least = np.sqrt((total.astype(np.float64) ** 2).mean(axis=1, keepdims=True)) / 2
+    return np.where(np.abs(total) >= np.maximum(least, 1e-9), np.sign(total), 0)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By bucket: sums over all pieces, answered to each piece for its words."""
-    for bucket, rows in _by_key(batches, "bucket"):
-        words = [np.frombuffer(r["words"], "<u8") for r in rows]
+    """By bucket: sums over all pieces, answered to each piece for its words as vectors. Bags pass through."""
+
+    def answers(bucket: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        words = [_codes(w) for _, w, _ in rows]
         unique = np.unique(np.concatenate(words))
         total = np.zeros((len(unique), DIM), np.int64)
-        for r, w in zip(rows, words, strict=True):
-            total[np.searchsorted(unique, w)] += _unpacked(r["sums"], len(w))
-        for r, w in zip(rows, words, strict=True):
-            mine = (r["piece"], bucket, len(w), _packed(total[np.searchsorted(unique, w)].ravel()))
-            yield _rows([mine], [pa.int64(), pa.int32(), pa.int32(), pa.binary()], "piece bucket n sums")
-
-
-def _featured(batches: Iterator[pa.RecordBatch], text: int, ident: int) -> Iterator[pa.RecordBatch]:
-    """By piece: ids, features and the rows themselves."""
-    for _, rows in _by_key(batches, "piece"):
-        packed = next(r["packed"] for r in rows if r["packed"] is not None)
-        kept = pa.ipc.open_stream(packed).read_all().combine_chunks().to_batches()
-        found = [c for batch in kept for c in chunks(batch.column(text).cast(pa.string()))]
-        unique = np.unique(np.concatenate([c.words for c in found])) if found else np.zeros(0, U)
-        table, lo = np.zeros((len(unique), DIM), np.float32), 0
-        for r in sorted((r for r in rows if r["sums"] is not None), key=lambda r: r["bucket"]):  # ranges of codes, in order
-            own = _unpacked(r["sums"], r["n"]).astype(np.float64)
-            table[lo : lo + r["n"]] = own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
-            lo += r["n"]
-        x = np.concatenate([_pooled(c, unique, table) for c in found])
-        ids = [i for batch in kept for i in batch.column(ident).cast(pa.int64()).to_pylist()]
-        yield _rows([(ids, _squeeze(x.astype("<f4").ravel()), packed)], [pa.list_(pa.int64()), pa.binary(), pa.binary()], "ids x packed")
-
-
-def featured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """ids, x and packed, a row for each piece: the rows of ``docs`` and their features, from vectors of the whole corpus."""
+        for (_, _, sums), w in zip(rows, words, strict=True):
+            total[np.searchsorted(unique, w)] += _unpacked(sums)
+        vectors = signs(total)
+        for (piece, _, _), w in zip(rows, words, strict=True):
+            yield _rows([(piece, bucket, _packed(vectors[np.searchsorted(unique, w)]), *[None] * 4)], _MET_KINDS, _MET_NAMES)
+
+    now, rows = None, []
+    for batch in batches:
+        for i in range(len(batch)):
+            key, piece, words, sums = (batch.column(c)[i].as_py() for c in ("key", "piece", "words", "sums"))
+            if words is None:
+                yield _rows([(piece, None, None, *(batch.column(c)[i].as_py() for c in ("docs", "plain", "bag", "times")))], _MET_KINDS, _MET_NAMES)
+                continue
+            if key != now and rows:
+                yield from answers(now, rows)
+                rows = []
+            now = key
+            rows.append((piece, words, sums))
+    if rows:
+        yield from answers(now, rows)
+
+
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By piece: id, text hash and features of each row. A piece's rows come together: its bags, then its vectors by bucket."""
+
+    def features(docs: list[dict], plain: bytes, bag: bytes, times: bytes, vectors: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        table = np.concatenate([np.zeros((0, DIM), np.int8), *vectors])
+        kinds, n = np.array([d["kinds"] for d in docs]), np.array([d["n"] for d in docs])
+        step, times = _unplaned(bag), _unplaned(times)
+        x = np.zeros((len(docs), FEATURES), "<f4")
+        x[:, DIM:] = _loose(plain, "<f4").reshape(-1, PLAIN)
+        x[:, DIM] = np.log1p(n) / 10
+        ends = np.cumsum(kinds)
+        lo = 0
+        while lo < len(docs):  # in parts of some 100,000 words
+            before = ends[lo] - kinds[lo]
+            hi = max(lo + 1, int(np.searchsorted(ends, before + _STEP, "right")))
+            own, first = step[before : ends[hi - 1]], ends[lo:hi] - kinds[lo:hi] - before
+            whole = np.cumsum(own)
+            which = whole - np.repeat(np.concatenate([[0], whole])[first], kinds[lo:hi])
+            some = np.flatnonzero(kinds[lo:hi])
+            if len(some):
+                sums = np.add.reduceat(table[which] * times[before : ends[hi - 1], None], first[some], axis=0)
+                x[lo + some, :DIM] = sums / n[lo + some, None]
+            lo = hi
+        for a in range(0, len(docs), 10_000):
+            part = docs[a : a + 10_000]
+            cols = [pa.array([d["id"] for d in part], pa.int64()), pa.array([d["hash"] for d in part], pa.int64()), pa.array([r.astype("<f2").tobytes() for r in x[a : a + 10_000]], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "hash", "x"])
+
+    now, bags, vectors = None, None, []
+    for batch in batches:
+        for i in range(len(batch)):
+            piece, found = batch.column("piece")[i].as_py(), batch.column("vectors")[i].as_py()
+            if piece != now and bags is not None:
+                yield from features(*bags, vectors)
+                bags, vectors = None, []
+            now = piece
+            if found is None:
+                bags = tuple(batch.column(c)[i].as_py() for c in ("docs", "plain", "bag", "times"))
+            else:
+                vectors.append(_unpacked(found).astype(np.int8))
+    if bags is not None:
+        yield from features(*bags, vectors)
+
+
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, hash (xxhash64 of the text) and x, the features as 2-byte numbers, of each row; a table in the shared folder."""
     spark = docs.sparkSession
     small_batches(spark)
     parts = shuffle_width(spark)
     buckets = parts * BUCKETS_PER_PARTITION
-    text, ident = docs.columns.index(text_col), docs.columns.index(id_col)
-    pieces = cut(docs.mapInArrow(lambda it: _dealt(it, text, buckets), "bucket int, piece long, words binary, sums binary, packed binary"))
-    dealt = pieces.where("words is not null").drop("packed").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    answers = dealt.mapInArrow(_summed, "piece long, bucket int, n int, sums binary")
-    met = pieces.where("packed is not null").select("piece", "packed").unionByName(answers, allowMissingColumns=True)
-    done = met.repartition(parts, "piece").sortWithinPartitions("piece")
-    return cut(done.mapInArrow(lambda it: _featured(it, text, ident), "ids array<long>, x binary, packed binary"))
-
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    dealt = texts.mapInArrow(lambda it: _dealt(it, buckets), _DEALT)
+    answers = dealt.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_summed, _MET)
+    met = answers.repartition(parts, "piece").sortWithinPartitions("piece", F.col("bucket").asc_nulls_first())
+    return cut(met.mapInArrow(_featured, "id long, hash long, x binary"))
 
-def _matrix(raw: bytes) -> np.ndarray:
-    return _loose(raw, "<f4").reshape(-1, FEATURES)
 
-
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for ids, x in zip(batch.column("ids").to_pylist(), batch.column("x").to_pylist(), strict=True):
-            rows = [y.tobytes() for y in _matrix(x)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], names=["id", "x"])
-
-
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and x, the features as 4-byte numbers, of each row."""
-    return featured(docs.select(id_col, text_col), id_col, text_col).select("ids", "x").mapInArrow(_each, "id long, x binary")
-
-
-def _pooled(chunk: Chunk, unique: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """A row of FEATURES for each document of the chunk."""
-    n = np.diff(chunk.first)
-    out = np.zeros((chunk.hi - chunk.lo, FEATURES), np.float32)
-    if not len(chunk.words):
-        return out
-    b = np.searchsorted(unique, chunk.words)
-    ends, e = np.unique(_endings(chunk), return_inverse=True)
-    ending = index_vectors(ends, 2)
-    doc = np.repeat(np.arange(len(n)), n)
-    for lo in range(0, len(b), 50_000):
-        hi = min(len(b), lo + 50_000)
-        d = doc[lo:hi]
-        first = np.flatnonzero(np.diff(d, prepend=-1))
-        own = table[b[lo:hi]]
-        out[d[first], :DIM] += np.add.reduceat(own, first, axis=0)
-        out[d[first], DIM : 2 * DIM] += np.add.reduceat(ending[e[lo:hi]], first, axis=0, dtype=np.float32)
-        for k, o in enumerate((1, 2)):
-            if hi - lo > o:
-                like = np.where(d[o:] == d[:-o], np.einsum("ij,ij->i", own[o:], own[:-o]), 0)
-                np.add.at(out[:, 2 * DIM + k], d[o:], like)
-    out /= np.maximum(n, 1)[:, None]
-    out[:, 2 * DIM + 2] = np.log1p(n) / 10
-    return out
+def _matrix(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), "<f2").reshape(len(rows), FEATURES).astype(np.float64)
 
 
 @dataclass
@@ -277,37 +355,33 @@ def train(done: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> Ne
     sample = known.groupBy("id").agg(F.min("quality").alias("quality"))
     sample = sample.groupBy(code.bitwiseAND(F.lit(SAMPLE - 1)).alias("class")).agg(F.min(F.struct(code.alias("code"), "id", "quality")).alias("one"))
     sample = cut(sample.select("one.id", "one.quality"))
-    each = done.select("ids", "x").mapInArrow(_each, "id long, x binary")
-    rows = each.join(F.broadcast(sample), "id").groupBy("id", "quality").agg(F.min("x").alias("x")).collect()
+    rows = done.select("id", "x").join(F.broadcast(sample), "id").groupBy("id", "quality").agg(F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: r["id"])
-    x = np.frombuffer(b"".join(r["x"] for r in rows), "<f4").reshape(len(rows), FEATURES).astype(np.float64)
-    return fit(x, np.array([r["quality"] > 0 for r in rows], np.float64))
+    return fit(_matrix([r["x"] for r in rows]), np.array([r["quality"] > 0 for r in rows], np.float64))
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """A row for each input row: id, held_out and score, the calibrated probability of label 1."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    done = featured(texts, "id", "text")
+def _scores(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """id, hash (of the text) and score of each row."""
+    done = features(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(train(done, labels, id_col, label_col))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, x in zip(batch.column("ids").to_pylist(), batch.column("x").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(shared.value.score(_matrix(x)), pa.float64())], names=["id", "score"])
+            found = shared.value.score(_matrix(batch.column("x").to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hash"), pa.array(found, pa.float64())], names=["id", "hash", "score"])
 
-    out = done.select("ids", "x").mapInArrow(scored, "id long, score double")
-    return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score")
+    return done.mapInArrow(scored, "id long, hash long, score double")
 
 
-def keep(docs: DataFrame, labels: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score is ``least`` or more."""
-    done = featured(docs, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(train(done, labels, id_col, label_col))
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """A row for each input row: id, held_out and score, the calibrated probability of label 1."""
+    done = _scores(docs, labels, id_col, text_col, label_col)
+    return done.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score")
 
-    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x, packed in zip(batch.column("x").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-                rows = pa.ipc.open_stream(packed).read_all()
-                yield from rows.filter(pa.array(shared.value.score(_matrix(x)) >= least)).combine_chunks().to_batches()
 
-    return done.select("x", "packed").mapInArrow(filtered, docs.schema)
+def keep(docs: DataFrame, labels: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is ``least`` or more. Rows of one id and one text go or stay together."""
+    bad = _scores(docs, labels, id_col, text_col, label_col).where(F.col("score") < least)
+    bad = bad.select(F.col("id").alias("bad_id"), F.col("hash").alias("bad_hash")).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(bad["bad_id"]) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == bad["bad_hash"])
+    return docs.join(bad, same, "left_anti")
