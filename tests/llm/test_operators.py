@@ -432,11 +432,15 @@ def test_packing_round_trip(spark, docs, nothing):
     for p in pieces:
         windows[p.sequence_id].append(p)
         assert len(p.ids) == 4 * p.length > 0
+    short = 0
     for ps in windows.values():
         ps.sort(key=lambda p: p.offset)
         assert [p.offset for p in ps] == [sum(q.length for q in ps[:k]) for k in range(len(ps))]
+        assert len({(p.tier, p.step) for p in ps}) == 1
         total = sum(p.length for p in ps)
-        assert total <= 4096 and total & (total - 1) == 0  # a power of two: no padding
+        short += total != ps[0].tier
+        assert total <= ps[0].tier and ps[0].tier in packing.TIERS
+    assert short <= 1  # the last rest of all five partitions
     by_doc = defaultdict(list)
     for p in pieces:
         by_doc[p.doc_id].append(p)
@@ -453,6 +457,36 @@ def test_packing_round_trip(spark, docs, nothing):
     assert packing.pack(nothing, path).count() == 0
 
 
+def test_packing_balances_steps(spark, monkeypatch):
+    """Any two steps differ by one window of each tier at most; long tiers take gaps' worth from shorter ones."""
+    import public_tokenizers
+
+    rng = random.Random(12)
+    rows = [(i, prose(rng, int(rng.paretovariate(0.8) * 20) % 4000), "en", "s", 1) for i in range(1500)]
+    monkeypatch.setattr(packing, "STEP_TOKENS", 16 * 4096)
+    pieces = packing.pack(documents(spark, rows).repartition(7), str(public_tokenizers.path("word_bpe_49k.json")))
+    windows = pieces.groupBy("step", "tier", "sequence_id").agg(F.sum("length").alias("n")).collect()
+    steps = max(w.step for w in windows) + 1
+    total = sum(w.n for w in windows)
+    assert steps == round(total / (16 * 4096)) > 3
+    for tier in packing.TIERS:
+        n = [sum(w.tier == tier and w.step == k for w in windows) for k in range(steps)]
+        assert max(n) - min(n) <= 1
+    tokens = [sum(w.n for w in windows if w.step == k) for k in range(steps)]
+    assert max(tokens) - min(tokens) <= sum(packing.TIERS) + 512  # and the padding of the one short window
+    assert sum(w.n != w.tier for w in windows) <= 1  # one window with padding, so no dust
+    assert sum(4096 - w.n for w in windows if w.n != w.tier) < 0.02 * total
+
+
+def test_packing_fills_gaps_from_shorter_tiers():
+    packer = packing.Packer((4, 8), 0)
+    for doc, n in enumerate([7, 1, 6, 3]):
+        packer.add(doc, 0, bytes(4 * n))
+    assert [x[0] for x in packer.window(8, 1)] == [7, 1]
+    assert [x[0] for x in packer.window(8, 1)] == [6, 2]  # the last gap: the front of a piece, cut for it
+    assert packer.tail() == [(1, 3, 2, bytes(4))]
+
+
 # 9 ------------------------------------------------------------------------------------------------------------------------
 def test_chats_round_trip(spark):
     rng = random.Random(9)

@@ -3,20 +3,23 @@
 Documents become ids (a public tokenizer, then an end id). Full windows of the longest tier are cut off first; what remains
 of a document is routed to the smallest tier (TIERS, powers of two) that holds it. Each tier packs its pieces best-fit, the
 largest first; gaps in a window are filled with whole pieces of shorter tiers, and the last gap with the front of a piece
-that is cut for it. So each window is exactly full and needs no padding. At the end of a partition what is left is packed
-in the same way and the last rest is laid out in windows of falling powers of two.
+that is cut for it. So each window is exactly full and needs no padding. What a partition has left in the end, less than the
+shortest window, is carried over: the rests of TAILS partitions are packed together in the same way, and only the last rest of
+those, less than the shortest window again, is a window with padding.
 
-Step groups: windows of one tier are numbered off into steps of STEP_TOKENS tokens, so that all steps but the last of a
-partition and tier hold the same number of tokens.
+Step groups: all windows are dealt to steps of about STEP_TOKENS tokens. The windows of each tier are numbered through over all
+partitions and spread evenly over all steps, so any two steps differ by one window of each tier at most.
 
-Plan: one pass without a shuffle. A partition's state is a pool of at most POOL_TOKENS ids per tier and a bounded cache of
-words; nothing is gathered. Sequence ids are unique by partition number and counter.
+Plan: one pass without a shuffle writes windows and rests to a table in the shared folder. A partition's state is a pool of at
+most POOL_TOKENS ids per tier and a bounded cache of words; nothing else is gathered. The rests (under 512 ids a partition) are
+shuffled by group. To number windows through, the driver gets the count of windows of each partition and tier, as it does for an
+index of rows: a few numbers a task; their running sums are sent out. Sequence ids are unique by partition number and counter.
 
 The tokenizer drops white space and never joins what it parts, so words between ASCII white space are encoded once and
 looked up later. Strings of special tokens count as the library reads them.
 
 Defined cases. Null or empty text: the end id alone. Repeated rows: each is packed. Null ids: kept. Very long texts: cut into
-full windows. No rows: no pieces. Other columns aren't read.
+full windows. No rows: no pieces. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -31,15 +34,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import small_batches
+from tracelake.llm.common import cut, shuffle_width, small_batches
 
 TIERS = (512, 1024, 2048, 4096)
 POOL_TOKENS = 256 * 1024
 STEP_TOKENS = 64 * 4096
-#: Words whose ids a Python worker keeps, of those met in several groups of texts and of those met in one so far; each kind is
-#: dropped at its bound.
-CACHED_WORDS = 600_000
-_SCHEMA = "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step long"
+#: Partitions whose rests are packed together.
+TAILS = 64
+#: Words whose ids a Python worker keeps, of those met in several groups of texts and of those met in one so far (some 50 MB
+#: each); each kind is dropped at its bound, the second also when a partition ends.
+CACHED_WORDS = 200_000
+_SCHEMA = "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, part long, rank long"
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+#: Numbers of groups of rests begin here, beyond those of partitions.
+_TAIL_PARTS = 1 << 22
 _encoders: dict[str, Encoder] = {}
 
 
@@ -153,13 +161,11 @@ class Packer:
             self.add(doc, start + gap, ids[4 * gap :])
         return out
 
-    def numbered(self, size: int) -> tuple[int, int]:
-        """A sequence id and its step within the partition and tier."""
-        tier = size if size in self.made else self.tiers[0]
-        step = self.made[tier] * tier // STEP_TOKENS
+    def numbered(self, tier: int) -> tuple[int, int]:
+        """A sequence id and its number within the partition and tier."""
         self.made[tier] += 1
         self.next_id += 1
-        return self.next_id - 1, step
+        return self.next_id - 1, self.made[tier] - 1
 
     def ready(self, bound: int) -> Iterator[tuple[int, list]]:
         for t, size in enumerate(self.tiers):
@@ -167,67 +173,122 @@ class Packer:
                 yield size, self.window(size, t)
 
     def rest(self) -> Iterator[tuple[int, list]]:
+        """Full windows of what is left, until it is less than the shortest."""
         yield from self.ready(0)
-        for size in (self.tiers[-1] >> k for k in range(self.tiers[-1].bit_length())):
+        for size in reversed(self.tiers):
             while sum(self.sizes) >= size:
                 yield size, self.window(size, len(self.tiers) - 1)
 
+    def tail(self) -> list[tuple[int, int, int, bytes]]:
+        return [piece for pool in self.pools for piece in pool]
 
-def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, tiers: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    encoder, longest = _encoder(path, end_id), tiers[-1]
-    packer = Packer(tiers, TaskContext.get().partitionId() << 40)
-    docs: dict[int, tuple] = {}  # number here: id, ids in all, ids not yet laid out
-    number, rows, held = 0, [], 0
-
-    def lay(size: int, pieces: list) -> None:
-        nonlocal held
-        sequence, step = packer.numbered(size)
+
+class Laid:
+    """Windows as rows. docs: id and ids in all of each document here, and how many of them aren't laid out yet."""
+
+    def __init__(self, tiers: tuple[int, ...], part: int) -> None:
+        self.packer, self.part = Packer(tiers, part << 40), part
+        self.docs: dict[int, tuple] = {}
+        self.rows: list[tuple] = []
+        self.held = 0
+
+    def add(self, doc: int, ident: int | None, total: int, start: int, ids: bytes) -> None:
+        n = len(ids) // 4
+        self.docs[doc] = (ident, total, self.docs[doc][2] + n if doc in self.docs else n)
+        longest = self.packer.tiers[-1]
+        while n >= longest:
+            self.lay(longest, [(longest, doc, start, ids[: 4 * longest])])
+            start, n, ids = start + longest, n - longest, ids[4 * longest :]
+        if n:
+            self.packer.add(doc, start, ids)
+
+    def lay(self, tier: int, pieces: list, whole: bool = True) -> None:
+        """A window; pieces of no window if not whole."""
+        sequence, rank = self.packer.numbered(tier) if whole else (None, None)
         offset = 0
         for n, doc, start, ids in pieces:
-            ident, total, left = docs[doc]
-            rows.append((ident, start, n, ids, total, sequence, offset, size, step))
+            ident, total, left = self.docs[doc]
+            self.rows.append((ident, start, n, ids, total, sequence, offset, tier if whole else None, self.part, rank))
             offset += n
-            held += len(ids)
+            self.held += len(ids)
             if left == n:
-                del docs[doc]
+                del self.docs[doc]
             else:
-                docs[doc] = (ident, total, left - n)
+                self.docs[doc] = (ident, total, left - n)
 
-    def flush() -> pa.RecordBatch:
-        nonlocal rows, held
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-        cols = list(zip(*rows, strict=True))
+    def flush(self) -> pa.RecordBatch:
         names = [c.split()[0] for c in _SCHEMA.split(", ")]
-        rows, held = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*self.rows, strict=True), _KINDS, strict=True)], names=names)
+        self.rows, self.held = [], 0
+        return out
+
+
+def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, tiers: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """Windows of a partition, and its rest as pieces of no window."""
+    encoder, laid, number = _encoder(path, end_id), Laid(tiers, TaskContext.get().partitionId()), 0
+    try:
+        for batch in batches:
+            ids, texts = batch.column("id"), batch.column("text")
+            for lo in range(0, len(texts), 512):
+                some = [x or "" for x in texts.slice(lo, 512).to_pylist()]
+                for ident, coded in zip(ids.slice(lo, 512).to_pylist(), encoder.encode(some), strict=True):
+                    laid.add(number, ident, len(coded) // 4, 0, coded)
+                    number += 1
+                for size, pieces in laid.packer.ready(POOL_TOKENS):
+                    laid.lay(size, pieces)
+                if laid.held > 8 << 20:
+                    yield laid.flush()
+        for size, pieces in laid.packer.rest():
+            laid.lay(size, pieces)
+        laid.lay(0, laid.packer.tail(), whole=False)
+        if laid.rows:
+            yield laid.flush()
+    finally:
+        encoder.once = {}
+        pa.default_memory_pool().release_unused()
+
+
+def _pack_rests(batches: Iterator[pa.RecordBatch], tiers: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """Windows of the rests of each group, sorted by group; the last may be shorter than its tier."""
+    now, laid, number = None, None, 0
+
+    def end() -> pa.RecordBatch:
+        for size, pieces in laid.packer.rest():
+            laid.lay(size, pieces)
+        if last := laid.packer.tail():
+            laid.lay(tiers[0], last)
+        return laid.flush()
 
     for batch in batches:
-        ids, texts = batch.column("id"), batch.column("text")
-        for lo in range(0, len(texts), 512):
-            some = [x or "" for x in texts.slice(lo, 512).to_pylist()]
-            for ident, coded in zip(ids.slice(lo, 512).to_pylist(), encoder.encode(some), strict=True):
-                n = len(coded) // 4
-                docs[number] = (ident, n, n)
-                start = 0
-                while n - start >= longest:
-                    lay(longest, [(longest, number, start, coded[4 * start : 4 * (start + longest)])])
-                    start += longest
-                if start < n:
-                    packer.add(number, start, coded[4 * start :])
-                number += 1
-            for size, pieces in packer.ready(POOL_TOKENS):
-                lay(size, pieces)
-            if held > 8 << 20:
-                yield flush()
-    for size, pieces in packer.rest():
-        lay(size, pieces)
-    if rows:
-        yield flush()
+        for row in batch.to_pylist():
+            if row["group"] != now and laid:
+                yield end()
+            if row["group"] != now:
+                now, laid, number = row["group"], Laid(tiers, _TAIL_PARTS + row["group"]), 0
+            laid.add(number, row["id"], row["doc_tokens"], row["start"], row["ids"])
+            number += 1
+    if laid:
+        yield end()
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, tiers: tuple[int, ...] = TIERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece: id, start, length, ids (binary, unsigned little-endian 32 bit), doc_tokens, sequence_id, offset,
-    tier (the sequence's length) and step (within partition and tier)."""
-    small_batches(docs.sparkSession)
+    tier (the sequence's length; the last of each group of rests may be shorter) and step."""
+    spark = docs.sparkSession
+    small_batches(spark)
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(lambda it: _pack(it, tokenizer_path, end_id, tiers), _SCHEMA).withColumnRenamed("id", id_col)
+    made = cut(picked.mapInArrow(lambda it: _pack(it, tokenizer_path, end_id, tiers), _SCHEMA))
+    rests = made.where("tier is null").withColumn("group", F.expr(f"part div {TAILS}"))
+    rests = rests.repartition(shuffle_width(spark), "group").sortWithinPartitions("group", "part", "length", "id", "start")
+    tails = cut(rests.select("group", "id", "start", "ids", "doc_tokens").mapInArrow(lambda it: _pack_rests(it, tiers), _SCHEMA))
+    windows = made.where("tier is not null").unionByName(tails)
+    counts = windows.groupBy("part", "tier").agg((F.max("rank") + 1).alias("n"), F.sum("length").alias("tokens")).collect()
+    steps = max(1, round(sum(r["tokens"] for r in counts) / STEP_TOKENS))
+    firsts, so_far = [], dict.fromkeys(tiers, 0)
+    for r in sorted(counts, key=lambda r: (r["tier"], r["part"])):
+        firsts.append((r["part"], r["tier"], so_far[r["tier"]]))
+        so_far[r["tier"]] += r["n"]
+    firsts = spark.createDataFrame([(*x, so_far[x[1]], steps) for x in firsts], "part long, tier int, first long, windows long, steps long")
+    done = windows.join(F.broadcast(firsts), ["part", "tier"])
+    cols = ["start", "length", "ids", "doc_tokens", "sequence_id", "offset", "tier"]
+    return done.select(F.col("id").alias(id_col), *cols, F.expr("(rank + first) * steps div windows").alias("step"))
