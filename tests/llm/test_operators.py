@@ -84,6 +84,21 @@ def test_secrets(spark, nothing):
     assert secret_scan.redact(df).columns == df.columns and secret_scan.redact(df).count() == len(rows)
 
 
+def test_owners_and_repositories_are_two_counts(spark):
+    """A value in many repositories of one owner is a template, as is one of many owners in one repository; few of both: live."""
+    value = lambda c: c + "b3X" + "xY9z" * 10
+    rows = [(i, f"k {value('T')}", "en", "o", 0, "one owner", f"r{i}") for i in range(9)]  # nine repositories of one owner
+    rows += [(20 + i, f"k {value('M')}", "en", "o", 0, f"owner{i}", "fork") for i in range(3)]  # three owners
+    rows += [(30 + i, f"k {value('L')}", "en", "o", 0, "one owner", f"r{i % 8}") for i in range(40)]  # eight repositories: still live
+    rows += [(80, f"k {value('N')}", "en", "o", 0, None, None), (81, f"k {value('N')}", "en", "o", 0, "a", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, owner string, repo string")
+    got = secret_scan.scan(df, owner_col="owner", repo_col="repo")
+    spans = {r.doc_id: [(s.kind, s.owners, s.repos) for s in r.spans] for r in got.collect()}
+    assert spans[0] == [] and spans[20] == [] and spans[30] == [("opaque", 1, 8)] and spans[80] == [("opaque", 2, 1)]
+    wide = secret_scan.scan(df, owner_col="owner", repo_col="repo", max_repos=9, max_owners=3)
+    assert {r.doc_id: [(s.owners, s.repos) for s in r.spans] for r in wide.collect()}[0] == [(1, 9)]
+
+
 # 3 ------------------------------------------------------------------------------------------------------------------------
 def measures(text):
     w = words_of(text)

@@ -96,15 +96,15 @@ WITH kinds(kind, name, pat, least) AS (VALUES
   (0, 'assign', '(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+', 6),
   (1, 'access', 'AKIA[A-Z0-9]{16,}', 20), (2, 'hex', '[0-9a-f]{24,}', 24),
   (3, 'opaque', '[A-Za-z0-9+/_-]{32,}(?:\.[A-Za-z0-9+/_-]{8,}){0,2}={0,2}', 32)),
-d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS text FROM documents),
-m AS (SELECT rid, owner, kind, name, least, regexp_extract_all(text, pat) AS found, string_split_regex(text, pat) AS gaps FROM d, kinds WHERE regexp_matches(text, pat)),
-u AS (SELECT rid, owner, kind, name, least, i, found[i] AS match, length(gaps[i]) AS gap
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS owner, coalesce(source, '') AS repo, coalesce(text, '') AS text FROM documents),
+m AS (SELECT rid, owner, repo, kind, name, least, regexp_extract_all(text, pat) AS found, string_split_regex(text, pat) AS gaps FROM d, kinds WHERE regexp_matches(text, pat)),
+u AS (SELECT rid, owner, repo, kind, name, least, i, found[i] AS match, length(gaps[i]) AS gap
       FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m)),
 v AS (SELECT *, CASE WHEN kind = 0 THEN regexp_extract(match, '[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1) ELSE match END AS value,
              CAST(sum(gap + length(match)) OVER (PARTITION BY rid, kind ORDER BY i) AS BIGINT) AS stop FROM u),
 g AS (SELECT *, stop - length(match) AS start FROM v
       WHERE length(value) >= least AND (kind < 3 OR (regexp_matches(match, '[a-z]') AND regexp_matches(match, '[A-Z]') AND regexp_matches(match, '[0-9]')))),
-c AS (SELECT value FROM g GROUP BY value HAVING count(DISTINCT owner) > 2),
+c AS (SELECT value FROM g GROUP BY value HAVING count(DISTINCT owner) > 2 OR count(DISTINCT repo) > 8),
 k AS (SELECT *, value IN (SELECT value FROM c) AS copied FROM g),
 s AS (SELECT * FROM k WHERE kind < 3 OR (NOT copied AND NOT EXISTS (SELECT 1 FROM k b WHERE b.rid = k.rid AND b.kind < 3 AND b.start < k.stop AND k.start < b.stop)))
 SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,

@@ -2,9 +2,10 @@
 
 Base kinds (always kept): ``assign``, ``access`` and ``hex``. A further kind, ``opaque``, holds long mixed tokens, which
 may just as well be identifiers or published examples; whether one is reported depends on the corpus. All candidate values
-are hashed and counted by distinct owner and distinct repository. A value that more than MAX_OWNERS owners share is a
-widely copied example; one that stays with its owner looks live. Copied opaque candidates are dropped; copied base spans
-stay, and are counted apart (n_copied).
+are hashed and counted by distinct owner and, apart from that, by distinct repository. A value that more than MAX_OWNERS owners
+share, or that more than MAX_REPOS repositories hold (of whatever owners: a template), is a widely copied example; one that stays
+with its owner, in a few repositories, looks live. Copied opaque candidates are dropped; copied base spans stay, and are counted
+apart (n_copied). Each span carries both counts.
 
 Plan: one scan finds matches and keeps ids, matches and owners, no text, in a table in the shared folder. Offsets are
 running sums of gap and match lengths over a document's matches. Counting is two-step (distinct hash, owner and repository
@@ -32,6 +33,8 @@ KINDS = [
 BASE = 3
 #: A value seen with more owners than this is taken for a published example.
 MAX_OWNERS = 2
+#: A value seen in more repositories than this is taken for one too, even of a single owner.
+MAX_REPOS = 8
 
 
 def _matches(text: Column, k: int) -> Column:
@@ -58,9 +61,9 @@ def _matches(text: Column, k: int) -> Column:
     return F.when(text.rlike(pattern), F.transform(found, one)).otherwise(none)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """A row for each input row: id, n_assign, n_access, n_hex, n_opaque, n_copied (long) and spans, an array of
-    struct<start, end, kind, copied> by start and kind, and text_hash (xxhash64 of the text)."""
+    struct<start, end, kind, copied, owners, repos> by start and kind, and text_hash (xxhash64 of the text)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = cut(
         docs.select(
@@ -74,12 +77,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     )
     each = found.where(F.size("matches") > 0).select("row", "owner", "repo", F.inline("matches"))
     seen = each.where("good").select("hash", "owner", "repo").distinct()
-    owners = seen.groupBy("hash").agg(F.countDistinct("owner").alias("owners"))
-    copied = owners.where(F.col("owners") > max_owners).select("hash", F.lit(True).alias("copied"))
+    counted = seen.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repos"))
+    counted = counted.withColumn("copied", (F.col("owners") > max_owners) | (F.col("repos") > max_repos))
 
     so_far = Window.partitionBy("row", "kind").orderBy("i")
     each = each.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(so_far)).withColumn("start", F.col("end") - F.col("len"))
-    each = each.where("good").join(copied, "hash", "left").withColumn("copied", F.coalesce("copied", F.lit(False)))
+    each = each.where("good").join(counted, "hash")
     each = each.where((F.col("kind") < BASE) | ~F.col("copied"))
     base_end, base_start = F.when(F.col("kind") < BASE, F.col("end")), F.when(F.col("kind") < BASE, F.col("start"))
     by_start = Window.partitionBy("row").orderBy("start", "kind")
@@ -92,12 +95,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     per_row = each.groupBy("row").agg(
         *counts,
         F.count(F.when(F.col("copied"), 1)).alias("n_copied"),
-        F.sort_array(F.collect_list(F.struct("start", "kind", "end", "copied"))).alias("spans"),
+        F.sort_array(F.collect_list(F.struct("start", "kind", "end", "copied", "owners", "repos"))).alias("spans"),
     )
     names = F.array(*[F.lit(k[0]) for k in KINDS])
-    spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(names, s["kind"]).alias("kind"), s["copied"].alias("copied")))
+    spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(names, s["kind"]).alias("kind"), s["copied"].alias("copied"), s["owners"].alias("owners"), s["repos"].alias("repos")))
     numbers = [f"n_{k[0]}" for k in KINDS] + ["n_copied"]
-    none = F.array().cast("array<struct<start:bigint,end:bigint,kind:string,copied:boolean>>")
+    none = F.array().cast("array<struct<start:bigint,end:bigint,kind:string,copied:boolean,owners:bigint,repos:bigint>>")
     return (
         found.select("row", "id", F.col("hash").alias("text_hash"))
         .join(per_row, "row", "left")
@@ -129,9 +132,9 @@ def _masked(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, zero, step, rest)
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """The rows of ``docs``, with all their columns, where each span of scan() is masked in the text."""
-    spans = scan(docs, id_col, text_col, owner_col, repo_col, max_owners).where(F.size("spans") > 0)
+    spans = scan(docs, id_col, text_col, owner_col, repo_col, max_owners, max_repos).where(F.size("spans") > 0)
     spans = spans.select(F.col(id_col).alias("span_id"), F.col("text_hash").alias("span_hash"), F.col("spans").alias("span_list")).dropDuplicates(["span_id", "span_hash"])
     same = docs[id_col].eqNullSafe(spans["span_id"]) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == spans["span_hash"])
     masked = F.when(spans["span_list"].isNotNull(), _masked(docs[text_col], spans["span_list"])).otherwise(docs[text_col])
