@@ -126,10 +126,47 @@ def test_quality_thresholds_follow_the_corpus(spark):
     assert not kept[900] and all(kept[i] for i in range(600))  # what is usual in b is odd in a
 
 
+def test_cutoffs_are_blended_quantiles(spark):
+    """Cutoffs from plain sorted lists, for groups of any size: the group's quantiles, with its language's and all documents'."""
+    import math
+
+    rng = random.Random(5)
+    rows, i = [], 0
+    for lang, source, n, odd in [("en", "a", 120, 0.3), ("en", "b", 3, 0), ("de", "a", 40, 0.1), (None, None, 1, 0), ("", "a", 2, 0), ("xx", "a", 1, 0)]:
+        for _ in range(n):
+            text = prose(rng, 5 if lang == "xx" else 90) + " #" * (rng.randrange(90) if rng.random() < odd else 0)
+            rows.append((i, text, lang, source, 1))
+            i += 1
+    m = {r[0]: measures(r[1]) for r in rows}
+    rate = lambda r: m[r[0]][2] / m[r[0]][0]
+    quantile = lambda xs, q: sorted(xs)[max(0, math.ceil(q * len(xs) - 1e-9) - 1)]
+
+    def blended(q, lang, source):
+        every = [rate(r) for r in rows if not m[r[0]][5]]
+        some = [rate(r) for r in rows if not m[r[0]][5] and r[2] == lang]
+        own = [rate(r) for r in rows if not m[r[0]][5] and r[2:4] == (lang, source)]
+        out = quantile(every, q)
+        for xs in (some, own):
+            out = (len(xs) * quantile(xs, q) + 50 * out) / (len(xs) + 50) if xs else out
+        return out
+
+    judged = quality_rules.judge(documents(spark, rows)).withColumn("off", F.array_contains("failed", "symbol_rate"))
+    got = dict(table(judged, "doc_id", "off"))
+    near = 0
+    for r in rows:
+        q25, q75, q95 = (blended(q, r[2], r[3]) for q in (0.25, 0.75, 0.95))
+        most = q75 + 3 * (q75 - q25) + min(max(4 * q95, 0.02), 0.1)
+        if abs(rate(r) / most - 1) < 0.1:  # sketches are right to 2 %
+            near += 1
+        else:
+            assert got[r[0]] == (rate(r) > most), r[0]
+    assert near < 20 and sum(got.values()) > 5
+
+
 def test_sketches_merge(spark):
     rng = random.Random(4)
     values = [rng.expovariate(1) for _ in range(5000)]
-    m = spark.createDataFrame([("l", "s", v, v, v, v, v) for v in values], "lang string, source string, " + ", ".join(f"{x} double" for x in quality_rules.MEASURES))
+    m = spark.createDataFrame([("l", "s", False, v, v, v, v, v) for v in values], "lang string, source string, base_failed boolean, " + ", ".join(f"{x} double" for x in quality_rules.MEASURES))
     parts = [quality_rules.sketches(x) for x in m.randomSplit([1.0, 1.0], 1)]
     keys = ["level", "lang", "source", "measure", "bin"]
     merged = parts[0].unionByName(parts[1]).groupBy(keys).agg(F.sum("n").alias("n"))

@@ -2,17 +2,22 @@
 
 Each document gets a few measures (symbols per word, share of repeated lines, share of words in repeated 3-word windows,
 share of capitals, mean word length). A sketch of a measure is a table of logarithmic bins with counts (relative error
-GAMMA - 1): sketches of parts merge by adding counts, in any order, so results are the same at each run. Sketches of
-(language, source) merge into those of the language and of the whole corpus, which stand in where a group is small.
+GAMMA - 1): sketches of parts merge by adding counts, in any order, so results are the same at each run. They count all documents
+that pass the base rules. Sketches of (language, source) merge into those of the language and of the whole corpus.
 
-A document fails a measure above ``q75 + FENCE * (q75 - q25) + SLACK`` of its group, or for mean word length also below the
-mirrored bound. The slack keeps groups whose clean documents are all alike (q25 = q75) from failing on a trace of a symbol.
+Quantiles of a group (q25, q75, q95) are blended, at every size alike: a group of n documents counts n, its language PRIOR; and
+in the language's own, the corpus counts PRIOR. A document fails a measure above ``q75 + FENCE * (q75 - q25) + slack`` of its
+group, or for mean word length also below ``q25 - FENCE * (q75 - q25) - slack``. The slack is TAIL times q95, within the two
+bounds of MEASURES: it follows the upper tail where most documents have a measure of zero (q25 = q75 = 0), and its bounds keep a
+group whose clean documents are all alike from failing on a trace of a symbol, or one with many odd ones from passing all. Cutoffs
+of shares are at most MOST, so that each can fire.
 
 Plan: one pass in Python reads each whole text and keeps numbers only; bins are counted with map-side combining; the join
 with the thresholds is salted, so that a source with a third of all rows spreads out.
 
 Defined cases. Null text: no words, base_failed. Null language or source: a group of its own. Repeated rows: judged each,
-counted each. Small groups: thresholds of the language, else of all. No rows: no result rows. Other columns aren't read.
+counted each. Groups without a document that passes the base rules: thresholds of the language, else of all; if there is none at
+all, no measure fails. No rows: no result rows. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -29,17 +34,20 @@ from tracelake.llm.common import cut, small_batches
 
 GAMMA = 1.02
 FENCE = 3.0
-#: Fewest documents for thresholds of a group's own.
-LEAST = 200
+#: Documents that a group's language counts as in the group's quantiles, and the corpus in the language's.
+PRIOR = 50
+TAIL = 4
 SALTS = 16
-#: Measure: (slack, whether low values fail as well).
+#: Measure: (least slack, most slack, whether it is a share, whether low values fail as well).
 MEASURES = {
-    "symbol_rate": (0.1, False),
-    "dup_line_share": (0.5, False),
-    "repeat_share": (0.35, False),
-    "upper_share": (0.2, False),
-    "mean_word": (2.0, True),
+    "symbol_rate": (0.02, 0.1, False, False),
+    "dup_line_share": (0.2, 0.5, True, False),
+    "repeat_share": (0.1, 0.35, True, False),
+    "upper_share": (0.05, 0.2, True, False),
+    "mean_word": (1.0, 2.0, False, True),
 }
+MOST = 0.9
+QUANTILES = {"q25": 0.25, "q75": 0.75, "q95": 0.95}
 _WORDY = b"#*$%&|<>"
 _SPACE = " \t\n\r\x0b\x0c"
 
@@ -106,12 +114,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         }
     )
     m = cut(m)
-    limits = thresholds(m.where("n_words > 0"))
+    limits = thresholds(m)
     salted = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     m = m.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     j = m.join(salted, ["lang", "source", "salt"], "left")
     bad = []
-    for x, (_, low) in MEASURES.items():
+    for x, (*_, low) in MEASURES.items():
         off = F.col(x) > F.col(f"{x}_hi")
         bad.append(F.when(off | (F.col(x) < F.col(f"{x}_lo")) if low else off, F.lit(x)))
     failed = F.array_compact(F.array(*bad))
@@ -121,7 +129,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def sketches(m: DataFrame) -> DataFrame:
     """lang, source, level, measure, bin, n: mergeable by adding n. Levels: 0 the group, 1 its language, 2 all."""
-    long = m.select("lang", "source", F.stack(F.lit(len(MEASURES)), *[y for x in MEASURES for y in (F.lit(x), F.col(x))]).alias("measure", "value"))
+    long = m.where(~F.col("base_failed")).select("lang", "source", F.stack(F.lit(len(MEASURES)), *[y for x in MEASURES for y in (F.lit(x), F.col(x))]).alias("measure", "value"))
     width = math.log(GAMMA)
     where = F.when(F.col("value") < 1e-9, F.lit(-(2**20))).otherwise(F.ceil(F.log(F.col("value")) / width).cast("int"))
     own = long.groupBy("lang", "source", "measure", where.cast("int").alias("bin")).agg(F.count("*").alias("n"))
@@ -144,23 +152,31 @@ def _quantiles(s: DataFrame) -> DataFrame:
     value = F.when(F.col("bin") <= -(2**20), F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), F.col("bin")))
     c = s.withColumns({"upto": upto, "total": F.sum("n").over(w), "value": value})
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("value")))
-    return c.groupBy(*group).agg(F.max("total").alias("total"), at(0.25).alias("q25"), at(0.75).alias("q75"))
+    return c.groupBy(*group).agg(F.max("total").alias("total"), *[at(q).alias(x) for x, q in QUANTILES.items()])
 
 
 def thresholds(m: DataFrame) -> DataFrame:
     """A row for each (lang, source): the bounds of each measure, x_hi, and x_lo where low values fail."""
     q = _quantiles(cut(sketches(m)))
-    own = q.where("level = 0").select("lang", "source", "measure", *[F.col(c).alias(f"{c}0") for c in ("total", "q25", "q75")])
-    lang = q.where("level = 1").select("lang", "measure", *[F.col(c).alias(f"{c}1") for c in ("total", "q25", "q75")])
-    every = q.where("level = 2").select("measure", "q25", "q75")
-    j = own.join(lang, ["lang", "measure"]).join(every, "measure")
-    pick = lambda c: F.when(F.col("total0") >= LEAST, F.col(f"{c}0")).when(F.col("total1") >= LEAST, F.col(f"{c}1")).otherwise(F.col(c))
-    j = j.select("lang", "source", "measure", pick("q25").alias("a"), pick("q75").alias("b"))
+    of = lambda level, keys: q.where(F.col("level") == level).select(*keys, "measure", *[F.col(c).alias(f"{c}_{level}") for c in ("total", *QUANTILES)])
+    groups = m.select("lang", "source").distinct().withColumn("measure", F.explode(F.array(*[F.lit(x) for x in MEASURES])))
+    j = groups.join(of(0, ["lang", "source"]), ["lang", "source", "measure"], "left").join(of(1, ["lang"]), ["lang", "measure"], "left").join(of(2, []), "measure", "left")
+
+    def blended(x: str) -> Column:
+        def with_prior(level: int, prior: Column) -> Column:
+            n, own = F.col(f"total_{level}"), F.col(f"{x}_{level}")
+            return F.when(n.isNull(), prior).otherwise((n * own + PRIOR * prior) / (n + PRIOR))
+
+        return with_prior(0, with_prior(1, F.col(f"{x}_2")))
+
+    j = j.select("lang", "source", "measure", *[blended(x).alias(x) for x in QUANTILES])
     out = []
-    for x, (add, low) in MEASURES.items():
+    for x, (least, most, share, low) in MEASURES.items():
         at = lambda c: F.max(F.when(F.col("measure") == x, c))  # noqa: B023, E731
-        reach = FENCE * (F.col("b") - F.col("a"))
-        out.append(at(F.col("b") + reach + add).alias(f"{x}_hi"))
+        reach = FENCE * (F.col("q75") - F.col("q25"))
+        slack = F.least(F.greatest(TAIL * F.col("q95"), F.lit(least)), F.lit(most))
+        top = F.col("q75") + reach + slack
+        out.append(at(F.least(top, F.lit(MOST)) if share else top).alias(f"{x}_hi"))
         if low:
-            out.append(at(F.col("a") - reach - add).alias(f"{x}_lo"))
+            out.append(at(F.col("q25") - reach - slack).alias(f"{x}_lo"))
     return j.groupBy("lang", "source").agg(*out)

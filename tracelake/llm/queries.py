@@ -121,7 +121,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OP3_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text,
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, chr(0)) AS lang, coalesce(source, chr(0)) AS source, coalesce(text, '') AS text,
                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
 win AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
@@ -132,17 +132,24 @@ m AS (SELECT rid, doc_id, lang, source, len(w) AS n_words, length(regexp_replace
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
              [coalesce(n_symbols / nullif(n_words, 0), 0), coalesce(n_dup_lines / nullif(n_lines, 0), 0), coalesce(n_repeat_words / nullif(n_words, 0), 0),
               coalesce(n_upper / nullif(word_chars, 0), 0), coalesce(word_chars / nullif(n_words, 0), 0)] AS x FROM m),
-b AS (SELECT lang, source, k, CASE WHEN x[k] < 1e-9 THEN -1048576 ELSE CAST(ceil(ln(x[k]) / ln(1.02::DOUBLE)) AS INT) END AS bin FROM v, range(1, 6) r(k) WHERE n_words > 0),
+b AS (SELECT lang, source, k, CASE WHEN x[k] < 1e-9 THEN -1048576 ELSE CAST(ceil(ln(x[k]) / ln(1.02::DOUBLE)) AS INT) END AS bin FROM v, range(1, 6) r(k) WHERE NOT base_failed),
 s AS (SELECT 0 AS level, lang, source, k, bin, count(*) AS n FROM b GROUP BY ALL UNION ALL SELECT 1, lang, NULL, k, bin, count(*) FROM b GROUP BY ALL
       UNION ALL SELECT 2, NULL, NULL, k, bin, count(*) FROM b GROUP BY ALL),
 c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, k ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY level, lang, source, k) AS total,
              CASE WHEN bin = -1048576 THEN 0 ELSE pow(1.02::DOUBLE, bin) END AS value FROM s),
-q AS (SELECT level, lang, source, k, max(total) AS total, min(value) FILTER (upto >= 0.25 * total) AS a, min(value) FILTER (upto >= 0.75 * total) AS b FROM c GROUP BY ALL),
-p AS (SELECT o.lang, o.source, o.k, CASE WHEN o.total >= 200 THEN o.a WHEN l.total >= 200 THEN l.a ELSE e.a END AS a, CASE WHEN o.total >= 200 THEN o.b WHEN l.total >= 200 THEN l.b ELSE e.b END AS b,
-             CAST(list_extract([0.1, 0.5, 0.35, 0.2, 2.0], o.k) AS DOUBLE) AS slack
-      FROM q o JOIN q l ON l.level = 1 AND l.lang = o.lang AND l.k = o.k JOIN q e ON e.level = 2 AND e.k = o.k WHERE o.level = 0),
+q AS (SELECT level, lang, source, k, max(total) AS n, min(value) FILTER (upto >= 0.25 * total) AS a, min(value) FILTER (upto >= 0.75 * total) AS b,
+             min(value) FILTER (upto >= 0.95 * total) AS t FROM c GROUP BY ALL),
+g AS (SELECT DISTINCT d.lang, d.source, r.k FROM d, range(1, 6) r(k)),
+pl AS (SELECT g.lang, g.source, g.k, CASE WHEN l.n IS NULL THEN e.a ELSE (l.n * l.a + 50 * e.a) / (l.n + 50) END AS a, CASE WHEN l.n IS NULL THEN e.b ELSE (l.n * l.b + 50 * e.b) / (l.n + 50) END AS b,
+              CASE WHEN l.n IS NULL THEN e.t ELSE (l.n * l.t + 50 * e.t) / (l.n + 50) END AS t
+       FROM g LEFT JOIN q l ON l.level = 1 AND l.lang = g.lang AND l.k = g.k LEFT JOIN q e ON e.level = 2 AND e.k = g.k),
+pg AS (SELECT p.lang, p.source, p.k, CASE WHEN o.n IS NULL THEN p.a ELSE (o.n * o.a + 50 * p.a) / (o.n + 50) END AS a, CASE WHEN o.n IS NULL THEN p.b ELSE (o.n * o.b + 50 * p.b) / (o.n + 50) END AS b,
+              CASE WHEN o.n IS NULL THEN p.t ELSE (o.n * o.t + 50 * p.t) / (o.n + 50) END AS t
+       FROM pl p LEFT JOIN q o ON o.level = 0 AND o.lang = p.lang AND o.source = p.source AND o.k = p.k),
+ps AS (SELECT *, least(greatest(4 * t, CAST(list_extract([0.02, 0.2, 0.1, 0.05, 1.0], k) AS DOUBLE)), CAST(list_extract([0.1, 0.5, 0.35, 0.2, 2.0], k) AS DOUBLE)) AS slack FROM pg),
+p AS (SELECT lang, source, k, CASE WHEN k IN (2, 3, 4) THEN least(b + 3 * (b - a) + slack, 0.9::DOUBLE) ELSE b + 3 * (b - a) + slack END AS hi, a - 3 * (b - a) - slack AS lo FROM ps),
 f AS (SELECT rid, string_agg(list_extract(['symbol_rate', 'dup_line_share', 'repeat_share', 'upper_share', 'mean_word'], k), ',' ORDER BY k) AS failed
-      FROM v JOIN p USING (lang, source) WHERE n_words > 0 AND (x[k] > b + 3 * (b - a) + slack OR (k = 5 AND x[k] < a - 3 * (b - a) - slack)) GROUP BY rid)
+      FROM v JOIN p USING (lang, source) WHERE n_words > 0 AND (x[k] > hi OR (k = 5 AND x[k] < lo)) GROUP BY rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(failed, '') AS failed, NOT base_failed AND failed IS NULL AS kept FROM v LEFT JOIN f USING (rid)
 """
 
