@@ -349,7 +349,7 @@ def test_every_word_has_a_vector_of_its_own(spark):
     rng = random.Random(9)
     names = [f"w{i}" for i in range(40_000)]
     rows = [(i, " ".join(rng.choices(names, k=300) + ["the"] * 5), "en", "s", 1) for i in range(150)] + [(999, None, "en", "s", 1)]
-    code = lambda w: next(iter(chunks(pa.array([w])))).words
+    code = lambda w: next(iter(chunks(pa.array([w])))).words >> np.uint64(8)
     index = {w: quality_classifier.index_vectors(code(w))[0].astype(int) for w in {w for _, x, *_ in rows for w in (x or "").split()}}
     vector = {w: np.zeros(quality_classifier.DIM) for w in index}
     for _, x, *_ in rows:

@@ -1,6 +1,6 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a two-layer numpy network with temperature.
 
-Random indexing: each word has a sparse ternary index vector, drawn from its 64-bit code. Its context vector is the sum of the
+Random indexing: each word has a sparse ternary index vector, drawn from its 56-bit code. Its context vector is the sum of the
 index vectors of its neighbours (two on each side) over the whole corpus; as an integer sum, it is put together from parts in any
 order. Every word has a vector of its own, at any size of the corpus. A word's vector is the sign of each entry of that sum whose
 size is at least half the root mean square, so it takes two bits an entry.
@@ -52,7 +52,7 @@ _STEP = 100_000
 
 
 def index_vectors(codes: np.ndarray) -> np.ndarray:
-    """A sparse ternary vector for each 64-bit code: NONZERO places, all different, and their signs."""
+    """A sparse ternary vector for each code: NONZERO places, all different, and their signs."""
     out = np.zeros((len(codes), DIM), np.int8)
     h = mixed(codes + U(0x9E3779B97F4A7C15))
     row, step = np.arange(len(codes)), (h >> U(8)) | U(1)  # an odd step meets each place once
@@ -131,10 +131,10 @@ def _plain(chunk: Chunk) -> np.ndarray:
     return out
 
 
-_DEALT = "key int, piece long, words binary, sums binary, docs array<struct<id:long,hash:long,n:int,kinds:int>>, plain binary, bag binary, times binary"
+_DEALT = "key int, piece long, words binary, sums binary, docs array<struct<id:long,hash:long,n:int,kinds:int>>, plain binary, rarity binary, bag binary, times binary"
 _DOCS = pa.list_(pa.struct([("id", pa.int64()), ("hash", pa.int64()), ("n", pa.int32()), ("kinds", pa.int32())]))
-_DEALT_KINDS = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), _DOCS, *[pa.binary()] * 3]
-_DEALT_NAMES = "key piece words sums docs plain bag times"
+_DEALT_KINDS = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), _DOCS, *[pa.binary()] * 4]
+_DEALT_NAMES = "key piece words sums docs plain rarity bag times"
 
 
 def _dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -147,30 +147,32 @@ def _dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
         doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
         unique, at = np.unique(np.concatenate(words), return_inverse=True)
         at = at.astype(np.int32)
-        pair, times = np.unique(doc.astype(np.int64) * max(1, len(unique)) + at, return_counts=True)
+        rarity = _rarity(np.bincount(at, minlength=len(unique)))
+        place = np.empty(len(unique), np.int64)
+        place[np.argsort(rarity, kind="stable")] = np.arange(len(unique))
+        pair, times = np.unique(doc.astype(np.int64) * max(1, len(unique)) + place[at], return_counts=True)
         whose, which = pair // max(1, len(unique)), pair % max(1, len(unique))
         kinds = np.bincount(whose, minlength=len(n))
-        step = np.diff(which, prepend=0)
-        step[np.flatnonzero(np.diff(whose, prepend=-1))] = which[np.flatnonzero(np.diff(whose, prepend=-1))]
+        step, first = np.diff(which, prepend=0), np.flatnonzero(np.diff(whose, prepend=-1))
+        step[first] = which[first]
         numbers = np.concatenate(plain)
         numbers[:, 1] = kinds / np.maximum(n, 1)
         docs = [{"id": i, "hash": h, "n": a, "kinds": b} for i, h, a, b in zip(ids, hashes, n.tolist(), kinds.tolist(), strict=True)]
-        mine = (int(mixed(np.array([piece], U))[0] % U(buckets)), piece, None, None, docs, _squeeze(numbers.astype("<f4").ravel()), _planed(step), _planed(times))
+        mine = (int(mixed(np.array([piece], U))[0] % U(buckets)), piece, None, None, docs, _squeeze(numbers.astype("<f2").ravel()), _squeeze(rarity), _planed(step), _planed(times))
         yield _rows([mine], _DEALT_KINDS, _DEALT_NAMES)
         # codes are sorted, so a bucket of their highest bits is a range of them
-        edges = np.searchsorted(((unique >> U(32)) * U(buckets) >> U(32)).astype(np.int64), np.arange(buckets + 1))
+        edges = np.searchsorted(((unique >> U(24)) * U(buckets) >> U(32)).astype(np.int64), np.arange(buckets + 1))
         rows = []
         for b, sums in enumerate(word_sums(at, doc, index_vectors(unique), edges)):
             if edges[b] < edges[b + 1]:
-                codes = np.diff(unique[edges[b] : edges[b + 1]], prepend=U(0))
-                rows.append((b, piece, _planed64(codes), sums, *[None] * 4))
+                rows.append((b, piece, _coded(unique[edges[b] : edges[b + 1]]), sums, *[None] * 5))
         if rows:
             yield _rows(rows, _DEALT_KINDS, _DEALT_NAMES)
 
     for batch in batches:
         who, code = batch.column("id").to_pylist(), batch.column("hash").to_pylist()
         for chunk in chunks(batch.column("text")):
-            words.append(chunk.words)
+            words.append(chunk.words >> U(8))
             sizes.append(np.diff(chunk.first))
             ids += who[chunk.lo : chunk.hi]
             hashes += code[chunk.lo : chunk.hi]
@@ -184,19 +186,26 @@ def _dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
         yield from deal()
 
 
-def _planed64(x: np.ndarray) -> bytes:
-    """Differences of 64-bit codes, as planes of bytes."""
-    return _squeeze(np.ascontiguousarray(x.astype("<u8").view("u1").reshape(-1, 8).T).ravel())
+def _rarity(counts: np.ndarray) -> np.ndarray:
+    """How rare a word is in a piece, in powers of two. Bags number words from the most frequent on, so their steps are short."""
+    return (63 - np.floor(np.log2(np.maximum(counts, 1)))).astype("u1")
+
+
+def _coded(codes: np.ndarray) -> bytes:
+    """Sorted codes as differences, in planes of bytes."""
+    return _squeeze(np.ascontiguousarray(np.diff(codes, prepend=U(0)).astype("<u8").view("u1").reshape(-1, 8)[:, :7].T).ravel())
 
 
 def _codes(raw: bytes) -> np.ndarray:
-    planes = _loose(raw, "u1").reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel().astype(U))
+    planes = _loose(raw, "u1").reshape(7, -1)
+    out = np.zeros((planes.shape[1], 8), "u1")
+    out[:, :7] = planes.T
+    return np.cumsum(out.view("<u8").ravel().astype(U))
 
 
-_MET = "piece long, bucket int, vectors binary, docs array<struct<id:long,hash:long,n:int,kinds:int>>, plain binary, bag binary, times binary"
-_MET_KINDS = [pa.int64(), pa.int32(), pa.binary(), _DOCS, *[pa.binary()] * 3]
-_MET_NAMES = "piece bucket vectors docs plain bag times"
+_MET = "piece long, bucket int, vectors binary, docs array<struct<id:long,hash:long,n:int,kinds:int>>, plain binary, rarity binary, bag binary, times binary"
+_MET_KINDS = [pa.int64(), pa.int32(), pa.binary(), _DOCS, *[pa.binary()] * 4]
+_MET_NAMES = "piece bucket vectors docs plain rarity bag times"
 
 
 def signs(total: np.ndarray) -> np.ndarray:
@@ -216,14 +225,14 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total[np.searchsorted(unique, w)] += _unpacked(sums)
         vectors = signs(total)
         for (piece, _, _), w in zip(rows, words, strict=True):
-            yield _rows([(piece, bucket, _packed(vectors[np.searchsorted(unique, w)]), *[None] * 4)], _MET_KINDS, _MET_NAMES)
+            yield _rows([(piece, bucket, _packed(vectors[np.searchsorted(unique, w)]), *[None] * 5)], _MET_KINDS, _MET_NAMES)
 
     now, rows = None, []
     for batch in batches:
         for i in range(len(batch)):
             key, piece, words, sums = (batch.column(c)[i].as_py() for c in ("key", "piece", "words", "sums"))
             if words is None:
-                yield _rows([(piece, None, None, *(batch.column(c)[i].as_py() for c in ("docs", "plain", "bag", "times")))], _MET_KINDS, _MET_NAMES)
+                yield _rows([(piece, None, None, *(batch.column(c)[i].as_py() for c in ("docs", "plain", "rarity", "bag", "times")))], _MET_KINDS, _MET_NAMES)
                 continue
             if key != now and rows:
                 yield from answers(now, rows)
@@ -237,12 +246,12 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """By piece: id, text hash and features of each row. A piece's rows come together: its bags, then its vectors by bucket."""
 
-    def features(docs: list[dict], plain: bytes, bag: bytes, times: bytes, vectors: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        table = np.concatenate([np.zeros((0, DIM), np.int8), *vectors])
+    def features(docs: list[dict], plain: bytes, rarity: bytes, bag: bytes, times: bytes, vectors: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        table = np.concatenate([np.zeros((0, DIM), np.int8), *vectors])[np.argsort(_loose(rarity, "u1"), kind="stable")]
         kinds, n = np.array([d["kinds"] for d in docs]), np.array([d["n"] for d in docs])
         step, times = _unplaned(bag), _unplaned(times)
         x = np.zeros((len(docs), FEATURES), "<f4")
-        x[:, DIM:] = _loose(plain, "<f4").reshape(-1, PLAIN)
+        x[:, DIM:] = _loose(plain, "<f2").reshape(-1, PLAIN)
         x[:, DIM] = np.log1p(n) / 10
         ends = np.cumsum(kinds)
         lo = 0
@@ -271,7 +280,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bags, vectors = None, []
             now = piece
             if found is None:
-                bags = tuple(batch.column(c)[i].as_py() for c in ("docs", "plain", "bag", "times"))
+                bags = tuple(batch.column(c)[i].as_py() for c in ("docs", "plain", "rarity", "bag", "times"))
             else:
                 vectors.append(_unpacked(found).astype(np.int8))
     if bags is not None:
