@@ -48,7 +48,7 @@ HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 3e-3, 1e-4
 PLAIN = 5
 FEATURES = DIM + PLAIN
 #: Tokens whose neighbours are looked up together.
-_STEP = 100_000
+_STEP = 50_000
 
 
 def index_vectors(codes: np.ndarray) -> np.ndarray:
@@ -100,10 +100,9 @@ def _unplaned(raw: bytes) -> np.ndarray:
     return out
 
 
-def word_sums(at: np.ndarray, doc: np.ndarray, index: np.ndarray, edges: np.ndarray) -> Iterator[bytes]:
+def word_sums(at: np.ndarray, doc: np.ndarray, index: np.ndarray, order: np.ndarray, edges: np.ndarray) -> Iterator[bytes]:
     """For each range of words between edges, packed sums of the index vectors of the words' neighbours in the same document.
-    at: the word of each token, a row of index."""
-    order = np.argsort(at, kind="stable").astype(np.int32)
+    at: the word of each token, a row of index; order: the tokens by word."""
     begin = np.searchsorted(at, np.arange(len(index) + 1), sorter=order)
     for x, y in zip(edges[:-1], edges[1:], strict=True):
         total = np.zeros((y - x, DIM), np.int64)
@@ -145,25 +144,20 @@ def _dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
     def deal() -> Iterator[pa.RecordBatch]:
         n = np.concatenate(sizes)
         doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
-        unique, at = np.unique(np.concatenate(words), return_inverse=True)
-        at = at.astype(np.int32)
+        unique, at, order = _numbered(words)
         rarity = _rarity(np.bincount(at, minlength=len(unique)))
-        place = np.empty(len(unique), np.int64)
+        place = np.empty(len(unique), np.int32)
         place[np.argsort(rarity, kind="stable")] = np.arange(len(unique))
-        pair, times = np.unique(doc.astype(np.int64) * max(1, len(unique)) + place[at], return_counts=True)
-        whose, which = pair // max(1, len(unique)), pair % max(1, len(unique))
-        kinds = np.bincount(whose, minlength=len(n))
-        step, first = np.diff(which, prepend=0), np.flatnonzero(np.diff(whose, prepend=-1))
-        step[first] = which[first]
+        kinds, step, times = _bags(n, at, place)
         numbers = np.concatenate(plain)
         numbers[:, 1] = kinds / np.maximum(n, 1)
         docs = [{"id": i, "hash": h, "n": a, "kinds": b} for i, h, a, b in zip(ids, hashes, n.tolist(), kinds.tolist(), strict=True)]
-        mine = (int(mixed(np.array([piece], U))[0] % U(buckets)), piece, None, None, docs, _squeeze(numbers.astype("<f2").ravel()), _squeeze(rarity), _planed(step), _planed(times))
+        mine = (int(mixed(np.array([piece], U))[0] % U(buckets)), piece, None, None, docs, _squeeze(numbers.astype("<f2").ravel()), _squeeze(rarity), step, times)
         yield _rows([mine], _DEALT_KINDS, _DEALT_NAMES)
         # codes are sorted, so a bucket of their highest bits is a range of them
         edges = np.searchsorted(((unique >> U(24)) * U(buckets) >> U(32)).astype(np.int64), np.arange(buckets + 1))
         rows = []
-        for b, sums in enumerate(word_sums(at, doc, index_vectors(unique), edges)):
+        for b, sums in enumerate(word_sums(at, doc, index_vectors(unique), order, edges)):
             if edges[b] < edges[b + 1]:
                 rows.append((b, piece, _coded(unique[edges[b] : edges[b + 1]]), sums, *[None] * 5))
         if rows:
@@ -184,6 +178,39 @@ def _dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
                 words, sizes, ids, hashes, plain, held = [], [], [], [], [], 0
     if ids:
         yield from deal()
+    pa.default_memory_pool().release_unused()
+
+
+def _numbered(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct codes, the place of each token's code in them, and the tokens by code. Empties the list as it goes on,
+    so that a task holds each token's code once."""
+    codes = np.concatenate(words)
+    words.clear()
+    order = np.argsort(codes).astype(np.int32)
+    codes = codes[order]
+    new = np.concatenate([[True], codes[1:] != codes[:-1]])[: len(codes)]
+    at = np.empty(len(codes), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - 1
+    return codes[new], at, order
+
+
+def _bags(n: np.ndarray, at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, bytes, bytes]:
+    """How many distinct words each document has; their places, as steps from the one before; and how often each occurs."""
+    kinds, steps, times, ends = np.zeros(len(n), np.int64), [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)], np.cumsum(n)
+    lo = 0
+    while lo < len(n):  # documents of some 500,000 tokens at a time
+        begin = ends[lo] - n[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, begin + 500_000, "right")))
+        pair = np.repeat(np.arange(hi - lo), n[lo:hi]) * len(place) + place[at[begin : ends[hi - 1]]]
+        pair, often = np.unique(pair, return_counts=True)
+        whose, which = pair // max(1, len(place)), pair % max(1, len(place))
+        kinds[lo:hi] = np.bincount(whose, minlength=hi - lo)
+        step, first = np.diff(which, prepend=0), np.flatnonzero(np.diff(whose, prepend=-1))
+        step[first] = which[first]
+        steps.append(step.astype(np.uint32))
+        times.append(often.astype(np.uint32))
+        lo = hi
+    return kinds, _planed(np.concatenate(steps)), _planed(np.concatenate(times))
 
 
 def _rarity(counts: np.ndarray) -> np.ndarray:
@@ -249,13 +276,13 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def features(docs: list[dict], plain: bytes, rarity: bytes, bag: bytes, times: bytes, vectors: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         table = np.concatenate([np.zeros((0, DIM), np.int8), *vectors])[np.argsort(_loose(rarity, "u1"), kind="stable")]
         kinds, n = np.array([d["kinds"] for d in docs]), np.array([d["n"] for d in docs])
-        step, times = _unplaned(bag), _unplaned(times)
+        step, times = _unplaned(bag), _unplaned(times).astype(np.int32)
         x = np.zeros((len(docs), FEATURES), "<f4")
         x[:, DIM:] = _loose(plain, "<f2").reshape(-1, PLAIN)
         x[:, DIM] = np.log1p(n) / 10
         ends = np.cumsum(kinds)
         lo = 0
-        while lo < len(docs):  # in parts of some 100,000 words
+        while lo < len(docs):  # in parts of some 50,000 words
             before = ends[lo] - kinds[lo]
             hi = max(lo + 1, int(np.searchsorted(ends, before + _STEP, "right")))
             own, first = step[before : ends[hi - 1]], ends[lo:hi] - kinds[lo:hi] - before
@@ -263,7 +290,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             which = whole - np.repeat(np.concatenate([[0], whole])[first], kinds[lo:hi])
             some = np.flatnonzero(kinds[lo:hi])
             if len(some):
-                sums = np.add.reduceat(table[which] * times[before : ends[hi - 1], None], first[some], axis=0)
+                sums = np.add.reduceat(table[which] * times[before : ends[hi - 1], None], first[some], axis=0, dtype=np.int64)
                 x[lo + some, :DIM] = sums / n[lo + some, None]
             lo = hi
         for a in range(0, len(docs), 10_000):
@@ -285,6 +312,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 vectors.append(_unpacked(found).astype(np.int8))
     if bags is not None:
         yield from features(*bags, vectors)
+    pa.default_memory_pool().release_unused()
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
