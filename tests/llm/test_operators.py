@@ -471,6 +471,35 @@ def test_near_duplicate_chains_and_large_groups(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(near_groups(rows)[0].values()))
 
 
+@pytest.mark.parametrize("block", [1000, 3])
+def test_near_duplicates_in_mixed_buckets(spark, monkeypatch, block):
+    """Many texts around one passage, too far from each other to be linked as a whole, some of them linked in pairs; buckets parted
+    by further bands and by blocks find the same."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    rng = random.Random(13)
+    passage, rows = prose(rng, 60, 5000), []
+    for i in range(40):
+        own = prose(rng, rng.randrange(15, 60), 5000).split()
+        for k in range(rng.randrange(1, 3)):
+            rows.append((10 * i + k, passage + " " + " ".join(own), "en", "s", 1))
+            own = own[: -rng.randrange(2, 6)] + [f"z{i}"]
+    long = prose(rng, 2500, 3000).split()  # sets of over a thousand shingles
+    rows += [(1000, " ".join(long), "en", "s", 1), (1001, " ".join(long[:2200]), "en", "s", 1), (1002, " ".join(long[300:]), "en", "s", 1), (1003, " ".join(long[:1500]), "en", "s", 1)]
+    got = dict(table(minhash_dedup.near_duplicates(documents(spark, rows).repartition(5)), "doc_id", "component_id"))
+    assert got == near_groups(rows)[0] and 1 < len(set(got.values())) < len(rows)
+
+
+def test_one_row_of_an_id_stays(spark):
+    """Of rows that share an id the same one stays in any order of rows."""
+    rng = random.Random(14)
+    rows = [(i % 6, prose(rng, 40), "en", f"s{i}", i) for i in range(24)] + [(0, "twice", "en", "a", 1), (0, "twice", "en", "b", 2)]
+    one = table(minhash_dedup.deduplicated(documents(spark, rows)), "doc_id", "text", "source", "n_chars")
+    for seed in range(2):
+        rng.shuffle(rows)
+        assert table(minhash_dedup.deduplicated(documents(spark, rows).repartition(4)), "doc_id", "text", "source", "n_chars") == one
+    assert sorted({r[0] for r in one}) == [r[0] for r in one]
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------------
 def test_packing_round_trip(spark, docs, nothing):
     import public_tokenizers

@@ -6,18 +6,21 @@ chance of 5e-6. Every proposed link is confirmed on the full sets.
 
 No pairs within a bucket are listed at first: each member is compared to the bucket's least member. Confirmed links give
 components. Only in buckets that then still hold several components can further links matter; there, members of different
-components are compared block by block on their signatures, then on sketches of their sets (the whole set up to SKETCH
-shingles), and pairs that pass (ESTIMATE, SKETCH_ESTIMATE) are confirmed on the full sets as well. So no link between components is passed over for want of a
-comparison, while large groups of near copies, which the first step joins, stay linear.
+components are compared on their signatures, and pairs whose estimate is ESTIMATE or more are confirmed on the full sets as well.
+So large groups of near copies, which the first step joins, stay linear. Of the buckets that still hold several components, those
+of more than BLOCK members (say, all documents with one long license text) are parted by a further band each of their later ones,
+up to REFINED times: members that share one band alone no longer meet, and a pair at 0.75 shares fewer than two of the 32 bands
+with a chance of 8e-5, fewer than three with 6e-4. What is larger still after that is compared block by block, none left out.
+A pair at 0.75 falls below ESTIMATE with a chance of 1e-5.
 
 Plan: the first scan keeps ids, set sizes, set digests and signatures, no text. Bucket minima are combined before the shuffle
 and joined back, so that a hot bucket's rows are split by Spark. A second scan makes the sets of documents in buckets of two
 or more. Each stage ends in a table in the shared folder.
 
 Defined cases. Null text or no word: an empty set, linked with nothing. Fewer than five words: the whole sequence is one
-shingle. Repeated rows, or rows that share an id: one node; each row gets its result. Null ids: linked with nothing. No
-rows: no result rows. Other columns aren't read. Codes of 64 bits stand for shingles; two that differ share one with a chance
-of 2^-64.
+shingle. Repeated rows, or rows that share an id: one node; each row gets its result; a pair of ids is linked if any of their texts
+are. Null ids: linked with nothing. No rows: no result rows. Other columns, whatever their names, aren't read. Codes of 64 bits
+stand for shingles; two that differ share one with a chance of 2^-64.
 """
 
 from __future__ import annotations
@@ -25,12 +28,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import cut, small_batches
+from tracelake.llm.common import cut, shuffle_width, small_batches
 from tracelake.llm.components import components
 from tracelake.llm.wordcodes import PLACES, U, chunks, grams, mixed
 
@@ -38,10 +40,10 @@ SHINGLE = 5
 HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
 THRESHOLD = 75
-#: Four and a half standard errors below the threshold, for HASHES minima and for SKETCH least codes.
+#: Four and a half standard errors below the threshold, for HASHES minima.
 ESTIMATE = 0.58
-SKETCH, SKETCH_ESTIMATE = 1024, 0.689
-BLOCK = 256
+#: Members of a bucket that are compared together; how often a larger bucket is parted by further bands.
+BLOCK, REFINED = 256, 2
 _rng = np.random.Generator(np.random.PCG64(20240301))
 _A = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * U(2) + U(1)
 _B = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -92,8 +94,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[np.ndarray] = []
         for chunk in chunks(batch.column("text"), lower=True):
             out += [shingles(chunk.of(k)) for k in range(chunk.hi - chunk.lo)]
-        short = [(x[: SKETCH + 1] >> U(32)).astype("<u4").tobytes() for x in out]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in out], pa.binary()), pa.array(short, pa.binary())], names=["id", "set", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in out], pa.binary())], names=["id", "set"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,57 +117,78 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "set_u", "set_v").mapInArrow(_confirmed, "u long, v long")
 
 
-def _near(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether two sets may be similar enough: their least SKETCH codes (halved to 32 bits) tell, for shorter sets all codes."""
-    full = len(x) <= SKETCH and len(y) <= SKETCH
-    both = np.concatenate([x[:SKETCH], y[:SKETCH]])
-    both.sort(kind="stable")
-    twice = both[1:] == both[:-1]
-    if full:
-        common = int(twice.sum())
-        return 100 * common >= THRESHOLD * (len(both) - common)
-    # the union's least SKETCH codes: a place counts once, and a code found twice holds two of them
-    new = np.concatenate([[True], ~twice])
-    upto = int(np.searchsorted(np.cumsum(new), SKETCH, "right"))
-    return int((~new[:upto]).sum()) >= SKETCH_ESTIMATE * SKETCH
-
-
-def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of members of two blocks (or of one) that lie in different components and may be similar enough. A pair counts in
-    the first band that it shares alone."""
-    out = []
-    left, right = pdf[pdf["side"] != 1], pdf[pdf["side"] != 0]
-    if len(left) and len(right):
-        signature = lambda d: np.frombuffer(b"".join(d["signature"]), "<u4").reshape(len(d), HASHES)
-        s, t = signature(left), signature(right)
-        ids, others = left["id"].to_numpy(), right["id"].to_numpy()
-        at, other_at = left["component"].to_numpy(), right["component"].to_numpy()
-        own, other = (d["sketch"].map(lambda x: np.frombuffer(x, "<u4")).tolist() for d in (left, right))
-        one, place = bool((pdf["side"] == 2).all()), int(pdf["place"].iloc[0])
-        for i in range(len(left)):
-            j = np.flatnonzero(other_at != at[i])
-            if one:
-                j = j[j > i]
-            same = t[j] == s[i]
-            j = j[(same.sum(axis=1) >= ESTIMATE * HASHES) & (same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == place)]
-            out += [(min(ids[i], others[x]), max(ids[i], others[x])) for x in j if _near(own[i], other[x])]
-    return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+def _met(path: list[int], ids: np.ndarray, component: np.ndarray, n: np.ndarray, side: np.ndarray, s: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of members of two blocks (or of one) that lie in different components and may be similar enough: by size, then by
+    signature. A pair counts only where path names the first bands that it shares, so once in all."""
+    order = np.argsort(n, kind="stable")
+    ids, component, n, side, s = ids[order], component[order], n[order], side[order], s[order]
+    one, out = bool((side == 2).all()), []
+    upto = np.searchsorted(n, n * 100 // THRESHOLD, "right")  # sizes of similar sets differ by a third at most
+    for i in range(len(ids) - 1):
+        j = np.arange(i + 1, upto[i])
+        j = j[(component[j] != component[i]) & (ids[j] != ids[i]) & (one | (side[j] != side[i]))]
+        if not len(j):
+            continue
+        same = s[j] == s[i]
+        near = same.sum(axis=1) >= ESTIMATE * HASHES
+        for x, bands in zip(j[near], same[near].reshape(-1, BANDS, ROWS).all(axis=2), strict=True):
+            if np.flatnonzero(bands)[: len(path)].tolist() == path:
+                out.append((min(ids[i], ids[x]), max(ids[i], ids[x])))
+    return out
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of each group (key, x, y), whose rows come together."""
+
+    def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        path, ids, component, n, side, signature = zip(*rows, strict=True)
+        found = _met(list(path[0]), np.array(ids), np.array(component), np.array(n), np.array(side), np.frombuffer(b"".join(signature), "<u4").reshape(-1, HASHES))
+        if found:
+            u, v = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    now, rows = None, []
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("key", "x", "y", "path", "id", "component", "n", "side", "signature")]
+        for key, x, y, *row in zip(*columns, strict=True):
+            if (key, x, y) != now and rows:
+                yield from pairs(rows)
+                rows = []
+            now = key, x, y
+            rows.append(tuple(row))
+    if rows:
+        yield from pairs(rows)
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components, and how many each bucket has."""
+    several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+    return rows.join(several.select("key", "size"), "key")
 
 
 def _residual(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Candidate pairs across components. buckets: band, place, id. nodes: id, component, signature, sketch."""
-    labelled = buckets.join(nodes.select("id", "component"), "id")
-    mixed_up = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    """Candidate pairs across components. buckets: band, place, id. nodes: id, component, n, signature, bands."""
+    rows = buckets.join(nodes.select("id", "component"), "id").select(F.col("band").alias("key"), F.array(F.col("place").cast("int")).alias("path"), "id", "component")
+    rows, compared = cut(_mixed(rows)), None
+    for _ in range(REFINED):
+        large = rows.where(F.col("size") > BLOCK)
+        if large.isEmpty():
+            break
+        small = rows.where(F.col("size") <= BLOCK)
+        compared = small if compared is None else compared.unionByName(small)
+        further = large.join(nodes.select("id", "bands"), "id").select("key", "path", "id", "component", F.posexplode("bands").alias("place", "band"))
+        further = further.where(F.col("place") > F.element_at("path", -1))
+        rows = cut(_mixed(further.select(F.xxhash64("key", "place", "band").alias("key"), F.array_append("path", F.col("place").cast("int")).alias("path"), "id", "component")))
+    compared = rows if compared is None else compared.unionByName(rows)
     # A block is a share of a bucket by id hash; every block meets every block of its bucket, in a group of its own
-    mixed_up = mixed_up.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = labelled.join(mixed_up, "band").withColumn("block", F.pmod(F.xxhash64("id", "band"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    meets = F.transform(every, lambda x: F.struct(F.least(x, F.col("block")).alias("x"), F.greatest(x, F.col("block")).alias("y")))
-    rows = rows.select("band", "place", "id", "component", "block", F.explode(meets).alias("at"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    compared = compared.withColumn("block", F.pmod(F.xxhash64("id", "key"), blocks).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("x"), F.greatest(x, F.col("block")).alias("y")))
+    compared = compared.select("key", "path", "id", "component", "block", F.explode(meets).alias("at"))
     side = F.when(F.col("at.x") == F.col("at.y"), F.lit(2)).otherwise((F.col("block") != F.col("at.x")).cast("int"))
-    rows = rows.select("band", "place", "id", "component", F.col("at.x").alias("x"), F.col("at.y").alias("y"), side.alias("side"))
-    rows = rows.join(nodes.select("id", "signature", "sketch"), "id")
-    return rows.groupBy("band", "x", "y").applyInPandas(_across, "u long, v long").distinct()
+    compared = compared.select("key", "path", "id", "component", F.col("at.x").alias("x"), F.col("at.y").alias("y"), side.alias("side"))
+    compared = compared.join(nodes.select("id", "n", "signature"), "id").repartition(shuffle_width(buckets.sparkSession), "key", "x", "y")
+    return compared.sortWithinPartitions("key", "x", "y").mapInArrow(_across, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,16 +202,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same_set = member.where("id <> class").select(F.col("id").alias("u"), F.col("class").alias("v"))
 
     heads = filled.join(classes.withColumnRenamed("class", "id"), ["n", "d1", "d2", "id"], "left_semi").dropDuplicates(["n", "d1", "d2", "id"])
-    heads = heads.select("id", "signature", "bands")
+    heads = heads.select("id", "n", "signature", "bands")
     rows = heads.select("id", F.posexplode("bands").alias("place", "band"))
     full = rows.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     buckets = cut(rows.join(full.select("band", "least"), "band"))
     used = buckets.select("id").distinct()
-    sets = cut(texts.join(used, "id", "left_semi").mapInArrow(_sets, "id long, set binary, sketch binary"))
+    sets = cut(texts.join(used, "id", "left_semi").mapInArrow(_sets, "id long, set binary"))
     star = buckets.where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v")).distinct()
     links = cut(_confirm(star, sets))
     first = components(links)
-    nodes = heads.select("id", "signature").join(sets.select("id", "sketch"), "id").join(first.withColumnRenamed("node", "id"), "id", "left")
+    nodes = heads.join(used, "id", "left_semi").join(first.withColumnRenamed("node", "id"), "id", "left")
     nodes = cut(nodes.withColumn("component", F.coalesce("component", "id")))
     more = cut(_confirm(_residual(buckets.select("band", "place", "id"), nodes), sets))
     found = components(links.unionByName(more).unionByName(same_set))
@@ -204,7 +226,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns: one row of each component, and all rows without an id."""
+    """The rows of ``docs``, with all their columns: one row of each component, and all rows without an id. Of rows that share an
+    id, the one whose text, then whose other columns have the least hash."""
     stays = near_duplicates(docs, id_col, text_col).where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("stays_id")).distinct()
-    named = docs.join(stays, docs[id_col] == stays["stays_id"], "left_semi").dropDuplicates([id_col])
+    rest = [f.name for f in docs.schema.fields if f.name != text_col and not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), F.xxhash64(*rest)))
+    inner = f"{'_'.join(docs.columns)}_first"
+    named = docs.join(stays, docs[id_col] == stays["stays_id"], "left_semi").withColumn(inner, first).where(F.col(inner) == 1).drop(inner)
     return named.unionByName(docs.where(F.col(id_col).isNull()))
