@@ -4,13 +4,14 @@ Any window of 50 words holds a whole block of 25 of its own document's non-overl
 
 1. All blocks are an index; every rolling 25-word window of every document probes it. Both travel as 40-bit codes in key
    buckets, packed per Arrow batch and bucket. A code that is a block somewhere and occurs in two documents is an anchor.
-2. Documents with anchors, and only those, are fetched again. Each anchor is extended to the 50-word windows around it; their
-   64-bit codes (with the bucket, over 70 bits) go to key buckets, which find the least document of each window.
-3. Windows that a smaller document holds come back as bits. Overlapping ones merge into maximal exact repeats, the spans that
-   are removed.
+2. Documents with anchors, and only those, are fetched again. Each anchor is extended to the 50-word windows around it. Their
+   codes, 96 bits of two independent ones (among 10^12 windows two differ under one code with a chance below 10^-5), go to key
+   buckets once a piece of documents, with the least document of the piece that has the window; buckets find the least of all.
+3. Where that is smaller than the piece's own, it comes back. Windows that a smaller document holds overlap and merge into maximal
+   exact repeats, the spans that are removed.
 
-No pairs of documents are made: a passage in a third of all documents is one key, whose entries are read linearly, and other
-keys of its bucket are few. Anchors that meet by chance fall away in step 2.
+No pairs of documents are made: a passage in a third of all documents is one key, whose entries are read linearly (one a document
+in step 1, one a piece in step 2), and other keys of its bucket are few. Anchors that meet by chance fall away in step 2.
 
 Plan: texts are shuffled twice, to meet their anchors (after a bitmap of fixed size has sifted the others out) and their
 spans. Buckets are handled one after another: a task holds one bucket at a time; more buckets than partitions
@@ -163,79 +164,110 @@ def _candidates(words: np.ndarray, keys: np.ndarray, buckets: int) -> np.ndarray
     return np.flatnonzero(np.cumsum(change)[: len(words) - WINDOW + 1] > 0)
 
 
+_WINDOWS = "piece long, bucket int, codes binary, extras binary, least binary, sizes binary, docs binary, starts binary, texts binary"
+
+
 def _extended(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Step 2, map side: a row for each piece and bucket: codes, documents, starts and text hashes of candidate windows."""
+    """Step 2, map side: a row for each piece and bucket: distinct windows (codes, the least document, how many there are), then
+    documents, starts and text hashes of all of them, window by window."""
     piece = TaskContext.get().partitionId() << 40
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    names = [c.split()[0] for c in _WINDOWS.split(", ")]
+    kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 7)
     for batch in batches:
         ids, texts = batch.column("id").to_numpy(zero_copy_only=False), batch.column("hash").to_numpy(zero_copy_only=False)
         keys = batch.column("keys")
         for chunk in chunks(batch.column("text")):
-            codes, starts, who, which = [], [], [], []
+            codes, extras, starts, who, which = [], [], [], [], []
             for k in range(chunk.hi - chunk.lo):
                 row = chunk.lo + k
                 at = _candidates(chunk.of(k), keys[row].values.to_numpy(zero_copy_only=False).astype(U), buckets)
                 if len(at):
                     codes.append(rolling(chunk.of(k), WINDOW, 7)[at])
+                    extras.append((rolling(chunk.of(k), WINDOW, 11)[at] >> U(32)).astype("<u4"))
                     starts.append(at)
                     who.append(np.full(len(at), ids[row]))
                     which.append(np.full(len(at), texts[row]))
             if not codes:
                 continue
-            code, start, doc, text = (np.concatenate(x) for x in (codes, starts, who, which))
-            order, runs = _by_bucket(_bucket(code, buckets))
-            code, start, doc, text = code[order], start[order], doc[order], text[order]
-            rows = [(piece, b, code[x:y].tobytes(), _squeezed(doc[x:y]), _squeezed(start[x:y]), _squeezed(text[x:y])) for b, x, y in runs]
+            code, extra, start, doc, text = (np.concatenate(x) for x in (codes, extras, starts, who, which))
+            order = np.lexsort((start, doc, extra, code))  # buckets are ranges of codes
+            code, extra, start, doc, text = code[order], extra[order], start[order], doc[order], text[order]
+            first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (extra[1:] != extra[:-1])]))
+            size = np.diff([*first, len(code)])
+            _, runs = _by_bucket(_bucket(code[first], buckets))
+            rows = []
+            for b, x, y in runs:
+                own = slice(first[x], first[y - 1] + size[y - 1])
+                f = first[x:y]
+                rows.append((piece, b, code[f].tobytes(), extra[f].tobytes(), _squeezed(doc[f]), _squeezed(size[x:y]), _squeezed(doc[own]), _squeezed(start[own]), _squeezed(text[own])))
             piece += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["piece", "bucket", "codes", "docs", "starts", "texts"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2, reduce side: for each piece of a bucket the places in it whose windows a smaller document holds."""
-    for bucket, rows in _grouped(batches, ["piece", "codes", "docs"]):
-        codes = [np.frombuffer(r[1], "<u8") for r in rows]
-        code, doc = np.concatenate(codes), np.concatenate([_spread(r[2]) for r in rows])
-        _, where = np.unique(code, return_inverse=True)
-        order = np.argsort(where, kind="stable")
-        first = np.flatnonzero(np.diff(where[order], prepend=-1))
-        bits = doc > np.minimum.reduceat(doc[order], first)[where]
-        at = np.cumsum([0, *map(len, codes)])
-        out = [(r[0], bucket, np.packbits(bits[a:b]).tobytes()) for r, a, b in zip(rows, at, at[1:], strict=False) if bits[a:b].any()]
+    """Step 2, reduce side: for each piece of a bucket the places of its windows that a document smaller than its own least holds,
+    and that document."""
+    for bucket, rows in _grouped(batches, ["piece", "codes", "extras", "least"]):
+        code, extra = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in ((1, "<u8"), (2, "<u4")))
+        own = [_spread(r[3]) for r in rows]
+        at, least = np.cumsum([0, *map(len, own)]), np.concatenate(own)
+        order = np.lexsort((extra, code))
+        code, extra = code[order], extra[order]
+        new = np.concatenate([[True], (code[1:] != code[:-1]) | (extra[1:] != extra[:-1])])
+        found = np.empty_like(least)
+        found[order] = np.minimum.reduceat(least[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+        out = []
+        for r, a, b in zip(rows, at, at[1:], strict=False):
+            if len(smaller := np.flatnonzero(found[a:b] < least[a:b])):
+                out.append((r[0], bucket, _squeezed(smaller), _squeezed(found[a:b][smaller])))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["piece", "bucket", "bits"])
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["piece", "bucket", "places", "found"])
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 3: id, text hash and starts of repeated windows: a row for each document of a piece. A piece's rows come together,
-    by bucket: its windows, then their bits if any is set."""
-
-    def emit(doc: list[np.ndarray], text: list[np.ndarray], start: list[np.ndarray]) -> pa.RecordBatch:
+    by bucket: its windows, then what was found for them, if anything."""
+    piece, waiting, doc, text, start = None, None, [], [], []
+
+    def settle(places: bytes | None = None, smaller: bytes | None = None) -> None:
+        least, sizes, docs, texts, starts = map(_spread, waiting)
+        if places is not None:
+            least = least.copy()
+            least[_spread(places)] = _spread(smaller)
+        hit = docs > np.repeat(least, sizes)
+        doc.append(docs[hit])
+        text.append(texts[hit])
+        start.append(starts[hit])
+
+    def emit() -> Iterator[pa.RecordBatch]:
         d, t, s = np.concatenate(doc), np.concatenate(text), np.concatenate(start)
+        if not len(d):
+            return
         order = np.lexsort((s, t, d))
         d, t, s = d[order], t[order], s[order].astype("<i4")
         cuts = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])]))
         out = [(int(d[a]), int(t[a]), s[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(d)], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["id", "hash", "starts"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["id", "hash", "starts"])
 
-    piece, windows, doc, text, start = None, None, [], [], []
     for batch in batches:
-        columns = [batch.column(n) for n in ("piece", "docs", "texts", "starts", "bits")]
+        columns = [batch.column(n) for n in ("piece", "least", "sizes", "docs", "texts", "starts", "places", "found")]
         for i in range(len(batch)):
-            now, docs, texts, starts, bits = (c[i].as_py() for c in columns)
-            if now != piece:
-                if doc:
-                    yield emit(doc, text, start)
-                piece, doc, text, start = now, [], [], []
-            if bits is None:
-                windows = (docs, texts, starts)
+            now, *windows, places, smaller = (c[i].as_py() for c in columns)
+            if places is not None:
+                settle(places, smaller)
+                waiting = None
                 continue
-            who, which, at = map(_spread, windows)
-            hit = np.unpackbits(np.frombuffer(bits, np.uint8))[: len(who)].astype(bool)
-            doc.append(who[hit])
-            text.append(which[hit])
-            start.append(at[hit])
+            if waiting:
+                settle()
+            if now != piece and doc:
+                yield from emit()
+                doc.clear(), text.clear(), start.clear()
+            piece, waiting = now, windows
+    if waiting:
+        settle()
     if doc:
-        yield emit(doc, text, start)
+        yield from emit()
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,11 +330,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = probes.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_anchors, "id long, key long")
     keys = cut(anchors.groupBy("id").agg(F.collect_set("key").alias("keys")))
     some = _sifted(known, keys.select("id"))
-    schema = "piece long, bucket int, codes binary, docs binary, starts binary, texts binary"
-    pieces = cut(some.join(keys, "id").select("id", "hash", "text", "keys").mapInArrow(lambda it: _extended(it, buckets), schema))
-    bits = pieces.select("bucket", "piece", "codes", "docs").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats, "piece long, bucket int, bits binary")
-    both = pieces.select("piece", "bucket", "docs", "texts", "starts").unionByName(bits, allowMissingColumns=True)
-    both = both.repartition(parts, "piece").sortWithinPartitions("piece", "bucket", F.col("bits").isNotNull())
+    pieces = cut(some.join(keys, "id").select("id", "hash", "text", "keys").mapInArrow(lambda it: _extended(it, buckets), _WINDOWS))
+    asked = pieces.select("bucket", "piece", "codes", "extras", "least").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    smaller = asked.mapInArrow(_repeats, "piece long, bucket int, places binary, found binary")
+    both = pieces.select("piece", "bucket", "least", "sizes", "docs", "texts", "starts").unionByName(smaller, allowMissingColumns=True)
+    both = both.repartition(parts, "piece").sortWithinPartitions("piece", "bucket", F.col("places").isNotNull())
     found = both.mapInArrow(_found, "id long, hash long, starts binary")
     found = found.groupBy("id", "hash").agg(F.collect_list("starts").alias("starts"))
     schema = "id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>"
