@@ -589,6 +589,16 @@ def test_chats_round_trip(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_chats_of_equal_turns_and_clashing_columns(spark):
+    """A thousand turns of one number or of none; extra columns named as inner ones."""
+    rows = [(1, 7 if t % 2 else None, "assistant", f"{t:04}") for t in range(1000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df = df.withColumns({c: F.lit("x") for c in ("id", "k", "run", "runs", "blocks", "turns", "body", "segments")})
+    done = chat_format.format_chats(df).withColumn("turns", chat_format.read_back(F.col("formatted"))).first()
+    assert [t.text for t in done.turns] == [f"{t:04}" for t in [*range(0, 1000, 2), *range(1, 1000, 2)]]
+    assert done.formatted.count("### ") == 1  # one block
+
+
 # 10 -----------------------------------------------------------------------------------------------------------------------
 LETTERS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -625,6 +635,8 @@ def test_leaks(spark, nothing, seed):
         items.append((10 + i, prose(rng, 5) + " " + " ".join(w[a : a + rng.randrange(3, 30)]) + "; " + prose(rng, 5)))
     items += [items[-1], (99, items[-1][1]), (50, "w7 " * 30)]
     rows.append((500, "w7 " * 200 + "x " + "w7 " * 12, "en", "s", 1))
+    rows.append((501, "w7 w8 " * 60 + "x " + "w7 " * 9, "en", "s", 1))
+    items.append((51, "w8 w7 " * 20))
     df = documents(spark, rows)
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("class", F.lit(0))
     got = decontaminate.find_leaks(df, bench).withColumn("list", F.array_join("items", ","))

@@ -13,8 +13,9 @@ of the output begins such a pair, plain replacements undo this exactly; merged t
 The loss mask is carried as segments: consecutive pieces of the formatted text, each with its mark. Only assistant texts
 are marked, without headers, breaks and ends.
 
-Long conversations: turns are first collected, sorted and merged in runs of TURN_RUN turn numbers, then the runs' blocks
-are put together, so no aggregation walks more than a run of turns, and shuffles carry each text once per step.
+Long conversations: turns are numbered in order, collected and merged in runs of TURN_RUN turns (whatever numbers they have: all
+of them may be equal or null), then the runs' blocks are put together, so no array that grows holds more than a run. One shuffle by
+conversation, which carries each text once, serves all steps.
 
 Defined cases. Null text or role: empty. Null turn: before all others. Equal turn numbers: by role, then text. Repeated
 rows: each is a turn. Null conversation: a conversation of its own. Other columns aren't read. No rows: no result rows.
@@ -22,7 +23,7 @@ rows: each is a turn. Null conversation: a conversation of its own. Other column
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN_RUN = 256
@@ -72,10 +73,10 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
         F.coalesce(escape(F.col(role_col).cast("string"), _IN_ROLE), F.lit("")).alias("role"),
         F.coalesce(escape(F.col(text_col).cast("string")), F.lit("")).alias("text"),
     )
-    run = F.floor(F.col("turn") / TURN_RUN)
+    numbered = t.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("turn", "role", "text")))
     runs = (
-        t.groupBy("id", run.alias("run"))
-        .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+        numbered.groupBy("id", F.expr(f"(k - 1) div {TURN_RUN}").alias("run"))
+        .agg(F.sort_array(F.collect_list(F.struct("k", "role", "text"))).alias("turns"))
         .select("id", "run", _merge(F.col("turns")).alias("blocks"))
     )
     blocks = runs.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("run", "blocks"))).alias("runs"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,12 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or in tests a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode, which is kept
+    in the session's settings; a cluster must name one, as its machines can't read each other's temporary folders."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="tracelake-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -31,7 +35,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def drop_cut(df: DataFrame) -> None:
-    """Deletes what cut() wrote, once nothing will read it again."""
+    """Deletes what cut() wrote, once nothing will read it again. Tables that a lazy result still reads stay in the shared folder,
+    for its owner to clear. (PySpark has no call of its own that deletes files in any store, hence the gateway.)"""
     spark = df.sparkSession
     for file in df.inputFiles()[:1]:
         path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
@@ -48,7 +53,8 @@ def ascii_lower(text: Column) -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what an Arrow batch holds by bytes as well as by rows, unless the session says otherwise."""
+    """Bounds what an Arrow batch holds by bytes as well as by rows, unless the application was started with a bound of its own. The
+    setting stays in the session: plans are lazy, so it must hold when they run. Results don't depend on it."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.sparkContext.getConf().get(key) is None:
         spark.conf.set(key, str(16 << 20))

@@ -9,7 +9,7 @@ among the documents' grams of that length; only lengths that occur are.
 
 Plan: items with the same words are one class, so copies multiply nothing. The item side is written to the shared folder and
 counted; up to BROADCAST_ROWS fingerprints (24 bytes each) are broadcast, more are joined by shuffle. A document leaves the
-first pass as distinct (id, text hash, class, diagonal) only. A second pass joins those to the texts and extends the hits.
+first pass as (id, text hash, class) with its distinct diagonals only. A second pass joins those to the texts and extends the hits.
 
 Defined cases. Null or empty text: no words, no hit; such an item never occurs. Repeated rows: each gets its own result. One
 id with several texts: told apart by the text's hash. Null ids: joined as equal. Items without id: they count as an empty
@@ -101,12 +101,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         fp, place = _split(F.col("fp"))
         some = side.select("id", "hash", fp.alias("fp"), place.alias("p")).join(of_size, "fp").select("id", "hash", "class", (F.col("p") - F.col("q")).alias("d"))
         hits = some if hits is None else hits.unionByName(some)
-    hits = hits.distinct().join(classes, "class").groupBy("id", "hash").agg(F.collect_list(F.struct("d", "item_words", "ids")).alias("hits"))
+    # the diagonals of a class first, so that its words come once to a document, however many hits it has there
+    hits = hits.groupBy("id", "hash", "class").agg(F.collect_set("d").alias("ds"))
+    hits = hits.join(classes, "class").groupBy("id", "hash").agg(F.collect_list(F.struct("ds", "item_words", "ids")).alias("hits"))
     hits = hits.select(F.col("id").alias("hit_id"), F.col("hash").alias("hit_hash"), "hits")
 
     j = texts.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("hash") == F.col("hit_hash")), "left")
     j = j.select("id", "hash", words_of(F.col("text")).alias("words"), "hits").withColumn("n", F.size("words"))
-    runs = F.transform("hits", lambda h: F.struct(_runs(F.col("words"), F.col("n"), h["item_words"], F.size(h["item_words"]), h["d"]).alias("runs"), h["ids"].alias("ids")))
+    along = lambda h: F.flatten(F.transform(h["ds"], lambda d: _runs(F.col("words"), F.col("n"), h["item_words"], F.size(h["item_words"]), d)))
+    runs = F.transform("hits", lambda h: F.struct(along(h).alias("runs"), h["ids"].alias("ids")))
     j = j.select("id", "hash", "n", F.filter(runs, lambda r: F.size(r["runs"]) > 0).alias("found"))
     spans = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda r: r["runs"]))))
     ids = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda r: r["ids"]))))

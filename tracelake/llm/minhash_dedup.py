@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import cut, shuffle_width, small_batches
+from tracelake.llm.common import cut, drop_cut, shuffle_width, small_batches
 from tracelake.llm.components import components
 from tracelake.llm.wordcodes import PLACES, U, chunks, grams, mixed
 
@@ -215,6 +215,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = cut(nodes.withColumn("component", F.coalesce("component", "id")))
     more = cut(_confirm(_residual(buckets.select("band", "place", "id"), nodes), sets))
     found = components(links.unionByName(more).unionByName(same_set))
+    for table in (buckets, sets, links, first, nodes, more):  # nothing below reads them
+        drop_cut(table)
     done = signed.select("id", "n").join(found.withColumnRenamed("node", "id"), "id", "left")
     done = done.withColumn("component", F.coalesce("component", "id"))
     return done.select(

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import cut, shuffle_width, small_batches
+from tracelake.llm.common import cut, drop_cut, shuffle_width, small_batches
 from tracelake.llm.lm_scoring import _loose, _rows, _squeeze
 from tracelake.llm.wordcodes import Chunk, U, chunks, mixed
 
@@ -393,6 +393,7 @@ def train(done: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> Ne
     sample = sample.groupBy(code.bitwiseAND(F.lit(SAMPLE - 1)).alias("class")).agg(F.min(F.struct(code.alias("code"), "id", "quality")).alias("one"))
     sample = cut(sample.select("one.id", "one.quality"))
     rows = done.select("id", "x").join(F.broadcast(sample), "id").groupBy("id", "quality").agg(F.min("x").alias("x")).collect()
+    drop_cut(sample)
     rows.sort(key=lambda r: r["id"])
     return fit(_matrix([r["x"] for r in rows]), np.array([r["quality"] > 0 for r in rows], np.float64))
 
