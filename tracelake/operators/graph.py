@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -9,10 +10,14 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's checkpoint folder."""
+    """A reliable checkpoint in the session's checkpoint folder. Where none is set, a temporary one in local mode; a cluster must name
+    one that all its machines share."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracelake-"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="tracelake-"))
     return df.checkpoint()
 
 
