@@ -115,8 +115,8 @@ def test_judging(spark):
     assert got[1].defect is None and got[2].defect == "not_verbatim" and got[3].error == "no answer" and got[3].defect == "unparsable"
     assert judging.coverage(judging.proven(replies).withColumn("k", F.lit(1)), ["k"]).first().coverage == 0.3333
     assert judging.ask(c, None).where("reply is not null").count() == 0
-    p = spark.createDataFrame([(1, "---\na: b\n---\nintro\n1. first\n   goes on\nstray\n2) second\n\n   not this\n")], "id int, text string")
-    assert [(r.step, r.text) for r in judging.playbook_steps(p).orderBy("step").collect()] == [(1, "first goes on"), (2, "second")]
+    p = spark.createDataFrame([(1, "---\na: b\n---\nintro\n1. first\n   goes on\nstray\n  two blanks\n\tand on\n2) not a step\n   1) nested\n\n   not this\n12. second \n\n3. third")], "id int, text string")
+    assert [r.text for r in judging.playbook_steps(p).orderBy("step").collect()] == ["1. first goes on and on 1) nested", "12. second", "3. third"]
 
 
 def test_streams(spark, tmp_path):

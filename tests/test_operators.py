@@ -180,6 +180,25 @@ def test_occurrences(spark):
     assert got == {1: None, 2: "poll", 6: "no_compaction", 3: "no_compaction", 4: "post_compaction", 5: "unclassified"}
 
 
+def test_occurrences_without_evidence(spark):
+    """Tools that aren't known are no poll; without any window of its session nothing is called a violation."""
+    r = [("s", "k", 0.0, None, 100, 1), ("s", "k", 10.0, None, 100, 2), ("s", "k", 20.0, "t", 100, 3), ("s", "k", 30.0, "t", 100, 4), ("s", "k", 500.0, "t", 100, 5),
+         ("q", "k", 0.0, "t", 100, 6), ("q", "k", 10.0, "t", 100, 7), ("q", "k", 900.0, "t", 100, 8), ("q", "k", 910.0, None, 100, 9)]
+    df = spark.createDataFrame(r, "s string, c string, ts double, tool string, chars long, seq long")
+    w = spark.createDataFrame([("s", 5000.0, 5001.0)], "s string, window_start double, window_end double")
+    got = dict(rows(growth.classify_occurrences(df, w, ["s", "c"]), "seq", "class"))
+    assert got == {1: None, 2: "no_compaction", 3: "no_compaction", 4: "poll", 5: "no_compaction", 6: None, 7: "poll", 8: "unclassified", 9: "unclassified"}
+
+
+def test_turn_parts(spark):
+    """What entered in a turn by kind, and the residual; turns that can't be compared have none."""
+    t = spark.createDataFrame([("s", 1, 10, False), ("s", 2, 40, True), ("s", 3, 90, False), ("s", 4, 95, False)], "s string, turn_no long, context long, crossed boolean")
+    parts = spark.createDataFrame([("s", 1, "tool", 12), ("s", 1, "tool", 3), ("s", 1, "output", 5), ("s", 2, "tool", 7), ("s", 3, "output", 50)], "s string, turn_no long, bucket string, tokens long")
+    done = growth.turn_parts(growth.turn_growth(t, ["s"]), parts, ["s"], ["tool", "output"])
+    assert rows(done, "turn_no", "added", "tool_added", "output_added", "system_added") == [(1, 30, 15, 5, 10), (2, 50, None, None, None), (3, 5, 0, 50, 0), (4, None, None, None, None)]
+    assert rows(growth.part_totals(done, ["s"], ["tool", "output"]), "bucket", "bucket_tokens", "share") == [("output", 55, 0.6875), ("system", 10, 0.125), ("tool", 15, 0.1875)]
+
+
 @pytest.mark.parametrize("t, n", [("审计报告", 4), ("hello world", 2), ("audit 审计", 3), ("", 0), ("a", 1), (None, 0), ("ひらカナ한글", 6)])
 def test_token_estimate(spark, t, n):
     assert spark.createDataFrame([(t,)], "t string").select(text.estimate_tokens(F.col("t"))).first()[0] == n

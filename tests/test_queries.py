@@ -14,7 +14,7 @@ from tracelake.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
 #: Queries that put single rows side by side.
-ONE_ROW = {"dup_rate"}
+ONE_ROW = {"dup_rate", "gap_report"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 
 

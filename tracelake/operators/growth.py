@@ -21,6 +21,25 @@ def turn_growth(turns: DataFrame, keys: Sequence[str], order: str = "turn_no", c
     return out.withColumn("comparable", F.coalesce((F.col("added") >= 0) & ~F.col(crossed), F.lit(False)))
 
 
+def turn_parts(grown: DataFrame, parts: DataFrame, keys: Sequence[str], kinds: Sequence[str], turn: str = "turn_no", kind: str = "bucket", tokens: str = "tokens") -> DataFrame:
+    """``grown`` with <kind>_added of each of ``kinds``, what was seen to enter in the turn, and system_added, what grew beyond that
+    (never below 0). Only comparable turns have them; others have nulls."""
+    sums = parts.groupBy(*keys, turn).agg(*[F.sum(F.when(F.col(kind) == k, F.col(tokens))).alias(f"_{k}") for k in kinds])
+    j = grown.join(sums, [*keys, turn], "left")
+    seen = {f"{k}_added": F.when(F.col("comparable"), F.coalesce(F.col(f"_{k}"), F.lit(0))) for k in kinds}
+    j = j.withColumns(seen)
+    rest = F.when(F.col("comparable"), F.greatest(F.lit(0), F.col("added") - sum(F.col(c) for c in seen)))
+    return j.withColumn("system_added", rest).select(*grown.columns, *seen, "system_added")
+
+
+def part_totals(parted: DataFrame, keys: Sequence[str], kinds: Sequence[str]) -> DataFrame:
+    """keys, bucket, bucket_tokens and share (6 places): sums of turn_parts over comparable turns; nothing where they are all 0."""
+    sums = parted.groupBy(*keys).agg(*[F.coalesce(F.sum(f"{k}_added"), F.lit(0)).cast("long").alias(k) for k in (*kinds, "system")])
+    long = sums.unpivot(list(keys), [*kinds, "system"], "bucket", "bucket_tokens")
+    long = long.withColumn("_all", F.sum("bucket_tokens").over(Window.partitionBy(*keys))).where("_all > 0")
+    return long.select(*keys, "bucket", "bucket_tokens", F.round(F.col("bucket_tokens") / F.col("_all"), 6).alias("share"))
+
+
 def growth_verdict(grown: DataFrame, keys: Sequence[str], order: str = "turn_no") -> DataFrame:
     """keys, n_turns, relative_slope (6 places) and verdict: the slope of added over the turn number, relative to its mean.
 
@@ -44,7 +63,8 @@ def classify_occurrences(rows: DataFrame, windows: DataFrame, content: Sequence[
     """``rows`` with occurrence (1 is the first) and class, from the pair with the occurrence before it.
 
     windows: window_start, window_end by the columns of ``content`` that it shares; a window that overlaps the open interval
-    between the two occurrences makes the later one post_compaction.
+    between the two occurrences makes the later one post_compaction. A poll takes a tool that is known. Where there is no window at
+    all, nothing tells whether a compaction lies between: what is neither is unclassified, not no_compaction.
     """
     w = Window.partitionBy(*content).orderBy(F.col(ts).asc_nulls_last(), tie)
     r = rows.withColumns({"occurrence": F.row_number().over(w).cast("long"), "_prev": F.lag(ts).over(w), "_prev_tool": F.lag(tool).over(w), "_prev_any": F.lag(F.lit(1)).over(w)})
@@ -54,15 +74,17 @@ def classify_occurrences(rows: DataFrame, windows: DataFrame, content: Sequence[
     asks = r.withColumns({"_at": F.col(ts), "_rank": F.lit(-1)})
     both = ends.unionByName(asks, allowMissingColumns=True)
     upto = Window.partitionBy(*shared).orderBy(F.col("_at").asc_nulls_last(), "_rank").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("_latest", F.max("_end").over(upto)).where("_rank = -1")
+    any_window = F.max(F.col("_rank") == 0).over(Window.partitionBy(*shared))
+    seen = both.withColumns({"_latest": F.max("_end").over(upto), "_known": any_window}).where("_rank = -1")
     compacted = F.coalesce(F.col("_latest") > F.col("_prev"), F.lit(False))
-    same_tool = F.col("_prev_tool").eqNullSafe(F.col(tool))
+    same_tool = F.coalesce(F.col("_prev_tool") == F.col(tool), F.lit(False))
     label = (
         F.when(F.col("_prev_any").isNull(), F.lit(None).cast("string"))
         .when(F.col(ts).isNull() | F.col("_prev").isNull(), "unclassified")
         .when(compacted, "post_compaction")
         .when((F.col(ts) - F.col("_prev") <= POLL_SECONDS) & (F.col(chars) < POLL_CHARS) & same_tool, "poll")
-        .otherwise("no_compaction")
+        .when(F.col("_known"), "no_compaction")
+        .otherwise("unclassified")
     )
     return seen.withColumn("class", label).select(*rows.columns, "occurrence", "class")
 

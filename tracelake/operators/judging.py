@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WEIGHTS = {"covered": 1.0, "partial": 0.5, "missing": 0.0}
@@ -49,14 +49,15 @@ def coverage(steps: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def playbook_steps(playbooks: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
-    """id, step, text: numbered lines with the indented lines that follow; a blank line ends a step."""
-    lines = playbooks.select(id_col, F.posexplode(F.split(F.regexp_replace(text, r"\A---[\s\S]*?\n---[ \t]*\n", ""), "\n", -1)).alias("at", "line"))
-    from pyspark.sql import Window
-
+    """id, step, text: a step is a line that begins with a number, a full stop and white space, with the lines after it that are
+    indented by three blanks or a tab; other lines don't belong to it, and a blank line ends it."""
+    body = F.regexp_replace(text, r"(?s)\A---\s*\n.*?\n---\s*\n", "")
+    lines = playbooks.select(id_col, F.posexplode(F.split(body, r"\r?\n|\r", -1)).alias("at", "line"))
     w = Window.partitionBy(id_col).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    begins, blank = F.col("line").rlike(r"^\s*\d+[.)]\s+"), F.trim("line") == ""
+    begins, blank = F.col("line").rlike(r"^\d+\.\s+"), F.trim(F.regexp_replace("line", r"\s", "")) == ""
     lines = lines.withColumns({"step": F.sum(begins.cast("int")).over(w), "stop": F.sum(blank.cast("int")).over(w)})
     first = F.min(F.when(begins, F.col("stop"))).over(Window.partitionBy(id_col, "step"))
-    kept = lines.withColumn("first", first).where((F.col("step") > 0) & (F.col("stop") == F.col("first")) & (begins | F.col("line").rlike(r"^\s+")))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("at", F.trim(F.regexp_replace("line", r"^\s*\d+[.)]\s+", "")).alias("t")))), lambda p: p["t"])
+    kept = lines.withColumn("first", first).where((F.col("step") > 0) & (F.col("stop") == F.col("first")) & (begins | F.col("line").rlike(r"^(   |\t)")))
+    bare = F.regexp_replace(F.regexp_replace("line", r"^(\d+\.)\s+", "$1 "), r"^\s+|\s+$", "")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("at", bare.alias("t")))), lambda p: p["t"])
     return kept.groupBy(id_col, "step").agg(F.array_join(parts, " ").alias("text"))

@@ -43,6 +43,22 @@ def load_ledger(entries: DataFrame, keys: Sequence[str], what: str, seq: str = "
     return e.withColumn("load_no", number).select(*keys, what, "load_kind", "opened_seq", "body_seq", "load_no")
 
 
+def redundant_bodies(entries: DataFrame, keys: Sequence[str], what: str, seq: str = "seq", kind: str = "kind", gone: str = "gone_seq") -> DataFrame:
+    """keys, redundant_bodies: bodies that came without a stub while the one before was still alive; the ledger has no row for them.
+    The body they are measured against is the last that made a row, so a redundant one never becomes the base."""
+    w = Window.partitionBy(*keys, what).orderBy(seq)
+    e = entries.withColumns({"_before": F.lag(kind).over(w), "_earlier": F.count(F.when(F.col(kind) == "body", 1)).over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    last = F.last(F.when(F.col(kind) == "body", F.struct(F.col(gone).alias("gone"))), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    e = e.withColumn("_last", last).where((F.col(kind) == "body") & (F.col("_earlier") > 0) & (F.coalesce("_before", F.lit("")) != "stub") & F.col("_last.gone").isNull())
+    return e.groupBy(*keys).agg(F.count("*").alias("redundant_bodies"))
+
+
+def load_costs(ledger: DataFrame, bodies: DataFrame, keys: Sequence[str], what: str, seq: str = "seq", tokens: str = "tokens", channel: str = "channel") -> DataFrame:
+    """``ledger`` with cost_tokens and channel of the body that each load brought; null for the unavailable."""
+    own = bodies.select(*keys, what, F.col(seq).alias("body_seq"), F.col(tokens).alias("cost_tokens"), F.col(channel).alias("channel"))
+    return ledger.join(own, [*keys, what, "body_seq"], "left")
+
+
 def load_rollup(ledger: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Counts of each kind."""
     n = lambda k: F.count_if(F.col("load_kind") == k).alias(f"n_{k}")
@@ -79,3 +95,22 @@ def fleet(signatures: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Sessions, average turns, tokens and interventions that carry a signal, for each group or, without keys, overall."""
     g = signatures.groupBy(*keys).agg(F.count("*").alias("sessions"), F.sum("turns").alias("_turns"), F.sum("total").alias("total"), F.sum("signal").alias("signal"))
     return g.select(*keys, "sessions", F.round(F.col("_turns") / F.nullif(F.col("sessions"), F.lit(0)), 1).alias("avg_turns"), "total", "signal")
+
+
+def fleet_report(sessions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sessions together, by group or overall: sessions, with_usage, avg_turns, avg_cache_hit_rate (of those with usage), sums of
+    output, repeat_extra, listing_extra, ceremony (listings shown again and re-reads after compactions), compactions, and
+    avg_signal. sessions: turns, cache_hit_rate, output, repeat_extra, post_compaction, listing_extra, compactions, signal."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    g = sessions.groupBy(*keys).agg(
+        F.count("*").alias("sessions"), F.count("cache_hit_rate").alias("with_usage"), F.round(F.sum("turns") / F.count("*"), 1).alias("avg_turns"),
+        F.round(F.sum(F.col("cache_hit_rate").cast("decimal(20,4)")).cast("double") / F.nullif(F.count("cache_hit_rate"), F.lit(0)), 3).alias("avg_cache_hit_rate"),
+        total("output").alias("output"), total("repeat_extra").alias("repeat_extra"), total("listing_extra").alias("listing_extra"),
+        (total("listing_extra") + total("post_compaction")).alias("ceremony"), total("compactions").alias("compactions"), F.round(F.sum("signal") / F.count("*"), 1).alias("avg_signal"),
+    )
+    return g
+
+
+def shapes(verdicts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, shape, sessions: the first word of each session's growth verdict; unknown without one."""
+    return verdicts.groupBy(*keys, F.split(F.coalesce("verdict", F.lit("unknown")), " ")[0].alias("shape")).agg(F.count("*").alias("sessions"))

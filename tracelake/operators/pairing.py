@@ -82,3 +82,38 @@ def expected(names: DataFrame, loads: DataFrame, reads: DataFrame, name: str) ->
     mark = lambda d, c: d.select(name).distinct().withColumn(c, F.lit(True))
     j = names.join(mark(loads, "_l"), name, "left").join(mark(reads, "_r"), name, "left")
     return j.withColumn("status", F.when(F.col("_l"), "loaded").when(F.col("_r"), "file-read").otherwise("missing")).drop("_l", "_r")
+
+
+def resolve_observed(declared: DataFrame, observed: DataFrame, name: str = "id") -> DataFrame:
+    """observed_id, id, how: the declared name that an observed id belongs to. exact: equal but for case; suffix: its only twin
+    ``space:name`` where the name itself wasn't observed; ambiguous: one of several such twins; none: anything else."""
+    fold = lambda c: F.lower(F.upper(c))
+    d = declared.groupBy(fold(F.col(name)).alias("_key")).agg(F.min(name).alias("_name"))
+    o = observed.select(F.col(name).alias("observed_id"), fold(F.col(name)).alias("_fold")).distinct()
+    exact = o.join(d, F.col("_fold") == F.col("_key"), "left").select("observed_id", "_fold", F.col("_name").alias("_exact"))
+    plain = exact.where("_exact is not null").select(F.col("_fold").alias("_suffix"), F.lit(True).alias("_plain")).distinct()
+    twins = exact.where("_exact is null and contains(_fold, ':')").withColumn("_suffix", F.substring_index("_fold", ":", -1))
+    twins = twins.join(d.select(F.col("_key").alias("_suffix"), "_name"), "_suffix").join(plain, "_suffix", "left")
+    twins = twins.withColumn("_n", F.count("*").over(Window.partitionBy("_suffix"))).select("observed_id", F.col("_name").alias("_twin"), (F.col("_n") == 1).alias("_only"), "_plain")
+    j = exact.join(twins, "observed_id", "left")
+    how = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_twin").isNull() | F.col("_plain"), "none").when(F.col("_only"), "suffix").otherwise("ambiguous")
+    return j.select("observed_id", F.coalesce("_exact", F.when(how == "suffix", F.col("_twin"))).alias("id"), how.alias("how"))
+
+
+def rename_edges(edges: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Edges a < b with the names that observed ids belong to; ids that belong to none stay as they are."""
+    names = resolved.where("id is not null").select("observed_id", "id")
+    of = lambda c: names.select(F.col("observed_id").alias(c), F.col("id").alias(f"_{c}"))
+    j = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({"_a": F.coalesce("_a", "a"), "_b": F.coalesce("_b", "b")})
+    rest = [c for c in edges.columns if c not in ("a", "b")]
+    return j.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), *rest)
+
+
+def library_report(declared: DataFrame, pairs: DataFrame, group: str, member: str, least: int = 2, names: DataFrame | None = None) -> dict[str, DataFrame]:
+    """edges (what groups loaded together), resolved (observed ids and the declared names they belong to), and diff of declared
+    edges (a, b) with the observed ones under their declared names. Declared names are ``names`` (id), else those of the edges."""
+    edges = co_load_edges(pairs, group, member)
+    names = declared.select(F.explode(F.array("a", "b")).alias("id")).distinct() if names is None else names
+    resolved = resolve_observed(names, pairs.select(F.col(member).alias("id")).where("id is not null"))
+    joined = rename_edges(edges, resolved).groupBy("a", "b").agg(F.max("weight").alias("weight"))
+    return {"edges": edges, "resolved": resolved, "diff": diff_edges(declared.where("a <> b"), joined, least)}

@@ -176,16 +176,21 @@ def turn_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turns(spark, sf_dir)
 
 
-@R.query(
+#: Common table gv: the verdict of each session.
+growth_verdict_sql = (
     RECORDS
     + _TURNS
     + """, c AS (SELECT session, count(*) AS n, sum(turn_no)::DOUBLE AS sx, sum(added)::DOUBLE AS sy, sum(turn_no * added)::DOUBLE AS sxy, sum(turn_no * turn_no)::DOUBLE AS sxx
              FROM tr WHERE comparable GROUP BY session),
 v AS (SELECT session, coalesce(n, 0) AS n_turns, CASE WHEN n >= 4 THEN round(CASE WHEN n * sxx - sx * sx <> 0 THEN (n * sxy - sx * sy) / (n * sxx - sx * sx) ELSE 0 END
-        / CASE WHEN sy = 0 THEN 1 ELSE sy / n END, 6) END AS relative_slope FROM (SELECT DISTINCT session FROM tr) LEFT JOIN c USING (session))
-SELECT *, CASE WHEN n_turns < 4 THEN 'insufficient data (' || n_turns || ' turns)' WHEN relative_slope > 0.2 THEN 'accelerating'
-               WHEN relative_slope < -0.2 THEN 'sublinear' ELSE 'linear' END AS verdict FROM v"""
+        / CASE WHEN sy = 0 THEN 1 ELSE sy / n END, 6) END AS relative_slope FROM (SELECT DISTINCT session FROM tr) LEFT JOIN c USING (session)),
+gv AS (SELECT *, CASE WHEN n_turns < 4 THEN 'insufficient data (' || n_turns || ' turns)' WHEN relative_slope > 0.2 THEN 'accelerating'
+               WHEN relative_slope < -0.2 THEN 'sublinear' ELSE 'linear' END AS verdict FROM v)
+"""
 )
+
+
+@R.query(growth_verdict_sql + "SELECT * FROM gv")
 def growth_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return growth.growth_verdict(_turns(spark, sf_dir), S)
 
@@ -262,20 +267,24 @@ def hash_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return islands.flips(_hash_runs(spark, sf_dir), ["session", "event_type"])
 
 
-_CLASSES = """, oc1 AS (SELECT session, k, seq, us, event_type, tokens, row_number() OVER w AS occurrence, lag(us) OVER w AS pus, lag(event_type) OVER w AS pt
+_CLASSES = """, cw AS (SELECT session, us FROM bo WHERE tokens >= 12000),
+oc1 AS (SELECT session, k, seq, us, event_type, nullif(event_type, 'signup') AS tool, tokens, row_number() OVER w AS occurrence, lag(us) OVER w AS pus, lag(nullif(event_type, 'signup')) OVER w AS pt
             FROM it WINDOW w AS (PARTITION BY session, k ORDER BY us, seq)),
-oc AS (SELECT session, k, seq, event_type, tokens, occurrence,
+oc AS (SELECT session, k, seq, event_type, tool, tokens, occurrence,
               CASE WHEN occurrence = 1 THEN NULL
-                   WHEN EXISTS (SELECT 1 FROM bo WHERE bo.session = oc1.session AND bo.us < oc1.us AND bo.us > pus) THEN 'post_compaction'
-                   WHEN us - pus <= 86400000000 AND tokens < 20000 AND pt = event_type THEN 'poll' ELSE 'no_compaction' END AS class FROM oc1)
+                   WHEN EXISTS (SELECT 1 FROM cw WHERE cw.session = oc1.session AND cw.us < oc1.us AND cw.us > pus) THEN 'post_compaction'
+                   WHEN us - pus <= 86400000000 AND tokens < 20000 AND pt = tool THEN 'poll'
+                   WHEN EXISTS (SELECT 1 FROM cw WHERE cw.session = oc1.session) THEN 'no_compaction' ELSE 'unclassified' END AS class FROM oc1)
 """
 
 
 def _classed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Time runs 720 times as fast and sizes are ten times as large as in transcripts: so every class occurs."""
+    """Time runs 720 times as fast and sizes are ten times as large as in transcripts; the tool of a signup isn't known, and only
+    boundaries of a large value are windows, so some sessions have none: every class occurs."""
     r = records(spark, sf_dir)
-    rows = items(r).select("session", "k", "seq", (F.col("us") / 720e6).alias("ts"), F.col("event_type").alias("tool"), F.floor(F.col("tokens") / 10).alias("chars"), "tokens")
-    b = boundaries(r).select("session", (F.col("us") / 720e6).alias("window_start"), (F.col("us") / 720e6).alias("window_end"))
+    tool = F.nullif(F.col("event_type"), F.lit("signup"))
+    rows = items(r).select("session", "k", "seq", (F.col("us") / 720e6).alias("ts"), tool.alias("tool"), F.floor(F.col("tokens") / 10).alias("chars"), "tokens")
+    b = r.where("kind = 'meta' and tokens >= 12000").select("session", (F.col("us") / 720e6).alias("window_start"), (F.col("us") / 720e6).alias("window_end"))
     return growth.classify_occurrences(rows, b, ["session", "k"])
 
 
@@ -288,7 +297,7 @@ def classify_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     RECORDS
     + _CLASSES
     + """, g AS (SELECT session, k, count(*) AS n, (count(*) - 1) * arg_min(tokens, occurrence) AS extra_tokens,
-  CASE WHEN count(DISTINCT event_type) = 1 THEN min(event_type) END AS tool FROM oc GROUP BY session, k HAVING count(*) > 1)
+  CASE WHEN count(DISTINCT coalesce(tool, '')) = 1 THEN min(tool) END AS tool FROM oc GROUP BY session, k HAVING count(*) > 1)
 SELECT * FROM g ORDER BY extra_tokens DESC, session, k LIMIT 10"""
 )
 def repeats_top10(spark: SparkSession, sf_dir: str) -> DataFrame:

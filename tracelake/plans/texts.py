@@ -226,7 +226,7 @@ def format_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 c AS (SELECT conv_id, string_agg(lower(text), chr(10) ORDER BY turn, text) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id)
 SELECT DISTINCT conv_id, name FROM c JOIN n ON contains(t, name)"""
 )
-def gap_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mentioned_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of the catalog that occur in what people wrote in a session."""
     names = table(spark, sf_dir, "benchmark").select(F.lower(F.regexp_extract("text", "[A-Za-z]{3,}", 0)).alias("name"))
     said = table(spark, sf_dir, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: F.lower(t["text"])), "\n").alias("t"))
