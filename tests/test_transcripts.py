@@ -256,3 +256,10 @@ def test_timeline(spark, tmp_path):
     assert rows(timeline.verdicts(e), "session", "verdict") == [("s5", "insufficient data (1 turns)"), ("s6", "unavailable (no context telemetry)")]
     lines_of = [r.line for r in timeline.feed(e.where("session = 's5'"), 3).orderBy("n").collect()]
     assert lines_of == ['call skill({"skill": "y"})', 'call Read({"file_path": "/z/skill.md"})', "user: go"]
+
+
+def test_load_reads_once(spark, tmp_path):
+    """One text scan, one window over lines, one exchange: whatever the number of formats."""
+    write(tmp_path / "a.jsonl", [{"type": "user", "parentUuid": None, "message": {"content": "hi"}}])
+    plan = tr.load(spark, str(tmp_path / "a.jsonl"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1 and plan.count("Exchange") == 1 and plan.count("ArrowEvalPython") == 1

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.model.session import BUCKETS, SA, UNATTRIBUTED, Audit
-from tracelake.operators import asof, growth, islands, liveness, loads, redundancy, returns
+from tracelake.operators import asof, billing, gaps, growth, islands, liveness, loads, pairing, redundancy, returns
 
 # Files that steer a workflow, tools that read and write them, sizes of results that may repeat.
 WORKFLOW_FILE = r"(?i)(?:^|/)progress\.md$|(?:^|/)\.changes(?:/|$)"
@@ -80,6 +80,105 @@ def process_signature(a: Audit) -> DataFrame:
     return j.withColumn("style", loads.process_style(F.col("reads") + F.col("writes") > 0, F.col("loads") > 0))
 
 
+ATTACHED = ["body", "stub", "execution"]
+
+
+def listings(a: Audit) -> DataFrame:
+    """session, skills, occurrences, listing_extra: skills that were listed, how often, and the tokens of listings after each first."""
+    o = a.observations.where("kind = 'listing'").withColumn("nth", F.row_number().over(Window.partitionBy("session", "skill_id").orderBy(F.col("ts").isNull(), "ts", "item_id")))
+    return o.groupBy("session").agg(F.count_distinct("skill_id").alias("skills"), F.count("*").alias("occurrences"), F.coalesce(F.sum(F.when(F.col("nth") > 1, F.col("tokens"))), F.lit(0)).alias("listing_extra"))
+
+
+def load_costs(a: Audit) -> DataFrame:
+    """The ledger of loads with the tokens and channel of each body."""
+    bodies = a.observations.where("kind = 'body'").withColumn("place", F.struct("seq", "part_index"))
+    return loads.load_costs(a.skill_loads, bodies, SA, "skill_id", "place")
+
+
+def load_totals(a: Audit) -> DataFrame:
+    """session, loads, reloads, unavailable, load_cost (tokens of bodies) and redundant_bodies, which have no row of their own."""
+    n = lambda k: F.count_if(F.col("load_kind") == k)
+    g = load_costs(a).groupBy("session").agg(n("load").alias("loads"), n("reload").alias("reloads"), n("unavailable").alias("unavailable"), F.coalesce(F.sum("cost_tokens"), F.lit(0)).alias("load_cost"))
+    entries = a.observations.where("kind in ('stub', 'body')").withColumn("place", F.struct("seq", "part_index"))
+    extra = loads.redundant_bodies(entries, SA, "skill_id", "place").groupBy("session").agg(F.sum("redundant_bodies").alias("redundant_bodies"))
+    return g.join(extra, "session", "full").fillna(0)
+
+
+def skill_tree(a: Audit) -> dict[str, DataFrame]:
+    """nodes (agents with their requests, the agent that sent them, listed and attached tokens; loose: no call sent them),
+    attachments (skills by agent: loads, their tokens, executed, versions) and totals by session."""
+    sent = a.dispatches.where("agent is not null and item_id is not null").select("session", "agent", F.substring_index("item_id", ":", F.lit(1)).alias("by"), "item_id")
+    parent = sent.groupBy("session", "agent").agg(F.min("item_id").alias("via"))
+    own = a.items.where("kind = 'tool_call'").select("session", F.col("item_id").alias("via"), F.col("agent").alias("parent_agent"))
+    parent = parent.join(own, ["session", "via"], "left")
+    calls = a.calls.groupBy(*SA).agg(F.count("*").alias("n_requests"))
+    ambient = a.observations.where("kind = 'listing'").groupBy(*SA).agg(F.count_distinct("skill_id").alias("listed_skills"), F.count("*").alias("listings"), F.sum("tokens").alias("listed_tokens"))
+    priced = load_costs(a).groupBy(*SA, "skill_id").agg(F.count("*").alias("loads"), F.coalesce(F.sum("cost_tokens"), F.lit(0)).alias("load_tokens"), F.array_sort(F.collect_set("channel")).alias("channels"))
+    held = a.observations.where(F.col("kind").isin(ATTACHED)).groupBy(*SA, "skill_id").agg(F.bool_or(F.col("kind") == "execution").alias("executed"), F.count_if(F.col("kind") == "execution").alias("executions"), F.array_sort(F.collect_set("sha1")).alias("sha1s"))
+    attachments = held.join(priced, [*SA, "skill_id"], "left").fillna(0, ["loads", "load_tokens"])
+    attached = attachments.groupBy(*SA).agg(F.count("*").alias("attachments"), F.sum("load_tokens").alias("attached_tokens"), F.sum("executions").alias("executions"))
+    has_main = F.max(F.col("agent") == "main").over(Window.partitionBy("session"))
+    nodes = a.agents.select(*SA).join(calls, SA, "left").join(parent, SA, "left").join(ambient, SA, "left").join(attached, SA, "left")
+    nodes = nodes.fillna(0, ["n_requests", "listed_skills", "listings", "listed_tokens", "attachments", "attached_tokens", "executions"])
+    nodes = nodes.withColumn("loose", has_main & (F.col("agent") != "main") & F.col("via").isNull())
+    edges = a.dispatches.where("item_id is not null and agent is not null").groupBy("session").agg(F.count("*").alias("edges"))
+    totals = nodes.groupBy("session").agg(F.count("*").alias("agents"), F.count_if("loose").alias("loose"), F.sum("listed_tokens").alias("listed_tokens"), F.sum("attached_tokens").alias("attached_tokens"), F.sum("executions").alias("executions"))
+    return {"nodes": nodes, "attachments": attachments, "totals": totals.join(edges, "session", "left").fillna(0, ["edges"])}
+
+
+def co_loads(a: Audit, declared: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Skills that agents of all sessions held together, the declared names (a, b of ``declared`` edges) they belong to, and diff."""
+    pairs = a.observations.where(F.col("kind").isin(ATTACHED)).select(F.struct(*SA).alias("agent"), "skill_id")
+    if declared is None:
+        return {"edges": pairing.co_load_edges(pairs, "agent", "skill_id")}
+    return pairing.library_report(declared, pairs, "agent", "skill_id")
+
+
+def gap_report(a: Audit, catalog: DataFrame, judgments: DataFrame, judge_configured: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The candidates for a judge, and the report of each session. judgments: session, skill_name, triggered, error."""
+    counted = gaps.counts(a.observations, ["session"])
+    aliases = a.observations.where("raw_id <> skill_id").select("session", "skill_id", F.col("raw_id").alias("alias")).distinct()
+    names = gaps.names_of(counted, ["session"], aliases)
+    matched = gaps.in_catalog(counted, names, catalog, ["session"])
+    said = a.items.where("kind = 'user_message' and agent = 'main'").select("session", "text")
+    open_ = gaps.candidates(matched, names, said, ["session"])
+    return open_, gaps.report(matched, open_, catalog, judgments, ["session"], judge_configured=judge_configured)
+
+
+def bundle(a: Audit, declared: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All analyses of an audit under their names, lazy."""
+    out = {
+        "skill_audit": skill_audit(a), "context_organization": context_organization(a), "repeated_items": repeated_items(a), "exact_resends": exact_resends(a), "short_lived": short_lived(a),
+        "skill_loads": load_costs(a), "load_totals": load_totals(a), "dispatches": a.dispatches, "subagent_returns": subagent_returns(a), "process": process_signature(a), "repeats": repeats(a), "usage": usage(a),
+    }
+    out |= {f"tree_{k}": v for k, v in skill_tree(a).items()}
+    return out | {f"library_{k}": v for k, v in co_loads(a, declared).items()}
+
+
+def session_figures(a: Audit, events: DataFrame) -> DataFrame:
+    """A row for each session with what bills and fleets are made of. events: as timeline.in_order gives them."""
+    from tracelake.model import timeline
+
+    parted = timeline.turn_parts(events)
+    grown = parted.where("comparable").groupBy("session").agg(F.sum("added").alias("growth"), F.sum("system_added").alias("residual"))
+    extra = repeats(a).where("class is not null")
+    extra = extra.groupBy("session").agg(F.sum("tokens").alias("repeat_extra"), F.coalesce(F.sum(F.when(F.col("class") == "post_compaction", F.col("tokens"))), F.lit(0)).alias("post_compaction"))
+    back = subagent_returns(a).groupBy("session").agg(F.count("*").alias("dispatches"), F.coalesce(F.sum("return_tokens"), F.lit(0)).alias("return_tokens"), F.count_if(F.size("flags") > 0).alias("flagged"))
+    used = usage(a).select("session", "output", "cache_hit_rate").join(a.records.where("usage is not null").groupBy("session").agg(F.count("*").alias("usage_records")), "session")
+    begun = timeline.compactions(events).groupBy("session").agg(F.count("*").alias("compactions"))
+    how = process_signature(a).select("session", "style", "signal")
+    said = events.where("origin = 'main' and type = 'TurnBegin'").groupBy("session").agg(F.count("*").alias("turns"))
+    out = events.select("session").distinct()
+    for part in (said, how, grown, extra, listings(a).select("session", "listing_extra"), load_totals(a), back, used, begun, timeline.verdicts(events).select("session", "verdict")):
+        out = out.join(part, "session", "left")
+    return out.fillna(0, ["turns", "signal", "compactions"])
+
+
+def bill(a: Audit, events: DataFrame) -> DataFrame:
+    """The rows of each session's bill."""
+    return billing.cost_rows(session_figures(a, events), ["session"])
+
+
 def repeats(a: Audit) -> DataFrame:
     """Classes of results that came again: after a compaction, by polling, or for no reason that is seen."""
     calls = a.items.where("kind = 'tool_call'").groupBy(*SA, "tool_id").agg(F.max_by("name", F.struct("seq", "part_index")).alias("tool"))

@@ -32,16 +32,19 @@ NAME_KEYS = {"auto_mode": "reminderType", "edited_text_file": "filename", "file"
 RESULT_SKIPS, ATTACHMENT_SKIPS, ENTRY_SKIPS = ("type", "is_error", "data", "media_type"), ("type", "filePath", "path", "name"), ("type", "path", "name")
 
 
-def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """source, seq (from 1), line, v (variant; null if the line is no JSON object), is_json. A large file may be read in splits."""
-    raw = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_start"))
+def read_lines(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
+    """source, seq (from 1), line, v (variant; null if the line is no JSON object), is_json. A large file may be read in splits.
+    recursive: the paths are folders, and all .jsonl files below them are read."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl") if recursive else spark.read
+    raw = reader.text(paths).select("value", F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_start"))
     raw = raw.withColumn("_id", F.monotonically_increasing_id())
     seq = F.row_number().over(Window.partitionBy("source").orderBy("_start", "_id")).cast("long")
     return parse_lines(raw.select("source", seq.alias("seq"), F.col("value").alias("line")))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Adds v and is_json to (source, seq, line). Of repeated keys the last counts."""
+    """Adds v and is_json to (source, seq, line). Of repeated keys the last counts. That is a setting of the session, and it stays:
+    plans are lazy, and it decides nothing but JSON objects that repeat a key, which would be errors otherwise."""
     lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     v = F.try_parse_json("line")
     return lines.withColumn("is_json", v.isNotNull()).withColumn("v", F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
@@ -67,17 +70,21 @@ def _string(v: Column, path: str) -> Column:
     return F.when(_is(v, path, "STRING"), get(v, path))
 
 
-def detect_format(lines: DataFrame) -> DataFrame:
-    """source, format: rich, degraded, rollout, wire or null. The first line that decides does."""
-    v, kind = F.col("v"), _string(F.col("v"), "$.type")
+def format_said(v: Column) -> Column:
+    """The format that a line tells, null if it tells none."""
+    kind = _string(v, "$.type")
     has = lambda p: F.try_variant_get(v, p, "variant").isNotNull()
-    said = (
+    return (
         F.when(((kind == "session_meta") & _is(v, "$.data", "OBJECT")) | (kind == "progress"), "degraded")
         .when(kind.isin("session_meta", "response_item", "event_msg", "token_usage_record", "world_state", "turn_context"), "rollout")
         .when(kind.isin("user", "assistant", "metadata"), F.when(has("$.origin") | has("$.parentUuid"), "rich"))
         .when(_is(v, "$.message", "OBJECT") | F.contains(kind, F.lit(".")), "wire")
     )
-    return first_decisive(lines.withColumn("format", said), "source", "seq", "format")
+
+
+def detect_format(lines: DataFrame) -> DataFrame:
+    """source, format: rich, degraded, rollout, wire or null. The first line that decides does."""
+    return first_decisive(lines.withColumn("format", format_said(F.col("v"))), "source", "seq", "format")
 
 
 def _event(kind: Column | str, **fields: Column) -> Column:
@@ -158,17 +165,31 @@ def _usage(u: Column, request: bool = True) -> Column:
     )
 
 
-def _spread(lines: DataFrame, events: Column, ts: Column, ref: Column | None = None) -> DataFrame:
-    """A row for each event of a line, in order; nulls among them are left out."""
-    kept = F.filter(events, lambda e: e.isNotNull())
-    rows = lines.select("source", "seq", ts.alias("ts"), (ref if ref is not None else F.lit(None).cast(REF)).alias("ref"), F.posexplode(kept).alias("part", "e"))
-    return rows.select("source", "seq", "part", "ts", "e.*", F.col("ref").cast(REF).alias("ref"))
+def _spread(lines: DataFrame, *more: str) -> DataFrame:
+    """A row for each event of a line (columns events, ts and ref), in order; nulls among them are left out."""
+    kept = F.filter("events", lambda e: e.isNotNull())
+    rows = lines.select("source", "seq", *more, "ts", "ref", F.posexplode(kept).alias("part", "e"))
+    return rows.select("source", "seq", "part", "ts", "e.*", F.col("ref").cast(REF).alias("ref"), *more)
+
+
+def _with_texts(lines: DataFrame, mine: Column) -> DataFrame:
+    """Adds _t, what the order of keys decides. Python sees only lines that hold tool calls, results or an attachment."""
+    v = F.col("v")
+    parts = F.try_variant_get(v, "$.message.content", "array<variant>")
+    tools = F.coalesce(F.exists(parts, lambda p: _string(p, "$.type").isin("tool_use", "tool_result")), F.lit(False))
+    needed = mine & (tools | _is(v, "$.attachment", "OBJECT"))
+    return lines.withColumn("_t", F.pandas_udf(_ordered_texts, _TEXTS)(F.when(needed, F.col("line"))))
 
 
 def rich_events(lines: DataFrame) -> DataFrame:
     """The rich format, with envelopes, attachments and measured compactions; also reads the degraded one, which lacks them."""
-    lines = lines.withColumn("_t", F.pandas_udf(_ordered_texts, _TEXTS)(F.when(F.col("v").isNotNull(), F.col("line")))).withColumn("kind", _string(F.col("v"), "$.type"))
-    v, t, kind = F.col("v"), F.col("_t"), F.col("kind")
+    events, ts, ref = _rich()
+    return _spread(_with_texts(lines, F.lit(True)).withColumns({"events": events, "ts": ts, "ref": ref}))
+
+
+def _rich() -> tuple[Column, Column, Column]:
+    """Events, time and envelope of a line (columns v, is_json, _t)."""
+    v, t, kind = F.col("v"), F.col("_t"), _string(F.col("v"), "$.type")
     said = kind.isin("user", "assistant")
     single = F.array(_event("TurnBegin", text=get(v, "$.message.content")))
     spoken = F.array(_event("ContentPart", part_type=F.lit("text"), text=get(v, "$.message.content")))
@@ -214,11 +235,16 @@ def rich_events(lines: DataFrame) -> DataFrame:
         .when(kind == "user", user)
         .otherwise(assistant)
     )
-    return _spread(lines, events, _seconds(v, "$.timestamp"), F.when(v.isNotNull(), _ref(v)))
+    return events, _seconds(v, "$.timestamp"), F.when(v.isNotNull(), _ref(v))
 
 
 def rollout_events(lines: DataFrame) -> DataFrame:
     """The rollout format: response items and usage records. Cached input is part of the input there, and is taken off."""
+    events, ts = _rollout()
+    return _spread(lines.where("v is not null").withColumns({"events": events, "ts": ts, "ref": F.lit(None).cast(REF)}))
+
+
+def _rollout() -> tuple[Column, Column]:
     v, kind = F.col("v"), _string(F.col("v"), "$.type")
     p, role = _string(v, "$.payload.type"), _string(v, "$.payload.role")
     content = F.try_variant_get(v, "$.payload.content", "array<variant>")
@@ -240,11 +266,16 @@ def rollout_events(lines: DataFrame) -> DataFrame:
         .when(p == "function_call_output", F.array(_event("ToolResult", tool_id=get(v, "$.payload.call_id"), output=F.coalesce(get(v, "$.payload.output"), F.lit("")), is_error=F.lit(False))))
     )
     events = F.when(kind == "response_item", item).when(kind == "token_usage_record", F.array(_event("UsageRecord", usage=usage, model=F.lit(""))))
-    return _spread(lines.where("v is not null"), events, _iso(_string(v, "$.timestamp")))
+    return events, _iso(_string(v, "$.timestamp"))
 
 
 def wire_events(lines: DataFrame) -> DataFrame:
     """The wire formats: typed messages of a terminal, and dotted records of a desktop application."""
+    events, ts = _wire()
+    return _spread(lines.where("v is not null").withColumns({"events": events, "ts": ts, "ref": F.lit(None).cast(REF)}))
+
+
+def _wire() -> tuple[Column, Column]:
     v, kind = F.col("v"), _string(F.col("v"), "$.type")
     e = _string(v, "$.event.type")
     none, zero = F.lit(None), F.lit(0).cast("long")
@@ -288,18 +319,24 @@ def wire_events(lines: DataFrame) -> DataFrame:
     )
     dotted = F.contains(F.coalesce(kind, F.lit("")), F.lit("."))
     ts = F.coalesce(F.when(~dotted, F.nullif(get(v, "$.timestamp", "double"), F.lit(0.0))), F.when(dotted, get(v, "$.timestamp", "double")), get(v, "$.message.timestamp", "double"))
-    return _spread(lines.where("v is not null"), F.array(F.when(dotted, desktop).otherwise(typed)), ts)
+    return F.array(F.when(dotted, desktop).otherwise(typed)), ts
 
 
-def load(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def load(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
     """Events of all files with session, origin and format. A file in ``<session>/subagents/`` belongs to that session, as does
-    ``agents/<id>/wire.jsonl``. Files that tell no format are read as rich ones, so that their lines are counted."""
-    lines = read_lines(spark, paths)
-    told = detect_format(lines).withColumn("format", F.coalesce("format", F.lit("rich")))
-    lines = lines.join(told, "source")
-    of = lambda f: lines.where(F.col("format").isin(*f)).drop("format")
-    events = rich_events(of(["rich", "degraded"])).unionByName(rollout_events(of(["rollout"]))).unionByName(wire_events(of(["wire"])))
-    return with_sessions(events.join(told, "source"))
+    ``agents/<id>/wire.jsonl``. Files that tell no format are read as rich ones, so that their lines are counted.
+
+    One scan and one sort by file: lines are numbered and the format is told over the same window, and each line is read as its
+    file's format says.
+    """
+    lines = read_lines(spark, paths, recursive).withColumn("_said", format_said(F.col("v")))
+    first = F.min_by("_said", F.when(F.col("_said").isNotNull(), F.col("seq"))).over(Window.partitionBy("source"))
+    lines = lines.withColumn("format", F.coalesce(first, F.lit("rich"))).drop("_said")
+    rich, rollout = F.col("format").isin("rich", "degraded"), F.col("format") == "rollout"
+    (rich_e, rich_ts, ref), (rollout_e, rollout_ts), (wire_e, wire_ts) = _rich(), _rollout(), _wire()
+    pick = lambda x, y, z: F.when(rich, x).when(rollout, y).otherwise(z)
+    read = _with_texts(lines, rich).withColumns({"events": pick(rich_e, rollout_e, wire_e), "ts": pick(rich_ts, rollout_ts, wire_ts), "ref": F.when(rich, ref)})
+    return with_sessions(_spread(read, "format"))
 
 
 def with_sessions(events: DataFrame) -> DataFrame:
