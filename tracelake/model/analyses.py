@@ -107,7 +107,7 @@ def load_totals(a: Audit) -> DataFrame:
 def skill_tree(a: Audit) -> dict[str, DataFrame]:
     """nodes (agents with their requests, the agent that sent them, listed and attached tokens; loose: no call sent them),
     attachments (skills by agent: loads, their tokens, executed, versions) and totals by session."""
-    sent = a.dispatches.where("agent is not null and item_id is not null").select("session", "agent", F.substring_index("item_id", ":", F.lit(1)).alias("by"), "item_id")
+    sent = a.dispatches.where("agent is not null and item_id is not null")
     parent = sent.groupBy("session", "agent").agg(F.min("item_id").alias("via"))
     own = a.items.where("kind = 'tool_call'").select("session", F.col("item_id").alias("via"), F.col("agent").alias("parent_agent"))
     parent = parent.join(own, ["session", "via"], "left")
@@ -163,7 +163,7 @@ def session_figures(a: Audit, events: DataFrame) -> DataFrame:
     grown = parted.where("comparable").groupBy("session").agg(F.sum("added").alias("growth"), F.sum("system_added").alias("residual"))
     extra = repeats(a).where("class is not null")
     extra = extra.groupBy("session").agg(F.sum("tokens").alias("repeat_extra"), F.coalesce(F.sum(F.when(F.col("class") == "post_compaction", F.col("tokens"))), F.lit(0)).alias("post_compaction"))
-    back = subagent_returns(a).groupBy("session").agg(F.count("*").alias("dispatches"), F.coalesce(F.sum("return_tokens"), F.lit(0)).alias("return_tokens"), F.count_if(F.size("flags") > 0).alias("flagged"))
+    back = subagent_returns(a).groupBy("session").agg(F.count("*").alias("dispatches"), F.coalesce(F.sum("return_tokens"), F.lit(0)).alias("return_tokens"), F.count_if(F.col("flags") != "").alias("flagged"))
     used = usage(a).select("session", "output", "cache_hit_rate").join(a.records.where("usage is not null").groupBy("session").agg(F.count("*").alias("usage_records")), "session")
     begun = timeline.compactions(events).groupBy("session").agg(F.count("*").alias("compactions"))
     how = process_signature(a).select("session", "style", "signal")
