@@ -34,6 +34,31 @@ def alive_sums(items: DataFrame, calls: DataFrame, keys: Sequence[str], buckets:
     return every.withColumns(sums).where("_rank = 1").select(*calls.columns, *sums)
 
 
+def span_contexts(records: DataFrame, keys: Sequence[str], buckets: Sequence[str], seq: str = "seq", kind: str = "kind", positive: str = "positive", bucket: str = "bucket", amount: str = "tokens") -> DataFrame:
+    """keys, span_no, first_seq, last_seq, n_records, anchor (the amount of the last record), <bucket>_tokens and n_alive: what spans()
+    and alive_sums() give together where every record is an item and rows of kind ``meta`` are the boundaries.
+
+    An item lives until the next boundary, so what is alive at a place is what came since the last one: a running sum less its value
+    there. All of it is one exchange by ``keys`` and one sort by ``seq``.
+    """
+    w = Window.partitionBy(*keys).orderBy(seq)
+    before, so_far = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    pos = F.coalesce((F.col(kind) == "assistant") & F.col(positive), F.lit(False))
+    r = records.withColumns({"_used": F.col(kind) != "meta", "_pos": pos})
+    after = F.coalesce(F.last(F.when(F.col("_used"), F.col("_pos")), ignorenulls=True).over(before), F.lit(False))
+    sums = {f"_{b}": F.coalesce(F.sum(F.when(F.col("_used") & (F.col(bucket) == b), F.col(amount))).over(before), F.lit(0)) for b in buckets}
+    sums["_n"] = F.coalesce(F.sum(F.col("_used").cast("long")).over(before), F.lit(0))
+    r = r.withColumns({"_starts": F.col("_used") & ((F.col(kind) == "user") | after), **sums})
+    lost = {f"{c}_gone": F.coalesce(F.last(F.when(~F.col("_used"), F.col(c)), ignorenulls=True).over(before), F.lit(0)) for c in sums}
+    r = r.withColumns({"_grp": F.sum(F.col("_starts").cast("int")).over(so_far), **lost}).where(F.col(kind) == "assistant")
+    alive = F.struct(*[(F.col(f"_{b}") - F.col(f"_{b}_gone")).alias(f"{b}_tokens") for b in buckets], (F.col("_n") - F.col("_n_gone")).alias("n_alive"))
+    g = r.groupBy(*keys, "_grp").agg(
+        F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"), F.count("*").alias("n_records"), F.max_by(amount, seq).alias("anchor"), F.min_by(alive, seq).alias("_alive"), F.bool_or("_pos").alias("_in")
+    ).where("_in")
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("first_seq")).cast("long")
+    return g.withColumn("span_no", number).select(*keys, "span_no", "first_seq", "last_seq", "n_records", "anchor", "_alive.*")
+
+
 def alive_refs(items: DataFrame, calls: DataFrame, keys: Sequence[str], seq: str = "seq", at: str = "first_seq") -> DataFrame:
     """A row for each call and item alive at it: an equi-join on keys with a range condition. As large as its result."""
     same = [F.col(f"i.{k}") == F.col(f"c.{k}") for k in keys]

@@ -76,12 +76,24 @@ GROUP BY sp.session, span_no, first_seq, last_seq, n_records"""
 )
 def liveness_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Estimated tokens alive in each request's context by bucket, and how much of the measured prompt they don't explain."""
-    r = records(spark, sf_dir)
-    calls = _calls(r).withColumn("anchor", F.nullif(F.col("anchor"), F.lit(0)) * 50)
-    out = liveness.alive_sums(_gone(r), calls, S, BUCKETS, bucket="event_type")
+    out = liveness.span_contexts(records(spark, sf_dir), S, BUCKETS, bucket="event_type")
+    out = out.withColumn("anchor", F.nullif(F.col("anchor"), F.lit(0)) * 50)
     return out.withColumn("unattributed", F.col("anchor") - sum(F.col(f"{b}_tokens") for b in BUCKETS))
 
 
+@R.query(
+    RECORDS
+    + """, c AS (SELECT sp.session, span_no, coalesce(sum(tokens) FILTER (event_type = 'view'), 0)::BIGINT AS view_tokens, coalesce(sum(tokens) FILTER (event_type = 'click'), 0)::BIGINT AS click_tokens, count(gi.seq) AS n_alive
+FROM sp LEFT JOIN gi ON gi.session = sp.session AND gi.seq < first_seq AND (gone_seq IS NULL OR first_seq < gone_seq) GROUP BY sp.session, span_no)
+SELECT * FROM c"""
+)
+def liveness_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by births and deaths, as it is for items that die each at a place of their own."""
+    r = records(spark, sf_dir)
+    out = liveness.alive_sums(_gone(r), _calls(r), S, ["view", "click"], bucket="event_type")
+    return out.select("session", "span_no", "view_tokens", "click_tokens", "n_alive")
+
+
 @R.query(
     RECORDS
     + """SELECT sp.session, span_no, count(*) AS n_refs, sum(gi.tokens)::BIGINT AS ref_tokens
