@@ -23,11 +23,13 @@ def micros(ts: Column) -> Column:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session, seq, us, event_type, kind, positive, tokens, k."""
-    e = table(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "signup", "user").when(F.col("event_type") == "error", "meta").otherwise("assistant")
-    return e.select(
-        F.col("user_id").alias("session"),
-        F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("seq"),
+    # renamed first: then later steps by session find the rows of a session together already
+    e = table(spark, sf_dir, "events").withColumnRenamed("user_id", "session")
+    seq = F.row_number().over(Window.partitionBy("session").orderBy("ts", "event_id")).cast("long")
+    return e.withColumn("seq", seq).select(
+        "session",
+        "seq",
         micros(F.col("ts")).alias("us"),
         "event_type",
         kind.alias("kind"),
