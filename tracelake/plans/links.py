@@ -30,12 +30,13 @@ def call_result_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paired.unionByName(side(lone_calls, "call"), allowMissingColumns=True).unionByName(side(lone_results, "result"), allowMissingColumns=True)
 
 
-_DISPATCH = """WITH o AS (SELECT o_custkey AS ck, o_orderkey FROM orders), c AS (SELECT c_custkey AS ck FROM customer WHERE c_acctbal >= 0)
+_DISPATCH = """WITH o AS (SELECT o_custkey AS ck, o_orderkey FROM orders WHERE o_totalprice > 400000), c AS (SELECT c_custkey AS ck FROM customer WHERE c_acctbal >= 0)
 """
 
 
 def _dispatch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ck"), "o_orderkey")
+    """Large orders are calls, customers in credit the children: either side has some without the other."""
+    o = table(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("ck"), "o_orderkey")
     c = table(spark, sf_dir, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("ck"))
     return pairing.link_children(o, c, "ck", "o_orderkey")
 
@@ -100,33 +101,36 @@ def diff_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.diff_edges(declared, _co_load(spark, sf_dir))
 
 
-_IDS = """WITH i AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id % 5 = 0 AS listed FROM documents
-UNION ALL SELECT source || ':' || doc_id, true FROM documents WHERE doc_id % 2 = 0
-UNION ALL SELECT lang || ':' || doc_id, true FROM documents WHERE doc_id % 6 = 0),
+_IDS = """WITH i AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id IN (SELECT doc_id FROM labels) AS listed, lang FROM documents
+UNION ALL SELECT source || ':' || doc_id, true, lang FROM documents WHERE lang IN ('en', 'fr')
+UNION ALL SELECT lang || ':' || doc_id, true, lang FROM documents WHERE n_chars > 2000),
 f AS (SELECT split_part(id, ':', 2) AS suffix, min(id) AS full_id, count(*) AS n FROM (SELECT DISTINCT id FROM i) WHERE contains(id, ':') GROUP BY 1)
 """
 
 
 def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by bare numbers, listed if they have a label; by source in two languages; by language if they are long."""
     d = table(spark, sf_dir, "documents")
-    spaced = lambda c, n: d.where(F.col("doc_id") % n == 0).select(F.concat_ws(":", c, F.col("doc_id").cast("string")).alias("id"), F.lit(True).alias("listed"))
-    return d.select(F.col("doc_id").cast("string").alias("id"), (F.col("doc_id") % 5 == 0).alias("listed")).unionByName(spaced("source", 2)).unionByName(spaced("lang", 6))
+    known = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("listed", F.lit(True))
+    bare = d.join(known, "doc_id", "left").select(F.col("doc_id").cast("string").alias("id"), F.coalesce("listed", F.lit(False)).alias("listed"), "lang")
+    spaced = lambda c, rows: rows.select(F.concat_ws(":", c, F.col("doc_id").cast("string")).alias("id"), F.lit(True).alias("listed"), "lang")
+    return bare.unionByName(spaced("source", d.where("lang in ('en', 'fr')"))).unionByName(spaced("lang", d.where("n_chars > 2000")))
 
 
 @R.query(_IDS + "SELECT id AS raw_id, CASE WHEN NOT contains(id, ':') AND NOT listed AND n = 1 THEN full_id ELSE id END AS id FROM i LEFT JOIN f ON suffix = id")
 def identity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairing.merge_by_suffix(_ids(spark, sf_dir))
+    return pairing.merge_by_suffix(_ids(spark, sf_dir).drop("lang"))
 
 
 @R.query(
     _IDS
-    + """, d AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id FROM labels), o AS (SELECT DISTINCT id FROM i WHERE contains(id, ':') OR CAST(split_part(id, ':', 1) AS BIGINT) % 9 = 0),
+    + """, d AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id FROM labels), o AS (SELECT DISTINCT id FROM i WHERE contains(id, ':') OR lang = 'de'),
 t AS (SELECT split_part(id, ':', 2) AS suffix, min(id) AS twin, count(*) AS n FROM o WHERE contains(id, ':') GROUP BY 1)
 SELECT d.id, coalesce(o.id, CASE WHEN n = 1 THEN twin END) AS observed_id, CASE WHEN o.id IS NOT NULL THEN 'exact' WHEN n = 1 THEN 'suffix' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END AS how
 FROM d LEFT JOIN o ON o.id = d.id LEFT JOIN t ON t.suffix = d.id"""
 )
 def declared_observed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    observed = _ids(spark, sf_dir).where(F.contains("id", F.lit(":")) | (F.expr("try_cast(id as bigint)") % 9 == 0))
+    observed = _ids(spark, sf_dir).where(F.contains("id", F.lit(":")) | (F.col("lang") == "de"))
     declared = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"))
     return pairing.match_declared(declared, observed)
 

@@ -136,6 +136,7 @@ p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared, a.n AS n_a, b.n AS n_b FR
 SELECT *, round(shared / (n_a + n_b - shared), 6) AS score FROM p WHERE shared / (n_a + n_b - shared) >= 0.8"""
 )
 def dup_desc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's first line stands for the description of a catalog entry, which is a field of its own there."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), similarity.words(F.coalesce(F.split("text", "\n", 2)[0], F.lit(""))).alias("w"))
     return similarity.similar_pairs(d.select("id", similarity.windows(F.col("w"), similarity.WORDS, " ").alias("shingles")), similarity.JACCARD, "jaccard")
 
