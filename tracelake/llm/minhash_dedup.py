@@ -6,8 +6,8 @@ chance of 5e-6. Every proposed link is confirmed on the full sets.
 
 No pairs within a bucket are listed at first: each member is compared to the bucket's least member. Confirmed links give
 components. Only in buckets that then still hold several components can further links matter; there, members of different
-components are compared on their signatures, and pairs whose estimate is ESTIMATE or more are confirmed on the full sets as well.
-So large groups of near copies, which the first step joins, stay linear. Of the buckets that still hold several components, those
+components are compared on their signatures, and pairs whose estimate is ESTIMATE or more on all codes of their sets (32 bits of
+each) at once, so that only what is near enough becomes a row; those rows are confirmed on the full sets as well. So large groups of near copies, which the first step joins, stay linear. Of the buckets that still hold several components, those
 of more than BLOCK members (say, all documents with one long license text) are parted by a further band each of their later ones,
 up to REFINED times: members that share one band alone no longer meet, and a pair at 0.75 shares fewer than two of the 32 bands
 with a chance of 8e-5, fewer than three with 6e-4. What is larger still after that is compared block by block, none left out.
@@ -94,7 +94,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[np.ndarray] = []
         for chunk in chunks(batch.column("text"), lower=True):
             out += [shingles(chunk.of(k)) for k in range(chunk.hi - chunk.lo)]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in out], pa.binary())], names=["id", "set"])
+        short = [(x >> U(32)).astype("<u4").tobytes() for x in out]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in out], pa.binary()), pa.array(short, pa.binary())], names=["id", "set", "short"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,12 +118,20 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "set_u", "set_v").mapInArrow(_confirmed, "u long, v long")
 
 
-def _met(path: list[int], ids: np.ndarray, component: np.ndarray, n: np.ndarray, side: np.ndarray, s: np.ndarray) -> list[tuple[int, int]]:
+def _near(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets are similar enough by 32 bits of each code; a little more than that, as codes may meet."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")  # merges two sorted runs
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * (common + 2 + len(both) // 1000) >= THRESHOLD * (len(both) - common)
+
+
+def _met(path: list[int], ids: np.ndarray, component: np.ndarray, n: np.ndarray, side: np.ndarray, s: np.ndarray, sets: list[bytes]) -> list[tuple[int, int]]:
     """Pairs of members of two blocks (or of one) that lie in different components and may be similar enough: by size, then by
-    signature. A pair counts only where path names the first bands that it shares, so once in all."""
+    signature, then by their sets. A pair counts only where path names the first bands that it shares, so once in all."""
     order = np.argsort(n, kind="stable")
     ids, component, n, side, s = ids[order], component[order], n[order], side[order], s[order]
-    one, out = bool((side == 2).all()), []
+    one, out, codes = bool((side == 2).all()), [], [np.frombuffer(sets[k], "<u4") for k in order]
     upto = np.searchsorted(n, n * 100 // THRESHOLD, "right")  # sizes of similar sets differ by a third at most
     for i in range(len(ids) - 1):
         j = np.arange(i + 1, upto[i])
@@ -132,7 +141,7 @@ def _met(path: list[int], ids: np.ndarray, component: np.ndarray, n: np.ndarray,
         same = s[j] == s[i]
         near = same.sum(axis=1) >= ESTIMATE * HASHES
         for x, bands in zip(j[near], same[near].reshape(-1, BANDS, ROWS).all(axis=2), strict=True):
-            if np.flatnonzero(bands)[: len(path)].tolist() == path:
+            if np.flatnonzero(bands)[: len(path)].tolist() == path and _near(codes[i], codes[x]):
                 out.append((min(ids[i], ids[x]), max(ids[i], ids[x])))
     return out
 
@@ -141,15 +150,15 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of each group (key, x, y), whose rows come together."""
 
     def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        path, ids, component, n, side, signature = zip(*rows, strict=True)
-        found = _met(list(path[0]), np.array(ids), np.array(component), np.array(n), np.array(side), np.frombuffer(b"".join(signature), "<u4").reshape(-1, HASHES))
+        path, ids, component, n, side, signature, sets = zip(*rows, strict=True)
+        found = _met(list(path[0]), np.array(ids), np.array(component), np.array(n), np.array(side), np.frombuffer(b"".join(signature), "<u4").reshape(-1, HASHES), sets)
         if found:
             u, v = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     now, rows = None, []
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("key", "x", "y", "path", "id", "component", "n", "side", "signature")]
+        columns = [batch.column(c).to_pylist() for c in ("key", "x", "y", "path", "id", "component", "n", "side", "signature", "short")]
         for key, x, y, *row in zip(*columns, strict=True):
             if (key, x, y) != now and rows:
                 yield from pairs(rows)
@@ -166,8 +175,8 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(several.select("key", "size"), "key")
 
 
-def _residual(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Candidate pairs across components. buckets: band, place, id. nodes: id, component, n, signature, bands."""
+def _residual(buckets: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidate pairs across components. buckets: band, place, id. nodes: id, component, n, signature, bands. sets: id, short."""
     rows = buckets.join(nodes.select("id", "component"), "id").select(F.col("band").alias("key"), F.array(F.col("place").cast("int")).alias("path"), "id", "component")
     rows, compared = cut(_mixed(rows)), None
     for _ in range(REFINED):
@@ -187,7 +196,7 @@ def _residual(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
     compared = compared.select("key", "path", "id", "component", "block", F.explode(meets).alias("at"))
     side = F.when(F.col("at.x") == F.col("at.y"), F.lit(2)).otherwise((F.col("block") != F.col("at.x")).cast("int"))
     compared = compared.select("key", "path", "id", "component", F.col("at.x").alias("x"), F.col("at.y").alias("y"), side.alias("side"))
-    compared = compared.join(nodes.select("id", "n", "signature"), "id").repartition(shuffle_width(buckets.sparkSession), "key", "x", "y")
+    compared = compared.join(nodes.select("id", "n", "signature").join(sets.select("id", "short"), "id"), "id").repartition(shuffle_width(buckets.sparkSession), "key", "x", "y")
     return compared.sortWithinPartitions("key", "x", "y").mapInArrow(_across, "u long, v long").distinct()
 
 
@@ -207,13 +216,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = rows.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     buckets = cut(rows.join(full.select("band", "least"), "band"))
     used = buckets.select("id").distinct()
-    sets = cut(texts.join(used, "id", "left_semi").mapInArrow(_sets, "id long, set binary"))
+    sets = cut(texts.join(used, "id", "left_semi").mapInArrow(_sets, "id long, set binary, short binary"))
     star = buckets.where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v")).distinct()
     links = cut(_confirm(star, sets))
     first = components(links)
     nodes = heads.join(used, "id", "left_semi").join(first.withColumnRenamed("node", "id"), "id", "left")
     nodes = cut(nodes.withColumn("component", F.coalesce("component", "id")))
-    more = cut(_confirm(_residual(buckets.select("band", "place", "id"), nodes), sets))
+    more = cut(_confirm(_residual(buckets.select("band", "place", "id"), nodes, sets), sets))
     found = components(links.unionByName(more).unionByName(same_set))
     for table in (buckets, sets, links, first, nodes, more):  # nothing below reads them
         drop_cut(table)
