@@ -45,6 +45,11 @@ def test_scan_merge_and_audit(spark, tmp_path):
     closed = {r.root: r for r in audit.closures(c).collect()}
     assert closed["alpha"].unresolved == ["gone"] and closed["alpha"].members == 3 and not closed["alpha"].truncated
     assert {r.root: r.truncated for r in audit.closures(c, depth=1).collect()} == {"alpha": True, "beta": False}
+    files = spark.createDataFrame([("alpha", "references/a.md", "x" * 40), ("alpha", "references/unknown.md", "y" * 400)], "name string, target string, text string")
+    with_files = {r.root: r for r in audit.closures(c, files=files).collect()}
+    assert (with_files["alpha"].n_files, with_files["alpha"].file_tokens) == (1, 10) and with_files["alpha"].tokens == closed["alpha"].tokens + 10 and with_files["beta"].n_files == 0
+    lost = [(r.a, r.b, r.exact, r.waste > 0) for r in audit.wasted(c.unionByName(c.where("name = 'beta'").withColumn("name", F.lit("beta2")))).orderBy("a", "b").collect()]
+    assert lost == [("alpha", "beta", False, True), ("beta", "beta2", True, True)]
     assert {r.target for r in audit.references(c).collect()} == {"references/a.md"}  # once for the link, once for the mention
     s = audit.summary(c).first()
     assert s.skills == 3 and s.parse_failures == 2 and s.activation > s.discovery > 0
