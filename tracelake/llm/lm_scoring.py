@@ -241,16 +241,19 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _text_costs(raw: np.ndarray, size: np.ndarray, costs: list[np.ndarray], buckets: int) -> np.ndarray:
     """Sums of the costs of each document's symbols; costs are those of the piece's distinct grams, by bucket and code."""
     data, begin = ct.stream(raw, np.concatenate([[0], np.cumsum(size)]))
-    places, doc = ct.symbols(data, begin, size), np.repeat(np.arange(len(size)), size + 1)
-    found = [np.unique(ct.gram_codes(data, places[a : a + (1 << 20)]), return_inverse=True) for a in range(0, len(places), 1 << 20)]
-    found = [(key, at.astype(np.int32)) for key, at in found]
-    keys = np.unique(np.concatenate([key for key, _ in found]))
+    found, ends, lo = [], np.cumsum(size + 1), 0
+    while lo < len(size):  # documents of about a million symbols at a time
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - size[lo] - 1 + (1 << 20), "right")))
+        key, at = np.unique(ct.gram_codes(data, ct.symbols(data, begin[lo:hi], size[lo:hi])), return_inverse=True)
+        found.append((lo, hi, key, at.astype(np.int32)))
+        lo = hi
+    keys = np.unique(np.concatenate([key for _, _, key, _ in found]))
     cost = np.zeros(len(keys))
     cost[np.argsort(_bucket(keys, buckets), kind="stable")] = np.concatenate(costs)
     out = np.zeros(len(size))
-    for k, (key, at) in enumerate(found):
-        mine = doc[k << 20 : (k + 1) << 20]
-        out[mine[0] : mine[-1] + 1] += np.bincount(mine - mine[0], weights=cost[np.searchsorted(keys, key)][at])
+    for lo, hi, key, at in found:
+        n = size[lo:hi] + 1
+        out[lo:hi] = np.add.reduceat(cost[np.searchsorted(keys, key)][at], np.cumsum(n) - n)
     return out
 
 
@@ -268,6 +271,7 @@ def _put_together(batches: Iterator[pa.RecordBatch], trained: int, n: int, v: in
         base = sums - tokens * np.log10(n + 0.1 * (v + 1))
         out = [(d["id"], d["held"], d["n"], int(k), n, float(b), float(s), d["size"]) for d, k, b, s in zip(docs, known, base, score, strict=True)]
         yield _rows(out, [pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64(), pa.int64()], "id held_out n_tokens n_known train_tokens base_score score n_bytes")
+    pa.default_memory_pool().release_unused()
 
 
 def held_out(ident: Column) -> Column:
