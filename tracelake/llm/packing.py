@@ -41,9 +41,9 @@ POOL_TOKENS = 256 * 1024
 STEP_TOKENS = 64 * 4096
 #: Partitions whose rests are packed together.
 TAILS = 64
-#: Words whose ids a Python worker keeps, of those met in several groups of texts and of those met in one so far (some 50 MB
+#: Words whose ids a Python worker keeps, of those met in several groups of texts and of those met in one so far (some 80 MB
 #: each); each kind is dropped at its bound, the second also when a partition ends.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 _SCHEMA = "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, part long, rank long"
 _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
 #: Numbers of groups of rests begin here, beyond those of partitions.
@@ -70,19 +70,19 @@ class Encoder:
     def _learned(self, new: set[bytes]) -> dict[bytes, bytes]:
         """Ids of new words. Words of letters alone, or of letters and a last full stop or comma, are encoded as one text: each run
         of letters then ends with the one id that marks an end, which is where the ids are parted again."""
-        plain, ends, other = {}, [], []
+        plain, ends, other, often = {}, [], [], self.often
         for w in new:
-            text = w.decode()
-            if text.isalpha():
-                plain[w] = text
-            elif text[-1] in ".," and text[:-1].isalpha():
-                ends.append(w)
-                if w[:-1] not in self.often:
-                    plain[w[:-1]] = text[:-1]
-            else:
+            head = w[:-1] if w[-1] in b".," else w
+            if not head.isalpha() and not head.decode().isalpha():  # bytes know the letters of ASCII alone
                 other.append(w)
+            elif head is w:
+                plain[w] = None
+            else:
+                ends.append(w)
+                if head not in often:
+                    plain[head] = None
         some = list(plain)
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain.values())], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
         last = np.flatnonzero(self.marks_end[ids]) + 1 if len(ids) else np.zeros(0, np.int64)
         out = {}
         if len(last) == len(some):
@@ -94,7 +94,7 @@ class Encoder:
         for w, e in zip(other, self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False), strict=True):
             out[w] = np.array(e.ids, "<u4").tobytes()
         for w in ends:
-            out[w] = (self.often.get(w[:-1]) or out[w[:-1]]) + self.stops[w[-1]]
+            out[w] = (often.get(w[:-1]) or out[w[:-1]]) + self.stops[w[-1]]
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
