@@ -6,7 +6,8 @@ from collections import defaultdict
 
 import corpus_pipeline
 import public_tokenizers
-from tests.llm.helpers import lower, prose, words_of
+from pyspark.sql import functions as F
+from tests.llm.helpers import CLASHES, prose
 from tests.llm.test_operators import leaks, near_groups, quality_rows
 from tokenizers import Tokenizer
 
@@ -53,7 +54,30 @@ def test_stages(spark, tmp_path):
     }
     whole = [tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert {(r[0], r[1], r[2]) for r in whole if r[0] is not None} and ids(whole) == ids(masked)
-    assert words_of(lower("A b")) == ["a", "b"]
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Extra columns with inner names, nulls in all columns, repeated rows and shared ids, stage by stage."""
+    rng = random.Random(12)
+    good, bad = quality_rows(80)
+    spark.createDataFrame([(r[0], 1, 0) for r in good] + [(r[0], 0, 0) for r in bad], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "alpha beta gamma"), (None, None), (3, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    odd = [good[0], good[0], (good[1][0], prose(rng, 80), None, None, None), (None, prose(rng, 50), None, None, None), (None, None, None, None, None), (None, None, None, None, None), (900, "", "en", "s", 0), (901, None, None, None, None),
+           (902, prose(rng, 60) + " token=abcdef0123 alpha beta gamma", "en", None, 1), (903, prose(rng, 60) + " token=abcdef0123", "en", None, 1)]
+    names = [*CLASHES, "bad_id", "bad_hash", "stays_id", "leak_id", "leak_hash", "span_id", "span_hash", "span_list", "x", "piece", "part", "rank", "tier"]
+    docs = spark.createDataFrame(good + odd, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("x") for c in dict.fromkeys(names)})
+    kept = corpus_pipeline.classify(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and kept.where("doc_id is null").count() in (0, 1, 2, 3)
+    single = corpus_pipeline.deduplicate(spark, docs, str(tmp_path))
+    ids = [r.doc_id for r in single.select("doc_id").collect()]
+    assert single.columns == docs.columns and ids.count(None) == 3 and ids.count(good[0][0]) == ids.count(good[1][0]) == ids.count(900) == ids.count(901) == 1
+    clean = corpus_pipeline.decontaminate_benchmark(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns and clean.count() == docs.count() - 1 and clean.where("doc_id = 902").count() == 0
+    masked = corpus_pipeline.mask_secrets(spark, docs, str(tmp_path))
+    assert masked.columns == docs.columns and masked.count() == docs.count()
+    assert {r.text[-9:] for r in masked.where("doc_id = 903").collect()} == {" [assign]"} and masked.where("text is null and n_chars is not null").count() == 0
+    pieces = corpus_pipeline.pack(spark, docs, str(tmp_path))
+    assert pieces.where("doc_id is null").count() >= 3 and pieces.where("doc_id = 900 and doc_tokens = 1").count() == 1
 
 
 def test_empty_tables(spark, tmp_path):
