@@ -40,6 +40,9 @@ def test_scan_merge_and_audit(spark, tmp_path):
     extra = catalog.injected(spark.createDataFrame([(json.dumps({"skills": {"ALPHA": {"description": "better", "intent": " i "}, "bad": 3, "new": {"description": "n"}}}),), ("[]",), ("{",)], "json string"))
     merged = {r.name: r.source for r in catalog.merge(c, extra).collect()}
     assert merged == {"ALPHA": "injected", "new": "injected", "beta": "scanned", "gamma": "scanned"}
+    given = spark.createDataFrame([(json.dumps({"p": {"body_path": "/b/p.md"}, "q": {"description": "says", "body_path": "/b/none.md"}, "r": {"body_path": "/b/none.md"}}),)], "json string")
+    held = {r.name: r for r in catalog.injected(given, spark.createDataFrame([("/b/p.md", "---\nx: y\n---\n the body \n")], "path string, text string")).collect()}
+    assert set(held) == {"p", "q"} and held["p"].body == held["p"].trigger_excerpt == "the body" and held["q"].body == "" and held["q"].path == "/b/none.md"
     bodies, spoken = audit.duplicates(c)
     assert [(r.a, r.b) for r in bodies.collect()] == [("alpha", "beta")] and spoken.count() == 0
     closed = {r.root: r for r in audit.closures(c).collect()}

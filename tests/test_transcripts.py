@@ -263,3 +263,12 @@ def test_load_reads_once(spark, tmp_path):
     write(tmp_path / "a.jsonl", [{"type": "user", "parentUuid": None, "message": {"content": "hi"}}])
     plan = tr.load(spark, str(tmp_path / "a.jsonl"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan text") == 1 and plan.count("Exchange") == 1 and plan.count("ArrowEvalPython") == 1
+
+
+def test_shared_children(spark, tmp_path):
+    """A folder of subagents beside two transcripts belongs to both; one below a session's own folder to that session."""
+    hi = lambda n: [said("user", "hi", n)]
+    for path in ("w/a.jsonl", "w/b.jsonl", "w/a/subagents/own.jsonl", "w/subagents/kid.jsonl", "v/subagents/lone.jsonl"):
+        write(tmp_path / path, hi(1))
+    e = tr.with_shared_children(tr.load(spark, str(tmp_path), recursive=True))
+    assert rows(e, "session", "origin") == [("a", "main"), ("a", "subagent:kid"), ("a", "subagent:own"), ("b", "main"), ("b", "subagent:kid"), ("v", "subagent:lone")]

@@ -16,7 +16,7 @@ def sessions(spark: SparkSession, roots: list[str], keep: Callable[[DataFrame],
     """A row for each session that the roots hold: its figures (analyses.session_figures), workspace, path and time. Logs are parsed
     once; ``keep`` gets what several tables are built from, to write or checkpoint it. Files of subagents belong to their session."""
     found = discovery.discover(spark, roots)
-    events = keep(timeline.in_order(transcripts.load(spark, [f"{r.rstrip('/')}" for r in roots], recursive=True)))
+    events = keep(timeline.in_order(transcripts.with_shared_children(transcripts.load(spark, roots, recursive=True))))
     figures = analyses.session_figures(session.audit(events, keep=keep), events)
     return found.join(figures, "session")
 

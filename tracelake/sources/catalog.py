@@ -81,7 +81,7 @@ def parse(files: DataFrame) -> DataFrame:
     """(path, text) as catalog rows: name (else the folder's), description, trigger_excerpt, body, disable_model_invocation,
     description_parse_failed, requires, text."""
     f = files.withColumn("_m", F.pandas_udf(_meta, f"struct<{_META.replace(' ', ':').replace(',:', ',')}>")(F.regexp_extract("text", _FRONT, 1)))
-    body = F.regexp_replace(F.regexp_replace("text", _FRONT, ""), r"(?U)\A\s+|\s+\z", "")
+    body = _body(F.col("text"))
     description = F.trim(F.coalesce("_m.description", F.lit("")))
     folder = F.regexp_extract("path", r"([^/]+)/[^/]*$", 1)
     return f.select(
@@ -115,17 +115,30 @@ def scan(spark: SparkSession, directories: list[str]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "rank")
 
 
-def injected(entries: DataFrame) -> DataFrame:
-    """Catalog rows from a column ``json``: an object of name to {description, intent}, or one such object below ``skills``. Bad
-    entries are left out."""
+def _body(text: Column) -> Column:
+    """A file's text without its front matter and outer white space."""
+    return F.regexp_replace(F.regexp_replace(text, _FRONT, ""), r"(?U)\A\s+|\s+\z", "")
+
+
+def injected(entries: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Catalog rows from a column ``json``: an object of name to {description, intent, body_path}, or one such object below ``skills``.
+    Bad entries are left out, as are those with neither description nor body.
+
+    files: path, text of the bodies that entries give by path. A path that none of them has leaves the entry its description alone.
+    """
     v = F.try_parse_json("json")
     of = F.coalesce(F.when(F.schema_of_variant(F.try_variant_get(v, "$.skills", "variant")).startswith("OBJECT"), F.try_variant_get(v, "$.skills", "variant")), v)
     pairs = entries.where(F.schema_of_variant(v).startswith("OBJECT")).select(F.explode(F.map_entries(F.from_json(F.to_json(of), "map<string,string>"))).alias("e"))
-    d = F.trim(F.coalesce(F.get_json_object("e.value", "$.description"), F.lit("")))
-    rows = pairs.select(F.col("e.key").alias("name"), d.alias("description"), F.nullif(F.trim(F.get_json_object("e.value", "$.intent")), F.lit("")).alias("intent")).where("description <> ''")
-    return rows.select("name", "description", F.col("description").alias("trigger_excerpt"), F.lit("").alias("body"), F.lit(False).alias("disable_model_invocation"),
-                       (F.length("description") < LEAST_CHARS).alias("description_parse_failed"), F.array().cast("array<string>").alias("requires"), F.lit("<injected>").alias("path"),
-                       F.lit(None).cast("string").alias("text"), F.lit("injected").alias("source"), "intent")
+    field = lambda f: F.get_json_object("e.value", f"$.{f}")
+    rows = pairs.select(F.col("e.key").alias("name"), F.trim(F.coalesce(field("description"), F.lit(""))).alias("description"), F.nullif(F.trim(field("intent")), F.lit("")).alias("intent"), F.nullif(field("body_path"), F.lit("")).alias("path"))
+    if files is None:
+        rows = rows.withColumn("text", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(files.select("path", "text").dropDuplicates(["path"]), "path", "left")
+    rows = rows.withColumn("body", F.coalesce(_body(F.col("text")), F.lit(""))).where("description <> '' or body <> ''")
+    return rows.select("name", "description", F.regexp_replace(F.concat("description", F.lit("\n"), F.substring("body", 1, TRIGGER_CHARS)), r"(?U)\A\s+|\s+\z", "").alias("trigger_excerpt"), "body", F.lit(False).alias("disable_model_invocation"),
+                       (F.length("description") < LEAST_CHARS).alias("description_parse_failed"), F.array().cast("array<string>").alias("requires"), F.coalesce("path", F.lit("<injected>")).alias("path"),
+                       "text", F.lit("injected").alias("source"), "intent")
 
 
 def merge(catalog: DataFrame, extra: DataFrame) -> DataFrame:

@@ -352,6 +352,19 @@ def with_sessions(events: DataFrame) -> DataFrame:
     return events.withColumns({"session": session, "origin": origin})
 
 
+def with_shared_children(events: DataFrame) -> DataFrame:
+    """``events`` where files of a ``subagents/`` folder that lies beside several transcripts belong to each of these. Such a folder
+    names no session of its own; the children of one that does are left alone, as are those of a folder without any transcript."""
+    folder = F.regexp_extract("source", r"^(.*)/subagents/[^/]+$", 1)
+    mains = events.where("origin = 'main'").select("session", F.regexp_extract("source", r"^(.*)/[^/]+$", 1).alias("_folder")).distinct()
+    own = mains.select("session", F.lit(True).alias("_own")).distinct()
+    marked = events.withColumn("_folder", F.when(F.col("origin") != "main", F.nullif(folder, F.lit("")))).join(own, "session", "left")
+    each = mains.select("_folder", F.col("session").alias("_of"))
+    shared = marked.where("_own is null and _folder is not null").join(each, "_folder", "left")
+    named = shared.withColumn("session", F.coalesce("_of", "session")).select(events.columns)
+    return marked.where("_own or _folder is null").select(events.columns).unionByName(named)
+
+
 def sidecars(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """session, agent, tool_id, agent_type, description, status (ok or malformed) of ``<child>.meta.json`` files."""
     raw = spark.read.text(paths, wholetext=True).select("value", F.regexp_replace(F.col("_metadata.file_path"), r"\.meta\.json$", ".jsonl").alias("source"))
