@@ -7,11 +7,10 @@ chance of 5e-6. Every proposed link is confirmed on the full sets.
 No pairs within a bucket are listed at first: each member is compared to the bucket's least member. Confirmed links give
 components. Only in buckets that then still hold several components can further links matter; there, members of different
 components are compared on their signatures, and pairs whose estimate is ESTIMATE or more on all codes of their sets (32 bits of
-each) at once, so that only what is near enough becomes a row; those rows are confirmed on the full sets as well. So large groups of near copies, which the first step joins, stay linear. Of the buckets that still hold several components, those
-of more than BLOCK members (say, all documents with one long license text) are parted by a further band each of their later ones,
-up to REFINED times: members that share one band alone no longer meet, and a pair at 0.75 shares fewer than two of the 32 bands
-with a chance of 8e-5, fewer than three with 6e-4. What is larger still after that is compared block by block, none left out.
-A pair at 0.75 falls below ESTIMATE with a chance of 1e-5.
+each) at once, so that only what is near enough becomes a row; those rows are confirmed on the full sets as well. So large groups
+of near copies, which the first step joins, stay linear, and no link between components is passed over for want of a comparison. A
+bucket of more than BLOCK members is compared block by block, each pair of blocks in a group of its own: rows grow with the number
+of blocks there, time with the square of the members that aren't linked. A pair at 0.75 falls below ESTIMATE with a chance of 1e-5.
 
 Plan: the first scan keeps ids, set sizes, set digests and signatures, no text. Bucket minima are combined before the shuffle
 and joined back, so that a hot bucket's rows are split by Spark. A second scan makes the sets of documents in buckets of two
@@ -42,8 +41,8 @@ BANDS = HASHES // ROWS
 THRESHOLD = 75
 #: Four and a half standard errors below the threshold, for HASHES minima.
 ESTIMATE = 0.58
-#: Members of a bucket that are compared together; how often a larger bucket is parted by further bands.
-BLOCK, REFINED = 256, 2
+#: Members of a bucket that are compared together.
+BLOCK = 256
 _rng = np.random.Generator(np.random.PCG64(20240301))
 _A = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * U(2) + U(1)
 _B = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -126,9 +125,9 @@ def _near(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * (common + 2 + len(both) // 1000) >= THRESHOLD * (len(both) - common)
 
 
-def _met(path: list[int], ids: np.ndarray, component: np.ndarray, n: np.ndarray, side: np.ndarray, s: np.ndarray, sets: list[bytes]) -> list[tuple[int, int]]:
+def _met(place: int, ids: np.ndarray, component: np.ndarray, n: np.ndarray, side: np.ndarray, s: np.ndarray, sets: list[bytes]) -> list[tuple[int, int]]:
     """Pairs of members of two blocks (or of one) that lie in different components and may be similar enough: by size, then by
-    signature, then by their sets. A pair counts only where path names the first bands that it shares, so once in all."""
+    signature, then by their sets. A pair counts in the first band that it shares alone, so once in all."""
     order = np.argsort(n, kind="stable")
     ids, component, n, side, s = ids[order], component[order], n[order], side[order], s[order]
     one, out, codes = bool((side == 2).all()), [], [np.frombuffer(sets[k], "<u4") for k in order]
@@ -141,7 +140,7 @@ def _met(path: list[int], ids: np.ndarray, component: np.ndarray, n: np.ndarray,
         same = s[j] == s[i]
         near = same.sum(axis=1) >= ESTIMATE * HASHES
         for x, bands in zip(j[near], same[near].reshape(-1, BANDS, ROWS).all(axis=2), strict=True):
-            if np.flatnonzero(bands)[: len(path)].tolist() == path and _near(codes[i], codes[x]):
+            if bands.argmax() == place and _near(codes[i], codes[x]):
                 out.append((min(ids[i], ids[x]), max(ids[i], ids[x])))
     return out
 
@@ -150,15 +149,15 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of each group (key, x, y), whose rows come together."""
 
     def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        path, ids, component, n, side, signature, sets = zip(*rows, strict=True)
-        found = _met(list(path[0]), np.array(ids), np.array(component), np.array(n), np.array(side), np.frombuffer(b"".join(signature), "<u4").reshape(-1, HASHES), sets)
+        place, ids, component, n, side, signature, sets = zip(*rows, strict=True)
+        found = _met(place[0], np.array(ids), np.array(component), np.array(n), np.array(side), np.frombuffer(b"".join(signature), "<u4").reshape(-1, HASHES), sets)
         if found:
             u, v = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     now, rows = None, []
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("key", "x", "y", "path", "id", "component", "n", "side", "signature", "short")]
+        columns = [batch.column(c).to_pylist() for c in ("key", "x", "y", "place", "id", "component", "n", "side", "signature", "short")]
         for key, x, y, *row in zip(*columns, strict=True):
             if (key, x, y) != now and rows:
                 yield from pairs(rows)
@@ -169,33 +168,18 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs(rows)
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold several components, and how many each bucket has."""
-    several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    return rows.join(several.select("key", "size"), "key")
-
-
 def _residual(buckets: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Candidate pairs across components. buckets: band, place, id. nodes: id, component, n, signature, bands. sets: id, short."""
-    rows = buckets.join(nodes.select("id", "component"), "id").select(F.col("band").alias("key"), F.array(F.col("place").cast("int")).alias("path"), "id", "component")
-    rows, compared = cut(_mixed(rows)), None
-    for _ in range(REFINED):
-        large = rows.where(F.col("size") > BLOCK)
-        if large.isEmpty():
-            break
-        small = rows.where(F.col("size") <= BLOCK)
-        compared = small if compared is None else compared.unionByName(small)
-        further = large.join(nodes.select("id", "bands"), "id").select("key", "path", "id", "component", F.posexplode("bands").alias("place", "band"))
-        further = further.where(F.col("place") > F.element_at("path", -1))
-        rows = cut(_mixed(further.select(F.xxhash64("key", "place", "band").alias("key"), F.array_append("path", F.col("place").cast("int")).alias("path"), "id", "component")))
-    compared = rows if compared is None else compared.unionByName(rows)
+    """Candidate pairs across components. buckets: band, place, id. nodes: id, component, n, signature. sets: id, short."""
+    rows = buckets.join(nodes.select("id", "component"), "id").select(F.col("band").alias("key"), F.col("place").cast("int").alias("place"), "id", "component")
+    several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+    compared = rows.join(several.select("key", "size"), "key")
     # A block is a share of a bucket by id hash; every block meets every block of its bucket, in a group of its own
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     compared = compared.withColumn("block", F.pmod(F.xxhash64("id", "key"), blocks).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("x"), F.greatest(x, F.col("block")).alias("y")))
-    compared = compared.select("key", "path", "id", "component", "block", F.explode(meets).alias("at"))
+    compared = compared.select("key", "place", "id", "component", "block", F.explode(meets).alias("at"))
     side = F.when(F.col("at.x") == F.col("at.y"), F.lit(2)).otherwise((F.col("block") != F.col("at.x")).cast("int"))
-    compared = compared.select("key", "path", "id", "component", F.col("at.x").alias("x"), F.col("at.y").alias("y"), side.alias("side"))
+    compared = compared.select("key", "place", "id", "component", F.col("at.x").alias("x"), F.col("at.y").alias("y"), side.alias("side"))
     compared = compared.join(nodes.select("id", "n", "signature").join(sets.select("id", "short"), "id"), "id").repartition(shuffle_width(buckets.sparkSession), "key", "x", "y")
     return compared.sortWithinPartitions("key", "x", "y").mapInArrow(_across, "u long, v long").distinct()
 
@@ -220,7 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = buckets.where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v")).distinct()
     links = cut(_confirm(star, sets))
     first = components(links)
-    nodes = heads.join(used, "id", "left_semi").join(first.withColumnRenamed("node", "id"), "id", "left")
+    nodes = heads.drop("bands").join(used, "id", "left_semi").join(first.withColumnRenamed("node", "id"), "id", "left")
     nodes = cut(nodes.withColumn("component", F.coalesce("component", "id")))
     more = cut(_confirm(_residual(buckets.select("band", "place", "id"), nodes, sets), sets))
     found = components(links.unionByName(more).unionByName(same_set))
