@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import chat_format, decontaminate, lm_scoring, minhash_dedup, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, url_filter
+from tracelake.llm import chat_format, decontaminate, hard_negatives, importance, lm_scoring, minhash_dedup, mixing, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, url_filter
 from tracelake.tables import table
 
 #: The rules of op1: host, path, verdict.
@@ -237,6 +237,54 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return done.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+_OP11_SQL = r"""
+WITH bits AS (SELECT list(list_reduce(list_prepend(CAST(b AS BIGINT), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY b) AS t FROM range(256) r(b)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+b AS (SELECT list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark),
+dw AS (SELECT rid, w, count(*) AS n FROM (SELECT rid, unnest(w) AS w FROM d) GROUP BY ALL),
+bw AS (SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM b) GROUP BY w),
+words AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+crc AS (SELECT w, CAST(xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+                                       lambda a, x: xor(a >> 8, list_extract(t, (xor(a, x) & 255) + 1))), 4294967295) % 10000 AS BIGINT) AS k FROM words, bits),
+s AS (SELECT k, sum(n) AS s FROM dw JOIN crc USING (w) GROUP BY k), t AS (SELECT k, sum(n) AS t FROM bw JOIN crc USING (w) GROUP BY k),
+g AS (SELECT s.k, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(s), 0) FROM s) + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(t), 0) FROM t) + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (k)),
+x AS (SELECT rid, CAST(sum(n * gain) AS BIGINT) AS weight FROM dw JOIN crc USING (w) JOIN g USING (k) GROUP BY rid),
+y AS (SELECT doc_id, len(w) AS n_words, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN x USING (rid)),
+z AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, (SELECT count(*) FROM y WHERE n_words >= 20) AS n FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM z
+"""
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.col("label").cast("long"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+_OP12_SQL = r"""
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.rid, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike, a.vec_id IS DISTINCT FROM c.vec_id AS other, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+      FROM v a, v c WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST) AS k FROM s WHERE alike AND other),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.rid, p.k ORDER BY s.score DESC, s.vec_id NULLS LAST) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+      FROM p JOIN s ON s.rid = p.rid AND NOT s.alike AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score WHERE p.k <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = mixing.mix(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "size", "source_size", "target", "taken", "source", "times")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -250,9 +298,12 @@ QUERIES = {
         op8_packing,
         op9_chat_formatting,
         op10_benchmark_decontamination,
+        op11_importance_resampling,
+        op12_hard_negatives,
+        op13_source_mixing,
     )
 }
-#: SQL can't express operators 5 and 6 (models) and 8 (a tokenizer): they are tested against plain functions.
+#: SQL can't express operators 5 and 6 (models), 8 (a tokenizer) and 13 (draws): they are tested against plain functions.
 ORACLE_SQL = {
     "op1_url_filters": _OP1_SQL,
     "op2_secret_scans": _OP2_SQL,
@@ -261,4 +312,6 @@ ORACLE_SQL = {
     "op7_minhash_near_dedup": _OP7_SQL,
     "op9_chat_formatting": _OP9_SQL,
     "op10_benchmark_decontamination": _OP10_SQL,
+    "op11_importance_resampling": _OP11_SQL,
+    "op12_hard_negatives": _OP12_SQL,
 }

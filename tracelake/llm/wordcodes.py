@@ -125,3 +125,35 @@ def rolling(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     total = np.zeros(len(words) + 1, U)
     np.cumsum(own * up[: len(words)], out=total[1:])
     return mixed((total[k:] - total[:-k]) * down[:n])
+
+
+@dataclass
+class Spans:
+    """Words of the documents lo to hi - 1 of a batch as byte ranges of data; first[k] to first[k + 1] are those of document lo + k."""
+
+    lo: int
+    hi: int
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    first: np.ndarray
+
+
+def spans(column: pa.Array, inside: np.ndarray) -> Iterator[Spans]:
+    """Maximal runs of the bytes that ``inside`` (256 flags) marks, document by document, in chunks of about CHUNK bytes of whole
+    documents."""
+    at, data = _buffers(column)
+    lo, n = 0, len(at) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + CHUNK, "right")) - 1)
+        part, edges = data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+        word = inside[part]
+        begins, stops = word.copy(), word.copy()
+        begins[1:] &= ~word[:-1]
+        stops[:-1] &= ~word[1:]
+        cuts = edges[(edges > 0) & (edges < len(part))]
+        begins[cuts] = word[cuts]
+        stops[cuts - 1] = word[cuts - 1]
+        starts = np.flatnonzero(begins)
+        yield Spans(lo, hi, part, starts, np.flatnonzero(stops) + 1, np.searchsorted(starts, edges))
+        lo = hi
