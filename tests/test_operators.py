@@ -151,12 +151,55 @@ def test_graphs(spark):
         up[a] = up[b] = min(up[a], up[b])
     seen = {x for e in edges for x in e if e[0] != e[1]}
     assert rows(graph.components(spark.createDataFrame(edges, "a long, b long")), "node", "component") == sorted(((x, up[x]) for x in seen), key=repr)
-    tree = [(i, None if i % 7 == 0 else i - 1) for i in range(40)] + [(100, 101), (101, 100)]
-    assert rows(graph.parents_to_roots(spark.createDataFrame(tree, "node long, parent long")), "node", "root", "depth") == sorted(((i, i - i % 7, i % 7) for i in range(40)), key=repr)
     reach = graph.closure(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "src long, dst long"), spark.createDataFrame([(1,)], "root long"), depth=2)
     assert rows(reach, "node", "depth") == [(1, 0), (2, 1), (3, 2)]
 
 
+def climbed(links):
+    """node, root, depth, cyclic, entry by walking up from each node."""
+    up = {}
+    for n, p in links:
+        if n is not None:
+            up[n] = p if n not in up or up[n] is None else up[n] if p is None else min(up[n], p)
+    out = []
+    for n in up:
+        path = [n]
+        while up[path[-1]] in up and up[path[-1]] not in path:
+            path.append(up[path[-1]])
+        if up[path[-1]] in up:
+            at = path.index(up[path[-1]])
+            out.append((n, min(path[at:]), at, True, path[at]))
+        else:
+            out.append((n, path[-1], len(path) - 1, False, path[-1]))
+    return sorted(out)
+
+
+FORESTS = {
+    "trees": [(i, None if i % 7 == 0 else i - 1) for i in range(40)],
+    "a long chain": [(i, i - 1 if i else None) for i in range(300)],
+    "cycles of one, two and three, with tails": [(1, 1), (2, 1), (10, 11), (11, 10), (12, 11), (13, 12), (20, 21), (21, 22), (22, 20), (23, 22), (24, 23), (25, 20), (30, None), (31, 30)],
+    "one large cycle": [(i, (i + 1) % 100) for i in range(100)] + [(200 + i, 200 + i - 1 if i else 50) for i in range(60)],
+    "absent parents, null and repeated nodes": [(1, 99), (2, 1), (3, 2), (None, 1), (None, None), (4, None), (4, 2), (5, 3), (5, 4), (5, 3)],
+    "nothing": [],
+    "at random": [(i, random.Random(i).randrange(500)) for i in range(300)],
+}
+
+
+@pytest.mark.parametrize("case", FORESTS)
+def test_parents_to_roots(spark, case):
+    got = graph.parents_to_roots(spark.createDataFrame(FORESTS[case], "node long, parent long"))
+    assert sorted(tuple(r) for r in got.select("node", "root", "depth", "cyclic", "entry").collect()) == climbed(FORESTS[case])
+
+
+def test_rounds_grow_with_the_logarithm(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(graph, "cut", lambda df, keep=graph.cut: rounds.append(1) or keep(df))
+    for links in (FORESTS["one large cycle"], FORESTS["a long chain"], FORESTS["cycles of one, two and three, with tails"]):
+        rounds.clear()
+        graph.parents_to_roots(spark.createDataFrame(links, "node long, parent long")).count()
+        assert len(rounds) <= 5 + 2 * len(links).bit_length()
+
+
 def test_mentions(spark):
     texts = [(1, "Alpha beta gamma"), (2, "xbetax"), (3, ""), (4, None), (5, "a b")]
     names = ["beta", "a", "et", "zz", "", "Alpha beta gamma"]

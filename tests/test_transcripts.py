@@ -192,8 +192,6 @@ def test_analyses(spark, rich, audit):
     assert analyses.window_shares(audit, facts).first().anchor == 0.3
     assert analyses.repeats(audit).count() == 0 and analyses.exact_resends(audit).count() == 0 and analyses.hash_runs(rich).count() == 0
     assert analyses.repeated_items(audit).count() == 0
-    rules = spark.createDataFrame([("plan", "go|find"), ("no", "zzz")], "phase string, pattern string")
-    assert rows(analyses.phase_refs(rules, spark.createDataFrame([(1, "let us go"), (2, "x")], "id long, text string")), "phase", "id", "match") == [("plan", 1, "go")]
 
 
 def test_sidecars_and_discovery(spark, tmp_path):

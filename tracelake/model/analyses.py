@@ -212,12 +212,3 @@ def window_shares(a: Audit, facts: DataFrame) -> DataFrame:
     last = a.calls.where("agent = 'main'").withColumn("_n", F.row_number().over(w)).where("_n = 1").join(facts.where("context_window > 0"), "session")
     share = lambda c: F.bround(F.col(c) / F.col("context_window"), 4).alias(c.removesuffix("_tokens"))
     return last.select("session", *[share(f"{b}_tokens") for b in BUCKETS], share("unattributed"), share("anchor"))
-
-
-def phase_refs(rules: DataFrame, texts: DataFrame) -> DataFrame:
-    """phase, id, match: rules (phase, pattern) tried on texts (id, text). Rules are written by hand; none ship with this. They
-    travel as one array per rule set, so texts aren't multiplied before a rule fits."""
-    one = rules.agg(F.collect_list(F.struct("phase", "pattern")).alias("rules"))
-    each = texts.crossJoin(F.broadcast(one))  # one row
-    hits = F.filter("rules", lambda r: F.regexp_like("text", r["pattern"]))
-    return each.select("id", "text", F.explode(hits).alias("r")).select("r.phase", "id", F.regexp_substr("text", F.col("r.pattern")).alias("match"))

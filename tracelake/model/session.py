@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import interventions as people
 from tracelake.functions.text import digest, estimate_tokens, let
+from tracelake.model import dispatch
 from tracelake.operators import asof, graph, islands, liveness, loads, pairing
+from tracelake.operators.evidence import Rule
 
 # Buckets of a context, what attachments are (bucket, kind), channels of bodies, patterns.
 BUCKETS = ["system", "tools", "user", "inject", "skill", "assistant", "tool"]
@@ -55,6 +57,9 @@ class Audit:
     observations: DataFrame
     skill_loads: DataFrame
     dispatches: DataFrame
+    phases: DataFrame
+    dispatch_links: DataFrame
+    phase_recognition: DataFrame
     interventions: DataFrame
     dropped: DataFrame
 
@@ -87,15 +92,20 @@ def records_of(events: DataFrame) -> DataFrame:
 
 
 def _attributed(records: DataFrame) -> DataFrame:
-    """Adds agent: main, subagent:<file> or sidechain:<topmost sidechain record>. Members of a cycle are their own root."""
+    """Adds agent: main, subagent:<file> or sidechain:<topmost sidechain record>. Records on a cycle, and those below one, are one agent:
+    of the cycle's record that is reached last from where the first of them enters it."""
     side = records.where("origin = 'main' and ref.is_sidechain").select("session", "source", F.col("ref.uuid").alias("uuid"), F.col("ref.parent_uuid").alias("up"), "seq")
-    known = side.where("uuid is not null").groupBy("session", "source", "uuid").agg(F.min_by("up", "seq").alias("up"))
+    known = side.where("uuid is not null").groupBy("session", "source", "uuid").agg(F.min_by("up", "seq").alias("up"), F.min("seq").alias("seq"))
     node = F.struct("session", "source", "uuid")
-    above = known.select("session", "source", F.col("uuid").alias("up"), F.lit(True).alias("_in"))
-    links = known.join(above, ["session", "source", "up"], "left").select(node.alias("node"), F.when(F.col("_in"), F.struct("session", "source", F.col("up").alias("uuid"))).alias("parent"))
-    roots = graph.parents_to_roots(links).select("node.session", "node.source", F.col("node.uuid").alias("_uuid"), F.col("root.uuid").alias("_root"))
+    links = known.select(node.alias("node"), F.when(F.col("up").isNotNull(), F.struct("session", "source", F.col("up").alias("uuid"))).alias("parent"), "seq")
+    found = graph.parents_to_roots(links)
+    # a cycle is named by the record before the one where its first record enters
+    first = found.where("cyclic").join(links.select("node", "seq"), "node").groupBy("root").agg(F.min_by("entry", "seq").alias("_first"))
+    before = found.where("cyclic and depth = 0").join(links.select("node", F.col("parent").alias("_first")), "node").join(first, ["root", "_first"])
+    named = found.join(before.select("root", F.col("node").alias("_last")), "root", "left")
+    roots = named.select("node.session", "node.source", F.col("node.uuid").alias("_uuid"), F.coalesce("_last.uuid", "root.uuid").alias("_root"))
     r = records.withColumn("_uuid", F.when((F.col("origin") == "main") & F.col("ref.is_sidechain"), F.col("ref.uuid"))).join(roots, ["session", "source", "_uuid"], "left")
-    name = F.when(F.col("origin") != "main", F.col("origin")).when(F.col("ref.is_sidechain"), F.concat(F.lit("sidechain:"), F.coalesce("_root", "_uuid", F.lit("unknown")))).otherwise("main")
+    name = F.when(F.col("origin") != "main", F.col("origin")).when(F.col("ref.is_sidechain"), F.concat(F.lit("sidechain:"), F.coalesce("_root", F.lit("unknown")))).otherwise("main")
     return r.withColumn("agent", name).drop("_uuid", "_root")
 
 
@@ -181,11 +191,12 @@ def _read_links(events: DataFrame) -> DataFrame:
 
 
 def _briefs(items: DataFrame) -> DataFrame:
-    """The first thing said to a subagent is what it was sent to do: it was injected, no person wrote it."""
+    """Adds brief: the first thing said to a subagent is what it was sent to do. It was injected, no person wrote it."""
     said = (F.col("kind") == "user_message") | ((F.col("kind") == "skill_body") & (F.col("channel") == "signature:skill_body"))
     n = F.sum(said.cast("int")).over(Window.partitionBy(*SA).orderBy("source", "seq", "part_index").rowsBetween(Window.unboundedPreceding, 0))
     brief = said & (n == 1) & (F.col("agent") != "main")
-    return items.withColumns({"was_kind": F.col("kind"), "kind": F.when(brief, "dispatch_brief").otherwise(F.col("kind")), "bucket": F.when(brief, "inject").otherwise(F.col("bucket"))})
+    sent = brief & (F.col("kind") == "user_message")  # a skill's body stays one
+    return items.withColumns({"was_kind": F.col("kind"), "brief": brief, "kind": F.when(sent, "dispatch_brief").otherwise(F.col("kind")), "bucket": F.when(sent, "inject").otherwise(F.col("bucket"))})
 
 
 def calls_of(records: DataFrame, items: DataFrame) -> DataFrame:
@@ -238,22 +249,8 @@ def interventions_of(items: DataFrame) -> DataFrame:
     return said.select("session", "item_id", "seq", people.classify(F.col("text")).alias("c"), F.sha1(people.strip_carriers(F.col("text"))["lead"]).alias("lead_sha1")).select("session", "item_id", "seq", "c.*", "lead_sha1")
 
 
-def dispatches_of(items: DataFrame, agents: DataFrame, sidecars: DataFrame | None = None) -> DataFrame:
-    """Calls that sent a subagent, with the agent they meet; agents that no call sent. What records say of the call comes first,
-    then what a sidecar says."""
-    if sidecars is not None:
-        said = sidecars.where("status = 'ok'").groupBy(*SA).agg(F.min("tool_id").alias("_said"))
-        agents = agents.join(said, SA, "left").withColumn("parent_tool_id", F.coalesce("parent_tool_id", "_said")).drop("_said")
-    calls = items.where("kind = 'tool_call'").select("session", "tool_id", F.struct("seq", "part_index").alias("place"), "item_id", "name")
-    children = agents.where("agent <> 'main' and parent_tool_id is not null").select("session", F.col("parent_tool_id").alias("tool_id"), "agent")
-    first = calls.where("tool_id is not null").groupBy("session", "tool_id").agg(F.min_by(F.struct("item_id", "name"), "place").alias("c"))
-    j = first.join(children, ["session", "tool_id"], "full").select("session", "tool_id", "c.*", "agent")
-    tier = F.when(F.col("agent").isNull(), "orphan").when(F.col("item_id").isNull(), "unmatched").otherwise("linked")
-    return j.where((F.lower("name") == "agent") | F.col("agent").isNotNull()).withColumn("link", tier)
-
-
-def audit(events: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda d: d, sidecars: DataFrame | None = None) -> Audit:
-    """All of it. Lazy, but for the roots of sidechains, which are found in rounds. ``keep`` gets what several tables are built
+def audit(events: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda d: d, sidecars: DataFrame | None = None, rules: Sequence[Rule] = (), rule_set_version: str | None = None) -> Audit:
+    """All of it. rules: how briefs and files that were read name phases of work. Lazy, but for the roots of sidechains, which are found in rounds. ``keep`` gets what several tables are built
     from; let it checkpoint or write a table, so that neither work nor plans repeat."""
     records = keep(records_of(events))
     agents = tiers_of(records)
@@ -263,5 +260,6 @@ def audit(events: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda d:
     observations = keep(observations_of(items, calls))
     entries = observations.where("kind in ('stub', 'body')").withColumn("place", F.struct("seq", "part_index"))
     ledger = loads.load_ledger(entries, SA, "skill_id", seq="place")
-    return Audit(records, agents, items, calls, compactions_of(records, items), observations, ledger, dispatches_of(items, agents, sidecars), interventions_of(items),
+    d = dispatch.dispatched(items, agents, sidecars, rules, rule_set_version, keep)
+    return Audit(records, agents, d.items, calls, compactions_of(records, items), observations, ledger, d.dispatches, d.phases, d.links, d.recognition, interventions_of(items),
                  events.where("type = 'RecordDropped'").groupBy("session", "reason").agg(F.count("*").alias("n")))

@@ -52,15 +52,39 @@ def closure(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "ds
 
 
 def parents_to_roots(parent: DataFrame, node: str = "node", up: str = "parent") -> DataFrame:
-    """node, root, depth over a forest given by parent links (null at roots). Links are doubled each round, so a chain of length n
-    takes log n rounds; nodes on cycles never meet a root and are left out."""
-    p = cut(parent.select(F.col(node).alias("node"), F.coalesce(F.col(up), F.col(node)).alias("at"), F.when(F.col(up).isNull(), 0).otherwise(1).cast("long").alias("depth")))
-    for _ in range(40):
-        hop = p.select(F.col("node").alias("_n"), F.col("at").alias("_at"), F.col("depth").alias("_d"))
-        q = cut(p.join(hop, F.col("at") == F.col("_n")).select("node", F.col("_at").alias("next"), (F.col("depth") + F.col("_d")).alias("depth"), "at"))
-        moved = not q.where(F.col("next") != F.col("at")).isEmpty()
-        p = q.select("node", F.col("next").alias("at"), "depth")
-        if not moved:
-            break
-    roots = parent.where(F.col(up).isNull()).select(F.col(node).alias("at"))
-    return p.join(roots, "at", "left_semi").select("node", F.col("at").alias("root"), "depth")
+    """node, root, depth, cyclic, entry: where parent links lead, for any links at all.
+
+    Of a tree, root and entry are its topmost node and depth is the way there; a parent that is no node itself ends the way before it.
+    Nodes on a cycle (a node that is its own parent is one), and all that hangs on one, share its least node as root; entry is the
+    first node of the cycle on the way up, depth the way to it. A node with several parents has the least; null nodes are left out.
+
+    Links are doubled each round and carry the least node of the way they span. As long as a tree's node is open, each round closes some;
+    if one closes none, all that are open go round, and once they have gone as far as there are of them, each has seen all of its cycle.
+    So rounds grow with the logarithm of the longest way. Each ends in a reliable checkpoint."""
+    links = parent.select(F.col(node).alias("node"), F.col(up).alias("up")).where("node is not null").groupBy("node").agg(F.min("up").alias("up"))
+    nodes = links.select(F.col("node").alias("up"), F.lit(True).alias("_in"))
+    links = cut(links.join(nodes, "up", "left").select("node", F.when(F.col("_in"), F.col("up")).alias("up")))
+    ends, open_ = _doubled(links)
+    found = ends.select("node", "root", "depth", F.lit(False).alias("cyclic"), F.col("root").alias("entry"))
+    if open_ is None:
+        return found
+    ring = cut(open_.select(F.col("at").alias("node")).distinct().join(open_.select("node", F.col("least").alias("cycle")), "node"))
+    tails = links.join(open_.select("node"), "node", "left_semi").join(ring.select("node", F.lit(True).alias("_on")), "node", "left")
+    to_ring, _ = _doubled(cut(tails.select("node", F.when(F.col("_on").isNull(), F.col("up")).alias("up"))))
+    round_ = to_ring.select("node", F.col("root").alias("entry"), "depth").join(ring.withColumnRenamed("node", "entry"), "entry")
+    return found.unionByName(round_.select("node", F.col("cycle").alias("root"), "depth", F.lit(True).alias("cyclic"), "entry"))
+
+
+def _doubled(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Nodes whose way ends, with root and depth; and those that go round, if there are any: at (a node on their cycle) and least (the
+    least node of their way, which is the cycle's for nodes on it). links: node, up (a node, or null)."""
+    top = F.col("up").isNull()
+    p = cut(links.select("node", F.col("up").alias("at"), F.when(top, F.col("node")).alias("root"), F.when(top, 0).otherwise(1).cast("long").alias("depth"), F.col("node").alias("least")))
+    gone, before, left = 1, None, p.where("at is not null").count()
+    while left and not (left == before and gone >= left):
+        hop = p.select(F.col("node").alias("at"), F.col("at").alias("_at"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("least").alias("_least"))
+        on = p.where("at is not null").drop("root").join(hop, "at").select("node", F.col("_at").alias("at"), F.col("_root").alias("root"), (F.col("depth") + F.col("_depth")).alias("depth"), F.least("least", "_least").alias("least"))
+        p = cut(p.where("at is null").unionByName(on))
+        gone, before, left = 2 * gone, left, p.where("at is not null").count()
+    ends = p.where("at is null").select("node", "root", "depth")
+    return ends, p.where("at is not null") if left else None

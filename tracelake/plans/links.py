@@ -180,7 +180,23 @@ SELECT node, root, CAST(depth AS BIGINT) AS depth FROM t"""
 )
 def tree_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("c_custkey")
-    return graph.parents_to_roots(table(spark, sf_dir, "customer").select(c.alias("node"), F.when(c >= 3, F.floor(c / 3)).cast("long").alias("parent")))
+    links = table(spark, sf_dir, "customer").select(c.alias("node"), F.when(c >= 3, F.floor(c / 3)).cast("long").alias("parent"))
+    return graph.parents_to_roots(links).select("node", "root", "depth")
+
+
+@R.query(
+    """WITH RECURSIVE n AS (SELECT c_custkey AS node, CASE WHEN c_acctbal >= 0 THEN CAST(floor(c_acctbal) AS BIGINT) END AS up FROM customer),
+e AS (SELECT a.node, b.node AS up FROM n a LEFT JOIN n b ON a.up = b.node),
+w AS (SELECT node, [node] AS path, up AS next FROM e
+      UNION ALL SELECT w.node, list_append(w.path, w.next), e.up FROM w JOIN e ON e.node = w.next WHERE NOT list_contains(w.path, w.next)),
+f AS (SELECT node, path, next, list_position(path, next) AS pos FROM w WHERE next IS NULL OR list_contains(path, next))
+SELECT node, CASE WHEN next IS NULL THEN path[len(path)] ELSE list_min(list_slice(path, pos, len(path))) END AS root, CAST(CASE WHEN next IS NULL THEN len(path) ELSE pos END - 1 AS BIGINT) AS depth,
+       next IS NOT NULL AS cyclic, CASE WHEN next IS NULL THEN path[len(path)] ELSE next END AS entry FROM f"""
+)
+def cycle_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers who point at the customer whose key their balance names: trees, cycles with tails, and keys that don't exist."""
+    b = F.col("c_acctbal")
+    return graph.parents_to_roots(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), F.when(b >= 0, F.floor(b)).cast("long").alias("parent")))
 
 
 @R.query(
