@@ -12,8 +12,8 @@ partitions and spread evenly over all steps, so any two steps differ by one wind
 
 Plan: one pass without a shuffle writes windows and rests to a table in the shared folder. A partition's state is a pool of at
 most POOL_TOKENS ids per tier and a bounded cache of words; nothing else is gathered. The rests (under 512 ids a partition) are
-shuffled by group. To number windows through, the driver gets the count of windows of each partition and tier, as it does for an
-index of rows: a few numbers a task; their running sums are sent out. Sequence ids are unique by partition number and counter.
+shuffled by group. To number windows through, windows are counted by partition and tier, and the running sums of those counts (a few
+numbers for each task) joined back. Sequence ids are unique by partition number and counter.
 
 The tokenizer drops white space and never joins what it parts, so words between ASCII white space are encoded once and
 looked up later. Strings of special tokens count as the library reads them.
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import cut, shuffle_width, small_batches
@@ -68,12 +68,13 @@ class Encoder:
         self.stops = {ord(c): np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ".,"}
 
     def _learned(self, new: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of new words. Words of letters alone, or of letters and a last full stop or comma, are encoded as one text: each run
-        of letters then ends with the one id that marks an end, which is where the ids are parted again."""
+        """Ids of new words. Words of letters alone, or of ASCII letters and a last full stop or comma, are encoded as one text: each
+        run of letters then ends with the one id that marks an end, which is where the ids are parted again. Letters beyond ASCII may
+        become something else in lower case (a letter and a mark, say), which joins what follows: such words are encoded whole."""
         plain, ends, other, often = {}, [], [], self.often
         for w in new:
             head = w[:-1] if w[-1] in b".," else w
-            if not head.isalpha() and not head.decode().isalpha():  # bytes know the letters of ASCII alone
+            if not head.isalpha() and (head is not w or not w.decode().lower().isalpha()):  # bytes know the letters of ASCII alone
                 other.append(w)
             elif head is w:
                 plain[w] = None
@@ -282,13 +283,12 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, tiers: tuple[int
     rests = rests.repartition(shuffle_width(spark), "group").sortWithinPartitions("group", "part", "length", "id", "start")
     tails = cut(rests.select("group", "id", "start", "ids", "doc_tokens").mapInArrow(lambda it: _pack_rests(it, tiers), _SCHEMA))
     windows = made.where("tier is not null").unionByName(tails)
-    counts = windows.groupBy("part", "tier").agg((F.max("rank") + 1).alias("n"), F.sum("length").alias("tokens")).collect()
-    steps = max(1, round(sum(r["tokens"] for r in counts) / STEP_TOKENS))
-    firsts, so_far = [], dict.fromkeys(tiers, 0)
-    for r in sorted(counts, key=lambda r: (r["tier"], r["part"])):
-        firsts.append((r["part"], r["tier"], so_far[r["tier"]]))
-        so_far[r["tier"]] += r["n"]
-    firsts = spark.createDataFrame([(*x, so_far[x[1]], steps) for x in firsts], "part long, tier int, first long, windows long, steps long")
-    done = windows.join(F.broadcast(firsts), ["part", "tier"])
+    counts = cut(windows.groupBy("part", "tier").agg((F.max("rank") + 1).alias("n"), F.sum("length").alias("tokens")))
+    steps = max(1, round((counts.agg(F.sum("tokens")).first()[0] or 0) / STEP_TOKENS))
+    of_tier = Window.partitionBy("tier").orderBy("part")
+    before = F.coalesce(F.sum("n").over(of_tier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = counts.select("part", "tier", before.alias("first"), F.sum("n").over(Window.partitionBy("tier")).alias("windows"))
+    # Spark broadcasts the counts while they are small, by its own threshold
+    done = windows.join(firsts, ["part", "tier"])
     cols = ["start", "length", "ids", "doc_tokens", "sequence_id", "offset", "tier"]
-    return done.select(F.col("id").alias(id_col), *cols, F.expr("(rank + first) * steps div windows").alias("step"))
+    return done.select(F.col("id").alias(id_col), *cols, F.expr(f"(rank + first) * {steps} div windows").alias("step"))
