@@ -141,10 +141,11 @@ def test_cutoffs_are_blended_quantiles(spark):
     rate = lambda r: m[r[0]][2] / m[r[0]][0]
     quantile = lambda xs, q: sorted(xs)[max(0, math.ceil(q * len(xs) - 1e-9) - 1)]
 
-    def blended(q, lang, source):
-        every = [rate(r) for r in rows if not m[r[0]][5]]
-        some = [rate(r) for r in rows if not m[r[0]][5] and r[2] == lang]
-        own = [rate(r) for r in rows if not m[r[0]][5] and r[2:4] == (lang, source)]
+    def blended(q, lang, source, value=rate, least=-1.0):
+        good = [r for r in rows if not m[r[0]][5] and value(r) > least]
+        every = [value(r) for r in good]
+        some = [value(r) for r in good if r[2] == lang]
+        own = [value(r) for r in good if r[2:4] == (lang, source)]
         out = quantile(every, q)
         for xs in (some, own):
             out = (len(xs) * quantile(xs, q) + 50 * out) / (len(xs) + 50) if xs else out
@@ -154,8 +155,9 @@ def test_cutoffs_are_blended_quantiles(spark):
     got = dict(table(judged, "doc_id", "off"))
     near = 0
     for r in rows:
-        q25, q75, q95 = (blended(q, r[2], r[3]) for q in (0.25, 0.75, 0.95))
-        most = q75 + 3 * (q75 - q25) + min(max(4 * q95, 0.02), 0.1)
+        q25, q50, q75, q90, q95 = (blended(q, r[2], r[3]) for q in (0.25, 0.5, 0.75, 0.9, 0.95))
+        begins, size = blended(0.05, r[2], r[3], least=0.0), blended(0.5, r[2], r[3], value=lambda x: m[x[0]][0])
+        most = max(q75 + 3 * (q75 - q25) + (q95 - q50 if q50 > 0 else 0), q90, 0.9 * begins, 5 / size)
         if abs(rate(r) / most - 1) < 0.1:  # sketches are right to 2 %
             near += 1
         else:
@@ -163,10 +165,39 @@ def test_cutoffs_are_blended_quantiles(spark):
     assert near < 20 and sum(got.values()) > 5
 
 
+def test_no_cutoff_is_a_constant(spark):
+    """Over groups with texts of their own kinds, each measure's cutoff takes a value of its own in each; junk among prose is found."""
+    rng = random.Random(6)
+    rows, junk = [], set()
+    for g in range(6):
+        for k in range(60):
+            i = 100 * g + k
+            words = [w + "x" * g if rng.random() < 0.5 else w.capitalize() for w in prose(rng, 60 + 25 * g).split()]
+            for at in range(7 - g, len(words), 9 + g):
+                words[at] += "\n"
+            text = " ".join(words)
+            if k < 4:
+                junk.add(i)
+                text += " #" * (40 + 10 * g)
+            rows.append((i, text + (" a b c d e" * 3 if k % 7 == 0 else ""), "en", f"s{g}", 1))
+    docs = documents(spark, rows)
+    measured = []
+    keep, quality_rules.cut = quality_rules.cut, lambda df: measured.append(keep(df)) or measured[-1]
+    try:
+        got = quality_rules.judge(docs).collect()
+    finally:
+        quality_rules.cut = keep
+    limits = quality_rules.thresholds(measured[0]).collect()
+    for x in quality_rules.MEASURES:
+        assert len({r[f"{x}_hi"] for r in limits}) == 6, x
+    assert {r.doc_id for r in got if "symbol_rate" in r.failed} == junk and sum(r.kept for r in got) > len(rows) - len(junk) - 8
+
+
 def test_sketches_merge(spark):
     rng = random.Random(4)
     values = [rng.expovariate(1) for _ in range(5000)]
-    m = spark.createDataFrame([("l", "s", False, v, v, v, v, v) for v in values], "lang string, source string, base_failed boolean, " + ", ".join(f"{x} double" for x in quality_rules.MEASURES))
+    names = [*quality_rules.MEASURES, *quality_rules.SIZES]
+    m = spark.createDataFrame([("l", "s", False, *[v] * len(names)) for v in values], "lang string, source string, base_failed boolean, " + ", ".join(f"{x} double" for x in names))
     parts = [quality_rules.sketches(x) for x in m.randomSplit([1.0, 1.0], 1)]
     keys = ["level", "lang", "source", "measure", "bin"]
     merged = parts[0].unionByName(parts[1]).groupBy(keys).agg(F.sum("n").alias("n"))

@@ -5,12 +5,17 @@ share of capitals, mean word length). A sketch of a measure is a table of logari
 GAMMA - 1): sketches of parts merge by adding counts, in any order, so results are the same at each run. They count all documents
 that pass the base rules. Sketches of (language, source) merge into those of the language and of the whole corpus.
 
-Quantiles of a group (q25, q75, q95) are blended, at every size alike: a group of n documents counts n, its language PRIOR; and
-in the language's own, the corpus counts PRIOR. A document fails a measure above ``q75 + FENCE * (q75 - q25) + slack`` of its
-group, or for mean word length also below ``q25 - FENCE * (q75 - q25) - slack``. The slack is TAIL times q95, within the two
-bounds of MEASURES: it follows the upper tail where most documents have a measure of zero (q25 = q75 = 0), and its bounds keep a
-group whose clean documents are all alike from failing on a trace of a symbol, or one with many odd ones from passing all. Cutoffs
-of shares are at most MOST, so that each can fire.
+Quantiles of a group are blended, at every size alike: a group of n documents counts n, its language PRIOR; and in the language's
+own, the corpus counts PRIOR. Those of a measure's values above zero are kept as well. A document fails a measure above the greatest of
+
+- ``q75 + FENCE * (q75 - q25)``, plus the upper tail q95 - q50 where the median isn't zero;
+- q90: a measure that a tenth of the group and more share is usual there;
+- BELOW times q05 of the values above zero: where hardly any document has the measure at all (symbols in prose), those that have it are
+  told from the rest by where their own values begin;
+- what EVENTS single occurrences are in a document of the group's median size, so that a trace of something rare fails nobody.
+
+For mean word length it also fails below ``q25 - FENCE * (q75 - q25)`` less the lower tail q50 - q05. So each cutoff comes from the
+group's sketches; only those of shares are at most MOST, so that each can fire.
 
 Plan: one pass in Python reads each whole text and keeps numbers only; bins are counted with map-side combining; the join
 with the thresholds is salted, so that a source with a third of all rows spreads out.
@@ -36,18 +41,22 @@ GAMMA = 1.02
 FENCE = 3.0
 #: Documents that a group's language counts as in the group's quantiles, and the corpus in the language's.
 PRIOR = 50
-TAIL = 4
+EVENTS, BELOW = 5, 0.9
 SALTS = 16
-#: Measure: (least slack, most slack, whether it is a share, whether low values fail as well).
+#: Measure: (what it is counted in, how much of that one occurrence takes, whether it is a share, whether low values fail as well).
 MEASURES = {
-    "symbol_rate": (0.02, 0.1, False, False),
-    "dup_line_share": (0.2, 0.5, True, False),
-    "repeat_share": (0.1, 0.35, True, False),
-    "upper_share": (0.05, 0.2, True, False),
-    "mean_word": (1.0, 2.0, False, True),
+    "symbol_rate": ("n_words", 1, False, False),
+    "dup_line_share": ("n_lines", 1, True, False),
+    "repeat_share": ("n_words", 10, True, False),
+    "upper_share": ("word_chars", 1, True, False),
+    "mean_word": (None, 0, False, True),
 }
+#: Sketched beside the measures, for their medians.
+SIZES = ("n_words", "n_lines", "word_chars")
 MOST = 0.9
-QUANTILES = {"q25": 0.25, "q75": 0.75, "q95": 0.95}
+QUANTILES = {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9, "q95": 0.95}
+_ZERO = -(2**20)
+_ABOVE = "above 0: "
 _WORDY = b"#*$%&|<>"
 _SPACE = " \t\n\r\x0b\x0c"
 
@@ -129,9 +138,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def sketches(m: DataFrame) -> DataFrame:
     """lang, source, level, measure, bin, n: mergeable by adding n. Levels: 0 the group, 1 its language, 2 all."""
-    long = m.where(~F.col("base_failed")).select("lang", "source", F.stack(F.lit(len(MEASURES)), *[y for x in MEASURES for y in (F.lit(x), F.col(x))]).alias("measure", "value"))
+    names = [*MEASURES, *SIZES]
+    values = [y for x in names for y in (F.lit(x), F.col(x).cast("double"))]
+    long = m.where(~F.col("base_failed")).select("lang", "source", F.stack(F.lit(len(names)), *values).alias("measure", "value"))
     width = math.log(GAMMA)
-    where = F.when(F.col("value") < 1e-9, F.lit(-(2**20))).otherwise(F.ceil(F.log(F.col("value")) / width).cast("int"))
+    where = F.when(F.col("value") < 1e-9, F.lit(_ZERO)).otherwise(F.ceil(F.log(F.col("value")) / width).cast("int"))
     own = long.groupBy("lang", "source", "measure", where.cast("int").alias("bin")).agg(F.count("*").alias("n"))
     lang = own.groupBy("lang", "measure", "bin").agg(F.sum("n").alias("n"))
     every = lang.groupBy("measure", "bin").agg(F.sum("n").alias("n"))
@@ -145,12 +156,13 @@ def sketches(m: DataFrame) -> DataFrame:
 
 
 def _quantiles(s: DataFrame) -> DataFrame:
-    """level, lang, source, measure, total, q25, q75 of sketches."""
+    """level, lang, source, measure, total and QUANTILES of sketches; values above zero of each measure count as one more measure."""
+    above = s.where((F.col("bin") > _ZERO) & F.col("measure").isin(*MEASURES)).withColumn("measure", F.concat(F.lit(_ABOVE), "measure"))
     group = ["level", "lang", "source", "measure"]
     w = Window.partitionBy(*group)
     upto = F.sum("n").over(w.orderBy("bin"))
-    value = F.when(F.col("bin") <= -(2**20), F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), F.col("bin")))
-    c = s.withColumns({"upto": upto, "total": F.sum("n").over(w), "value": value})
+    value = F.when(F.col("bin") <= _ZERO, F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), F.col("bin")))
+    c = s.unionByName(above).withColumns({"upto": upto, "total": F.sum("n").over(w), "value": value})
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("value")))
     return c.groupBy(*group).agg(F.max("total").alias("total"), *[at(q).alias(x) for x, q in QUANTILES.items()])
 
@@ -159,7 +171,8 @@ def thresholds(m: DataFrame) -> DataFrame:
     """A row for each (lang, source): the bounds of each measure, x_hi, and x_lo where low values fail."""
     q = _quantiles(cut(sketches(m)))
     of = lambda level, keys: q.where(F.col("level") == level).select(*keys, "measure", *[F.col(c).alias(f"{c}_{level}") for c in ("total", *QUANTILES)])
-    groups = m.select("lang", "source").distinct().withColumn("measure", F.explode(F.array(*[F.lit(x) for x in MEASURES])))
+    names = [*MEASURES, *SIZES, *[_ABOVE + x for x in MEASURES]]
+    groups = m.select("lang", "source").distinct().withColumn("measure", F.explode(F.array(*[F.lit(x) for x in names])))
     j = groups.join(of(0, ["lang", "source"]), ["lang", "source", "measure"], "left").join(of(1, ["lang"]), ["lang", "measure"], "left").join(of(2, []), "measure", "left")
 
     def blended(x: str) -> Column:
@@ -169,14 +182,19 @@ def thresholds(m: DataFrame) -> DataFrame:
 
         return with_prior(0, with_prior(1, F.col(f"{x}_2")))
 
-    j = j.select("lang", "source", "measure", *[blended(x).alias(x) for x in QUANTILES])
+    found = F.map_from_entries(F.collect_list(F.struct("measure", F.struct(*[blended(x).alias(x) for x in QUANTILES]))))
+    j = j.groupBy("lang", "source").agg(found.alias("q"))  # a few numbers for each of the names
     out = []
-    for x, (least, most, share, low) in MEASURES.items():
-        at = lambda c: F.max(F.when(F.col("measure") == x, c))  # noqa: B023, E731
-        reach = FENCE * (F.col("q75") - F.col("q25"))
-        slack = F.least(F.greatest(TAIL * F.col("q95"), F.lit(least)), F.lit(most))
-        top = F.col("q75") + reach + slack
-        out.append(at(F.least(top, F.lit(MOST)) if share else top).alias(f"{x}_hi"))
+    for x, (size, each, share, low) in MEASURES.items():
+        at = F.col("q")[x]
+        reach = FENCE * (at["q75"] - at["q25"])
+        tail = F.when(at["q50"] > 0, at["q95"] - at["q50"]).otherwise(F.lit(0.0))
+        tops = [at["q75"] + reach + tail, at["q90"], F.coalesce(BELOW * F.col("q")[_ABOVE + x]["q05"], F.lit(0.0))]
+        if size:
+            tops.append(F.lit(float(EVENTS * each)) / F.greatest(F.col("q")[size]["q50"], F.lit(1.0)))
+        # null where the corpus has no document to measure: then nothing fails
+        top = F.when(at["q50"].isNotNull(), F.greatest(*tops))
+        out.append((F.least(top, F.lit(MOST)) if share else top).alias(f"{x}_hi"))
         if low:
-            out.append(at(F.col("q25") - reach - slack).alias(f"{x}_lo"))
-    return j.groupBy("lang", "source").agg(*out)
+            out.append((at["q25"] - reach - (at["q50"] - at["q05"])).alias(f"{x}_lo"))
+    return j.select("lang", "source", *out)

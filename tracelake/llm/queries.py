@@ -131,23 +131,26 @@ m AS (SELECT rid, doc_id, lang, source, len(w) AS n_words, length(regexp_replace
              len(l) AS n_lines, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper FROM d LEFT JOIN rep USING (rid)),
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
              [coalesce(n_symbols / nullif(n_words, 0), 0), coalesce(n_dup_lines / nullif(n_lines, 0), 0), coalesce(n_repeat_words / nullif(n_words, 0), 0),
-              coalesce(n_upper / nullif(word_chars, 0), 0), coalesce(word_chars / nullif(n_words, 0), 0)] AS x FROM m),
-b AS (SELECT lang, source, k, CASE WHEN x[k] < 1e-9 THEN -1048576 ELSE CAST(ceil(ln(x[k]) / ln(1.02::DOUBLE)) AS INT) END AS bin FROM v, range(1, 6) r(k) WHERE NOT base_failed),
-s AS (SELECT 0 AS level, lang, source, k, bin, count(*) AS n FROM b GROUP BY ALL UNION ALL SELECT 1, lang, NULL, k, bin, count(*) FROM b GROUP BY ALL
-      UNION ALL SELECT 2, NULL, NULL, k, bin, count(*) FROM b GROUP BY ALL),
+              coalesce(n_upper / nullif(word_chars, 0), 0), coalesce(word_chars / nullif(n_words, 0), 0), n_words, n_lines, word_chars]::DOUBLE[] AS x FROM m),
+b AS (SELECT lang, source, k, CASE WHEN x[k] < 1e-9 THEN -1048576 ELSE CAST(ceil(ln(x[k]) / ln(1.02::DOUBLE)) AS INT) END AS bin FROM v, range(1, 9) r(k) WHERE NOT base_failed),
+s0 AS (SELECT 0 AS level, lang, source, k, bin, count(*) AS n FROM b GROUP BY ALL UNION ALL SELECT 1, lang, NULL, k, bin, count(*) FROM b GROUP BY ALL
+       UNION ALL SELECT 2, NULL, NULL, k, bin, count(*) FROM b GROUP BY ALL),
+s AS (SELECT * FROM s0 UNION ALL SELECT level, lang, source, k + 10, bin, n FROM s0 WHERE k <= 5 AND bin > -1048576),
 c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, k ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY level, lang, source, k) AS total,
              CASE WHEN bin = -1048576 THEN 0 ELSE pow(1.02::DOUBLE, bin) END AS value FROM s),
-q AS (SELECT level, lang, source, k, max(total) AS n, min(value) FILTER (upto >= 0.25 * total) AS a, min(value) FILTER (upto >= 0.75 * total) AS b,
-             min(value) FILTER (upto >= 0.95 * total) AS t FROM c GROUP BY ALL),
-g AS (SELECT DISTINCT d.lang, d.source, r.k FROM d, range(1, 6) r(k)),
-pl AS (SELECT g.lang, g.source, g.k, CASE WHEN l.n IS NULL THEN e.a ELSE (l.n * l.a + 50 * e.a) / (l.n + 50) END AS a, CASE WHEN l.n IS NULL THEN e.b ELSE (l.n * l.b + 50 * e.b) / (l.n + 50) END AS b,
-              CASE WHEN l.n IS NULL THEN e.t ELSE (l.n * l.t + 50 * e.t) / (l.n + 50) END AS t
-       FROM g LEFT JOIN q l ON l.level = 1 AND l.lang = g.lang AND l.k = g.k LEFT JOIN q e ON e.level = 2 AND e.k = g.k),
-pg AS (SELECT p.lang, p.source, p.k, CASE WHEN o.n IS NULL THEN p.a ELSE (o.n * o.a + 50 * p.a) / (o.n + 50) END AS a, CASE WHEN o.n IS NULL THEN p.b ELSE (o.n * o.b + 50 * p.b) / (o.n + 50) END AS b,
-              CASE WHEN o.n IS NULL THEN p.t ELSE (o.n * o.t + 50 * p.t) / (o.n + 50) END AS t
-       FROM pl p LEFT JOIN q o ON o.level = 0 AND o.lang = p.lang AND o.source = p.source AND o.k = p.k),
-ps AS (SELECT *, least(greatest(4 * t, CAST(list_extract([0.02, 0.2, 0.1, 0.05, 1.0], k) AS DOUBLE)), CAST(list_extract([0.1, 0.5, 0.35, 0.2, 2.0], k) AS DOUBLE)) AS slack FROM pg),
-p AS (SELECT lang, source, k, CASE WHEN k IN (2, 3, 4) THEN least(b + 3 * (b - a) + slack, 0.9::DOUBLE) ELSE b + 3 * (b - a) + slack END AS hi, a - 3 * (b - a) - slack AS lo FROM ps),
+lv(j, p) AS (VALUES (1, 0.05), (2, 0.25), (3, 0.5), (4, 0.75), (5, 0.9), (6, 0.95)),
+q AS (SELECT level, lang, source, k, j, max(total) AS n, min(value) FILTER (upto >= p * total) AS y FROM c, lv GROUP BY ALL),
+g AS (SELECT DISTINCT d.lang, d.source, r.k, lv.j FROM d, range(1, 16) r(k), lv),
+pl AS (SELECT g.*, CASE WHEN l.n IS NULL THEN e.y ELSE (l.n * l.y + 50 * e.y) / (l.n + 50) END AS y
+       FROM g LEFT JOIN q l ON l.level = 1 AND l.lang = g.lang AND l.k = g.k AND l.j = g.j LEFT JOIN q e ON e.level = 2 AND e.k = g.k AND e.j = g.j),
+pg AS (SELECT p.lang, p.source, p.k, p.j, CASE WHEN o.n IS NULL THEN p.y ELSE (o.n * o.y + 50 * p.y) / (o.n + 50) END AS y
+       FROM pl p LEFT JOIN q o ON o.level = 0 AND o.lang = p.lang AND o.source = p.source AND o.k = p.k AND o.j = p.j),
+pw AS (SELECT lang, source, k, max(y) FILTER (j = 1) AS q05, max(y) FILTER (j = 2) AS q25, max(y) FILTER (j = 3) AS q50, max(y) FILTER (j = 4) AS q75, max(y) FILTER (j = 5) AS q90, max(y) FILTER (j = 6) AS q95 FROM pg GROUP BY ALL),
+ph AS (SELECT a.*, greatest(a.q75 + 3 * (a.q75 - a.q25) + CASE WHEN a.q50 > 0 THEN a.q95 - a.q50 ELSE 0 END, a.q90, coalesce(0.9::DOUBLE * z.q05, 0),
+                            CASE WHEN a.k < 5 THEN list_extract([5, 5, 50, 5], a.k) / greatest(n.q50, 1) ELSE 0 END) AS top
+       FROM pw a JOIN pw z ON z.lang = a.lang AND z.source = a.source AND z.k = a.k + 10
+       JOIN pw n ON n.lang = a.lang AND n.source = a.source AND n.k = list_extract([6, 7, 6, 8, 6], a.k) WHERE a.k <= 5 AND a.q50 IS NOT NULL),
+p AS (SELECT lang, source, k, CASE WHEN k IN (2, 3, 4) THEN least(top, 0.9::DOUBLE) ELSE top END AS hi, q25 - 3 * (q75 - q25) - (q50 - q05) AS lo FROM ph),
 f AS (SELECT rid, string_agg(list_extract(['symbol_rate', 'dup_line_share', 'repeat_share', 'upper_share', 'mean_word'], k), ',' ORDER BY k) AS failed
       FROM v JOIN p USING (lang, source) WHERE n_words > 0 AND (x[k] > hi OR (k = 5 AND x[k] < lo)) GROUP BY rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(failed, '') AS failed, NOT base_failed AND failed IS NULL AS kept FROM v LEFT JOIN f USING (rid)
