@@ -51,6 +51,11 @@ _TAIL_PARTS = 1 << 22
 _encoders: dict[str, Encoder] = {}
 
 
+def _steady(word: str, stopped: bool) -> bool:
+    """Whether a word is of letters that stay letters in lower case; if a stop follows, of the old alphabets' (Latin to Cyrillic)."""
+    return word.isalpha() and word.lower().isalpha() and (not stopped or max(word) < "\u0530")
+
+
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids, with a bounded cache of words."""
 
@@ -68,13 +73,14 @@ class Encoder:
         self.stops = {ord(c): np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ".,"}
 
     def _learned(self, new: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of new words. Words of letters alone, or of ASCII letters and a last full stop or comma, are encoded as one text: each
-        run of letters then ends with the one id that marks an end, which is where the ids are parted again. Letters beyond ASCII may
-        become something else in lower case (a letter and a mark, say), which joins what follows: such words are encoded whole."""
+        """Ids of new words. Words of letters alone, or of letters and a last full stop or comma, are encoded as one text: each run of
+        letters then ends with the one id that marks an end, which is where the ids are parted again. A letter beyond ASCII may become
+        something else in lower case (a letter and a mark, say), which joins what follows: words with such letters, or with a stop after
+        letters of scripts that are still being added to, are encoded whole."""
         plain, ends, other, often = {}, [], [], self.often
         for w in new:
             head = w[:-1] if w[-1] in b".," else w
-            if not head.isalpha() and (head is not w or not w.decode().lower().isalpha()):  # bytes know the letters of ASCII alone
+            if not head.isalpha() and not _steady(head.decode(), head is not w):  # bytes know the letters of ASCII alone
                 other.append(w)
             elif head is w:
                 plain[w] = None
