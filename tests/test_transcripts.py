@@ -1,6 +1,7 @@
 """Scans of all formats and the session model, on small files written here."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -257,10 +258,10 @@ def test_timeline(spark, tmp_path):
 
 
 def test_load_reads_once(spark, tmp_path):
-    """One text scan, one window over lines, one exchange: whatever the number of formats."""
+    """One text scan and no exchange at all, whatever the number of formats."""
     write(tmp_path / "a.jsonl", [{"type": "user", "parentUuid": None, "message": {"content": "hi"}}])
     plan = tr.load(spark, str(tmp_path / "a.jsonl"))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan text") == 1 and plan.count("Exchange") == 1 and plan.count("ArrowEvalPython") == 1
+    assert plan.count("FileScan text") == 1 and plan.count("Exchange") == 0 and plan.count("ArrowEvalPython") == 1
 
 
 def test_shared_children(spark, tmp_path):
@@ -270,3 +271,37 @@ def test_shared_children(spark, tmp_path):
         write(tmp_path / path, hi(1))
     e = tr.with_shared_children(tr.load(spark, str(tmp_path), recursive=True))
     assert rows(e, "session", "origin") == [("a", "main"), ("a", "subagent:kid"), ("a", "subagent:own"), ("b", "main"), ("b", "subagent:kid"), ("v", "subagent:lone")]
+
+
+def test_lines_are_numbered_split_by_split(spark, tmp_path):
+    """Files in one split and in many, with lines longer than a split, blank ones, and a format that only a late line tells."""
+    rng = random.Random(2)
+    files = {}
+    for f in range(6):
+        late = rng.randrange(1, 300)
+        lines = [rng.choice(["", "{", "[]", '{"type": "user"}', '{"a": NaN, "type": "progress"}', '{"b": "é%s"}' % ("y" * rng.randrange(300))]) for _ in range([3, 40, 400, 400, 1, 200][f])]
+        if f in (1, 2, 3):
+            lines.insert(min(late, len(lines)), '{"type": "%s", "origin": null}' % ["", "session_meta", "user", "a.b"][f])
+        if f == 3:
+            lines.insert(5, '{"long": "%s"}' % ("z" * 9000))
+        files[f"f{f}.jsonl"] = lines
+        (tmp_path / f"f{f}.jsonl").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    (tmp_path / "empty.jsonl").write_text("")
+    told = {"f1.jsonl": "rollout", "f2.jsonl": "rich", "f3.jsonl": "wire"}
+    want = sorted((name, n, line, told.get(name)) for name, lines in files.items() for n, line in enumerate(lines, 1))
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        for most, least in (("128m", "4m"), ("2000", "10")):
+            spark.conf.set(keys[0], most)
+            spark.conf.set(keys[1], least)
+            df = tr.read_lines(spark, str(tmp_path))
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert ("Exchange" in plan) == (most == "2000") and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+            got = df.select("source", "seq", "line", "format").collect()
+            assert sorted((r.source.rsplit("/", 1)[1], r.seq, r.line, r.format) for r in got) == want
+            by_plan = {r.source.rsplit("/", 1)[1]: r.format for r in tr.detect_format(df.drop("format")).collect()}
+            assert {k: v for k, v in by_plan.items() if v} == told  # the rules in Python are those of the columns
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)

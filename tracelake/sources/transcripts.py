@@ -7,11 +7,19 @@ that can't be used become RecordDropped events with a reason, so that they are c
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators.graph import cut
+
+#: Splits of large files whose line counts are broadcast: some 20 MB.
+MANY_SPLITS = 200_000
 #: Fields of an event beside its place; an event has the fields that its type gives it, the others are null.
 USAGE = "struct<input_other:long,output:long,cache_read:long,cache_creation:long,cache_5m:long,cache_1h:long,ratio:double,request_id:string,credits:double,billable:boolean>"
 COMPACT = "struct<trigger:string,pre_tokens:long,post_tokens:long,messages_summarized:long,duration_ms:long>"
@@ -32,14 +40,111 @@ NAME_KEYS = {"auto_mode": "reminderType", "edited_text_file": "filename", "file"
 RESULT_SKIPS, ATTACHMENT_SKIPS, ENTRY_SKIPS = ("type", "is_error", "data", "media_type"), ("type", "filePath", "path", "name"), ("type", "path", "name")
 
 
+# Types of records that tell a format.
+ROLLOUT_TYPES = ("session_meta", "response_item", "event_msg", "token_usage_record", "world_state", "turn_context")
+RICH_TYPES = ("user", "assistant", "metadata")
+
+
 def read_lines(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
-    """source, seq (from 1), line, v (variant; null if the line is no JSON object), is_json. A large file may be read in splits.
-    recursive: the paths are folders, and all .jsonl files below them are read."""
+    """source, seq (from 1), line, format (what the first line that tells one tells, else null), v (variant; null if the line is no JSON
+    object), is_json. recursive: the paths are folders, and all .jsonl files below them are read.
+
+    Nothing is shuffled: a task reads a split from its beginning, so it numbers the lines as they come. Only of files that are read in
+    several splits are the lines of each split counted first, by a scan of those files alone, and running sums added. They travel as a
+    broadcast up to MANY_SPLITS of them, a row for each; beyond that Spark joins them as it sees fit."""
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl") if recursive else spark.read
-    raw = reader.text(paths).select("value", F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_start"))
-    raw = raw.withColumn("_id", F.monotonically_increasing_id())
-    seq = F.row_number().over(Window.partitionBy("source").orderBy("_start", "_id")).cast("long")
-    return parse_lines(raw.select("source", seq.alias("seq"), F.col("value").alias("line")))
+    at = {n: F.col(f"_metadata.{n}") for n in ("file_path", "file_block_start", "file_block_length", "file_size")}
+    text = reader.text(paths)
+    raw = text.select("value", at["file_path"].alias("source"), at["file_block_start"].alias("start"))
+    numbered = raw.mapInArrow(_numbered, "source string, start long, seq long, line string, format string")
+    # no split is smaller than a file's opening cost, so smaller files are left out of the scan by name
+    parted = text.where((at["file_size"] > _open_cost(spark)) & (at["file_block_length"] < at["file_size"])).select("value", at["file_path"].alias("source"), at["file_block_start"].alias("start"))
+    before = Window.partitionBy("source").orderBy("start")
+    splits = parted.mapInArrow(_counted, "source string, start long, n long, format string")
+    splits = splits.select("source", "start", F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+                           F.first("format", ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_said"))
+    splits = cut(splits)
+    n = splits.count()
+    if n:
+        joined = numbered.join(F.broadcast(splits) if n <= MANY_SPLITS else splits, ["source", "start"], "left")
+        numbered = joined.withColumns({"seq": F.col("seq") + F.coalesce("_before", F.lit(0)), "format": F.when(F.col("_before").isNull(), F.col("format")).otherwise(F.col("_said"))})
+    return parse_lines(numbered.select("source", "seq", "line", "format"))
+
+
+def _open_cost(spark: SparkSession) -> int:
+    """spark.sql.files.openCostInBytes as a number."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([a-z]*)\s*", spark.conf.get("spark.sql.files.openCostInBytes").lower()).groups()
+    return int(number) << {"k": 10, "m": 20, "g": 30}.get(unit[:1], 0)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.Array]]:
+    """Lines in pieces of one split each, with its file and start. A partition holds splits one after another."""
+    for batch in batches:
+        source, start = batch.column("source").dictionary_encode(), batch.column("start").to_numpy()
+        code = source.indices.to_numpy()
+        edges = [0, *(np.flatnonzero((np.diff(code) != 0) | (np.diff(start) != 0)) + 1).tolist(), len(batch)] if len(batch) else [0]
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield (source.dictionary[int(code[a])].as_py(), int(start[a])), batch.column("value").slice(a, b - a)
+
+
+def _first_said(lines: pa.Array) -> str | None:
+    """What the first line that tells a format tells, by the rules of format_said()."""
+    for line in lines:
+        try:
+            v = json.loads(line.as_py(), parse_constant=_no_constant)
+        except (ValueError, RecursionError):
+            continue
+        if isinstance(v, dict) and (said := _said(v)):
+            return said
+    return None
+
+
+def _no_constant(name: str) -> None:
+    raise ValueError(name)
+
+
+def _said(v: dict) -> str | None:
+    kind = v.get("type") if isinstance(v.get("type"), str) else None
+    if kind == "progress" or kind == "session_meta" and isinstance(v.get("data"), dict):
+        return "degraded"
+    if kind in ROLLOUT_TYPES:
+        return "rollout"
+    if kind in RICH_TYPES:
+        return "rich" if "origin" in v or "parentUuid" in v else None
+    return "wire" if isinstance(v.get("message"), dict) or kind is not None and "." in kind else None
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with their number within the split and the split's format. Lines wait until a line tells it, or the split ends."""
+    now, seq, said, waiting = None, 0, None, []
+
+    def out(lines: pa.Array, first: int) -> pa.RecordBatch:
+        n = len(lines)
+        return pa.RecordBatch.from_arrays([pa.repeat(now[0], n), pa.repeat(now[1], n), pa.array(np.arange(first, first + n)), lines, pa.repeat(pa.scalar(said, pa.string()), n)], names=["source", "start", "seq", "line", "format"])
+
+    for key, lines in _runs(batches):
+        if key != now:
+            yield from (out(*w) for w in waiting)
+            now, seq, said, waiting = key, 0, None, []
+        said = said or _first_said(lines)
+        waiting.append((lines, seq + 1))
+        seq += len(lines)
+        if said:
+            yield from (out(*w) for w in waiting)
+            waiting = []
+    yield from (out(*w) for w in waiting)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each split: its lines and its format."""
+    found: dict[tuple[str, int], list] = {}
+    for key, lines in _runs(batches):
+        of = found.setdefault(key, [0, None])
+        of[0] += len(lines)
+        of[1] = of[1] or _first_said(lines)
+    rows = [(*key, n, said) for key, (n, said) in found.items()]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string()]
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["source", "start", "n", "format"])
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -76,8 +181,8 @@ def format_said(v: Column) -> Column:
     has = lambda p: F.try_variant_get(v, p, "variant").isNotNull()
     return (
         F.when(((kind == "session_meta") & _is(v, "$.data", "OBJECT")) | (kind == "progress"), "degraded")
-        .when(kind.isin("session_meta", "response_item", "event_msg", "token_usage_record", "world_state", "turn_context"), "rollout")
-        .when(kind.isin("user", "assistant", "metadata"), F.when(has("$.origin") | has("$.parentUuid"), "rich"))
+        .when(kind.isin(*ROLLOUT_TYPES), "rollout")
+        .when(kind.isin(*RICH_TYPES), F.when(has("$.origin") | has("$.parentUuid"), "rich"))
         .when(_is(v, "$.message", "OBJECT") | F.contains(kind, F.lit(".")), "wire")
     )
 
@@ -326,12 +431,9 @@ def load(spark: SparkSession, paths: str | list[str], recursive: bool = False) -
     """Events of all files with session, origin and format. A file in ``<session>/subagents/`` belongs to that session, as does
     ``agents/<id>/wire.jsonl``. Files that tell no format are read as rich ones, so that their lines are counted.
 
-    One scan and one sort by file: lines are numbered and the format is told over the same window, and each line is read as its
-    file's format says.
+    One scan, without a shuffle: each line is read as its file's format says.
     """
-    lines = read_lines(spark, paths, recursive).withColumn("_said", format_said(F.col("v")))
-    first = F.min_by("_said", F.when(F.col("_said").isNotNull(), F.col("seq"))).over(Window.partitionBy("source"))
-    lines = lines.withColumn("format", F.coalesce(first, F.lit("rich"))).drop("_said")
+    lines = read_lines(spark, paths, recursive).withColumn("format", F.coalesce("format", F.lit("rich")))
     rich, rollout = F.col("format").isin("rich", "degraded"), F.col("format") == "rollout"
     (rich_e, rich_ts, ref), (rollout_e, rollout_ts), (wire_e, wire_ts) = _rich(), _rollout(), _wire()
     pick = lambda x, y, z: F.when(rich, x).when(rollout, y).otherwise(z)
