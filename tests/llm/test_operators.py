@@ -389,12 +389,12 @@ def test_every_word_has_a_vector_of_its_own(spark):
             for j in (i - 2, i - 1, i + 1, i + 2):
                 if 0 <= j < len(w):
                     vector[w[i]] += index[w[j]]
-    sign = {w: np.where(np.abs(v) >= max(np.sqrt(np.mean(v * v)) / 2, 1e-9), np.sign(v), 0) for w, v in vector.items()}
+    unit = {w: np.rint(v * 127 / max(np.sqrt((v * v).sum()), 1e-9)) / 127 for w, v in vector.items()}
     got = {r.id: np.frombuffer(r.x, "<f2") for r in quality_classifier.features(documents(spark, rows).repartition(4)).collect()}
     assert set(got) == {r[0] for r in rows} and not got[999].any()
     for i, x, *_ in rows[:-1]:
         w = x.split()
-        assert np.allclose(got[i][: quality_classifier.DIM], np.mean([sign[t] for t in w], axis=0), atol=1e-3)
+        assert np.allclose(got[i][: quality_classifier.DIM], np.mean([unit[t] for t in w], axis=0), atol=1e-3)
         plain = [np.log1p(len(w)) / 10, len(set(w)) / len(w), 0, sum(c.isdigit() for c in x) / len(x), 0]
         assert np.allclose(got[i][quality_classifier.DIM :], plain, atol=1e-3)
 

@@ -2,8 +2,8 @@
 
 Random indexing: each word has a sparse ternary index vector, drawn from its 56-bit code. Its context vector is the sum of the
 index vectors of its neighbours (two on each side) over the whole corpus; as an integer sum, it is put together from parts in any
-order. Every word has a vector of its own, at any size of the corpus. A word's vector is the sign of each entry of that sum whose
-size is at least half the root mean square, so it takes two bits an entry.
+order. Every word has a vector of its own, at any size of the corpus. A word's vector is that sum at length one, in whole 127ths: a byte
+an entry.
 
 A document is pooled into the mean of its words' vectors, beside its length, its share of distinct words and of capitals, digits
 and other signs among its bytes. The network sees these alone, never labels, language, source or ids. It is fitted on a bounded
@@ -38,7 +38,7 @@ from tracelake.llm.lm_scoring import _loose, _rows, _squeeze
 from tracelake.llm.wordcodes import Chunk, U, chunks, mixed
 
 DIM = 64
-NONZERO = 2
+NONZERO = 6
 #: Bytes of text gathered before a piece is dealt out.
 PIECE = 32 << 20
 BUCKETS_PER_PARTITION = 2
@@ -235,10 +235,14 @@ _MET_KINDS = [pa.int64(), pa.int32(), pa.binary(), _DOCS, *[pa.binary()] * 4]
 _MET_NAMES = "piece bucket vectors docs plain rarity bag times"
 
 
-def signs(total: np.ndarray) -> np.ndarray:
-    """Vectors of -1, 0 and 1: signs of entries of at least half the root mean square."""
-    least = np.sqrt((total.astype(np.float64) ** 2).mean(axis=1, keepdims=True)) / 2
-    return np.where(np.abs(total) >= np.maximum(least, 1e-9), np.sign(total), 0)
+#: Vectors are kept in whole parts of this size.
+UNIT = 127
+
+
+def scaled(total: np.ndarray) -> np.ndarray:
+    """Sums at length one, in whole UNITths."""
+    length = np.sqrt((total.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
+    return np.rint(total * (UNIT / np.maximum(length, 1e-9))).astype(np.int64)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +254,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(unique), DIM), np.int64)
         for (_, _, sums), w in zip(rows, words, strict=True):
             total[np.searchsorted(unique, w)] += _unpacked(sums)
-        vectors = signs(total)
+        vectors = scaled(total)
         for (piece, _, _), w in zip(rows, words, strict=True):
             yield _rows([(piece, bucket, _packed(vectors[np.searchsorted(unique, w)]), *[None] * 5)], _MET_KINDS, _MET_NAMES)
 
@@ -291,7 +295,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = np.flatnonzero(kinds[lo:hi])
             if len(some):
                 sums = np.add.reduceat(table[which] * times[before : ends[hi - 1], None], first[some], axis=0, dtype=np.int64)
-                x[lo + some, :DIM] = sums / n[lo + some, None]
+                x[lo + some, :DIM] = sums / (UNIT * n[lo + some, None])
             lo = hi
         for a in range(0, len(docs), 10_000):
             part = docs[a : a + 10_000]
