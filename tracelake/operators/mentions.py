@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.functions.text import let
+
 GRAM = 3
 
 
@@ -15,8 +17,12 @@ def mentions(texts: DataFrame, names: DataFrame, text_id: str, text: str, name:
     meet is checked against the whole text. Empty names and texts meet nothing.
     """
     n = names.select(name).where(F.length(name) > 0).distinct().withColumn("_gram", F.substring(name, 1, GRAM))
-    starts = F.sequence(F.lit(1), F.length(text))
-    grams = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(*[F.substring(F.col(text), i, F.lit(k)) for k in range(1, GRAM + 1)]))))
+
+    def grams_of(c: Column) -> Column:  # of the text's characters, taken apart once: places in a string are found from its beginning
+        part = lambda i, k: F.array_join(F.slice(c, i, k), "")
+        return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.size(c)), lambda i: F.array(*[part(i, k) for k in range(1, GRAM + 1)]))))
+
+    grams = let(F.split(F.col(text), ""), grams_of)
     t = texts.where(F.length(text) > 0).select(text_id, text)
     each = t.select(text_id, F.explode(grams).alias("_gram")).join(n.select("_gram").distinct(), "_gram", "left_semi")
     return each.join(n, "_gram").join(t, text_id).where(F.contains(text, name)).select(text_id, name).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.operators import graph, pairing, returns
-from tracelake.plans.adapters import RECORDS, records
+from tracelake.plans.adapters import RECORDS, micros, records
 from tracelake.plans.registry import Registry
 from tracelake.tables import table
 
@@ -30,29 +30,33 @@ def call_result_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paired.unionByName(side(lone_calls, "call"), allowMissingColumns=True).unionByName(side(lone_results, "result"), allowMissingColumns=True)
 
 
-_DISPATCH = """WITH o AS (SELECT o_custkey AS ck, o_orderkey FROM orders WHERE o_totalprice > 400000), c AS (SELECT c_custkey AS ck FROM customer WHERE c_acctbal >= 0)
+_DAYS = """WITH o AS (SELECT epoch_us(o_orderdate) // 86400000000 AS ck, o_orderkey FROM orders), c AS (SELECT DISTINCT epoch_us(l_shipdate) // 86400000000 AS ck FROM lineitem)
 """
 
 
+def _days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Days of orders, with the orders, and days on which something was shipped: either side has some without the other."""
+    day = lambda c: F.floor(micros(F.col(c)) / 86_400_000_000).cast("long").alias("ck")
+    return table(spark, sf_dir, "orders").select(day("o_orderdate"), "o_orderkey"), table(spark, sf_dir, "lineitem").select(day("l_shipdate")).distinct()
+
+
 def _dispatch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Large orders are calls, customers in credit the children: either side has some without the other."""
-    o = table(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("ck"), "o_orderkey")
-    c = table(spark, sf_dir, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("ck"))
-    return pairing.link_children(o, c, "ck", "o_orderkey")
+    """Orders are calls, known by their day; days of shipping are the children."""
+    return pairing.link_children(*_days(spark, sf_dir), "ck", "o_orderkey")
 
 
-@R.query(_DISPATCH + "SELECT ck, min(o_orderkey) AS o_orderkey FROM o JOIN c USING (ck) GROUP BY ck")
+@R.query(_DAYS + "SELECT ck, min(o_orderkey) AS o_orderkey FROM o JOIN c USING (ck) GROUP BY ck")
 def dispatch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A child belongs to the first call of its key."""
     return _dispatch(spark, sf_dir)[0]
 
 
-@R.query(_DISPATCH + "SELECT * FROM o WHERE ck NOT IN (SELECT ck FROM c)")
+@R.query(_DAYS + "SELECT * FROM o WHERE ck NOT IN (SELECT ck FROM c)")
 def orphan_dispatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dispatch(spark, sf_dir)[1]
 
 
-@R.query(_DISPATCH + "SELECT * FROM c WHERE ck NOT IN (SELECT ck FROM o)")
+@R.query(_DAYS + "SELECT * FROM c WHERE ck NOT IN (SELECT ck FROM o)")
 def unmatched_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dispatch(spark, sf_dir)[2]
 
@@ -101,37 +105,40 @@ def diff_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.diff_edges(declared, _co_load(spark, sf_dir))
 
 
-_IDS = """WITH i AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id IN (SELECT doc_id FROM labels) AS listed, lang FROM documents
-UNION ALL SELECT source || ':' || doc_id, true, lang FROM documents WHERE lang IN ('en', 'fr')
-UNION ALL SELECT lang || ':' || doc_id, true, lang FROM documents WHERE n_chars > 2000),
+_IDS = """WITH i AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id IN (SELECT page_id FROM pages) AS listed FROM documents
+UNION ALL SELECT source || ':' || doc_id, true FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)
+UNION ALL SELECT lang || ':' || doc_id, true FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)),
 f AS (SELECT split_part(id, ':', 2) AS suffix, min(id) AS full_id, count(*) AS n FROM (SELECT DISTINCT id FROM i) WHERE contains(id, ':') GROUP BY 1)
 """
 
 
 def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by bare numbers, listed if they have a label; by source in two languages; by language if they are long."""
+    """Documents by bare numbers, listed if a page has the number; by source if they have a label; by language if they have a vector."""
     d = table(spark, sf_dir, "documents")
-    known = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("listed", F.lit(True))
-    bare = d.join(known, "doc_id", "left").select(F.col("doc_id").cast("string").alias("id"), F.coalesce("listed", F.lit(False)).alias("listed"), "lang")
-    spaced = lambda c, rows: rows.select(F.concat_ws(":", c, F.col("doc_id").cast("string")).alias("id"), F.lit(True).alias("listed"), "lang")
-    return bare.unionByName(spaced("source", d.where("lang in ('en', 'fr')"))).unionByName(spaced("lang", d.where("n_chars > 2000")))
+    of = lambda name, c: d.join(table(spark, sf_dir, name).select(F.col(c).alias("doc_id")), "doc_id", "left_semi")
+    known = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id")).distinct().withColumn("listed", F.lit(True))
+    bare = d.join(known, "doc_id", "left").select(F.col("doc_id").cast("string").alias("id"), F.coalesce("listed", F.lit(False)).alias("listed"))
+    spaced = lambda c, rows: rows.select(F.concat_ws(":", c, F.col("doc_id").cast("string")).alias("id"), F.lit(True).alias("listed"))
+    return bare.unionByName(spaced("source", of("labels", "doc_id"))).unionByName(spaced("lang", of("embeddings", "vec_id")))
 
 
 @R.query(_IDS + "SELECT id AS raw_id, CASE WHEN NOT contains(id, ':') AND NOT listed AND n = 1 THEN full_id ELSE id END AS id FROM i LEFT JOIN f ON suffix = id")
 def identity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairing.merge_by_suffix(_ids(spark, sf_dir).drop("lang"))
+    return pairing.merge_by_suffix(_ids(spark, sf_dir))
 
 
 @R.query(
     _IDS
-    + """, d AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id FROM labels), o AS (SELECT DISTINCT id FROM i WHERE contains(id, ':') OR lang = 'de'),
+    + """, d AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id FROM documents), o AS (SELECT DISTINCT id FROM i WHERE contains(id, ':') UNION SELECT CAST(conv_id AS VARCHAR) FROM conversations),
 t AS (SELECT split_part(id, ':', 2) AS suffix, min(id) AS twin, count(*) AS n FROM o WHERE contains(id, ':') GROUP BY 1)
 SELECT d.id, coalesce(o.id, CASE WHEN n = 1 THEN twin END) AS observed_id, CASE WHEN o.id IS NOT NULL THEN 'exact' WHEN n = 1 THEN 'suffix' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END AS how
 FROM d LEFT JOIN o ON o.id = d.id LEFT JOIN t ON t.suffix = d.id"""
 )
 def declared_observed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    observed = _ids(spark, sf_dir).where(F.contains("id", F.lit(":")) | (F.col("lang") == "de"))
-    declared = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"))
+    """Documents are declared by number; what is observed are their spaced names and the numbers of conversations."""
+    bare = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("id"))
+    observed = _ids(spark, sf_dir).where(F.contains("id", F.lit(":"))).select("id").unionByName(bare)
+    declared = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"))
     return pairing.match_declared(declared, observed)
 
 
@@ -162,15 +169,17 @@ def expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query(
-    """WITH RECURSIVE n AS (SELECT p_partkey AS s, (p_partkey * 7 + 3) % 997 AS d FROM part UNION SELECT p_partkey, (p_partkey * 5 + 1) % 997 FROM part),
-r AS (SELECT p_partkey AS root, p_partkey AS node, 0 AS depth FROM part UNION SELECT r.root, n.d, r.depth + 1 FROM r JOIN n ON n.s = r.node WHERE r.depth < 4)
+    """WITH RECURSIVE n AS (SELECT p_partkey AS s, lead(p_partkey) OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS d FROM part
+  UNION SELECT p_partkey, lead(p_partkey) OVER (PARTITION BY p_type ORDER BY p_partkey DESC) FROM part),
+r AS (SELECT p_partkey AS root, p_partkey AS node, 0 AS depth FROM part UNION SELECT r.root, n.d, r.depth + 1 FROM r JOIN n ON n.s = r.node AND n.d IS NOT NULL WHERE r.depth < 4)
 SELECT root, node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY ALL"""
 )
 def closure_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a part requires within four steps."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("src"))
-    e = p.select("src", ((F.col("src") * 7 + 3) % 997).alias("dst")).unionByName(p.select("src", ((F.col("src") * 5 + 1) % 997).alias("dst")))
-    return graph.closure(e, p, root="src")
+    """A part requires the next of its brand and size, and the one before of its type; what it requires within four steps."""
+    p, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    step = lambda w: p.select(key.alias("src"), F.lead("p_partkey").over(w).alias("dst")).where("dst is not null")
+    e = step(Window.partitionBy("p_brand", "p_size").orderBy("p_partkey")).unionByName(step(Window.partitionBy("p_type").orderBy(F.desc("p_partkey"))))
+    return graph.closure(e, p.select(key.alias("src")), root="src")
 
 
 @R.query(
@@ -228,13 +237,13 @@ def agent_tree_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").join(c, "n_nationkey", "left").select(F.col("n_nationkey").cast("long").alias("parent"), *[zero(x) for x in ("agents", "attachments", "total", "loose")])
 
 
-@R.query("SELECT l_partkey AS id FROM lineitem WHERE l_quantity > 45 UNION SELECT p_partkey FROM part WHERE p_size > 40")
+@R.query(_DAYS + "SELECT ck AS id FROM o UNION SELECT ck FROM c")
 def timeline_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("id"))
-    return a.union(table(spark, sf_dir, "part").where("p_size > 40").select("p_partkey")).distinct()
+    o, c = _days(spark, sf_dir)
+    return o.select(F.col("ck").alias("id")).union(c).distinct()
 
 
-@R.query("SELECT p_partkey AS id FROM part WHERE p_size > 40 EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45")
+@R.query(_DAYS + "SELECT ck AS id FROM o EXCEPT SELECT ck FROM c")
 def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("id"))
-    return table(spark, sf_dir, "part").where("p_size > 40").select(F.col("p_partkey").alias("id")).distinct().join(a, "id", "left_anti")
+    o, c = _days(spark, sf_dir)
+    return o.select(F.col("ck").alias("id")).distinct().join(c.withColumnRenamed("ck", "id"), "id", "left_anti")

@@ -13,13 +13,14 @@ from tracelake.tables import table
 
 R = Registry()
 
-# A skill is the nation of the customer whose number an event names; signups list it, views are stubs, clicks bodies, purchases
-# executions. The catalog holds the nations of three regions and all suppliers. A session's person names the nations of the region
+# Skills are the nation and the market segment of the customer whose number an event names; signups list them, views are stubs, clicks
+# bodies, purchases executions. The catalog holds nations and suppliers, but no segments. A session's person names the nations of the region
 # that the customer of its number lives in, and each order of that customer is a judgment on the customer's own nation.
-_SKILLS = RECORDS + """, sk AS (SELECT e.session, lower(n_name) AS skill_id, event_type FROM e JOIN customer ON c_custkey = k JOIN nation ON n_nationkey = c_nationkey WHERE event_type <> 'error'),
+_SKILLS = RECORDS + """, kc AS (SELECT e.session, n_name, c_mktsegment, event_type FROM e JOIN customer ON c_custkey = k JOIN nation ON n_nationkey = c_nationkey WHERE event_type <> 'error'),
+sk AS (SELECT session, lower(n_name) AS skill_id, event_type FROM kc UNION ALL SELECT session, lower(c_mktsegment), event_type FROM kc),
 cn AS (SELECT session, skill_id, count(*) FILTER (event_type = 'signup') AS listed, count(*) FILTER (event_type = 'click') AS bodies, count(*) FILTER (event_type = 'view') AS stubs,
               count(*) FILTER (event_type = 'purchase') AS executed FROM sk GROUP BY ALL),
-ca AS (SELECT n_name AS name FROM nation WHERE n_regionkey IN (0, 1, 2) UNION SELECT s_name FROM supplier),
+ca AS (SELECT n_name AS name FROM nation UNION SELECT s_name FROM supplier),
 ma AS (SELECT cn.*, bodies + stubs AS loaded, ca.name AS catalog_name FROM cn LEFT JOIN ca ON lower(ca.name) = skill_id),
 sa AS (SELECT DISTINCT e.session, lower('all about ' || b.n_name) AS text FROM e JOIN customer ON c_custkey = session JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_regionkey = a.n_regionkey),
 ju AS (SELECT o_custkey AS session, n_name AS skill_name, o_orderstatus = 'F' AS triggered, CASE o_orderstatus WHEN 'P' THEN 'timeout' END AS error
@@ -32,11 +33,11 @@ op AS (SELECT ma.session, skill_id, catalog_name, catalog_name IS NOT NULL AND E
 def _skills(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     """matched, open, catalog, judgments."""
     nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
-    home = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "n_regionkey")
+    home = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "n_regionkey", "c_mktsegment")
     kinds = {"signup": "listing", "view": "stub", "click": "body", "purchase": "execution"}
-    r = items(records(spark, sf_dir)).join(home, F.col("k") == F.col("c_custkey")).select("session", F.lower("n_name").alias("skill_id"), "event_type")
+    r = items(records(spark, sf_dir)).join(home, F.col("k") == F.col("c_custkey")).select("session", F.explode(F.array(F.lower("n_name"), F.lower("c_mktsegment"))).alias("skill_id"), "event_type")
     counted = gaps.counts(r.replace(kinds, subset="event_type").withColumnRenamed("event_type", "kind"), S)
-    catalog = nation.where("n_regionkey in (0, 1, 2)").select(F.col("n_name").alias("name")).unionByName(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name")))
+    catalog = nation.select(F.col("n_name").alias("name")).unionByName(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name")))
     names = gaps.names_of(counted, S)
     matched = gaps.in_catalog(counted, names, catalog, S)
     near = home.join(nation.select("n_regionkey", F.concat(F.lit("all about "), "n_name").alias("text")), "n_regionkey").select(F.col("c_custkey").alias("session"), "text")

@@ -128,7 +128,7 @@ def dup_body_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query(
-    r"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(string_split(text, chr(10))[1], '')), '[ \t\n\r\f\x0B]+'), lambda w: w <> '') AS w FROM documents),
+    r"""WITH d AS (SELECT conv_id * 10000 + turn AS doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\r\f\x0B]+'), lambda w: w <> '') AS w FROM conversations),
 s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) ELSE w END)) AS sh FROM d),
 r AS (SELECT min(doc_id) AS id, sh FROM s WHERE len(sh) > 0 GROUP BY sh),
 x AS (SELECT id, len(sh) AS n, unnest(sh) AS w FROM r),
@@ -136,8 +136,9 @@ p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared, a.n AS n_a, b.n AS n_b FR
 SELECT *, round(shared / (n_a + n_b - shared), 6) AS score FROM p WHERE shared / (n_a + n_b - shared) >= 0.8"""
 )
 def dup_desc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's first line stands for the description of a catalog entry, which is a field of its own there."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), similarity.words(F.coalesce(F.split("text", "\n", 2)[0], F.lit(""))).alias("w"))
+    """Turns of conversations stand for descriptions of catalog entries: short texts, taken whole."""
+    turn = (F.col("conv_id") * 10_000 + F.col("turn")).alias("id")
+    d = table(spark, sf_dir, "conversations").select(turn, similarity.words(F.coalesce("text", F.lit(""))).alias("w"))
     return similarity.similar_pairs(d.select("id", similarity.windows(F.col("w"), similarity.WORDS, " ").alias("shingles")), similarity.JACCARD, "jaccard")
 
 
@@ -177,11 +178,11 @@ def catalog_size_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query(
-    """WITH t AS (SELECT doc_id, length(coalesce(string_split(text, chr(10))[1], '')) AS chars FROM documents)
-SELECT doc_id, chars, CASE WHEN chars < 3 THEN 'unusable' WHEN chars > 300 THEN 'verbose' WHEN chars < 50 THEN 'terse' ELSE 'ok' END AS tier FROM t"""
+    """WITH t AS (SELECT conv_id, turn, length(coalesce(text, '')) AS chars FROM conversations)
+SELECT conv_id, turn, chars, CASE WHEN chars < 3 THEN 'unusable' WHEN chars > 300 THEN 'verbose' WHEN chars < 50 THEN 'terse' ELSE 'ok' END AS tier FROM t"""
 )
 def desc_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "documents").select("doc_id", F.length(F.coalesce(F.split("text", "\n", 2)[0], F.lit(""))).alias("chars"))
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(F.coalesce("text", F.lit(""))).alias("chars"))
     return t.withColumn("tier", text.description_tier(F.col("chars")))
 
 
@@ -223,12 +224,13 @@ def format_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query(
-    """WITH n AS (SELECT DISTINCT item_id, lower(regexp_extract(text, '[A-Za-z]{3,}')) AS name FROM benchmark WHERE regexp_matches(text, '[A-Za-z]{3,}')),
+    """WITH n AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{3,}'))) AS name FROM benchmark),
 c AS (SELECT conv_id, string_agg(lower(text), chr(10) ORDER BY turn, text) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id)
 SELECT DISTINCT conv_id, name FROM c JOIN n ON contains(t, name)"""
 )
 def mentioned_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of the catalog that occur in what people wrote in a session."""
-    names = table(spark, sf_dir, "benchmark").select(F.lower(F.regexp_extract("text", "[A-Za-z]{3,}", 0)).alias("name"))
+    """Names that occur in what people wrote in a session; all words of the benchmark's texts are names."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))
+    names = table(spark, sf_dir, "benchmark").select(F.explode(words).alias("name")).select(F.lower("name").alias("name"))
     said = table(spark, sf_dir, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: F.lower(t["text"])), "\n").alias("t"))
     return mentions.mentions(said, names, "conv_id", "t", "name")
