@@ -82,6 +82,23 @@ def test_liveness(records, log):
     assert rows(refs, "s", "first_seq", "n") == sorted(((s, a, n) for s, a, _, _, n in want if n), key=repr)
 
 
+def test_references_test_only_their_stretch(spark):
+    """One session, a boundary every 50 rows: the join's keys hold the boundary, so pairs that it tests are about twice the result's."""
+    log = [(0, i, "meta" if i % 50 == 49 else "assistant", i % 2 == 0, None, 1) for i in range(2000)]
+    records = spark.createDataFrame(log, "s long, seq long, kind string, positive boolean, anchor string, tokens long")
+    gone = liveness.gone_after(records.where("kind <> 'meta'"), records.where("kind = 'meta'"), S)
+    calls = records.where("kind = 'assistant' and positive").select("s", F.col("seq").alias("first_seq"))
+    refs = liveness.alive_refs(gone, calls, S)
+    plan = refs._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join Inner" in line)
+    assert "gone_seq" in join and "_next" in join
+    got = refs.select("first_seq", "item_seq").collect()
+    want = {(c, i) for c in range(0, 2000, 2) for i in range(c // 50 * 50, c)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    tested = sum(sum(x // 50 == e and x % 50 != 49 for x in range(2000)) * 25 for e in range(40))
+    assert tested <= 2.1 * len(want)
+
+
 def test_load_ledger(spark):
     rng = random.Random(2)
     entries = [(s, i, rng.randrange(2), rng.choice(["stub", "body"]), rng.choice([None, 99])) for s in range(60) for i in range(rng.randrange(0, 12))]

@@ -60,13 +60,18 @@ def span_contexts(records: DataFrame, keys: Sequence[str], buckets: Sequence[str
 
 
 def alive_refs(items: DataFrame, calls: DataFrame, keys: Sequence[str], seq: str = "seq", at: str = "first_seq") -> DataFrame:
-    """A row for each call and item alive at it: an equi-join on keys with a range condition. As large as its result."""
-    same = [F.col(f"i.{k}") == F.col(f"c.{k}") for k in keys]
-    span = (F.col(f"i.{seq}") < F.col(f"c.{at}")) & (F.col("i.gone_seq").isNull() | (F.col(f"c.{at}") < F.col("i.gone_seq")))
-    cond = span
-    for s in same:
-        cond = s & cond
-    return calls.alias("c").join(items.alias("i"), cond).select("c.*", *[F.col(f"i.{x}").alias(f"item_{x}") for x in items.columns if x not in keys])
+    """A row for each call and item alive at it; ``items`` as gone_after() gives them.
+
+    An item ends at the first boundary after it, so an item that is alive at a call has the boundary that comes next after the call.
+    Both sides are joined on their keys and that boundary, which leaves only the items of the call's own stretch to be tested for being
+    before it: twice the rows of the result where calls and items take turns, however many boundaries there are."""
+    ends = items.where("gone_seq is not null").select(*keys, F.col("gone_seq").alias(at)).distinct()
+    ahead = gone_after(calls, ends, keys, at).withColumnRenamed("gone_seq", "_next")
+    cond = F.col("i.gone_seq").eqNullSafe(F.col("c._next")) & (F.col(f"i.{seq}") < F.col(f"c.{at}"))
+    for k in reversed(keys):
+        cond = (F.col(f"i.{k}") == F.col(f"c.{k}")) & cond
+    joined = ahead.alias("c").join(items.alias("i"), cond)
+    return joined.select(*[F.col(f"c.{x}") for x in calls.columns], *[F.col(f"i.{x}").alias(f"item_{x}") for x in items.columns if x not in keys])
 
 
 def first_after_boundary(items: DataFrame, boundaries: DataFrame, stops: DataFrame, keys: Sequence[str], seq: str = "seq") -> DataFrame:
