@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: What of a turn, and of a session, a judge gets to read; what stands for the rest; a session without turns.
+TURN_CHARS, SESSION_CHARS, MORE, NO_TURNS = 600, 7000, " ...", "(no user turns found)"
 WEIGHTS = {"covered": 1.0, "partial": 0.5, "missing": 0.0}
 
 
@@ -61,3 +63,40 @@ def playbook_steps(playbooks: DataFrame, id_col: str = "id", text: str = "text")
     bare = F.regexp_replace(F.regexp_replace("line", r"^(\d+\.)\s+", "$1 "), r"^\s+|\s+$", "")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("at", bare.alias("t")))), lambda p: p["t"])
     return kept.groupBy(id_col, "step").agg(F.array_join(parts, " ").alias("text"))
+
+
+def turns_block(sessions: DataFrame, turns: DataFrame, keys: list[str], order: str, text: str = "text", most: int = TURN_CHARS) -> DataFrame:
+    """keys and block, for each of ``sessions``: its turns in order under their numbers, each cut at ``most`` characters."""
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    said = F.coalesce(F.col(text), F.lit(""))
+    cut = F.when(F.length(said) > most, F.concat(F.substring(said, 1, most), F.lit(MORE))).otherwise(said)
+    lines = turns.select(*keys, number.alias("_n"), cut.alias("_t")).withColumn("_t", F.concat(F.lit("Turn "), F.col("_n").cast("string"), F.lit(": "), F.col("_t")))
+    block = lines.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_t"))), lambda x: x["_t"]), "\n\n").alias("block"))
+    return sessions.select(*keys).distinct().join(block, keys, "left").withColumn("block", F.coalesce("block", F.lit(NO_TURNS)))
+
+
+def trajectory(lines: DataFrame, keys: list[str], order: list[str], text: str = "text", budget: int = SESSION_CHARS) -> DataFrame:
+    """keys and trajectory: a session's lines in order, joined, cut at ``budget`` characters. Lines that begin beyond it are left out
+    by a running length before anything is put together, so a session of any length costs its budget."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    line = F.coalesce(F.col(text), F.lit(""))
+    through = F.sum(F.length(line) + 1).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = lines.select(*keys, line.alias("_t"), F.row_number().over(w).alias("_n"), (through - F.length(line) - 1).alias("_from"))
+    # lines beyond the budget are null, which a list leaves out
+    part = F.when(F.col("_from") <= budget, F.struct("_n", "_t"))
+    g = rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["_t"]), "\n").alias("_all"), F.max(F.col("_from") + F.length("_t")).alias("_long"))
+    return g.select(*keys, F.when(F.col("_long") > budget, F.concat(F.substring("_all", 1, budget), F.lit(MORE))).otherwise(F.col("_all")).alias("trajectory"))
+
+
+def within_limit(candidates: DataFrame, keys: list[str], order: list[str], limit: int | None) -> DataFrame:
+    """``candidates`` with asked: the first ``limit`` of each of ``keys`` in order, or all. The rest is what gaps.report() counts as over
+    the limit, as no judgment reaches it."""
+    if limit is None:
+        return candidates.withColumn("asked", F.lit(True))
+    return candidates.withColumn("asked", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) <= limit)
+
+
+def prompts(candidates: DataFrame, blocks: DataFrame, keys: list[str], template: Callable[[Column, Column], Column], skill: str = "skill_id") -> DataFrame:
+    """id and prompt for ask(): the candidates that are asked about, each with its session's turns. template: from name and turns."""
+    j = candidates.where("asked").join(blocks, keys)
+    return j.select(F.struct(*keys, skill).alias("id"), template(F.col(skill), F.col("block")).alias("prompt"))

@@ -57,6 +57,17 @@ def co_load_edges(pairs: DataFrame, group: str, member: str) -> DataFrame:
     return both.groupBy(F.col("x._m").alias("a"), F.col("y._m").alias("b")).agg(F.count("*").alias("weight"))
 
 
+def co_load_groups(pairs: DataFrame, keys: Sequence[str], group: str, member: str) -> DataFrame:
+    """keys, a < b, weight, groups (sorted) and place (from 1, the heaviest edge first, then by a and b): which groups hold two members
+    together, within each of ``keys``. An edge lists the groups of one session, say, so its list is bounded by that."""
+    p = pairs.select(*keys, F.col(group).alias("_g"), F.col(member).alias("_m")).dropna().distinct()
+    x, y = p.withColumnRenamed("_m", "a"), p.withColumnRenamed("_m", "b")
+    both = x.join(y, [*keys, "_g"]).where("a < b").groupBy(*keys, "a", "b").agg(F.array_sort(F.collect_list("_g")).alias("groups"))
+    both = both.withColumn("weight", F.size("groups").cast("long"))
+    heaviest = Window.partitionBy(*keys).orderBy(F.desc("weight"), "a", "b")
+    return both.withColumn("place", F.row_number().over(heaviest).cast("long")).select(*keys, "a", "b", "weight", "groups", "place")
+
+
 def diff_edges(declared: DataFrame, edges: DataFrame, least: int = 2) -> DataFrame:
     """a, b, verdict: over_declared (never met), implicit (met ``least`` times, undeclared) or consistent."""
     d = declared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

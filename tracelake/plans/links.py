@@ -91,6 +91,19 @@ def co_load_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _co_load(spark, sf_dir)
 
 
+@R.query(
+    """WITH p AS (SELECT DISTINCT o_custkey AS session, o_orderkey AS g, l_partkey AS m FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+w AS (SELECT x.session, x.m AS a, y.m AS b, count(*) AS weight, string_agg(CAST(x.g AS VARCHAR), ',' ORDER BY x.g) AS groups FROM p x JOIN p y ON x.session = y.session AND x.g = y.g AND x.m < y.m GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY session ORDER BY weight DESC, a, b) AS place FROM w"""
+)
+def co_load_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that a customer's orders hold together, with the orders, the most frequent pair first."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("session"))
+    pairs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(o, "l_orderkey")
+    found = pairing.co_load_groups(pairs, ["session"], "l_orderkey", "l_partkey")
+    return found.withColumn("groups", F.array_join(F.col("groups").cast("array<string>"), ","))
+
+
 @R.query(
     _CO
     + """, de AS (SELECT p_partkey AS a, lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS b FROM part),

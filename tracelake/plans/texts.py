@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import interventions, text
-from tracelake.operators import graph, mentions, similarity
+from tracelake.operators import graph, judging, mentions, similarity
 from tracelake.plans.registry import Registry
 from tracelake.tables import table
 
@@ -234,3 +234,18 @@ def mentioned_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "benchmark").select(F.explode(words).alias("name")).select(F.lower("name").alias("name"))
     said = table(spark, sf_dir, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: F.lower(t["text"])), "\n").alias("t"))
     return mentions.mentions(said, names, "conv_id", "t", "name")
+
+
+@R.query(
+    """WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+u AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || ' ...' ELSE text END AS t FROM c WHERE role = 'user'),
+b AS (SELECT conv_id, string_agg('Turn ' || n || ': ' || t, chr(10) || chr(10) ORDER BY n) AS block FROM u GROUP BY conv_id),
+a AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS t FROM c GROUP BY conv_id)
+SELECT conv_id, coalesce(block, '(no user turns found)') AS block, CASE WHEN length(t) > 400 THEN substr(t, 1, 400) || ' ...' ELSE t END AS trajectory FROM a LEFT JOIN b USING (conv_id)"""
+)
+def judge_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a judge gets to read of each conversation: its user turns, each cut, and its trajectory within a budget."""
+    c = table(spark, sf_dir, "conversations")
+    block = judging.turns_block(c, c.where("role = 'user'"), ["conv_id"], "turn", most=60)
+    line = c.select("conv_id", "turn", F.concat("role", F.lit(": "), F.coalesce("text", F.lit(""))).alias("text"))
+    return block.join(judging.trajectory(line, ["conv_id"], ["turn"], budget=400), "conv_id")

@@ -34,14 +34,34 @@ def text_table(df: DataFrame, order: list, top: int = 20) -> str:
     return "\n".join("  ".join(c.ljust(w) for c, w in zip(r, width, strict=True)).rstrip() for r in cells) + "\n"
 
 
+# From how many on direct reads of skill files and repeated tokens are worth a word; below which share the cache is.
+FILE_READS, REPEAT_TOKENS, CACHE_SHARE, STEPS = 3, 5000, 0.5, 3
+
+
 def suggestions(facts: DataFrame) -> DataFrame:
-    """session and at most three next steps, from verdict, repeat_tokens, bloated returns and missing expectations."""
-    steps = F.array_compact(
+    """session and steps, at most STEPS next steps as struct<step, detail>, in a fixed order of urgency.
+
+    facts, of which any may be null: missing (names of expected skills that never loaded), failed_coverages (of playbooks that missed their
+    gate), judge_errors, file_reads, loads, cache_hit_rate, hash_flips, repeat_extra and post_compaction (tokens), compaction_known,
+    growth_verdict, judge_enabled. Repeats that compactions explain are called that; where nothing is found, that is the step."""
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    step = lambda name, detail: F.struct(F.lit(name).alias("step"), detail.cast("string").alias("detail"))
+    tax = n("repeat_extra") - n("post_compaction")
+    legal = (tax < REPEAT_TOKENS) & F.coalesce("compaction_known", F.lit(False))
+    repeats = F.when(legal, step("repeats_after_compaction", tax)).otherwise(step("repeats", F.col("repeat_extra")))
+    found = F.array_compact(
         F.array(
-            F.when(F.col("verdict") == "accelerating", "context grows faster each turn: compact earlier or split the task"),
-            F.when(F.col("repeat_tokens") >= 1000, "the same results enter the context again: keep them in a file"),
-            F.when(F.col("bloated") > 0, "subagents return whole transcripts: ask for summaries"),
-            F.when(F.col("missing") > 0, "expected skills never loaded: look at their descriptions"),
+            F.when(F.size(F.coalesce("missing", F.array().cast("array<string>"))) > 0, step("missing_skills", F.array_join(F.slice("missing", 1, 3), ", "))),
+            F.when(F.size(F.coalesce("failed_coverages", F.array().cast("array<double>"))) > 0, step("playbook_below_gate", F.array_join(F.transform("failed_coverages", lambda c: F.format_string("%.2f", c)), ", "))),
+            F.when(n("judge_errors") > 0, step("judgments_dropped", F.col("judge_errors"))),
+            F.when(n("file_reads") >= FILE_READS, step("skill_files_read", F.col("file_reads"))),
+            F.when(F.col("cache_hit_rate") < CACHE_SHARE, step("cache_misses", F.format_string("%.0f%%", F.col("cache_hit_rate") * 100))),
+            F.when(n("hash_flips") > 0, step("prompt_changed", F.col("hash_flips"))),
+            F.when(n("repeat_extra") >= REPEAT_TOKENS, repeats),
+            F.when(F.col("growth_verdict").startswith("accelerat"), step("growth_accelerates", F.col("growth_verdict"))),
+            F.when((n("loads") == 0) & (n("file_reads") == 0), step("no_skill_used", F.lit(""))),
+            F.when(~F.coalesce("judge_enabled", F.lit(False)), step("judge_not_configured", F.lit(""))),
         )
     )
-    return facts.select("session", F.slice(steps, 1, 3).alias("steps"))
+    nothing = F.array(step("nothing_found", F.lit("")))
+    return facts.select("session", F.slice(F.when(F.size(found) > 0, found).otherwise(nothing), 1, STEPS).alias("steps"))
