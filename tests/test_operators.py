@@ -208,6 +208,32 @@ def test_parents_to_roots(spark, case):
     assert sorted(tuple(r) for r in got.select("node", "root", "depth", "cyclic", "entry").collect()) == climbed(FORESTS[case])
 
 
+def test_preorder(spark):
+    """Rows in print order against recursion: shared children, absent ones, cycles, a cap; two sessions with nodes of the same names."""
+    rng = random.Random(7)
+    edges = [(s, rng.randrange(12), rng.randrange(14), i) for s in range(2) for i in range(16)] + [(2, i, i + 1, 0) for i in range(8)] + [(3, 0, 0, 0)]
+    nodes = [(s, n) for s in range(4) for n in range(12)]
+    below = {}
+    for s, a, b, i in sorted(edges, key=lambda e: e[3]):
+        below.setdefault((s, a), []).append(b)
+    want = []
+
+    def walk(s, n, path, above, status):
+        want.append((s, n, len(path) - 1, status))
+        if status == "node":
+            for k, b in enumerate(below.get((s, n), []), 1):
+                d = len(path)
+                walk(s, b, [*path, k], [*above, b], "absent" if b >= 12 else "cycle" if b in above else "capped" if d == 4 else "node")
+
+    roots = [(s, r, r) for s in range(4) for r in (0, 3)]
+    for s, r, _ in roots:
+        walk(s, r, [r], [r], "node")
+    frame = lambda x, c: spark.createDataFrame(x, c)
+    got = graph.preorder(frame(roots, "s long, node long, at long"), frame(edges, "s long, src long, dst long, at long"), frame(nodes, "s long, node long"), ["s"], ["at"], 4)
+    assert [tuple(r) for r in got.orderBy("s", "path").select("s", "node", "depth", "status").collect()] == want
+    assert {r[3] for r in want} == {"node", "absent", "cycle", "capped"}
+
+
 def test_rounds_grow_with_the_logarithm(spark, monkeypatch):
     rounds = []
     monkeypatch.setattr(graph, "cut", lambda df, keep=graph.cut: rounds.append(1) or keep(df))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -88,3 +89,26 @@ def _doubled(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         gone, before, left = 2 * gone, left, p.where("at is not null").count()
     ends = p.where("at is null").select("node", "root", "depth")
     return ends, p.where("at is not null") if left else None
+
+
+def preorder(roots: DataFrame, edges: DataFrame, nodes: DataFrame, keys: Sequence[str], order: Sequence[str], depth: int = 12) -> DataFrame:
+    """keys, path, node, depth, status: the rows of trees, which sorted by keys and path come in print order. roots: keys, node, and
+    ``order``; edges: keys, src, dst, and ``order`` among the edges of a node; nodes: keys, node.
+
+    path holds the places of a node and of those above it. status says why a row isn't gone on from: absent (the edge leads to no node),
+    cycle (the node is on the row's own path) or capped (it lies ``depth`` below its root); else it is node. An edge is a row for each
+    path that leads to it. There are ``depth`` rounds at most, each a join of the last level with the edges, and a checkpoint."""
+    known = nodes.select(*keys, F.col("node").alias("_dst"), F.lit(True).alias("_known")).distinct()
+    place = F.row_number().over(Window.partitionBy(*keys, "src").orderBy(*order)).cast("long")
+    numbered = cut(edges.withColumn("_place", place).select(*keys, F.col("src").alias("_src"), F.col("dst").alias("_dst"), "_place").join(known, [*keys, "_dst"], "left"))
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
+    level = cut(roots.select(*keys, F.array(first).alias("path"), "node", F.array("node").alias("_above"), F.lit(0).cast("long").alias("depth"), F.lit("node").alias("status")))
+    out = level
+    for d in range(1, depth + 1):
+        step = level.where("status = 'node'").withColumnRenamed("node", "_src").join(numbered, [*keys, "_src"])
+        status = F.when(F.col("_known").isNull(), "absent").when(F.array_contains("_above", F.col("_dst")), "cycle").otherwise("capped" if d == depth else "node")
+        level = cut(step.select(*keys, F.concat("path", F.array("_place")).alias("path"), F.col("_dst").alias("node"), F.concat("_above", F.array("_dst")).alias("_above"), F.lit(d).cast("long").alias("depth"), status.alias("status")))
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    return out.drop("_above")

@@ -221,6 +221,26 @@ def cycle_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.parents_to_roots(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), F.when(b >= 0, F.floor(b)).cast("long").alias("parent")))
 
 
+@R.query(
+    """WITH RECURSIVE c AS (SELECT c_custkey AS node, c_nationkey AS k, CASE WHEN c_acctbal >= 0 THEN CAST(floor(c_acctbal) AS BIGINT) END AS up FROM customer),
+n AS (SELECT k, node FROM c), e AS (SELECT k, up AS src, node AS dst, row_number() OVER (PARTITION BY k, up ORDER BY node) AS place FROM c WHERE up IS NOT NULL),
+r AS (SELECT k, node, row_number() OVER (PARTITION BY k ORDER BY node) AS place FROM c a WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.k = a.k AND n.node = a.up)),
+t AS (SELECT k, [place] AS path, node, [node] AS above, 0 AS depth, 'node' AS status FROM r
+      UNION ALL SELECT t.k, list_append(path, e.place), e.dst, list_append(above, e.dst), depth + 1, CASE WHEN list_contains(above, e.dst) THEN 'cycle' WHEN depth + 1 = 3 THEN 'capped' ELSE 'node' END
+      FROM t JOIN e ON e.k = t.k AND e.src = t.node WHERE status = 'node' AND depth < 3)
+SELECT CAST(k AS BIGINT) AS k, array_to_string(path, '.') AS path, node, CAST(depth AS BIGINT) AS depth, status FROM t"""
+)
+def tree_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of the customers of a nation, each below the one that its balance names, in print order and three deep."""
+    b = F.col("c_acctbal")
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("k"), F.col("c_custkey").alias("node"), F.when(b >= 0, F.floor(b)).cast("long").alias("up"))
+    nodes = c.select("k", "node")
+    roots = c.join(nodes.withColumnRenamed("node", "up"), ["k", "up"], "left_anti").select("k", "node", F.col("node").alias("at"))
+    edges = c.where("up is not null").select("k", F.col("up").alias("src"), F.col("node").alias("dst"), F.col("node").alias("at"))
+    found = graph.preorder(roots, edges, nodes, ["k"], ["at"], 3)
+    return found.withColumn("path", F.array_join(F.col("path").cast("array<string>"), "."))
+
+
 @R.query(
     """WITH RECURSIVE n AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE role <> 'user'),
 t AS (SELECT conv_id, turn, turn AS root FROM n WHERE NOT EXISTS (SELECT 1 FROM n p WHERE p.conv_id = n.conv_id AND p.turn = n.turn - 1)
