@@ -120,27 +120,35 @@ def _body(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, _FRONT, ""), r"(?U)\A\s+|\s+\z", "")
 
 
-def injected(entries: DataFrame, files: DataFrame | None = None) -> DataFrame:
+def injected(entries: DataFrame, files: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
     """Catalog rows from a column ``json``: an object of name to {description, intent, body_path}, or one such object below ``skills``.
-    Bad entries are left out, as are those with neither description nor body.
+    Bad entries are left out, as are those with neither description nor body. keys: columns of ``entries`` that rows keep.
 
     files: path, text of the bodies that entries give by path. A path that none of them has leaves the entry its description alone.
     """
+    keys = keys or []
     v = F.try_parse_json("json")
     of = F.coalesce(F.when(F.schema_of_variant(F.try_variant_get(v, "$.skills", "variant")).startswith("OBJECT"), F.try_variant_get(v, "$.skills", "variant")), v)
-    pairs = entries.where(F.schema_of_variant(v).startswith("OBJECT")).select(F.explode(F.map_entries(F.from_json(F.to_json(of), "map<string,string>"))).alias("e"))
+    pairs = entries.where(F.schema_of_variant(v).startswith("OBJECT")).select(*keys, F.explode(F.map_entries(F.from_json(F.to_json(of), "map<string,string>"))).alias("e"))
     field = lambda f: F.get_json_object("e.value", f"$.{f}")
-    rows = pairs.select(F.col("e.key").alias("name"), F.trim(F.coalesce(field("description"), F.lit(""))).alias("description"), F.nullif(F.trim(field("intent")), F.lit("")).alias("intent"), F.nullif(field("body_path"), F.lit("")).alias("path"))
+    rows = pairs.select(*keys, F.col("e.key").alias("name"), F.trim(F.coalesce(field("description"), F.lit(""))).alias("description"), F.nullif(F.trim(field("intent")), F.lit("")).alias("intent"), F.nullif(field("body_path"), F.lit("")).alias("path"))
     if files is None:
         rows = rows.withColumn("text", F.lit(None).cast("string"))
     else:
         rows = rows.join(files.select("path", "text").dropDuplicates(["path"]), "path", "left")
     rows = rows.withColumn("body", F.coalesce(_body(F.col("text")), F.lit(""))).where("description <> '' or body <> ''")
-    return rows.select("name", "description", F.regexp_replace(F.concat("description", F.lit("\n"), F.substring("body", 1, TRIGGER_CHARS)), r"(?U)\A\s+|\s+\z", "").alias("trigger_excerpt"), "body", F.lit(False).alias("disable_model_invocation"),
+    return rows.select(*keys, "name", "description", F.regexp_replace(F.concat("description", F.lit("\n"), F.substring("body", 1, TRIGGER_CHARS)), r"(?U)\A\s+|\s+\z", "").alias("trigger_excerpt"), "body", F.lit(False).alias("disable_model_invocation"),
                        (F.length("description") < LEAST_CHARS).alias("description_parse_failed"), F.array().cast("array<string>").alias("requires"), F.coalesce("path", F.lit("<injected>")).alias("path"),
                        "text", F.lit("injected").alias("source"), "intent")
 
 
+def fingerprint(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and fingerprint: what entries from injected() amount to, whatever the order of their keys, their form or their layout was.
+    Sets without any usable entry have none."""
+    one = F.to_json(F.struct("name", "description", F.coalesce("intent", F.lit("")).alias("intent"), "path"))
+    return rows.groupBy(*keys).agg(F.substring(F.sha1(F.array_join(F.array_sort(F.collect_list(one)), "\n")), 1, 16).alias("fingerprint"))
+
+
 def merge(catalog: DataFrame, extra: DataFrame) -> DataFrame:
     """An injected entry replaces the catalog's of the same name, whatever its case; others are added."""
     both = catalog.withColumn("_rank", F.lit(1)).unionByName(extra.withColumn("_rank", F.lit(0)), allowMissingColumns=True)

@@ -433,12 +433,17 @@ def load(spark: SparkSession, paths: str | list[str], recursive: bool = False) -
 
     One scan, without a shuffle: each line is read as its file's format says.
     """
-    lines = read_lines(spark, paths, recursive).withColumn("format", F.coalesce("format", F.lit("rich")))
+    return with_sessions(events_of(read_lines(spark, paths, recursive)))
+
+
+def events_of(lines: DataFrame) -> DataFrame:
+    """Events of lines as read_lines() gives them."""
+    lines = lines.withColumn("format", F.coalesce("format", F.lit("rich")))
     rich, rollout = F.col("format").isin("rich", "degraded"), F.col("format") == "rollout"
     (rich_e, rich_ts, ref), (rollout_e, rollout_ts), (wire_e, wire_ts) = _rich(), _rollout(), _wire()
     pick = lambda x, y, z: F.when(rich, x).when(rollout, y).otherwise(z)
     read = _with_texts(lines, rich).withColumns({"events": pick(rich_e, rollout_e, wire_e), "ts": pick(rich_ts, rollout_ts, wire_ts), "ref": F.when(rich, ref)})
-    return with_sessions(_spread(read, "format"))
+    return _spread(read, "format")
 
 
 def with_sessions(events: DataFrame) -> DataFrame:
