@@ -48,6 +48,8 @@ def test_urls(spark):
     got = table(url_filter.filter_urls(pages, rules), "page_id", "host", "path", "rule", "verdict")
     assert got == sorted([(i, *judged(u)) for i, u in enumerate(urls)] + [(None, *judged("http://a.com/fr/"))], key=repr)
     assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
+    named = pages.withColumns({c: F.lit("x") for c in ("host", "path", "rule", "verdict", "id", "start")})
+    assert table(url_filter.filter_urls(named, rules), "page_id", "host", "path", "rule", "verdict") == got
     assert url_filter.filter_urls(pages, rules.limit(0)).where("rule is not null or verdict <> 'allow'").count() == 0
 
 

@@ -84,3 +84,19 @@ def test_empty_tables(spark, tmp_path):
     for name, schema in [("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")]:
         spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_empty_side_tables_and_a_very_long_text(spark, tmp_path):
+    """Without labels every document has one score, without items none is contaminated; a text of 30,000 words goes through whole."""
+    rng = random.Random(13)
+    rows = [(i, prose(rng, 60), "en", "s", 1) for i in range(12)] + [(50, prose(rng, 30_000, 5000), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for name, schema in [("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")]:
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.classify(spark, docs, str(tmp_path)).count() in (0, len(rows))
+    for stage in (corpus_pipeline.deduplicate, corpus_pipeline.decontaminate_benchmark, corpus_pipeline.mask_secrets):
+        assert sorted(tuple(r)[:2] for r in stage(spark, docs, str(tmp_path)).collect()) == sorted(r[:2] for r in rows)
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    pieces = sorted((p.start, p.ids) for p in corpus_pipeline.pack(spark, docs, str(tmp_path)).where("doc_id = 50").collect())
+    assert [x for _, raw in pieces for x in struct.unpack(f"<{len(raw) // 4}I", raw)] == [*tokenizer.encode(rows[-1][1], add_special_tokens=False).ids, 2]
