@@ -250,6 +250,14 @@ def test_mentions(spark):
     assert rows(got, "i", "n") == sorted(((i, n) for i, t in texts for n in names if t and n and n in t), key=repr)
 
 
+def test_mentions_within_sessions(spark):
+    rng = random.Random(8)
+    texts = [(s, i, "".join(rng.choice("abé ") for _ in range(rng.randrange(30)))) for s in range(3) for i in range(20)]
+    names = [(s, "".join(rng.choice("abé") for _ in range(rng.randrange(1, 6)))) for s in range(4) for _ in range(12)]
+    got = mentions.mentions(spark.createDataFrame(texts, "s long, i long, t string"), spark.createDataFrame(names, "s long, n string"), "i", "t", "n", S)
+    assert rows(got, "s", "i", "n") == sorted({(s, i, n) for s, i, t in texts for q, n in names if s == q and n in t}, key=repr)
+
+
 def test_identities(spark):
     ids = spark.createDataFrame([("a", False), ("x:a", True), ("b", True), ("x:b", True), ("c", False), ("x:c", True), ("y:c", True), ("d", False)], "id string, listed boolean")
     got = dict(rows(pairing.merge_by_suffix(ids), "raw_id", "id"))

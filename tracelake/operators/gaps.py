@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.text import casefold
+from tracelake.operators.mentions import mentions
 
 
 def counts(observations: DataFrame, keys: Sequence[str], skill: str = "skill_id", kind: str = "kind") -> DataFrame:
@@ -36,13 +37,14 @@ def in_catalog(counted: DataFrame, names: DataFrame, catalog: DataFrame, keys: S
 
 def candidates(matched: DataFrame, names: DataFrame, said: DataFrame, keys: Sequence[str], skill: str = "skill_id", text: str = "text") -> DataFrame:
     """keys, skill, catalog_name and candidate of skills that were listed, never loaded and never executed. A candidate is in the
-    catalog, and one of its names occurs in what a person said; the others were filtered out before any judge. A join on the keys:
-    as large as the names that are open times the texts of their session."""
+    catalog, and one of its names occurs in what a person said; the others were filtered out before any judge. Names meet a session's
+    texts by their first characters, and only what meets is looked for in the whole text."""
     open_ = matched.where("listed > 0 and loaded = 0 and executed = 0")
-    asked = open_.where("catalog_name is not null").select(*keys, skill).join(names, [*keys, skill])
-    lines = said.select(*keys, casefold(F.col(text)).alias("_text")).where("_text <> ''")
-    met = asked.join(lines, list(keys)).where(F.contains("_text", F.col("key"))).select(*keys, skill, F.lit(True).alias("candidate")).distinct()
-    return open_.join(met, [*keys, skill], "left").select(*keys, skill, "catalog_name", F.coalesce("candidate", F.lit(False)).alias("candidate"))
+    asked = open_.where("catalog_name is not null").select(*keys, skill).join(names, [*keys, skill]).select(*keys, skill, "key")
+    lines = said.select(*keys, casefold(F.col(text)).alias("_text")).where("_text <> ''").withColumn("_id", F.sha1("_text")).dropDuplicates([*keys, "_id"])
+    met = mentions(lines, asked, "_id", "_text", "key", keys).select(*keys, "key").distinct()
+    found = asked.join(met, [*keys, "key"]).select(*keys, skill, F.lit(True).alias("candidate")).distinct()
+    return open_.join(found, [*keys, skill], "left").select(*keys, skill, "catalog_name", F.coalesce("candidate", F.lit(False)).alias("candidate"))
 
 
 def missed_triggers(matched: DataFrame, judgments: DataFrame, keys: Sequence[str], skill: str = "skill_id") -> DataFrame:
