@@ -224,6 +224,20 @@ def test_child_events(spark):
     assert [(r.seq, r.type, r.text, r.usage and r.usage.input_other) for r in got] == [(1, "ContentPart", "hi", None), (1, "UsageRecord", None, 5), (2, "RecordDropped", None, None), (2, "UsageRecord", None, 1)]
 
 
+def test_notes(spark, audit, rich):
+    from tracelake.model import coverage
+
+    chats = spark.createDataFrame([("s1", True, None, 3, 2, 40, 1, 1), ("s2", False, "no database", 0, 0, 0, 0, 0)], "session string, available boolean, reason string, children long, synthesized long, rows long, decrypt_failures long, skipped long")
+    assert rows(coverage.notes(audit, rich, chats), "session", "place", "note", "subject") == [
+        ("s1", 1, "no_system_channel", ""),
+        ("s1", 2, "no_prefix_hashes", ""),
+        ("s1", 3, "ungroupable", "sidechain:u11"),
+        ("s1", 4, "child_chats", "children=3 synthesized=2 rows=40 decrypt_failures=1 skipped=1"),
+        ("s2", 1, "child_chats_unavailable", "no database"),
+    ]
+    assert coverage.notes(audit, rich).count() == 3
+
+
 def test_coverage(audit):
     from tracelake.model import coverage
 

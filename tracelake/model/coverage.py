@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.model.session import Audit
@@ -35,3 +35,25 @@ def sessions(a: Audit) -> DataFrame:
 
 def unknown_channels(a: Audit) -> DataFrame:
     return a.items.where("kind = 'unknown'").groupBy("session", "channel").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+
+
+# What the rich format is known not to hold; of other formats nothing is claimed.
+RICH_LACKS = ("no_system_channel", "no_prefix_hashes")
+
+
+def notes(a: Audit, events: DataFrame, chats: DataFrame | None = None) -> DataFrame:
+    """session, place, note, subject: what a reader of an audit should know, in order. Notes on the format come first, then agents whose
+    requests aren't known (ungroupable: their records are in no call), then what became of child chats.
+
+    chats: session, available, reason, children, synthesized, rows, decrypt_failures, skipped, where an editor's database was asked for."""
+    rich = events.where("format = 'rich'").select("session").distinct()
+    lacks = F.posexplode(F.array(*[F.lit(x) for x in RICH_LACKS])).alias("_k", "note")
+    rows = rich.select("session", lacks).select("session", F.struct(F.lit(0).alias("group"), F.col("_k").cast("string").alias("of")).alias("_at"), "note", F.lit("").alias("subject"))
+    third = a.agents.where("tier = 3").select("session", F.struct(F.lit(1).alias("group"), F.col("agent").alias("of")).alias("_at"), F.lit("ungroupable").alias("note"), F.col("agent").alias("subject"))
+    rows = rows.unionByName(third)
+    if chats is not None:
+        counts = F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in ("children", "synthesized", "rows", "decrypt_failures", "skipped")])
+        told = F.when(F.col("available"), counts).otherwise(F.coalesce("reason", F.lit("")))
+        rows = rows.unionByName(chats.select("session", F.struct(F.lit(2).alias("group"), F.lit("").alias("of")).alias("_at"), F.when(F.col("available"), "child_chats").otherwise("child_chats_unavailable").alias("note"), told.alias("subject")))
+    place = F.row_number().over(Window.partitionBy("session").orderBy("_at")).cast("long")
+    return rows.withColumn("place", place).select("session", "place", "note", "subject")
