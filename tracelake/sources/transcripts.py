@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -192,9 +193,21 @@ def detect_format(lines: DataFrame) -> DataFrame:
     return first_decisive(lines.withColumn("format", format_said(F.col("v"))), "source", "seq", "format")
 
 
+_blank: dict = {}
+
+
+def _nulls() -> dict[str, Column]:
+    """A null column for each of FIELDS. They are made once for the gateway to Spark: events name hundreds of them, and each costs calls."""
+    gateway = SparkContext._gateway
+    if _blank.get("gateway") is not gateway or "columns" not in _blank:
+        _blank.update(gateway=gateway, columns={n: F.lit(None).cast(t).alias(n) for n, t in FIELDS.items()})
+    return _blank["columns"]
+
+
 def _event(kind: Column | str, **fields: Column) -> Column:
     named = [F.lit(kind).alias("type") if isinstance(kind, str) else kind.alias("type")]
-    return F.struct(*named, *[(fields.get(n, F.lit(None))).cast(t).alias(n) for n, t in FIELDS.items()])
+    blank = _nulls()
+    return F.struct(*named, *[fields[n].cast(t).alias(n) if n in fields else blank[n] for n, t in FIELDS.items()])
 
 
 def _iso(s: Column) -> Column:
