@@ -1,5 +1,6 @@
 """What judges read, which candidates they are asked about, co-loads with their agents, next steps: against plain loops."""
 
+import itertools
 import random
 from collections import defaultdict
 
@@ -57,6 +58,26 @@ def test_co_loads_with_their_agents(spark):
     assert rows(got, "s", "a", "b", "weight", "groups", "place") == sorted(want, key=repr)
 
 
+def co_loaded(pairs):
+    """Groups by session and pair of members, by plain loops."""
+    held, edges = defaultdict(set), defaultdict(list)
+    for s, g, m in pairs:
+        held[s, g].add(m)
+    for (s, g), ms in sorted(held.items()):
+        for a, b in itertools.combinations(sorted(ms), 2):
+            edges[s, a, b].append(g)
+    return edges
+
+
+def test_co_load_edges_in_tasks_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(pairing, "ROWS", 100)
+    rng = random.Random(8)
+    pairs = [("s", g, rng.randrange(40)) for g in range(600) for _ in range(rng.randrange(6))] + [("s", 999, m) for m in range(300)]
+    got = pairing.co_load_edges(spark.createDataFrame(pairs, "s string, g long, m long"), "g", "m")
+    assert got.rdd.getNumPartitions() == -(-len(pairs) // 100)
+    assert rows(got, "a", "b", "weight") == sorted(((a, b, len(g)) for (_, a, b), g in co_loaded(pairs).items()), key=repr)
+
+
 def test_next_steps(spark):
     schema = "session string, missing array<string>, failed_coverages array<double>, judge_errors long, file_reads long, loads long, cache_hit_rate double, hash_flips long, repeat_extra long, post_compaction long, compaction_known boolean, growth_verdict string, judge_enabled boolean"
     quiet = {"loads": 1, "judge_enabled": True}

@@ -50,11 +50,32 @@ def match_declared(declared: DataFrame, observed: DataFrame, name: str = "id") -
     return j.select("id", F.coalesce("_exact", F.when(F.col("_twins") == 1, F.col("_twin"))).alias("observed_id"), how.alias("how"))
 
 
-def co_load_edges(pairs: DataFrame, group: str, member: str) -> DataFrame:
-    """a < b, weight: in how many groups two members meet. A self join within groups, of distinct members."""
-    p = pairs.select(F.col(group).alias("_g"), F.col(member).alias("_m")).where("_g is not null and _m is not null").distinct()
-    both = p.alias("x").join(p.alias("y"), (F.col("x._g") == F.col("y._g")) & (F.col("x._m") < F.col("y._m")))
-    return both.groupBy(F.col("x._m").alias("a"), F.col("y._m").alias("b")).agg(F.count("*").alias("weight"))
+#: Pairs of a group and a member to a task, so that what a task holds doesn't grow with the input.
+ROWS = 1 << 18
+#: Classes of groups to a task: members that meet in several of its groups leave it once for each class.
+CLASSES = 8
+
+
+def tasks(rows: DataFrame) -> int:
+    """How many tasks take ROWS rows each. Counts them, which for a table needs no more than its footers."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS))
+
+
+def _met(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, _g, a < b: any two members that a group holds. Groups are put together where they lie, if dealt by ``keys``."""
+    held = pairs.groupBy(*keys, "_g").agg(F.array_sort(F.collect_set("_m")).alias("_ms"))
+    each = held.select(*keys, "_g", "_ms", F.posexplode("_ms").alias("_at", "a"))
+    return each.select(*keys, "_g", "a", F.explode(F.slice("_ms", F.col("_at") + 2, F.size("_ms"))).alias("b"))
+
+
+def co_load_edges(pairs: DataFrame, group: str, member: str, parts: int | None = None) -> DataFrame:
+    """a < b, weight: in how many groups two distinct members meet. Groups are dealt once; their pairs are counted before and after a
+    second shuffle. ``parts`` tasks take part in each, by default as many as the rows need."""
+    p = pairs.select(F.col(group).alias("_g"), F.col(member).alias("_m")).where("_g is not null and _m is not null")
+    n = parts or tasks(p)
+    p = p.withColumn("_class", F.pmod(F.xxhash64("_g"), F.lit(CLASSES * n))).repartition(n, "_class")
+    some = _met(p, ["_class"]).groupBy("_class", "a", "b").agg(F.count("*").alias("_n")).drop("_class")
+    return some.repartition(n, "a", "b").groupBy("a", "b").agg(F.sum("_n").alias("weight"))
 
 
 def co_load_groups(pairs: DataFrame, keys: Sequence[str], group: str, member: str) -> DataFrame:

@@ -82,7 +82,8 @@ w AS (SELECT x.m AS a, y.m AS b, count(*) AS weight FROM p x JOIN p y ON x.g = y
 
 
 def _co_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairing.co_load_edges(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+    lines = table(spark, sf_dir, "lineitem")
+    return pairing.co_load_edges(lines, "l_orderkey", "l_partkey", pairing.tasks(lines))
 
 
 @R.query(_CO + "SELECT * FROM w")
