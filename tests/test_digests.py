@@ -78,6 +78,20 @@ def test_co_load_edges_in_tasks_by_rows(spark, monkeypatch):
     assert rows(got, "a", "b", "weight") == sorted(((a, b, len(g)) for (_, a, b), g in co_loaded(pairs).items()), key=repr)
 
 
+def test_co_load_groups_in_tasks_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(pairing, "ROWS", 100)
+    rng = random.Random(9)
+    pairs = [(g % 97, g, rng.randrange(9)) for g in range(600) for _ in range(rng.randrange(6))]
+    frame = spark.createDataFrame(pairs, "s long, g long, m long")
+    got = pairing.co_load_groups(frame, ["s"], "g", "m")
+    assert got.rdd.getNumPartitions() == -(-len(pairs) // 100)
+    want = sorted(((s, a, b, g) for (s, a, b), g in co_loaded(pairs).items()), key=repr)
+    assert rows(got, "s", "a", "b", "groups") == want
+    alone = pairing.co_load_groups(frame, [], "g", "m")
+    every = co_loaded([(0, g, m) for _, g, m in pairs])
+    assert rows(alone, "a", "b", "groups") == sorted(((a, b, g) for (_, a, b), g in every.items()), key=repr)
+
+
 def test_next_steps(spark):
     schema = "session string, missing array<string>, failed_coverages array<double>, judge_errors long, file_reads long, loads long, cache_hit_rate double, hash_flips long, repeat_extra long, post_compaction long, compaction_known boolean, growth_verdict string, judge_enabled boolean"
     quiet = {"loads": 1, "judge_enabled": True}

@@ -78,12 +78,13 @@ def co_load_edges(pairs: DataFrame, group: str, member: str, parts: int | None =
     return some.repartition(n, "a", "b").groupBy("a", "b").agg(F.sum("_n").alias("weight"))
 
 
-def co_load_groups(pairs: DataFrame, keys: Sequence[str], group: str, member: str) -> DataFrame:
+def co_load_groups(pairs: DataFrame, keys: Sequence[str], group: str, member: str, parts: int | None = None) -> DataFrame:
     """keys, a < b, weight, groups (sorted) and place (from 1, the heaviest edge first, then by a and b): which groups hold two members
-    together, within each of ``keys``. An edge lists the groups of one session, say, so its list is bounded by that."""
-    p = pairs.select(*keys, F.col(group).alias("_g"), F.col(member).alias("_m")).dropna().distinct()
-    x, y = p.withColumnRenamed("_m", "a"), p.withColumnRenamed("_m", "b")
-    both = x.join(y, [*keys, "_g"]).where("a < b").groupBy(*keys, "a", "b").agg(F.array_sort(F.collect_list("_g")).alias("groups"))
+    together, within each of ``keys``. An edge lists the groups of one session, say, so its list is bounded by that. One shuffle, to
+    ``parts`` tasks, by default as many as the rows need."""
+    p = pairs.select(*keys, F.col(group).alias("_g"), F.col(member).alias("_m")).dropna()
+    p = p.repartition(parts or tasks(p), *(keys or ["_g"]))
+    both = _met(p, keys).groupBy(*keys, "a", "b").agg(F.array_sort(F.collect_list("_g")).alias("groups"))
     both = both.withColumn("weight", F.size("groups").cast("long"))
     heaviest = Window.partitionBy(*keys).orderBy(F.desc("weight"), "a", "b")
     return both.withColumn("place", F.row_number().over(heaviest).cast("long")).select(*keys, "a", "b", "weight", "groups", "place")

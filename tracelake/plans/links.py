@@ -99,9 +99,12 @@ SELECT *, row_number() OVER (PARTITION BY session ORDER BY weight DESC, a, b) AS
 )
 def co_load_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that a customer's orders hold together, with the orders, the most frequent pair first."""
+    lines = table(spark, sf_dir, "lineitem")
+    n = pairing.tasks(lines)
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("session"))
-    pairs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(o, "l_orderkey")
-    found = pairing.co_load_groups(pairs, ["session"], "l_orderkey", "l_partkey")
+    dealt = lambda d: d.repartition(n, "l_orderkey")
+    pairs = dealt(lines.select("l_orderkey", "l_partkey")).join(dealt(o), "l_orderkey")
+    found = pairing.co_load_groups(pairs, ["session"], "l_orderkey", "l_partkey", n)
     return found.withColumn("groups", F.array_join(F.col("groups").cast("array<string>"), ","))
 
 
