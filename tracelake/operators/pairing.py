@@ -92,11 +92,12 @@ def co_load_groups(pairs: DataFrame, keys: Sequence[str], group: str, member: st
 
 def diff_edges(declared: DataFrame, edges: DataFrame, least: int = 2) -> DataFrame:
     """a, b, verdict: over_declared (never met), implicit (met ``least`` times, undeclared) or consistent."""
-    d = declared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    over = d.join(edges, ["a", "b"], "left_anti").withColumn("verdict", F.lit("over_declared"))
-    same = d.join(edges.select("a", "b"), ["a", "b"]).withColumn("verdict", F.lit("consistent"))
-    new = edges.where(F.col("weight") >= least).select("a", "b").join(d, ["a", "b"], "left_anti").withColumn("verdict", F.lit("implicit"))
-    return over.unionByName(same).unionByName(new)
+    d = declared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("_d", F.lit(True))
+    # one join of all edges: each kind by a join of its own would make the edges anew
+    both = d.join(edges.select("a", "b", "weight", F.lit(True).alias("_e")), ["a", "b"], "full")
+    known, met = F.col("_d").isNotNull(), F.col("_e").isNotNull()
+    verdict = F.when(known & met, "consistent").when(known, "over_declared").when(F.col("weight") >= least, "implicit")
+    return both.select("a", "b", verdict.alias("verdict")).where("verdict is not null")
 
 
 def gaps(listed: DataFrame, loaded: DataFrame, executed: DataFrame, name: str) -> DataFrame:
@@ -142,11 +143,17 @@ def rename_edges(edges: DataFrame, resolved: DataFrame) -> DataFrame:
     return j.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), *rest)
 
 
-def library_report(declared: DataFrame, pairs: DataFrame, group: str, member: str, least: int = 2, names: DataFrame | None = None) -> dict[str, DataFrame]:
+def library_report(declared: DataFrame, pairs: DataFrame, group: str, member: str, least: int = 2, names: DataFrame | None = None, parts: int | None = None) -> dict[str, DataFrame]:
     """edges (what groups loaded together), resolved (observed ids and the declared names they belong to), and diff of declared
     edges (a, b) with the observed ones under their declared names. Declared names are ``names`` (id), else those of the edges."""
-    edges = co_load_edges(pairs, group, member)
-    names = declared.select(F.explode(F.array("a", "b")).alias("id")).distinct() if names is None else names
-    resolved = resolve_observed(names, pairs.select(F.col(member).alias("id")).where("id is not null"))
-    joined = rename_edges(edges, resolved).groupBy("a", "b").agg(F.max("weight").alias("weight"))
-    return {"edges": edges, "resolved": resolved, "diff": diff_edges(declared.where("a <> b"), joined, least)}
+    ends = declared.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    resolved = resolve_observed(ends if names is None else names, pairs.select(F.col(member).alias("id")).where("id is not null"))
+    named = resolved.select("observed_id", F.coalesce("id", "observed_id").alias("name")).join(ends.select(F.col("id").alias("name"), F.lit(True).alias("end")), "name", "left")
+    # members bring along another name and whether a declared edge ends there, so that of what met once little is shuffled again
+    label = F.struct("observed_id", F.nullif("name", "observed_id").alias("name"), "end").alias("_label")
+    labelled = pairs.select(F.col(group).alias("_group"), F.col(member).alias("observed_id")).join(named, "observed_id").select("_group", label)
+    some = co_load_edges(labelled, "_group", "_label", parts)
+    some = some.where((F.col("weight") >= least) | (F.col("a.end") & F.col("b.end")))
+    x, y = (F.coalesce(f"{c}.name", f"{c}.observed_id") for c in ("a", "b"))
+    joined = some.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), "weight").groupBy("a", "b").agg(F.max("weight").alias("weight"))
+    return {"edges": co_load_edges(pairs, group, member, parts), "resolved": resolved, "diff": diff_edges(declared.where("a <> b"), joined, least)}

@@ -197,10 +197,11 @@ jn AS (SELECT least(x, y) AS a, greatest(x, y) AS b, max(weight) AS weight FROM
 def _library(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     part = table(spark, sf_dir, "part").withColumn("nm", F.concat_ws("-", "p_name", F.col("p_size").cast("string")))
     full = F.when(F.col("l_quantity") > 48, F.col("nm")).otherwise(F.concat_ws(":", "p_brand", "nm"))
-    pairs = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", full.alias("skill"))
+    lines = table(spark, sf_dir, "lineitem")
+    pairs = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", full.alias("skill"))
     following = F.lead("nm").over(Window.partitionBy("p_type", "p_name").orderBy("p_partkey"))
     declared = part.select(F.col("nm").alias("a"), following.alias("b")).where("b is not null and a <> b").distinct()
-    return pairing.library_report(declared, pairs, "l_orderkey", "skill")
+    return pairing.library_report(declared, pairs, "l_orderkey", "skill", parts=pairing.tasks(lines))
 
 
 @R.query(_LIBRARY + "SELECT * FROM rs")
