@@ -252,6 +252,19 @@ def test_substrings_at_all_offsets(spark, seed):
     assert [r for r in table(got, "doc_id", "n_words", "n_removed", "kept_sha256") if ids[r[0]] == 1] == once
 
 
+def test_details_of_windows_are_small(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(substring_dedup, "cut", lambda d: kept.append(c := d.localCheckpoint()) or c)
+    rng = random.Random(7)
+    passages = [prose(rng, 200, 5000) for _ in range(150)]
+    rows = [(rng.randrange(1 << 40), " ".join([prose(rng, 20, 5000), passages[k // 2], prose(rng, 20, 5000)]), "en", "s", 1) for k in range(300)]
+    got = substring_dedup.remove_repeats(documents(spark, rows).repartition(2)).withColumn("kept_sha256", F.sha2("kept", 256))
+    assert table(got, "doc_id", "n_words", "n_removed", "kept_sha256") == without_repeats(rows)
+    size = {c: sum(len(r[0] or b"") for r in kept[1].select(c).collect()) for c, kind in kept[1].dtypes if kind == "binary"}
+    entries = 300 * 151
+    assert sum(n for c, n in size.items() if c not in ("codes", "extras", "least")) < 6 * entries
+
+
 # 5 ------------------------------------------------------------------------------------------------------------------------
 def held(i, mod, of):
     return i is not None and zlib.crc32(str(i).encode()) % mod == of

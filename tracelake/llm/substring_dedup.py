@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import cut, shuffle_width, small_batches
+from tracelake.llm.quality_classifier import _planed, _unplaned
 from tracelake.llm.wordcodes import U, chunks, rolling
 
 WINDOW = 50
@@ -164,20 +165,21 @@ def _candidates(words: np.ndarray, keys: np.ndarray, buckets: int) -> np.ndarray
     return np.flatnonzero(np.cumsum(change)[: len(words) - WINDOW + 1] > 0)
 
 
-_WINDOWS = "piece long, bucket int, codes binary, extras binary, least binary, sizes binary, docs binary, starts binary, texts binary"
+_WINDOWS = "piece long, bucket int, codes binary, extras binary, least binary, sizes binary, docs binary, starts binary, ids binary, texts binary"
 
 
 def _extended(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Step 2, map side: a row for each piece and bucket: distinct windows (codes, the least document, how many there are), then
-    documents, starts and text hashes of all of them, window by window."""
+    """Step 2, map side: a row for each piece, of its documents in order (ids and text hashes), and a row for each piece and bucket:
+    distinct windows (codes, the least document, how many there are), then documents, by their places in that order, and starts of all
+    of them, window by window."""
     piece = TaskContext.get().partitionId() << 40
     names = [c.split()[0] for c in _WINDOWS.split(", ")]
-    kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 7)
+    kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 8)
     for batch in batches:
         ids, texts = batch.column("id").to_numpy(zero_copy_only=False), batch.column("hash").to_numpy(zero_copy_only=False)
         keys = batch.column("keys")
         for chunk in chunks(batch.column("text")):
-            codes, extras, starts, who, which = [], [], [], [], []
+            codes, extras, starts, own_rows = [], [], [], []
             for k in range(chunk.hi - chunk.lo):
                 row = chunk.lo + k
                 at = _candidates(chunk.of(k), keys[row].values.to_numpy(zero_copy_only=False).astype(U), buckets)
@@ -185,21 +187,23 @@ def _extended(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
                     codes.append(rolling(chunk.of(k), WINDOW, 7)[at])
                     extras.append((rolling(chunk.of(k), WINDOW, 11)[at] >> U(32)).astype("<u4"))
                     starts.append(at)
-                    who.append(np.full(len(at), ids[row]))
-                    which.append(np.full(len(at), texts[row]))
+                    own_rows.append(row)
             if not codes:
                 continue
-            code, extra, start, doc, text = (np.concatenate(x) for x in (codes, extras, starts, who, which))
+            ranked = np.lexsort((texts[own_rows], ids[own_rows]))
+            who, which = ids[own_rows][ranked], texts[own_rows][ranked]
+            doc = np.repeat(np.argsort(ranked), [len(at) for at in starts])  # a smaller place is no larger an id
+            code, extra, start = (np.concatenate(x) for x in (codes, extras, starts))
             order = np.lexsort((start, doc, extra, code))  # buckets are ranges of codes
-            code, extra, start, doc, text = code[order], extra[order], start[order], doc[order], text[order]
+            code, extra, start, doc = code[order], extra[order], start[order], doc[order]
             first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (extra[1:] != extra[:-1])]))
             size = np.diff([*first, len(code)])
             _, runs = _by_bucket(_bucket(code[first], buckets))
-            rows = []
+            rows = [(piece, -1, *[None] * 6, _squeezed(who), which.astype("<i8").tobytes())]
             for b, x, y in runs:
                 own = slice(first[x], first[y - 1] + size[y - 1])
                 f = first[x:y]
-                rows.append((piece, b, code[f].tobytes(), extra[f].tobytes(), _squeezed(doc[f]), _squeezed(size[x:y]), _squeezed(doc[own]), _squeezed(start[own]), _squeezed(text[own])))
+                rows.append((piece, b, code[f].tobytes(), extra[f].tobytes(), _squeezed(who[doc[f]]), _planed(size[x:y]), _planed(doc[own]), _planed(start[own]), None, None))
             piece += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
@@ -226,24 +230,24 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3: id, text hash and starts of repeated windows: a row for each document of a piece. A piece's rows come together,
-    by bucket: its windows, then what was found for them, if anything."""
-    piece, waiting, doc, text, start = None, None, [], [], []
+    """Step 3: id, text hash and starts of repeated windows: a row for each document of a piece. A piece's rows come together: its
+    documents, then by bucket its windows, then what was found for them, if anything."""
+    piece, who, which, waiting, doc, start = None, None, None, None, [], []
 
     def settle(places: bytes | None = None, smaller: bytes | None = None) -> None:
-        least, sizes, docs, texts, starts = map(_spread, waiting)
+        sizes, docs, starts = map(_unplaned, waiting)
+        least = who[docs[np.cumsum(sizes) - sizes]]  # a window's documents are in order
         if places is not None:
-            least = least.copy()
             least[_spread(places)] = _spread(smaller)
-        hit = docs > np.repeat(least, sizes)
+        hit = who[docs] > np.repeat(least, sizes)
         doc.append(docs[hit])
-        text.append(texts[hit])
         start.append(starts[hit])
 
     def emit() -> Iterator[pa.RecordBatch]:
-        d, t, s = np.concatenate(doc), np.concatenate(text), np.concatenate(start)
-        if not len(d):
+        at, s = np.concatenate(doc), np.concatenate(start)
+        if not len(at):
             return
+        d, t = who[at], which[at]
         order = np.lexsort((s, t, d))
         d, t, s = d[order], t[order], s[order].astype("<i4")
         cuts = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])]))
@@ -251,19 +255,22 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["id", "hash", "starts"])
 
     for batch in batches:
-        columns = [batch.column(n) for n in ("piece", "least", "sizes", "docs", "texts", "starts", "places", "found")]
+        columns = [batch.column(n) for n in ("piece", "sizes", "docs", "starts", "ids", "texts", "places", "found")]
         for i in range(len(batch)):
-            now, *windows, places, smaller = (c[i].as_py() for c in columns)
+            now, *windows, ids, texts, places, smaller = (c[i].as_py() for c in columns)
             if places is not None:
                 settle(places, smaller)
                 waiting = None
                 continue
             if waiting:
                 settle()
-            if now != piece and doc:
-                yield from emit()
-                doc.clear(), text.clear(), start.clear()
-            piece, waiting = now, windows
+                waiting = None
+            if now != piece:
+                if doc:
+                    yield from emit()
+                piece, who, which, doc, start = now, _spread(ids), np.frombuffer(texts, "<i8"), [], []
+            else:
+                waiting = windows
     if waiting:
         settle()
     if doc:
@@ -331,9 +338,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keys = cut(anchors.groupBy("id").agg(F.collect_set("key").alias("keys")))
     some = _sifted(known, keys.select("id"))
     pieces = cut(some.join(keys, "id").select("id", "hash", "text", "keys").mapInArrow(lambda it: _extended(it, buckets), _WINDOWS))
-    asked = pieces.select("bucket", "piece", "codes", "extras", "least").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    asked = pieces.where("bucket >= 0").select("bucket", "piece", "codes", "extras", "least").repartition(parts, "bucket").sortWithinPartitions("bucket")
     smaller = asked.mapInArrow(_repeats, "piece long, bucket int, places binary, found binary")
-    both = pieces.select("piece", "bucket", "least", "sizes", "docs", "texts", "starts").unionByName(smaller, allowMissingColumns=True)
+    both = pieces.select("piece", "bucket", "sizes", "docs", "starts", "ids", "texts").unionByName(smaller, allowMissingColumns=True)
     both = both.repartition(parts, "piece").sortWithinPartitions("piece", "bucket", F.col("places").isNotNull())
     found = both.mapInArrow(_found, "id long, hash long, starts binary")
     found = found.groupBy("id", "hash").agg(F.collect_list("starts").alias("starts"))
