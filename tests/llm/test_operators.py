@@ -445,6 +445,46 @@ def test_packed_sums_come_back():
     assert quality_classifier._unpacked(quality_classifier._packed(x[:0])).shape == (0, quality_classifier.DIM)
 
 
+def shuffle_files(spark):
+    import os
+
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f for top in dirs for _, _, names in os.walk(top.getAbsolutePath()) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+
+
+def test_features_leave_no_shuffle_files(spark):
+    """Shuffle files go with the step that made them: the sums' before rows ask for vectors, those of a slice before the next one."""
+    import time
+
+    good, bad = quality_rows(60)
+    before = shuffle_files(spark)
+    done = quality_classifier.features(documents(spark, good + bad).repartition(4))
+    for _ in range(50):  # files are deleted by threads of their own
+        if left := shuffle_files(spark) - before:
+            time.sleep(0.1)
+    assert not left and done.count() == 120
+
+
+def test_slices_change_no_features(spark, docs, monkeypatch):
+    got = []
+    for n in (1, 2, 7):
+        monkeypatch.setattr(quality_classifier, "SLICES", n)
+        got.append(table(quality_classifier.features(docs), "id", "hash", "x"))
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(corpus())
+
+
+def test_told_sums_are_heard_as_vectors():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    x = rng.integers(-3, 4, (400, quality_classifier.DIM))
+    x[::3] *= rng.integers(1, 5000, (len(x[::3]), 1))
+    x[5] = 0
+    x[7] = 1 << 30
+    assert (quality_classifier._heard(quality_classifier._told(x)) == quality_classifier.scaled(x)).all()
+    assert len(quality_classifier._told(rng.integers(-2, 3, (4000, quality_classifier.DIM)))) < 0.5 * 4000 * quality_classifier.DIM
+
+
 def test_classifier_with_shared_ids_and_clashing_labels(spark):
     """One id with two texts and labels given twice: the same scores in any order of rows; clashing columns aren't read."""
     good, bad = quality_rows(60)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: Upper and lower case for ASCII alone; lower() would also change other letters.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,11 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage ends there, its types stay."""
+def cut(df: DataFrame, tidy: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read again: its lineage ends there, its types stay. tidy: the shuffle files that
+    writing it made go at once, not when the driver next collects garbage; for steps whose plan nothing runs again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tracelake/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_TIDY, None)
+    if tidy:
+        spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy and before is None:
+            spark.conf.unset(_TIDY)
+        elif tidy:
+            spark.conf.set(_TIDY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

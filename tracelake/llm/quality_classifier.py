@@ -9,12 +9,14 @@ A document is pooled into the mean of its words' vectors, beside its length, its
 and other signs among its bytes. The network sees these alone, never labels, language, source or ids. It is fitted on a bounded
 sample of labelled rows, at most SAMPLE (one per hash class of the id), of which one in five only sets the temperature.
 
-Plan: a scan cuts rows into pieces. Of each piece, two kinds of rows leave for key buckets in one shuffle: the sums of its
-distinct words, dealt by word, and its bag of words (which words each row holds, how often), which only passes through. By
-bucket, sums are added up over all pieces and answered to each piece that holds the word; by piece, bags and vectors meet and
-give features, a table in the shared folder. No text is shuffled. The sample's features (ids broadcast, at most SAMPLE) go to the
-driver, at most 5 MB; the network is fitted there in numpy and sent out to score all rows. Nothing else of the corpus reaches the
-driver.
+Plan: a scan cuts rows into pieces. The sums of a piece's distinct words are dealt by word and added up over all pieces, a table in
+the shared folder, a row a bucket of words. Then the rows go through in SLICES parts, one after the other, each a scan of its own: a
+piece asks each bucket for its words, and its bag of words (which words each row holds, how often) only passes through; by bucket,
+requests meet the sums, and each piece is answered; by piece, bags and vectors meet and give features, a table in the shared folder.
+The shuffle files of a step go when its table is written, so the disk holds the sums of pieces, or the answers to one part. No text
+is shuffled. The sample's features (ids broadcast, at most SAMPLE) go to the driver, at most 5 MB; the network is fitted there in numpy
+and sent out to score all rows. Beside them one number reaches the driver, that of pieces. Rows are read several times and must be the
+same each time; a word without sums is an error.
 
 Defined cases. Null or empty text: zero features, scored as any other. Repeated rows: scored each. Rows that share an id but not
 the text: scored each by its text; if the id is in the sample, the least features in byte order count. A document with several
@@ -24,8 +26,10 @@ label 1 in the sample, or 0.5. No rows: no result rows. Other columns, whatever
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +46,8 @@ NONZERO = 6
 #: Bytes of text gathered before a piece is dealt out.
 PIECE = 32 << 20
 BUCKETS_PER_PARTITION = 2
+#: Parts of the rows that meet their words' vectors one after the other. Results don't depend on it.
+SLICES = 3
 SAMPLE = 1 << 14
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 3e-3, 1e-4
 #: Beside the pooled vector: length, share of distinct words, shares of capitals, digits and other signs.
@@ -62,27 +68,30 @@ def index_vectors(codes: np.ndarray) -> np.ndarray:
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Rows of DIM integers: 2, 8 or 64 bits an entry as each row needs, compressed."""
+    """Rows of DIM integers: 2, 4, 8 or 64 bits an entry as each row needs, compressed."""
     z = ((x << 1) ^ (x >> 63)).astype("<u8")  # signs in the lowest bit
-    most = z.max(axis=1, initial=0)
-    kind = np.where(most < 4, 0, np.where(most < 256, 1, 2)).astype("u1")
-    small, middle, large = (z[kind == k] for k in range(3))
-    parts = small.astype("u1").reshape(-1, DIM // 4, 4)
-    few = parts[:, :, 0] | parts[:, :, 1] << 2 | parts[:, :, 2] << 4 | parts[:, :, 3] << 6
-    return b"".join(len(p).to_bytes(8, "little") + p for p in (_squeeze(kind), _squeeze(few.ravel()), _squeeze(middle.astype("u1").ravel()), _squeeze(large.ravel())))
+    kind = np.searchsorted([4, 16, 256], z.max(axis=1, initial=0), "right").astype("u1")
+    parts = [_squeeze(kind)]
+    for k, bits in enumerate((2, 4)):
+        each = z[kind == k].astype("u1").reshape(-1, DIM * bits // 8, 8 // bits)
+        parts.append(_squeeze(np.bitwise_or.reduce(each << (bits * np.arange(8 // bits, dtype="u1")), axis=2).ravel()))
+    parts += [_squeeze(z[kind == 2].astype("u1").ravel()), _squeeze(z[kind == 3].ravel())]
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
     parts, at = [], 0
-    for _ in range(4):
+    for _ in range(5):
         n = int.from_bytes(raw[at : at + 8], "little")
         parts.append(raw[at + 8 : at + 8 + n])
         at += 8 + n
-    kind, few = _loose(parts[0], "u1"), _loose(parts[1], "u1").reshape(-1, DIM // 4)
+    kind = _loose(parts[0], "u1")
     z = np.zeros((len(kind), DIM), np.int64)
-    z[kind == 0] = np.stack([few >> (2 * k) & 3 for k in range(4)], axis=2).reshape(-1, DIM)
-    z[kind == 1] = _loose(parts[2], "u1").reshape(-1, DIM)
-    z[kind == 2] = _loose(parts[3], "<u8").astype(np.int64).reshape(-1, DIM)
+    for k, bits in enumerate((2, 4)):
+        each = _loose(parts[1 + k], "u1").reshape(-1, DIM * bits // 8, 1) >> (bits * np.arange(8 // bits, dtype="u1"))
+        z[kind == k] = (each & ((1 << bits) - 1)).reshape(-1, DIM)
+    z[kind == 2] = _loose(parts[3], "u1").reshape(-1, DIM)
+    z[kind == 3] = _loose(parts[4], "<u8").astype(np.int64).reshape(-1, DIM)
     return (z >> 1) ^ -(z & 1)
 
 
@@ -104,14 +113,19 @@ def word_sums(at: np.ndarray, doc: np.ndarray, index: np.ndarray, order: np.ndar
     """For each range of words between edges, packed sums of the index vectors of the words' neighbours in the same document.
     at: the word of each token, a row of index; order: the tokens by word."""
     begin = np.searchsorted(at, np.arange(len(index) + 1), sorter=order)
+    # two places without a word before, after and between documents, so that neighbours are found by place alone
+    place = np.arange(2, len(at) + 2, dtype=np.int32)
+    place[1:] += 2 * np.cumsum(np.diff(doc) != 0, dtype=np.int32)
+    spread = np.full(place[-1] + 3 if len(at) else 0, len(index), np.int32)
+    spread[place] = at
+    index = np.concatenate([index, np.zeros((1, DIM), np.int8)])
     for x, y in zip(edges[:-1], edges[1:], strict=True):
         total = np.zeros((y - x, DIM), np.int64)
         for lo in range(begin[x], begin[y], _STEP):
-            some = order[lo : min(begin[y], lo + _STEP)].astype(np.int64)
-            near = np.zeros((len(some), DIM), np.int8)
-            for o in (-2, -1, 1, 2):
-                other = np.clip(some + o, 0, len(at) - 1)
-                near += index[at[other]] * ((doc[other] == doc[some]) & (other == some + o))[:, None]
+            some = order[lo : min(begin[y], lo + _STEP)]
+            near = index[spread[place[some] - 2]]
+            for o in (-1, 1, 2):
+                near += index[spread[place[some] + o]]
             first = np.flatnonzero(np.diff(at[some], prepend=-1))
             total[at[some[first]] - x] += np.add.reduceat(near, first, axis=0, dtype=np.int64)
         yield _packed(total)
@@ -130,55 +144,103 @@ def _plain(chunk: Chunk) -> np.ndarray:
     return out
 
 
-_DEALT = "key int, piece long, words binary, sums binary, docs array<struct<id:long,hash:long,n:int,kinds:int>>, plain binary, rarity binary, bag binary, times binary"
-_DOCS = pa.list_(pa.struct([("id", pa.int64()), ("hash", pa.int64()), ("n", pa.int32()), ("kinds", pa.int32())]))
-_DEALT_KINDS = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), _DOCS, *[pa.binary()] * 4]
-_DEALT_NAMES = "key piece words sums docs plain rarity bag times"
+def _pieces(batches: Iterator[pa.RecordBatch], also: Callable[[pa.RecordBatch, Chunk], Any]) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, list]]:
+    """Pieces of a task's rows: a number, the codes of the words, how many each row has, and what ``also`` gives for each chunk."""
+    piece = TaskContext.get().partitionId() << 40
+    words, sizes, rest, held = [], [], [], 0
+    for batch in batches:
+        for chunk in chunks(batch.column("text")):
+            words.append(chunk.words >> U(8))
+            sizes.append(np.diff(chunk.first))
+            rest.append(also(batch, chunk))
+            held += len(chunk.raw) + 64 * (chunk.hi - chunk.lo)
+            if held > PIECE:
+                yield piece, words, np.concatenate(sizes), rest
+                piece += 1
+                words, sizes, rest, held = [], [], [], 0
+    if sizes:
+        yield piece, words, np.concatenate(sizes), rest
+    pa.default_memory_pool().release_unused()
 
 
-def _dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Pieces of rows: a row with their bags, and rows for each bucket with its words and their sums."""
-    piece = TaskContext.get().partitionId() << 40
-    words, sizes, ids, hashes, plain, held = [], [], [], [], [], 0
+def _edges(unique: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the buckets of sorted codes begin and end: a bucket of their highest bits is a range of them."""
+    return np.searchsorted(((unique >> U(24)) * U(buckets) >> U(32)).astype(np.int64), np.arange(buckets + 1))
+
 
-    def deal() -> Iterator[pa.RecordBatch]:
-        n = np.concatenate(sizes)
+_SUMS = "key int, piece long, words binary, sums binary"
+_SUMS_KINDS = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Of each piece a row for each bucket, with its words and their sums."""
+    for piece, words, n, _ in _pieces(batches, lambda *_: None):
         doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
         unique, at, order = _numbered(words)
+        edges, rows = _edges(unique, buckets), []
+        for b, sums in enumerate(word_sums(at, doc, index_vectors(unique), order, edges)):
+            if edges[b] < edges[b + 1]:
+                rows.append((b, piece, _coded(unique[edges[b] : edges[b + 1]]), sums))
+        if rows:
+            yield _rows(rows, _SUMS_KINDS, "key piece words sums")
+
+
+_TOTALS = "key int, words binary, sums binary, pieces int"
+_TOTALS_KINDS = [pa.int32(), pa.binary(), pa.binary(), pa.int32()]
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each bucket a row with its words, their sums over all pieces, and how many pieces hold some."""
+
+    def totals(bucket: int, rows: list[tuple]) -> pa.RecordBatch:
+        words = [_codes(w) for w, _ in rows]
+        unique = np.unique(np.concatenate(words))
+        total = np.zeros((len(unique), DIM), np.int64)
+        for (_, sums), w in zip(rows, words, strict=True):
+            total[np.searchsorted(unique, w)] += _unpacked(sums)
+        return _rows([(bucket, _coded(unique), _packed(total), len(rows))], _TOTALS_KINDS, "key words sums pieces")
+
+    now, rows = None, []
+    for batch in batches:
+        for i in range(len(batch)):
+            key, words, sums = (batch.column(c)[i].as_py() for c in ("key", "words", "sums"))
+            if key != now and rows:
+                yield totals(now, rows)
+                rows = []
+            now = key
+            rows.append((words, sums))
+    if rows:
+        yield totals(now, rows)
+
+
+_ASKED = "key int, piece long, words binary, sums binary, docs array<struct<id:long,hash:long,n:int,kinds:int>>, plain binary, rarity binary, bag binary, times binary"
+_DOCS = pa.list_(pa.struct([("id", pa.int64()), ("hash", pa.int64()), ("n", pa.int32()), ("kinds", pa.int32())]))
+_ASKED_KINDS = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), _DOCS, *[pa.binary()] * 4]
+_ASKED_NAMES = "key piece words sums docs plain rarity bag times"
+
+
+def _asked(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Of each piece a row with its bags, and a row for each bucket with the words that it needs."""
+
+    def also(batch: pa.RecordBatch, chunk: Chunk) -> tuple[list, list, np.ndarray]:
+        return *(batch.column(c)[chunk.lo : chunk.hi].to_pylist() for c in ("id", "hash")), _plain(chunk)
+
+    for piece, words, n, rest in _pieces(batches, also):
+        unique, at, _ = _numbered(words)
         rarity = _rarity(np.bincount(at, minlength=len(unique)))
         place = np.empty(len(unique), np.int32)
         place[np.argsort(rarity, kind="stable")] = np.arange(len(unique))
         kinds, step, times = _bags(n, at, place)
-        numbers = np.concatenate(plain)
+        numbers = np.concatenate([plain for _, _, plain in rest])
         numbers[:, 1] = kinds / np.maximum(n, 1)
+        ids, hashes = ([x for some in rest for x in some[k]] for k in range(2))
         docs = [{"id": i, "hash": h, "n": a, "kinds": b} for i, h, a, b in zip(ids, hashes, n.tolist(), kinds.tolist(), strict=True)]
         mine = (int(mixed(np.array([piece], U))[0] % U(buckets)), piece, None, None, docs, _squeeze(numbers.astype("<f2").ravel()), _squeeze(rarity), step, times)
-        yield _rows([mine], _DEALT_KINDS, _DEALT_NAMES)
-        # codes are sorted, so a bucket of their highest bits is a range of them
-        edges = np.searchsorted(((unique >> U(24)) * U(buckets) >> U(32)).astype(np.int64), np.arange(buckets + 1))
-        rows = []
-        for b, sums in enumerate(word_sums(at, doc, index_vectors(unique), order, edges)):
-            if edges[b] < edges[b + 1]:
-                rows.append((b, piece, _coded(unique[edges[b] : edges[b + 1]]), sums, *[None] * 5))
+        yield _rows([mine], _ASKED_KINDS, _ASKED_NAMES)
+        edges = _edges(unique, buckets)
+        rows = [(b, piece, _coded(unique[edges[b] : edges[b + 1]]), *[None] * 6) for b in range(buckets) if edges[b] < edges[b + 1]]
         if rows:
-            yield _rows(rows, _DEALT_KINDS, _DEALT_NAMES)
-
-    for batch in batches:
-        who, code = batch.column("id").to_pylist(), batch.column("hash").to_pylist()
-        for chunk in chunks(batch.column("text")):
-            words.append(chunk.words >> U(8))
-            sizes.append(np.diff(chunk.first))
-            ids += who[chunk.lo : chunk.hi]
-            hashes += code[chunk.lo : chunk.hi]
-            plain.append(_plain(chunk))
-            held += len(chunk.raw) + 64 * (chunk.hi - chunk.lo)
-            if held > PIECE:
-                yield from deal()
-                piece += 1
-                words, sizes, ids, hashes, plain, held = [], [], [], [], [], 0
-    if ids:
-        yield from deal()
-    pa.default_memory_pool().release_unused()
+            yield _rows(rows, _ASKED_KINDS, _ASKED_NAMES)
 
 
 def _numbered(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,33 +307,37 @@ def scaled(total: np.ndarray) -> np.ndarray:
     return np.rint(total * (UNIT / np.maximum(length, 1e-9))).astype(np.int64)
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By bucket: sums over all pieces, answered to each piece for its words as vectors. Bags pass through."""
+def _told(total: np.ndarray) -> bytes:
+    """Sums on their way to a piece: those of length UNIT or less as they are, as they pack closer, the others as vectors."""
+    small = (total.astype(np.float64) ** 2).sum(axis=1) <= UNIT**2
+    return b"".join(len(p).to_bytes(8, "little") + p for p in (_squeeze(np.packbits(small)), _packed(np.where(small[:, None], total, scaled(total)))))
 
-    def answers(bucket: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        words = [_codes(w) for _, w, _ in rows]
-        unique = np.unique(np.concatenate(words))
-        total = np.zeros((len(unique), DIM), np.int64)
-        for (_, _, sums), w in zip(rows, words, strict=True):
-            total[np.searchsorted(unique, w)] += _unpacked(sums)
-        vectors = scaled(total)
-        for (piece, _, _), w in zip(rows, words, strict=True):
-            yield _rows([(piece, bucket, _packed(vectors[np.searchsorted(unique, w)]), *[None] * 5)], _MET_KINDS, _MET_NAMES)
 
-    now, rows = None, []
+def _heard(raw: bytes) -> np.ndarray:
+    """The vectors that _told() was given the sums of."""
+    n = int.from_bytes(raw[:8], "little")
+    out = _unpacked(raw[16 + n :])
+    small = np.unpackbits(_loose(raw[8 : 8 + n], "u1"), count=len(out)).astype(bool)
+    out[small] = scaled(out[small])
+    return out.astype(np.int8)
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By bucket, whose sums come first: each piece is answered for its words. Bags pass through."""
+    now, known, total = None, np.zeros(0, U), np.zeros((0, DIM), np.int64)
     for batch in batches:
         for i in range(len(batch)):
             key, piece, words, sums = (batch.column(c)[i].as_py() for c in ("key", "piece", "words", "sums"))
             if words is None:
                 yield _rows([(piece, None, None, *(batch.column(c)[i].as_py() for c in ("docs", "plain", "rarity", "bag", "times")))], _MET_KINDS, _MET_NAMES)
-                continue
-            if key != now and rows:
-                yield from answers(now, rows)
-                rows = []
-            now = key
-            rows.append((piece, words, sums))
-    if rows:
-        yield from answers(now, rows)
+            elif sums is not None:
+                now, known, total = key, _codes(words), _unpacked(sums)
+            else:
+                own = _codes(words)
+                at = np.searchsorted(known, own)
+                if key != now or at[-1] == len(known) or (known[at] != own).any():
+                    raise ValueError("the rows were not the same when they were read again")
+                yield _rows([(piece, key, _told(total[at]), *[None] * 5)], _MET_KINDS, _MET_NAMES)
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,24 +379,35 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if found is None:
                 bags = tuple(batch.column(c)[i].as_py() for c in ("docs", "plain", "rarity", "bag", "times"))
             else:
-                vectors.append(_unpacked(found).astype(np.int8))
+                vectors.append(_heard(found))
     if bags is not None:
         yield from features(*bags, vectors)
     pa.default_memory_pool().release_unused()
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, hash (xxhash64 of the text) and x, the features as 2-byte numbers, of each row; a table in the shared folder."""
+    """id, hash (xxhash64 of the text) and x, the features as 2-byte numbers, of each row; tables in the shared folder, one a slice."""
     spark = docs.sparkSession
     small_batches(spark)
     parts = shuffle_width(spark)
     buckets = parts * BUCKETS_PER_PARTITION
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    dealt = texts.mapInArrow(lambda it: _dealt(it, buckets), _DEALT)
-    answers = dealt.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_summed, _MET)
-    met = answers.repartition(parts, "piece").sortWithinPartitions("piece", F.col("bucket").asc_nulls_first())
-    return cut(met.mapInArrow(_featured, "id long, hash long, x binary"))
+    sums = texts.select("text").mapInArrow(lambda it: _dealt(it, buckets), _SUMS).repartition(parts, "key").sortWithinPartitions("key")
+    totals = cut(sums.mapInArrow(_summed, _TOTALS), tidy=True)
+    # a slice is read in fewer tasks, so that its pieces are as large as those of all rows and ask for few words twice
+    pieces = totals.agg(F.max("pieces")).first()[0] or 1
+    tasks = max(pieces // SLICES, min(pieces, spark.sparkContext.defaultParallelism))
+    known = totals.select("key", F.lit(None).cast("long").alias("piece"), "words", "sums")
+    done = []
+    for k in range(SLICES):
+        some = texts.where(F.pmod(F.xxhash64("id", "hash"), F.lit(SLICES)) == k).coalesce(tasks)
+        asked = some.mapInArrow(lambda it: _asked(it, buckets), _ASKED).unionByName(known, allowMissingColumns=True)
+        answers = asked.repartition(parts, "key").sortWithinPartitions("key", F.col("sums").isNull()).mapInArrow(_answered, _MET)
+        met = answers.repartition(parts, "piece").sortWithinPartitions("piece", F.col("bucket").asc_nulls_first())
+        done.append(cut(met.mapInArrow(_featured, "id long, hash long, x binary"), tidy=True))
+    drop_cut(totals)
+    return reduce(DataFrame.unionByName, done)
 
 
 def _matrix(rows: list[bytes]) -> np.ndarray:
